@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheafworks.llm import quality
+from sheafworks.llm import embeddings, quality, sharding
 
-MODULES = [quality]
+MODULES = [embeddings, sharding, quality]
 
 
 def queries() -> dict:
