@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheafworks.llm import embeddings, quality, sharding
+from sheafworks.llm import embeddings, quality, sharding, warc
 
-MODULES = [embeddings, sharding, quality]
+MODULES = [warc, embeddings, sharding, quality]
 
 
 def queries() -> dict:
