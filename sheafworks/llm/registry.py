@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheafworks.llm import embeddings, quality, sharding, warc
+from sheafworks.llm import embeddings, katz, quality, sharding, warc
 
-MODULES = [warc, embeddings, sharding, quality]
+MODULES = [katz, warc, embeddings, sharding, quality]
 
 
 def queries() -> dict:
