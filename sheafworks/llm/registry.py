@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheafworks.llm import embeddings, katz, quality, sharding, warc
+from sheafworks.llm import embeddings, katz, packing, pieces, quality, sharding, warc
 
-MODULES = [katz, warc, embeddings, sharding, quality]
+MODULES = [katz, packing, warc, embeddings, sharding, pieces, quality]
 
 
 def queries() -> dict:
