@@ -142,5 +142,6 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         e = stash(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = now
