@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
 #: White space that parts words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
-BLOCK_BYTES = 16 << 20
+#: Text of a block, and text that one partition of an exchange stands for.
+BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -116,7 +117,7 @@ def block_id(k: int) -> int:
     return (TaskContext.get().partitionId() << 24) + k
 
 
-def count_parts(table: DataFrame, column_name: str, each: float = BLOCK_BYTES) -> int:
+def count_parts(table: DataFrame, column_name: str, each: float = PART_BYTES) -> int:
     """Partitions for an exchange: in proportion to all bytes, so that each keeps its size however large the input."""
     total = table.agg(F.sum(column_name)).first()[0] or 0
     return max(1, int(-(-total // each)))
