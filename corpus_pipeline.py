@@ -1,18 +1,41 @@
-"""A corpus pipeline of four stages, each calling one operator of sheafworks.llm."""
+"""A corpus pipeline of four stages, each calling one operator of sheafworks.llm.
+
+Quality rules drop documents and boilerplate lines; of near copies (five-word shingles, similarity 0.8) the document
+with the smallest id stays; passages that an earlier document holds are cut; what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheafworks.llm import quality
+from sheafworks.llm import jaccard, packing, quality, suffixes
 from sheafworks.llm.common import documents, stash
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where it is a column."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep(docs)
+    return recounted(quality.keep(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep(docs, width=5, num=80, den=100)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return recounted(suffixes.strip(docs, 100))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("sequences", sequences)]
+#: SQL has no best-fit packing and no suffix order; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheafworks.llm import embeddings, jaccard, katz, packing, pieces, quality, sharding, warc
+from sheafworks.llm import embeddings, jaccard, katz, packing, pieces, quality, sharding, suffixes, warc
 
-MODULES = [katz, packing, warc, embeddings, jaccard, sharding, pieces, quality]
+MODULES = [katz, packing, warc, embeddings, jaccard, sharding, suffixes, pieces, quality]
 
 
 def queries() -> dict:
