@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = []
+from sheafworks.plans import image_queries, page_queries
+
+MODULES = [page_queries, image_queries]
 
 
 def queries() -> dict:
