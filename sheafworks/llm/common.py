@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -62,6 +64,26 @@ def unpack(body: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def trim(f):
+    """f on one group, giving freed memory back to the system afterwards: workers are kept for later tasks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        give_back()
+        return out
+
+    return run
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def gaps(a: np.ndarray) -> np.ndarray:
     """Differences of a sorted integer array; np.cumsum undoes it."""
     return np.diff(a, prepend=a.dtype.type(0))

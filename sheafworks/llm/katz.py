@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import block_id, blocks, column, count_parts, documents, gaps, pack, stash, unpack, words_of
+from sheafworks.llm.common import block_id, blocks, column, count_parts, documents, gaps, give_back, pack, stash, trim, unpack, words_of
 
 KATZ = 5  # counts up to this one are discounted
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a blank
@@ -41,19 +41,21 @@ def in_training(doc_id) -> bool:
 
 
 def tokenise(batches):
-    """Blocks: ids, flags, words of each text as numbers of the block's vocabulary, the vocabulary's hashes; END is 0."""
+    """Blocks: ids, flags, words of each text as numbers of the block's vocabulary (END is 0), its hashes in order."""
     for k, t in enumerate(blocks(batches)):
         words, counts = words_of(column(t, "text"))
         coded = words.dictionary_encode() if len(words) else pa.array([], pa.string()).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64) + 1
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in pc.cast(coded.dictionary, pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
-        ends = np.cumsum(counts)
-        tokens = np.insert(codes, ends, 0)
+        tokens = np.insert(codes, np.cumsum(counts), 0)
+        hashes = np.concatenate([np.array([END], np.uint64), hashes])
+        order = np.argsort(hashes)
         ids = column(t, "doc_id")
         train = np.fromiter(map(in_training, ids.to_pylist()), bool, len(ids))
-        body = pack(tokens=tokens, n=counts + 1, train=train.astype(np.uint8), ids=pc.fill_null(ids, 0).to_numpy().astype(np.int64), null=np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), words=np.concatenate([np.array([END], np.uint64), hashes]))
+        body = pack(tokens=tokens, n=counts + 1, train=train.astype(np.uint8), ids=pc.fill_null(ids, 0).to_numpy().astype(np.int64), null=np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), order=order)
         raw = int(pc.sum(pc.binary_length(column(t, "text"))).as_py() or 0)
-        yield pa.RecordBatch.from_arrays([pa.array([block_id(k)], pa.int64()), pa.array([raw], pa.int64()), pa.array([body], pa.binary())], names=["block", "bytes", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array([block_id(k)], pa.int64()), pa.array([raw], pa.int64()), pa.array([body], pa.binary()), pa.array([pack(words=hashes[order])], pa.binary())], names=["block", "bytes", "body", "vocabulary"])
+        give_back()
 
 
 def discounts(of: np.ndarray) -> np.ndarray:
@@ -117,24 +119,22 @@ class Block:
         for level in range(2, upto + 1):
             self.evaluate(level, by.get(level, {}))
 
-    def word_order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = self.raw["words"].astype(np.uint64)
-        part = (words % np.uint64(self.model.parts)).astype(np.int64)
-        order = np.lexsort((words, part))
-        return order, words[order], part[order]
-
-    def ask_words(self):
-        order, words, part = self.word_order()
-        trained = np.bincount(self.tokens, weights=self.trained, minlength=len(words)).astype(np.int64)[order]
-        for p in np.unique(part):
-            yield int(p), pack(h=gaps(words[part == p]), trained=trained[part == p])
+    def ask_words(self, vocabulary: bytes):
+        """The vocabulary is sorted by hash, partitions are ranges of it."""
+        words = unpack(vocabulary)["words"]
+        trained = np.bincount(self.tokens, weights=self.trained, minlength=len(words)).astype(np.int64)[self.raw["order"]]
+        edges = np.array([(p << 64) // self.model.parts for p in range(self.model.parts)], np.uint64)
+        cut = np.append(np.searchsorted(words, edges), len(words))
+        for p in range(self.model.parts):
+            if cut[p + 1] > cut[p]:
+                yield p, pack(h=gaps(words[cut[p] : cut[p + 1]]), trained=trained[cut[p] : cut[p + 1]])
 
     def words(self, answers: dict[int, bytes]) -> None:
-        order, _, part = self.word_order()
+        got = [unpack(body) for _, body in sorted(answers.items())]
+        order = self.raw["order"].astype(np.int64)
         self.count, self.number = np.zeros(len(order), np.int64), np.full(len(order), -1)
-        for p, body in answers.items():
-            x = unpack(body)
-            self.count[order[part == p]], self.number[order[part == p]] = x["c"], x["number"]
+        self.count[order] = np.concatenate([x["c"] for x in got])
+        self.number[order] = np.concatenate([x["number"] for x in got])
         self.c, self.w = self.count[self.tokens], self.number[self.tokens]
         self.p = self.model.unigram(self.c)
         self.h = self.before(self.w, self.number[0])
@@ -245,10 +245,10 @@ def answered(t: pa.Table, answers: list[bytes], model: bytes, c: np.ndarray) ->
 def asker(model: Model, level: int):
     def ask(t: pa.Table) -> pa.Table:
         b = Block(t, model, level - 1)
-        asked = list(b.ask_words() if level == 1 else b.ask(level))
+        asked = list(b.ask_words(t.column("vocabulary")[0].as_py()) if level == 1 else b.ask(level))
         return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(asked), pa.int64()), "part": pa.array([p for p, _ in asked], pa.int32()), "body": pa.array([x for _, x in asked], pa.binary())})
 
-    return ask
+    return trim(ask)
 
 
 def one_by_one(ask):
@@ -264,28 +264,28 @@ def adder(model: Model, level: int, last: bool):
     def add(t: pa.Table) -> pa.Table:
         return add_words(t, model.parts) if level == 1 else add_grams(t, model, level, last)
 
-    return add
+    return trim(add)
 
 
 def scorer(model: Model, order: int):
     def score(t: pa.Table) -> pa.Table:
         return Block(t, model, order).scores()
 
-    return score
+    return trim(score)
 
 
 def train_and_score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[DataFrame]]:
     """Scores of all documents, and the model's tables by level: (part, body), body the packed keys and counts."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = stash(source.mapInArrow(tokenise, "block long, bytes long, body binary"))
+    table = stash(source.mapInArrow(tokenise, "block long, bytes long, body binary, vocabulary binary"))
     model = Model(count_parts(table, "bytes"))
-    texts = table.select("block", F.lit(0).alias("level"), F.lit(0).alias("part"), "body")
-    rows, tables = texts, []
+    head = ["block", F.lit(0).alias("level"), F.lit(0).alias("part"), "body"]
+    rows, tables = table.select(*head), []
 
     for level in range(1, order + 1):
         asking = "block long, part int, body binary"
         ask, add = asker(model, level), adder(model, level, level == order)
-        asked = rows.mapInArrow(one_by_one(ask), asking) if level == 1 else rows.groupBy("block").applyInArrow(ask, asking)
+        asked = table.select(*head, "vocabulary").mapInArrow(one_by_one(ask), asking) if level == 1 else rows.groupBy("block").applyInArrow(ask, asking)
         done = stash(asked.groupBy("part").applyInArrow(add, ANSWERS))
         own = done.where("block is null")
         s = own.agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(KATZ + 3)], F.coalesce(F.max(F.col("stats")[KATZ + 2]), F.lit(0))).first()

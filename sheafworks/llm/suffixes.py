@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafworks.llm.common import block_id, blocks, column, count_parts, documents, flat_text, gaps, pack, stash, unpack
+from sheafworks.llm.common import BLOCK_BYTES, block_id, blocks, column, count_parts, documents, flat_text, gaps, pack, stash, trim, unpack
+from sheafworks.llm.jaccard import mix
 
 LENGTH = 100
 LAST = np.iinfo(np.int64).max
 PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.int64).view(np.uint64) | np.uint64(1)
-CHUNK = 1 << 20
+CHUNK, BATCH = 1 << 20, 1 << 20
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------
@@ -89,7 +90,8 @@ def anchors_of(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int
             s = np.nonzero(np.cumsum(ok)[:-1])[0]
             a = at[s]
             new = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1)]))[0] if len(s) else s
-            out.append((s[new] + lo, np.diff(np.append(new, len(s))), h[a[new]]))
+            # hashes of minima are small ones: mixed again, ranges of them hold equal shares
+            out.append((s[new] + lo, np.diff(np.append(new, len(s))), mix(h[a[new]], 4)))
         k = m
     names = ("s", "w", "h")
     kinds = (np.int64, np.int64, np.uint64)
@@ -290,7 +292,7 @@ def ipc(t: pa.Table) -> bytes:
 
 def collect(batches):
     """Blocks: the texts' bytes, where each lies, ids, and the other columns."""
-    for k, t in enumerate(blocks(batches, text="_text")):
+    for k, t in enumerate(blocks(batches, BLOCK_BYTES // 2, text="_text")):
         raw, at = flat_text(column(t, "_text"))
         ids = column(t, "_id")
         body = pack(raw=np.frombuffer(raw, np.uint8), size=np.diff(at), ids=ids.fill_null(0).to_numpy().astype(np.int64), null=np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8))
@@ -330,7 +332,10 @@ class Block:
         assert full.all()
         n = self.w + self.length - 1
         at = np.concatenate([[0], np.cumsum(n)])
-        text = self.raw[np.arange(at[-1]) + np.repeat(self.s - at[:-1], n)]
+        text = np.empty(at[-1], np.uint8)
+        for i in range(0, len(n), 16_384):
+            j = min(len(n), i + 16_384)
+            text[at[i] : at[j]] = self.raw[np.arange(at[i], at[j]) + np.repeat(self.s[i:j] - at[i:j], n[i:j])]
         bodies = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text)])
         coded = bodies.dictionary_encode()
         kind = coded.indices.to_numpy().astype(np.int64)
@@ -418,7 +423,7 @@ def piece_asker(length: int, bits: int, parts: int):
         asked = list(b.ask_pieces())
         return pa.table({"block": pa.array([b.block] * len(asked), pa.int64()), "part": pa.array([p for p, _ in asked], pa.int32()), "body": pa.array([x for _, x in asked], pa.binary())})
 
-    return ask
+    return trim(ask)
 
 
 def sorter(length: int):
@@ -447,13 +452,19 @@ def sorter(length: int):
         if len(several):
             doc = np.stack([ids[several], block[several], rows[several]])
             rank = np.unique(doc, axis=1, return_inverse=True)[1].ravel()
-            texts = coded.dictionary.take(pa.array(kind[several])).to_pylist()
-            for i, f in zip(several.tolist(), repeated_windows(texts, rank, begin[several], length), strict=True):
-                if f.all():
-                    state[i] = 1
-                elif f.any():
-                    state[i] = 2
-                    flags[i] = f
+            # Suffix arrays of bounded size: equal windows have one key, so that runs of keys are sorted apart.
+            fresh = np.nonzero(np.concatenate([[True], key[several][1:] != key[several][:-1]]))[0]
+            filled = np.cumsum(size[several])[fresh] // BATCH
+            cuts = fresh[np.concatenate([[True], filled[1:] != filled[:-1]])]
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(several)), strict=True):
+                some = several[lo:hi]
+                texts = coded.dictionary.take(pa.array(kind[some])).to_pylist()
+                for i, f in zip(some.tolist(), repeated_windows(texts, rank[lo:hi], begin[some], length), strict=True):
+                    if f.all():
+                        state[i] = 1
+                    elif f.any():
+                        state[i] = 2
+                        flags[i] = f
         out, lo = [], 0
         for x in got:
             hi = lo + len(x["size"])
@@ -462,7 +473,7 @@ def sorter(length: int):
             lo = hi
         return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(out, pa.binary())})
 
-    return sort
+    return trim(sort)
 
 
 def remover(length: int, bits: int, parts: int, texts: bool):
@@ -487,7 +498,7 @@ def remover(length: int, bits: int, parts: int, texts: bool):
         ids = pa.array(np.where(b.null, 0, b.ids), mask=b.null)
         return pa.table({"doc_id": ids, "n_bytes": b.size, "n_removed": lost, "n_spans": spans, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]})
 
-    return remove
+    return trim(remove)
 
 
 def process(docs: DataFrame, length: int, texts: bool, doc_id: str, text: str) -> DataFrame:
@@ -497,7 +508,7 @@ def process(docs: DataFrame, length: int, texts: bool, doc_id: str, text: str) -
     parts = count_parts(table, "bytes")
     bits = min(62, 33 + parts.bit_length())
     asked = table.select("block", "body").mapInArrow(anchor_asker(length, bits, parts), HEAD)
-    told = stash(asked.groupBy("part").applyInArrow(count_anchors, HEAD))
+    told = stash(asked.groupBy("part").applyInArrow(trim(count_anchors), HEAD))
     bodies = table.select("block", F.lit(0).alias("level"), F.lit(0).alias("part"), "body", F.col("rest") if texts else F.lit(None).cast("binary").alias("rest"))
     level = lambda df, k: df.select("block", F.lit(k).alias("level"), "part", "body", F.lit(None).cast("binary").alias("rest"))
     pieces = bodies.drop("rest").unionByName(level(told, 1).drop("rest")).groupBy("block").applyInArrow(piece_asker(length, bits, parts), HEAD)
