@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import block_id, blocks, column, components, count_parts, documents, gaps, pack, stash, unpack, words_of
+from sheafworks.llm.common import block_id, blocks, column, components, count_parts, documents, gaps, pack, stash, trim, unpack, words_of
 
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 TILE = 256
@@ -151,7 +151,7 @@ def selector(width: int, num: int, den: int, bits: int, parts: int):
             "may": pa.array(may), "toks": lists(toks), **{f"pre{k}": lists(pre[k]) for k in range(ORDERS)},
         })
 
-    return select
+    return trim(select)
 
 
 def refine(members: DataFrame, prefix: str) -> DataFrame:
@@ -279,7 +279,7 @@ def join(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id"
     bits = min(62, 36 + parts.bit_length())
     head = "block long, part int, body binary"
     asked = table.select("block", "body").mapInArrow(asker(width, bits, parts), head)
-    told = stash(asked.groupBy("part").applyInArrow(frequencies, head))
+    told = stash(asked.groupBy("part").applyInArrow(trim(frequencies), head))
     lists = ", ".join(f"pre{k} array<long>" for k in range(ORDERS))
     rows = table.select("block", F.lit(-1).alias("part"), "body").unionByName(told)
     found = stash(rows.groupBy("block").applyInArrow(selector(width, num, den, bits, parts), f"doc_id long, row long, n long, sig1 long, sig2 long, may boolean, toks array<long>, {lists}"))
