@@ -48,7 +48,8 @@ def pack(**arrays: np.ndarray) -> bytes:
     out = {}
     for name, a in arrays.items():
         if a.dtype.kind in "iu" and len(a):
-            a = a.astype(np.result_type(np.min_scalar_type(a.max()), np.min_scalar_type(a.min())), copy=False) if a.dtype != np.uint64 else a
+            low, high = int(a.min()), int(a.max())
+            a = a.astype(np.min_scalar_type(high) if low >= 0 else np.min_scalar_type(min(low, -high - 1)), copy=False)
         wide = a.dtype.itemsize
         raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, wide).T).tobytes() if len(a) else b""
         out[name] = (a.dtype.str, len(a), zstandard.compress(raw, 3))
