@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sheafworks.llm.common import SPACE, documents
 
 #: Production parameters.
-PARAMS = {"min_docs": 20, "share": 0.05, "min_words": 20, "max_removed": 0.7}
+PARAMS = {"min_docs": 20, "share": 0.05, "min_words": 10, "max_removed": 0.5}
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
