@@ -179,11 +179,10 @@ def records(f, compressed: bool, wanted, payload: bool):
             continue
         inflate, text, raw, head, keep = zlib.decompressobj(31), b"", start, None, True
         while raw:
-            got, pos = inflate.decompress(raw), 0
+            got = inflate.decompress(raw)
             text = text + got if keep else b""
             if head is None and (head := parse_head(text)):
                 keep = payload and wanted(head[0])
-            del got, pos
             if inflate.eof:
                 at = f.tell() - len(inflate.unused_data)
                 break
@@ -241,7 +240,7 @@ def member(row: dict) -> bytes:
     lines = ["WARC/1.1"] + [f"{header}: {clean}" for name, header in HEADERS.items() if row.get(name) is not None and (clean := re.sub(r"[\r\n]+", " ", str(row[name])))]
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    lines += [f"Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]  # noqa: F541
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     record = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
     body = deflate.compress(record) + deflate.flush()
