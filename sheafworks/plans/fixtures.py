@@ -158,9 +158,8 @@ def image_dims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clicks(spark: SparkSession, d: str) -> DataFrame:
-    n = read(spark, d, "embeddings").agg(F.count("*").alias("n"))
-    e = read(spark, d, "events").join(F.broadcast(n))  # one row
-    return e.select("event_id", "user_id", "ts", (F.col("event_id") % F.col("n")).alias("image_id"), (F.col("value") / 400.0).alias("fx"), ((F.col("event_id") % 97).cast("double") / 90.0).alias("fy"))
+    n = read(spark, d, "embeddings").count()
+    return read(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_id") % n).alias("image_id"), (F.col("value") / 400.0).alias("fx"), ((F.col("event_id") % 97).cast("double") / 90.0).alias("fy"))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
