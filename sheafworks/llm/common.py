@@ -36,7 +36,16 @@ def stash(df: DataFrame, *by: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage is cut, lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing will read again, so that an operator's disk is that of its live tables."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stashed_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -156,14 +165,16 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     e = stash(e)
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
+    before, e_table = None, e
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        e = stash(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        last, e = e_table, stash(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        drop(last)
+        e_table = e
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import block_id, blocks, column, components, count_parts, documents, gaps, pack, stash, trim, unpack, words_of
+from sheafworks.llm.common import block_id, blocks, column, components, count_parts, documents, drop, gaps, pack, stash, trim, unpack, words_of
 
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 TILE = 256
@@ -284,6 +284,7 @@ def join(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id"
     rows = table.select("block", F.lit(-1).alias("part"), "body").unionByName(told)
     found = stash(rows.groupBy("block").applyInArrow(selector(width, num, den, bits, parts), f"doc_id long, row long, n long, sig1 long, sig2 long, may boolean, toks array<long>, {lists}"))
 
+    drop(table, told)
     may = found.where("may")
     reps = may.groupBy("sig1", "sig2").agg(F.min("row").alias("row"))
     members = stash(may.join(reps.select("row"), "row").drop("doc_id", "sig1", "sig2", "may"))
@@ -295,6 +296,7 @@ def join(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id"
     tile_of = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int")).otherwise(F.lit(-1))
     placed = members.join(classes, "row").join(sizes, "class").withColumn("tile", tile_of).withColumn("group", group)
     out = stash(placed.groupBy("group", "tile").applyInArrow(verifier(num, den), "class long, tile int, tiles int, body binary, a long, b long"))
+    drop(members)
     large = out.where("body is not null")
     partner = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     sent = large.select("class", "tile", "body", partner.alias("other")).where("tile <> other").select("class", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "body")

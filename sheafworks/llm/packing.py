@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sheafworks.llm.common import documents, stash
 
 #: Production parameters: permitted lengths, cost of a sequence beside its tokens, pieces in a shard.
-CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096, 8192), 64, 10_000
+CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096, 8192), 64, 4_000
 USES = (0.0, 0.5, 0.8, 0.95)
 RESULT = "doc_id long, piece long, start long, n_tokens long, bin_id long, capacity int, offset long, bin_tokens long"
 
