@@ -7,9 +7,10 @@ their centres are exactly the minima of the sliding windows of that length, and
 
 Blocks ask, packed, which centres occur twice anywhere; windows of the others can match nothing. The rest are grouped
 by function and centre, and once more by the centres of all functions and what lies between them, which keeps equal
-passages together where variants of them are many. A group's first document stands for it: every window meets that one
-only, so that the pairs grow with the windows, not with their square. For a pair of documents the windows of all functions are joined as
-intervals: where at least `need` functions agree on a passage of both, its bounds are verified on the shingles
+passages together where variants of them are many. Every window first meets the first document of its group. Windows whose
+match with it is verified and holds the centres need no other partner of the group that has such a match too: both are
+matched through the first. The others meet all of their group, so that pairs grow with the square only of windows that
+share a centre and not a passage. For a pair of documents the windows of all functions are joined as intervals: where at least `need` functions agree on a passage of both, its bounds are verified on the shingles
 themselves, by Jaccard similarity of the best matching stretch.
 
 A match of two passages is found with the chance that `need` of K minima agree (0.97 at a similarity of 0.8); repeats
@@ -167,11 +168,13 @@ class Passages:
         last = at[np.append(first[1:], len(at)) - 1] + self.least - 1
         ok = some[first] & self.own[doc_of(at[first])]
         lo, hi = at[first][ok], last[ok]
-        yield len(self.found), *in_text(doc_of(lo), lo, lo, hi), mix(sig[first][ok], 7)
+        yield KINDS, *in_text(doc_of(lo), lo, low[first][ok], hi), mix(sig[first][ok], 7)
 
 
 HEAD = "block long, part int, body binary"
 NEAR = (1 << 16) - 1
+#: Lowest bits of a window's key: its function, or all of them for a whole signature.
+KINDS = 15
 
 
 def packed_place(lo: np.ndarray, c: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -211,7 +214,7 @@ def add_up(t: pa.Table) -> pa.Table:
 
 
 def emitter(bits: int, parts: int, functions: int, least: int):
-    """Windows (v not null; its last three bits are the function), and every document's row with that of its first copy."""
+    """Windows (v not null; its last four bits are the function, all set for a signature), and every document's row with that of its first copy."""
 
     def emit(t: pa.Table) -> pa.Table:
         part, bodies = t.column("part").to_pylist(), t.column("body").to_pylist()
@@ -219,7 +222,7 @@ def emitter(bits: int, parts: int, functions: int, least: int):
         s.learn({p: body for p, body in zip(part, bodies, strict=True) if p >= 0})
         v, row, place = [], [], []
         for k, doc, lo, c, hi, key in s.windows():
-            v.append(((key & ~np.uint64(7)) | np.uint64(k)).view(np.int64))
+            v.append(((key & ~np.uint64(KINDS)) | np.uint64(k)).view(np.int64))
             row.append(s.rows[doc])
             place.append(packed_place(lo, c, hi))
         none = [np.empty(0, np.int64)]
@@ -330,10 +333,86 @@ def checker(least: int, num: int, den: int):
     return check
 
 
+def paired(met: DataFrame) -> DataFrame:
+    """(a, b, f, pa, pb) of windows (v, row, place) and those they meet (o); a is the later row."""
+    later = F.col("row") > F.col("o.row")
+    return met.select(
+        F.greatest("row", "o.row").alias("a"), F.least("row", "o.row").alias("b"), F.col("v").bitwiseAND(F.lit(KINDS)).alias("f"),
+        F.when(later, F.col("place")).otherwise(F.col("o.place")).alias("pa"), F.when(later, F.col("o.place")).otherwise(F.col("place")).alias("pb"),
+    )
+
+
+def verified(table: DataFrame, pairs: DataFrame, groups: int, need: int, least: int, functions: int, num: int, den: int) -> DataFrame:
+    """Matches (a, a_first, a_last, b, b_first, b_last, similarity) of pairs of windows, by rows of blocks."""
+    found = stash(pairs.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInArrow(joiner(need, least, KINDS), "a long, b long, la long, ra long, lb long, rb long"))
+    want = found.select(F.col("a").alias("row"), F.col("la").alias("lo"), F.col("ra").alias("hi")).unionByName(found.select(F.col("b").alias("row"), F.col("lb").alias("lo"), F.col("rb").alias("hi"))).distinct()
+    want = want.select(F.shiftright("row", 24).alias("block"), "row", "lo", "hi", F.lit(None).cast("binary").alias("body"))
+    bodies = table.join(want.select("block").distinct(), "block", "left_semi").select("block", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), "body")
+    cut = stash(bodies.unionByName(want).groupBy("block").applyInArrow(slicer(), "row long, lo long, hi long, body binary"))
+    xa = cut.select(F.col("row").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ra"), F.col("body").alias("xa"))
+    xb = cut.select(F.col("row").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("rb"), F.col("body").alias("xb"))
+    both = found.join(xa, ["a", "la", "ra"]).join(xb, ["b", "lb", "rb"]).select("a", "b", "la", "lb", "xa", "xb")
+    return both.mapInArrow(checker(least, num, den), "a long, a_first long, a_last long, b long, b_first long, b_last long, similarity double")
+
+
+def with_first(windows: DataFrame) -> DataFrame:
+    """(v, row, place, o): each window of a group of several documents, and the group's first window."""
+    first = windows.groupBy("v").agg(F.min(F.struct("row", "place")).alias("o"), F.max("row").alias("last")).where("o.row <> last").select("v", "o")
+    return windows.join(first, "v")
+
+
+def met_by_first(table: DataFrame, windows: DataFrame, need: int, least: int, functions: int, num: int, den: int) -> DataFrame:
+    """Matches of each window with its group's first one."""
+    met = with_first(windows).where("row <> o.row")
+    return verified(table, paired(met), max(1, windows.count() // 40_000), need, least, functions, num, den)
+
+
+def left_over(windows: DataFrame, matches: DataFrame, need: int) -> DataFrame:
+    """(v, row, place, open): the windows that may match another than their group's first one.
+
+    A window is closed if a match with the group's first one holds the centres of both; two closed windows of a group
+    are matched through the first. Open ones meet all of their group. Of both only those are kept that lie with windows
+    of enough other functions, each holding the other's centre; without them no passage has enough minima.
+    """
+    of = lambda p, n: F.shiftright(F.col(p), 32).between(F.col(f"{n}_first"), F.col(f"{n}_last") - (WIDTH - 1))
+    all_of = with_first(windows).withColumn("a", F.greatest("row", "o.row")).withColumn("b", F.least("row", "o.row"))
+    spans = matches.drop("similarity")
+    # the first one has the least row, so that it is b
+    held = all_of.where("row <> o.row").withColumn("o_place", F.col("o.place")).join(spans, ["a", "b"]).where(of("place", "a") & of("o_place", "b"))
+    held = held.select("v", "row", "place").distinct().withColumn("closed", F.lit(True))
+    first = F.struct("row", "place") == F.col("o")
+    seen = all_of.join(held, ["v", "row", "place"], "left").select("v", "row", "place", (~(F.coalesce("closed", F.lit(False)) | first)).alias("open"))
+    live = seen.groupBy("v").agg(F.count_if("open").alias("n")).where("n > 0").select("v")
+    seen = seen.join(live, "v", "left_semi").withColumn("g", F.shiftright("row", 24))
+    return stash(seen.groupBy("g").applyInArrow(together(need), "v long, row long, place long, open boolean"))
+
+
+def together(need: int):
+    """Windows of a block that lie, each with the other's centre, with windows of enough functions; all whole signatures."""
+
+    def choose(t: pa.Table) -> pa.Table:
+        t = t.select(["v", "row", "place", "open"]).sort_by([("row", "ascending"), ("place", "ascending")])
+        row, f = t.column("row").to_numpy(), t.column("v").to_numpy() & KINDS
+        lo, c, hi = place_of(t.column("place").to_numpy())
+        # reaches that are written as the longest may be longer
+        far = t.column("place").to_numpy()
+        lo, hi = np.where((far >> 16) & NEAR == NEAR, 0, lo), np.where(far & NEAR == NEAR, 1 << 40, hi)
+        edge = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1, [len(row)]])
+        ok = f == KINDS
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            for k in range(i, j):
+                u, v = i + np.searchsorted(c[i:j], lo[k]), i + np.searchsorted(c[i:j], hi[k], side="right")
+                near = (lo[u:v] <= c[k]) & (c[k] <= hi[u:v])
+                ok[k] |= len(np.unique(f[u:v][near])) >= need
+        return t.filter(pa.array(ok))
+
+    return trim(choose)
+
+
 def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN, functions: int = K, need: int = NEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Matches (doc_id, first_word, last_word, other_id, other_first, other_last, similarity); words count from 0.
 
-    In each group of documents that share a passage all are matched with its first one; documents whose
+    Documents that share a passage are matched with the first one that holds it, or with each other; documents whose
     shingles all equal those of an earlier one are matched with that one only, with similarity 1.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -347,24 +426,14 @@ def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN
     windows = out.where("v is not null").select("v", "row", "place")
     ids = out.where("v is null").select("row", "doc_id", "same", "m")
 
-    first = windows.groupBy("v").agg(F.min(F.struct("row", "place")).alias("o"), F.max("row").alias("last")).where("o.row <> last").select("v", "o")
-    met = windows.join(first, "v").where("row <> o.row").select(F.col("v").bitwiseAND(F.lit(7)).alias("f"), "row", "place", "o")
-    later = F.col("row") > F.col("o.row")
-    met = met.select(
-        F.greatest("row", "o.row").alias("a"), F.least("row", "o.row").alias("b"), "f",
-        F.when(later, F.col("place")).otherwise(F.col("o.place")).alias("pa"), F.when(later, F.col("o.place")).otherwise(F.col("place")).alias("pb"),
-    )
-    groups = max(1, windows.count() // 40_000)
-    found = met.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInArrow(joiner(need, least, functions), "a long, b long, la long, ra long, lb long, rb long")
-    found = stash(found)
-    want = found.select(F.col("a").alias("row"), F.col("la").alias("lo"), F.col("ra").alias("hi")).unionByName(found.select(F.col("b").alias("row"), F.col("lb").alias("lo"), F.col("rb").alias("hi"))).distinct()
-    want = want.select(F.shiftright("row", 24).alias("block"), "row", "lo", "hi", F.lit(None).cast("binary").alias("body"))
-    bodies = table.join(want.select("block").distinct(), "block", "left_semi").select("block", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), "body")
-    cut = stash(bodies.unionByName(want).groupBy("block").applyInArrow(slicer(), "row long, lo long, hi long, body binary"))
-    xa = cut.select(F.col("row").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ra"), F.col("body").alias("xa"))
-    xb = cut.select(F.col("row").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("rb"), F.col("body").alias("xb"))
-    both = found.join(xa, ["a", "la", "ra"]).join(xb, ["b", "lb", "rb"]).select("a", "b", "la", "lb", "xa", "xb")
-    matches = both.mapInArrow(checker(least, num, den), "a long, a_first long, a_last long, b long, b_first long, b_last long, similarity double")
+    matches = stash(met_by_first(table, windows, need, least, functions, num, den))
+    rest = left_over(windows, matches, need)
+    groups = rest.groupBy("v").agg(F.count_if("open").alias("n_open"), F.min("row").alias("lo"), F.max("row").alias("hi"))
+    rest = stash(rest.join(groups.where("n_open > 0 and lo <> hi").select("v"), "v", "left_semi"))
+    one, two = rest.where("open").drop("open"), rest.select("v", F.col("row").alias("o_row"), F.col("place").alias("o_place"), F.col("open").alias("o_open"))
+    # two open windows meet once
+    met = one.join(two, "v").where("row <> o_row and (not o_open or row > o_row)").select("v", "row", "place", F.struct(F.col("o_row").alias("row"), F.col("o_place").alias("place")).alias("o"))
+    matches = matches.unionByName(verified(table, paired(met), max(1, rest.count() // 40_000), need, least, functions, num, den)).distinct()
     copies = ids.where((F.col("row") != F.col("same")) & (F.col("m") >= least))
     whole = F.col("m") + F.lit(WIDTH - 2)
     copies = copies.select(F.col("row").alias("a"), F.lit(0).cast("long").alias("a_first"), whole.alias("a_last"), F.col("same").alias("b"), F.lit(0).cast("long").alias("b_first"), whole.alias("b_last"), F.lit(1.0).alias("similarity"))

@@ -137,6 +137,31 @@ def test_passages_are_found_and_true(docs):
     assert windows.passages(docs.where("false")).count() == 0
 
 
+def variants(spark):
+    """Triples: an excerpt or a far variant first, then two documents that share a passage with each other only."""
+    r = random.Random(5)
+    text = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    early, late = [], []
+    for k in range(40):
+        passage = text(50)
+        start = r.randrange(1, 5)
+        early.append((k, " ".join(text(40) + passage[start : start + 45] + text(40))))
+        late += [(100 + 2 * k + j, " ".join(text(30) + passage + text(30))) for j in range(2)]
+    return spark.createDataFrame(early + late, "doc_id long, text string").coalesce(1), {(100 + 2 * k, 101 + 2 * k) for k in range(40)}
+
+
+def test_passages_behind_a_first_document_are_found(spark):
+    docs, want = variants(spark)
+    source = [words(r.text) for r in docs.orderBy("doc_id").collect()]
+    runs = defaultdict(set)
+    for r, w in zip(docs.orderBy("doc_id").collect(), source, strict=True):
+        for j in range(len(w) - 49):
+            runs[tuple(w[j : j + 50])].add(r.doc_id)
+    assert {tuple(sorted(v)) for v in runs.values() if len(v) > 1} == want
+    got = windows.passages(docs).collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in got} == want
+
+
 def test_window_bounds():
     import numpy as np
 
