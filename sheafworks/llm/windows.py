@@ -297,10 +297,35 @@ def best_stretch(hit: np.ndarray, worth: int, cost: int) -> tuple[int, int]:
     return begin, end
 
 
+def equal_run(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, int, int, int] | None:
+    """Bounds of the first equal run of at least `least` elements in both, or None."""
+    if min(len(x), len(y)) < least:
+        return None
+    roll = lambda z: np.lib.stride_tricks.sliding_window_view(z.astype(np.uint64), least) @ weights
+    weights = mix(np.arange(1, least + 1, dtype=np.uint64), 3)
+    hx, hy = roll(x), roll(y)
+    for i in np.nonzero(np.isin(hx, hy))[0]:
+        for p in np.nonzero(hy == hx[i])[0]:
+            if np.array_equal(x[i : i + least], y[p : p + least]):
+                n = min(len(x) - i, len(y) - p)
+                apart = np.nonzero(x[i : i + n] != y[p : p + n])[0]
+                n = int(apart[0]) if len(apart) else n
+                return int(i), int(i) + n - 1, int(p), int(p) + n - 1
+    return None
+
+
+def similarity_of(x: np.ndarray, y: np.ndarray, num: int, den: int) -> float:
+    """Jaccard similarity of two runs, or 0 where it is too low."""
+    s, t = np.unique(x), np.unique(y)
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    union = len(s) + len(t) - common
+    return common / union if den * common >= num * union else 0.0
+
+
 def verify(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> tuple[int, int, int, int, float] | None:
     """The best matching passages of two stretches (bounds in each, similarity), or None.
 
-    The longest run with enough hits is tried first, then runs with ever fewer misses, down to none.
+    The longest run with enough hits is tried first, then runs with ever fewer misses, down to none, then equal runs.
     """
     in_y = np.isin(x, y)
     for worth, cost in ((den - num, num), (1, 20), (1, 1 << 40)):
@@ -310,12 +335,33 @@ def verify(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> tupl
         i, j = i + i2, i + j2
         if min(j - i, q - p) + 1 < least:
             continue
-        s, t = np.unique(x[i : j + 1]), np.unique(y[p : q + 1])
-        common = len(np.intersect1d(s, t, assume_unique=True))
-        union = len(s) + len(t) - common
-        if den * common >= num * union:
-            return i, j, p, q, common / union
-    return None
+        similarity = similarity_of(x[i : j + 1], y[p : q + 1], num, den)
+        if similarity:
+            return i, j, p, q, similarity
+    run = equal_run(x, y, least)
+    return (*run, 1.0) if run else None
+
+
+def verify_all(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int, float]]:
+    """All matching passages of two stretches: what a match leaves of either is verified again.
+
+    What is left of x meets all of y, the passage in x what is left of y. Where nothing matches, what lies around the
+    run that gains most is tried without it.
+    """
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if min(b - a, d - c) < least or np.isin(x[a:b], y[c:d]).sum() * den < least * num:
+            continue
+        v = verify(x[a:b], y[c:d], least, num, den)
+        if v:
+            i, j, p, q = a + v[0], a + v[1], c + v[2], c + v[3]
+            out.append((i, j, p, q, v[4]))
+            todo += [(a, i, c, d), (j + 1, b, c, d), (i, j + 1, c, p), (i, j + 1, q + 1, d)]
+        else:
+            i, j = best_stretch(np.isin(x[a:b], y[c:d]), den - num, num)
+            todo += [(a, a + i, c, d), (a + j + 1, b, c, d)]
+    return sorted(out)
 
 
 def checker(least: int, num: int, den: int):
@@ -324,8 +370,7 @@ def checker(least: int, num: int, den: int):
             cols = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
             out = []
             for a, b, la, lb, xa, xb in zip(*(cols[n] for n in ("a", "b", "la", "lb", "xa", "xb")), strict=True):
-                v = verify(np.frombuffer(xa, np.uint32), np.frombuffer(xb, np.uint32), least, num, den)
-                if v:
+                for v in verify_all(np.frombuffer(xa, np.uint32), np.frombuffer(xb, np.uint32), least, num, den):
                     out.append((a, la + v[0], la + v[1] + WIDTH - 1, b, lb + v[2], lb + v[3] + WIDTH - 1, v[4]))
             names = ("a", "a_first", "a_last", "b", "b_first", "b_last", "similarity")
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if k == 6 else pa.int64()) for k in range(7)], names=list(names))

@@ -162,6 +162,31 @@ def test_passages_behind_a_first_document_are_found(spark):
     assert {tuple(sorted((r.doc_id, r.other_id))) for r in got} == want
 
 
+def test_all_passages_of_two_documents_are_found(spark):
+    r = random.Random(9)
+    text = lambda n: [f"p{r.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(6):
+        head, foot, middle = text(60 + k), text(90), 150 + k
+        for j in range(2):
+            rows.append((2 * k + j, " ".join(head + text(middle) + foot)))
+        n = len(head)
+        want |= {(2 * k, 2 * k + 1, 0, n - 1, 0, n - 1), (2 * k, 2 * k + 1, n + middle, n + middle + 89, n + middle, n + middle + 89)}
+    # brute force: the longest equal runs of 50 words and more
+    texts = {i: t.split(" ") for i, t in rows}
+    runs = set()
+    for k in range(6):
+        x, y = texts[2 * k], texts[2 * k + 1]
+        for i in range(len(x) - 49):
+            for p in range(len(y) - 49):
+                if x[i : i + 50] == y[p : p + 50] and (min(i, p) == 0 or x[i - 1] != y[p - 1]):
+                    n = next((n for n in range(min(len(x) - i, len(y) - p)) if x[i + n] != y[p + n]), min(len(x) - i, len(y) - p))
+                    runs.add((2 * k, 2 * k + 1, i, i + n - 1, p, p + n - 1))
+    assert runs == want
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.other_id, r.doc_id, r.other_first, r.other_last, r.first_word, r.last_word) for r in got} == want
+
+
 def test_window_bounds():
     import numpy as np
 
