@@ -1,5 +1,6 @@
 """Quality rules, Jaccard join, passages, packing and sharding against brute force on small tables."""
 
+import math
 import random
 import re
 import zlib
@@ -187,6 +188,24 @@ def test_all_passages_of_two_documents_are_found(spark):
     assert {(r.other_id, r.doc_id, r.other_first, r.other_last, r.first_word, r.last_word) for r in got} == want
 
 
+def test_recall_of_variants(spark):
+    """200 pairs of passages of 50 words, one word changed: similarity 41 / 51."""
+    assert sum(math.comb(windows.K, k) * 0.8**k * 0.2 ** (windows.K - k) for k in range(windows.NEED, windows.K + 1)) > 0.985
+    r = random.Random(3)
+    text = lambda n: [f"q{r.randrange(10**7)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(200):
+        x = text(50)
+        y = [*x[:25], "changed", *x[26:]]
+        s, t = ({tuple(w[j : j + 5]) for j in range(46)} for w in (x, y))
+        if len(s & t) >= 0.8 * len(s | t):
+            want.add((2 * k, 2 * k + 1))
+        rows += [(2 * k + j, " ".join(text(40) + w + text(40))) for j, w in enumerate((x, y))]
+    got = {(r.other_id, r.doc_id) for r in windows.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    print("recall", len(got & want), "of", len(want))
+    assert len(want) == 200 and got <= want and len(got) >= 190
+
+
 def test_window_bounds():
     import numpy as np
 
