@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheafworks.functions import colors
 from sheafworks.functions.tables import half_up
@@ -165,11 +167,30 @@ def pick_colors(clicks: DataFrame, pixels: DataFrame, dims: DataFrame) -> DataFr
 
 
 def pick_history(picks: DataFrame, k: int = 16) -> DataFrame:
-    """(user_id, history): newest first; a colour in the list is ignored, beyond k the oldest drops out."""
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "hex")))
-    none = F.array().cast("array<string>")
-    step = lambda acc, p: F.when(F.array_contains(acc, p["hex"]), acc).otherwise(F.slice(F.concat(F.array(p["hex"]), acc), 1, k))
-    return picks.groupBy("user_id").agg(ordered.alias("p")).select("user_id", F.aggregate("p", none, step).alias("history"))
+    """(user_id, history): newest first; a colour in the list is ignored, beyond k the oldest drops out.
+
+    A user's picks are rows of one task in order, of which only the history is kept, however many they are.
+    """
+
+    def follow(batches):
+        user, history, some = None, [], False
+        for batch in batches:
+            users, out = [], []
+            for u, color in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if some and u != user:
+                    users.append(user)
+                    out.append(history)
+                    history = []
+                user, some = u, True
+                if color is None or color not in history:
+                    history = [color, *history][:k]
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(users, kind), pa.array(out, pa.list_(pa.string()))], names=["user_id", "history"])
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([user], kind), pa.array([history], pa.list_(pa.string()))], names=["user_id", "history"])
+
+    ordered = picks.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id", "hex").select("user_id", "hex")
+    return ordered.mapInArrow(follow, T.StructType([picks.schema["user_id"], T.StructField("history", T.ArrayType(T.StringType()))]))
 
 
 def chroma_key(pixels: DataFrame, tolerance: float, feather: float) -> DataFrame:

@@ -246,6 +246,14 @@ def test_history_evicts_and_lets_colours_return(spark):
     assert {r.user_id: ",".join(r.history) for r in got.collect()} == history_of(pick_rows(), 16)
 
 
+def test_history_of_a_heavy_user_is_no_array(spark):
+    rows = [(u, t, k, None if u is None and k == 3 else h) for u, t, k, h in pick_rows() for u in ((u, None) if u == 1 else (u,))]
+    got = raster.pick_history(spark.createDataFrame(rows, PICK).repartition(5), 16)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    out = {r.user_id: r.history for r in got.collect()}
+    assert {u: ",".join(out[u]) for u in (1, 2)} == history_of([r for r in rows if r[0]], 16) and len(out) == 3 and len(out[None]) == 16
+
+
 def test_stream_history_equals_batch(spark, tmp_path):
     rows = pick_rows()
     for n in range(3):
