@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafworks.functions.tables import half_up
+from sheafworks.functions.tables import half_up, running_total
 
 #: The box of a page that has none.
 DEFAULT_BOX = {"llx": 0.0, "lly": 0.0, "urx": 612.0, "ury": 792.0}
@@ -87,8 +87,17 @@ def part_names(parts: DataFrame, base: Column) -> DataFrame:
 
 def merge_documents(pages: DataFrame, order: DataFrame) -> DataFrame:
     """Pages of the documents of each bundle, numbered 1..N by the bundle's order. order: (doc_id, bundle_id, input_order)."""
-    nth = F.row_number().over(Window.partitionBy("bundle_id").orderBy("input_order", "doc_id", "page_no"))
-    return pages.join(order, "doc_id").withColumn("new_page_no", nth)
+    place = ["bundle_id", "input_order", "doc_id"]
+    p = pages.join(order, "doc_id")
+    docs = p.groupBy(*place).agg(F.count("*").alias("_n"))
+    inputs = docs.groupBy("bundle_id", "input_order").agg(F.sum("_n").alias("_n"))
+    inputs = running_total(inputs, ["bundle_id"], "input_order", F.col("_n"), "_inputs").select(F.col("bundle_id").alias("_b"), F.col("input_order").alias("_o"), "_inputs")
+    docs = running_total(docs, ["bundle_id", "input_order"], "doc_id", F.col("_n"), "_docs").drop("_n")
+    docs = docs.join(inputs, F.col("bundle_id").eqNullSafe(F.col("_b")) & F.col("input_order").eqNullSafe(F.col("_o")))
+    docs = docs.select(F.col("bundle_id").alias("_b"), F.col("input_order").alias("_o"), F.col("doc_id").alias("_d"), (F.col("_inputs") + F.col("_docs") + 1).alias("_first"))
+    p = running_total(p, place, "page_no", F.lit(1), "_nth")
+    p = p.join(docs, F.col("bundle_id").eqNullSafe(F.col("_b")) & F.col("input_order").eqNullSafe(F.col("_o")) & (F.col("doc_id") == F.col("_d")))
+    return p.withColumn("new_page_no", (F.col("_first") + F.col("_nth")).cast("int")).drop("_b", "_o", "_d", "_first", "_nth")
 
 
 def text_width(text: Column, widths: list[int], first: int = 32, fallback: int = 556) -> Column:

@@ -7,12 +7,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafworks.functions import colors
-from sheafworks.functions.tables import half_up
+from sheafworks.functions.tables import half_up, running_total
 
 #: Characters from dark to light; icon sizes, and those of them in the icon file.
 RAMP = "@%#*+=-:. "
@@ -232,9 +232,9 @@ def border_pixels(pixels: DataFrame, dims: DataFrame, width: int, color: tuple[i
 
 def collage_layout(dims: DataFrame, bundle: str, cols: int, cell: int, gap: int) -> DataFrame:
     """Row and column of each picture of a bundle, cell origin, cover-fit scale and offsets, canvas size."""
-    w = Window.partitionBy(bundle)
-    i, n = F.row_number().over(w.orderBy("image_id")) - 1, F.count("*").over(w)
-    d = dims.withColumn("_i", i).withColumn("_rows", F.ceil(n / F.lit(cols)).cast("int"))
+    counts = dims.groupBy(F.col(bundle).alias("_b")).agg(F.ceil(F.count("*") / F.lit(cols)).cast("int").alias("_rows"))
+    d = running_total(dims, [bundle], "image_id", F.lit(1), "_i").withColumn("_i", F.col("_i").cast("int"))
+    d = d.join(counts, F.col(bundle).eqNullSafe(F.col("_b"))).drop("_b")
     d = d.withColumn("col", F.col("_i") % cols).withColumn("row", F.floor(F.col("_i") / cols).cast("int"))
     d = d.withColumn("cx", gap + F.col("col") * (cell + gap)).withColumn("cy", gap + F.col("row") * (cell + gap))
     d = d.withColumn("scale", F.greatest(F.lit(float(cell)) / F.col("width"), F.lit(float(cell)) / F.col("height")))

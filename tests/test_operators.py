@@ -1,6 +1,7 @@
 """Edge cases and properties on small hand-made tables."""
 
 import datetime
+import re
 import struct
 import zlib
 
@@ -54,6 +55,19 @@ def test_split_then_merge_gives_the_input(paged):
     assert "".join(r.page_text for r in merged) == "x" * 95 and [r.new_page_no for r in merged] == list(range(1, 11))
 
 
+def test_a_giant_bundle_is_no_single_task(spark):
+    order = spark.createDataFrame([(d, d % 2, -(d // 4)) for d in range(1, 20)], "doc_id long, bundle_id int, input_order int")
+    parts = spark.createDataFrame([(d, k + 1) for d in range(1, 20) for k in range(d % 5)], "doc_id long, page_no int")
+    got = pages.merge_documents(parts, order)
+    assert not re.search(r"row_number\(\) windowspecdefinition\(bundle_id", got._jdf.queryExecution().toString())
+    want = {b: sorted((-(d // 4), d, k + 1) for d in range(1, 20) if d % 2 == b for k in range(d % 5)) for b in (0, 1)}
+    assert {(r.bundle_id, r.new_page_no, r.doc_id, r.page_no) for r in got.collect()} == {(b, n + 1, d, k) for b in want for n, (_, d, k) in enumerate(want[b])}
+    dims = spark.createDataFrame([("x", k * 7, 100, 50) for k in range(9)], "brand string, image_id long, width int, height int")
+    laid = raster.collage_layout(dims, "brand", 4, 400, 8)
+    assert not re.search(r"row_number\(\) windowspecdefinition\(brand", laid._jdf.queryExecution().toString())
+    assert {(r.image_id // 7, r.row, r.col, r.canvas_h) for r in laid.collect()} == {(k, k // 4, k % 4, 1232) for k in range(9)}
+
+
 @pytest.fixture(scope="module")
 def boxes(spark):
     odd = [-450, -45, 0, 44, 45, 359, 720]
