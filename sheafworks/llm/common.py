@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import pickle
 import tempfile
 import uuid
 
@@ -12,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z, and the other white space to the blank; UTF-8's longer characters keep their bytes.
@@ -21,19 +20,33 @@ FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97,
 SPACE = r"[\x20\x09-\x0D]"
 #: Text of a block, and text that one partition of an exchange stands for.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
+#: A row's number is its task's, its block's within the task and its own within the block: 63 bits, for 134 million
+#: tasks of a million blocks each. Beyond, numbering fails with an error; it never repeats a number.
+ROW_BITS, BLOCK_BITS, TASK_BITS = 16, 20, 27
+BLOCK_ROWS = 1 << ROW_BITS
+#: Shorter arrays are not compressed.
+SHORT = 64
+DTYPES = ["|u1", "<u2", "<u4", "<u8", "|i1", "<i2", "<i4", "<i8", "<f4", "<f8", "|b1"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the session's spark.checkpoint.dir; only where that is unset (tests), a local one is set."""
+    """A new folder under the session's spark.checkpoint.dir. Only local mode, as in tests, does without that setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/sheaf-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, *by: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage is cut, lost executors cost nothing."""
+    """Writes df as a table in the shared folder and reads it again: lineage is cut, lost executors cost nothing.
+
+    Tables that a returned DataFrame reads must outlive the call; they lie in the sheaf-* folders of the session's
+    spark.checkpoint.dir, which may be emptied when the results are written.
+    """
     path = shared_dir(df.sparkSession)
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -52,28 +65,78 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def named(column_name: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return F.col("`" + column_name.replace("`", "``") + "`")
+
+
+def _size(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out += bytes((n & 127 | 128,))
+        n >>= 7
+    return out + bytes((n,))
+
+
+def _read_size(body: bytes, i: int) -> tuple[int, int]:
+    n = shift = 0
+    while body[i] > 127:
+        n |= (body[i] & 127) << shift
+        shift += 7
+        i += 1
+    return n | body[i] << shift, i + 1
+
+
+_zstd: dict[str, object] = {}
+
+
 def pack(**arrays: np.ndarray) -> bytes:
-    """Integer arrays in their narrowest type, bytes of one significance together, compressed."""
-    out = {}
+    """Integer arrays in their narrowest type, bytes of one significance together, compressed.
+
+    A message of one key and its count takes about 20 bytes, no more than a row of a plain table would.
+    """
+    squeeze = _zstd.get("c") or _zstd.setdefault("c", zstandard.ZstdCompressor(level=3))
+    out = []
     for name, a in arrays.items():
         if a.dtype.kind in "iu" and len(a):
             low, high = int(a.min()), int(a.max())
             a = a.astype(np.min_scalar_type(high) if low >= 0 else np.min_scalar_type(min(low, -high - 1)), copy=False)
         wide = a.dtype.itemsize
         raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, wide).T).tobytes() if len(a) else b""
-        out[name] = (a.dtype.str, len(a), zstandard.compress(raw, 3))
-    return pickle.dumps(out, protocol=5)
+        small = squeeze.compress(raw) if len(raw) > SHORT else raw
+        key = name.encode()
+        out += [bytes((len(key),)), key, bytes((DTYPES.index(a.dtype.str) << 1 | (small is not raw),)), _size(len(a)), _size(len(small)), small]
+    return b"".join(out)
 
 
 def unpack(body: bytes) -> dict[str, np.ndarray]:
-    out = {}
-    for name, (kind, n, raw) in pickle.loads(body).items():
-        wide = np.dtype(kind).itemsize
-        raw = np.frombuffer(zstandard.decompress(raw), np.uint8) if n else np.empty(0, np.uint8)
-        out[name] = np.ascontiguousarray(raw.reshape(wide, n).T).reshape(-1).view(kind)
+    spread = _zstd.get("d") or _zstd.setdefault("d", zstandard.ZstdDecompressor())
+    out, i = {}, 0
+    while i < len(body):
+        k = i + 1 + body[i]
+        name, code = body[i + 1 : k].decode(), body[k]
+        n, i = _read_size(body, k + 1)
+        size, i = _read_size(body, i)
+        raw, kind = body[i : i + size], DTYPES[code >> 1]
+        raw = np.frombuffer(spread.decompress(raw) if code & 1 else raw, np.uint8)
+        out[name] = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, n).T).reshape(-1).view(kind)
+        i += size
     return out
 
 
+def part_of(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """The partitions of hashes of so many bits (33 at least): ranges of the hash, in the order of the keys."""
+    return (((keys.astype(np.uint64) >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def runs_of(a: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of equal values: only partitions that have keys are met, however many there are."""
+    if not len(a):
+        return []
+    edge = np.concatenate([[0], np.nonzero(a[1:] != a[:-1])[0] + 1, [len(a)]])
+    return list(zip(a[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+
+
 def trim(f):
     """f on one group, giving freed memory back to the system afterwards: workers are kept for later tasks."""
 
@@ -119,18 +182,19 @@ def words_of(texts: pa.Array, fold: bytes = FOLD) -> tuple[pa.Array, np.ndarray]
     return flat.filter(full), np.diff(ends[edge])
 
 
-def blocks(batches, limit: int = BLOCK_BYTES, text: str = "text"):
-    """Arrow batches regrouped to tables of some limit bytes of text; a longer text is a block of its own."""
-    kept, size = [], 0
+def blocks(batches, limit: int = BLOCK_BYTES, text: str = "text", rows: int = BLOCK_ROWS):
+    """Arrow batches regrouped to tables of some limit bytes of text and rows at most; a longer text is a block of its own."""
+    kept, size, count = [], 0, 0
     for batch in batches:
         lens = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start = 0
-        for i, n in enumerate(lens):
-            if size and size + n > limit:
+        for i, n in enumerate(lens.tolist()):
+            if count and (size and size + n > limit or count == rows):
                 kept.append(batch.slice(start, i - start))
-                yield pa.Table.from_batches(kept).combine_chunks()
-                kept, size, start = [], 0, i
-            size += int(n)
+                yield pa.Table.from_batches([b for b in kept if b.num_rows]).combine_chunks()
+                kept, size, count, start = [], 0, 0, i
+            size += n
+            count += 1
         kept.append(batch.slice(start))
     kept = [b for b in kept if b.num_rows]
     if kept:
@@ -142,11 +206,22 @@ def column(table: pa.Table, name: str) -> pa.Array:
     return c.combine_chunks() if c.num_chunks != 1 else c.chunk(0)
 
 
-def block_id(k: int) -> int:
+def block_id(k: int, task: int | None = None) -> int:
     """A number for the k-th block of this task; blocks are written to a table before they are used twice."""
-    from pyspark import TaskContext
+    if task is None:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+    if k >> BLOCK_BITS or task >> TASK_BITS:
+        raise OverflowError(f"block {k} of task {task} has no number")
+    return (task << BLOCK_BITS) + k
+
 
-    return (TaskContext.get().partitionId() << 24) + k
+def row_ids(block: int, n: int) -> np.ndarray:
+    """Numbers of the rows of a block."""
+    if n > BLOCK_ROWS:
+        raise OverflowError(f"a block of {n} rows")
+    return (np.int64(block) << ROW_BITS) + np.arange(n, dtype=np.int64)
 
 
 def count_parts(table: DataFrame, column_name: str, each: float = PART_BYTES) -> int:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import block_id, blocks, column, components, count_parts, documents, drop, gaps, pack, stash, trim, unpack, words_of
+from sheafworks.llm.common import block_id, blocks, column, components, count_parts, documents, drop, gaps, named, pack, part_of, row_ids, runs_of, stash, trim, unpack, words_of
 
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 TILE = 256
@@ -91,13 +91,11 @@ class Sets:
         self.short = self.tokens >> np.uint64(64 - bits)
         self.keys, self.count = np.unique(self.short[np.repeat(self.first, self.m)], return_counts=True)
         # ranges of the key, so that a partition's keys are neighbours
-        self.cut = np.searchsorted(self.keys, np.array([(p << bits) // parts for p in range(parts + 1)], np.uint64))
+        self.runs = runs_of(part_of(self.keys, bits, parts))
 
     def ask(self):
-        for p in range(len(self.cut) - 1):
-            i, j = self.cut[p], self.cut[p + 1]
-            if j > i:
-                yield p, pack(h=gaps(self.keys[i:j]), n=self.count[i:j])
+        for p, i, j in self.runs:
+            yield p, pack(h=gaps(self.keys[i:j]), n=self.count[i:j])
 
 
 def asker(width: int, bits: int, parts: int):
@@ -126,9 +124,9 @@ def selector(width: int, num: int, den: int, bits: int, parts: int):
         part, bodies = t.column("part").to_pylist(), t.column("body").to_pylist()
         s = Sets(bodies[part.index(-1)], width, bits, parts)
         df = np.zeros(len(s.keys), np.int64)
-        for p, body in zip(part, bodies, strict=True):
-            if p >= 0:
-                df[s.cut[p] : s.cut[p + 1]] = unpack(body)["df"]
+        answers = dict(zip(part, bodies, strict=True))
+        for p, i, j in s.runs:
+            df[i:j] = unpack(answers[p])["df"]
         of = np.zeros(len(s.tokens), np.int64)
         mine = np.repeat(s.first, s.m)
         of[mine] = df[np.searchsorted(s.keys, s.short[mine])]
@@ -147,7 +145,7 @@ def selector(width: int, num: int, den: int, bits: int, parts: int):
         block = t.column("block")[0].as_py()
         lists = lambda x: pa.array(x, pa.list_(pa.int64()))
         return pa.table({
-            "doc_id": pa.array(s.ids, mask=s.null), "row": pa.array((block << 24) + np.arange(len(s.m))), "n": pa.array(s.m), "sig1": pa.array(s.sig[0]), "sig2": pa.array(s.sig[1]),
+            "doc_id": pa.array(s.ids, mask=s.null), "row": pa.array(row_ids(block, len(s.m))), "n": pa.array(s.m), "sig1": pa.array(s.sig[0]), "sig2": pa.array(s.sig[1]),
             "may": pa.array(may), "toks": lists(toks), **{f"pre{k}": lists(pre[k]) for k in range(ORDERS)},
         })
 
@@ -273,7 +271,7 @@ def crosser(num: int, den: int):
 
 def join(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; two link if den * common >= num * union."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
     table = stash(source.mapInArrow(tokenise, "block long, bytes long, body binary"))
     parts = count_parts(table, "bytes")
     bits = min(62, 36 + parts.bit_length())
@@ -314,8 +312,9 @@ def join(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id"
 
 def keep(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the smallest id of their component, with all columns."""
-    kept = join(docs, width, num, den, doc_id, text).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = join(docs, width, num, den, doc_id, text).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    whole = docs.select(F.struct(*map(named, docs.columns)).alias("doc"), named(doc_id).cast("long").alias("id"))
+    return whole.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """Quality rules: per-text counts and cross-document line frequency, with built-in functions only.
 
-A line is normalised (white space runs to one blank, ends trimmed, A-Z lowered) and hashed; for every host the
-documents that hold it are counted, copies of one text once. Lines in more than max(min_docs, share * documents of
-the host) documents are removed; a document is rejected if a base rule fails or too little of it remains.
+A line is normalised (white space runs to one blank, ends trimmed, lower case) and hashed; for every host the documents
+that hold it are counted. A line in more than `limit` documents of a host is removed from all of them but the one with
+the smallest id, so that a page of which a host has many copies is left once. A document is rejected if a base rule
+fails, or if it is depleted: fewer than `min_words` words are left, or more than `max_removed` of them went.
 
-Defined cases: a null or blank text has no words and fails the base rule; a null host is a host of its own; equal
-rows get equal results; other columns of the input, whatever their names, stay untouched in `keep`; an empty table
-gives an empty result. Very long texts are one row each and are never shuffled by `report`.
+The texts are read once: each row's counts and the hashes of its lines are written to a table, on which all else works.
+
+Defined cases: a null or blank text has no words and fails the base rule; a null host is a host of its own; each row
+counts as a document, equal rows get equal results; of lines whose documents all have null ids none is left, a smallest
+id that is repeated keeps its lines in each of its rows; other columns of the input, whatever their names, stay
+untouched in `keep`; an empty table gives an empty result. Very long texts are one row each and are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import SPACE, documents
+from sheafworks.llm.common import SPACE, documents, named, stash
 
-#: Production parameters.
-PARAMS = {"min_docs": 20, "share": 0.05, "min_words": 10, "max_removed": 0.5}
+#: Production parameters. The limit is a number of documents and no share, so that it means the same on a host of any size.
+PARAMS = {"limit": 20, "min_words": 10, "max_removed": 0.5}
 BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def let(value: Column, body) -> Column:
@@ -75,54 +78,53 @@ def base_counts(text: Column) -> Column:
     )
 
 
-def normal_line(line: Column) -> Column:
-    return F.translate(F.btrim(F.regexp_replace(line, SPACE + "+", " ")), UPPER, LOWER)
+def line_hashes(text: Column) -> Column:
+    """Hash and number of words of each line's normal form; null for lines without a word."""
+    text = F.regexp_replace(F.lower(F.regexp_replace(text, r"[\t\x0B\x0C\r]", " ")), " {2,}", " ")
+    n_words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    one = lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("line"), n_words(x).alias("n")))
+    return F.transform(F.split(text, "\n", -1), lambda raw: let(F.btrim(raw), one))
 
 
-def row_key(doc_id: Column, host: Column, text: Column) -> Column:
-    """Equal for equal rows only; nulls are told from empty values."""
-    return F.xxhash64(doc_id, host, text, doc_id.isNull(), host.isNull(), text.isNull())
+def examined(docs: DataFrame, doc_id: str, text: str, host: str, whole: bool) -> DataFrame:
+    """A written table: row, id, host, base counts b, lines; with whole also the document as a struct."""
+    doc = [F.struct(*map(named, docs.columns)).alias("doc")] if whole else []
+    return stash(docs.select(F.monotonically_increasing_id().alias("row"), named(doc_id).alias("id"), named(host).alias("host"), base_counts(named(text)).alias("b"), line_hashes(named(text)).alias("lines"), *doc))
 
 
-def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """(host, text_key, row, pos, line, n): hash and number of words of each line that has a word."""
-    out = docs.select(
-        F.col(host).alias("host"), F.xxhash64(text).alias("text_key"), row_key(F.col(doc_id), F.col(host), F.col(text)).alias("row"),
-        F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw"),
-    )
-    out = out.withColumn("raw", normal_line(F.col("raw"))).where("raw <> ''")
-    return out.select("host", "text_key", "row", "pos", F.xxhash64("raw").alias("line"), (F.length("raw") - F.length(F.replace(F.col("raw"), F.lit(" "), F.lit(""))) + 1).alias("n"))
+def frequent_lines(rows: DataFrame, limit: int) -> DataFrame:
+    """(host, line, n_docs, first) of the lines in more than limit documents; a document counts once for each line."""
+    once = F.array_distinct(F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["line"]))
+    lines = rows.select("host", "id", F.explode(once).alias("line"))
+    return lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > limit)
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, share: float, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """(host, line, n_docs) of the lines in more than max(min_docs, share * documents of the host) documents."""
-    per_host = docs.where(F.col(text).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.countDistinct(F.xxhash64(text)).alias("host_docs"))
-    seen = line_rows(docs, doc_id, text, host).select("host", "line", "text_key").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    return seen.join(per_host, seen["host"].eqNullSafe(per_host["host"])).where(F.col("n_docs") > share * F.col("host_docs")).select(seen["host"], "line", "n_docs")
+def judged(rows: DataFrame, limit: int, min_words: int, max_removed: float) -> DataFrame:
+    """rows with n_removed_words, removed_lines (places of lines, null if none), base_failed, kept."""
+    often = frequent_lines(rows, limit).select(F.col("host").alias("h"), F.col("line").alias("l"), "first")
+    lines = rows.select("row", "id", "host", F.posexplode("lines").alias("pos", "x")).where("x is not null").select("row", "id", "host", "pos", "x.line", "x.n")
+    gone = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).where(~F.col("id").eqNullSafe(F.col("first")) | F.col("id").isNull())
+    gone = gone.groupBy("row").agg(F.sum("n").alias("n_gone"), F.sort_array(F.collect_list("pos")).alias("removed_lines"))
+    out = rows.join(gone, "row", "left").withColumn("n_removed_words", F.coalesce("n_gone", F.lit(0)).cast("long"))
+    out = out.withColumn("base_failed", (F.col("b.n_words") < 20) | (100 * F.col("b.n_repeat_words") > 30 * F.col("b.n_words")))
+    left = F.col("b.n_words") - F.col("n_removed_words")
+    return out.withColumn("kept", ~F.col("base_failed") & (left >= min_words) & (F.col("n_removed_words") <= max_removed * F.col("b.n_words")))
 
 
-def report(docs: DataFrame, min_docs: int, share: float, min_words: int, max_removed: float, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document: its counts, words lost with frequent lines, verdicts."""
-    often = frequent_lines(docs, min_docs, share, doc_id, text, host)
-    rows = line_rows(docs, doc_id, text, host)
-    lost = (
-        rows.join(often, rows["host"].eqNullSafe(often["host"]) & (rows["line"] == often["line"]))
-        .select("row", "pos", "n").distinct().groupBy("row").agg(F.sum("n").alias("n_removed_words"), F.sort_array(F.collect_list("pos")).alias("removed_lines"))
-    )
-    base = docs.select(F.col(doc_id), row_key(F.col(doc_id), F.col(host), F.col(text)).alias("row"), base_counts(F.col(text)).alias("b"))
-    out = base.join(lost, "row", "left").select(doc_id, "b.*", F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"), "row", "removed_lines")
-    out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    left = F.col("n_words") - F.col("n_removed_words")
-    return out.withColumn("kept", ~F.col("base_failed") & (left >= min_words) & (F.col("n_removed_words") <= max_removed * F.col("n_words")))
+def report(docs: DataFrame, limit: int, min_words: int, max_removed: float, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """One row per document: doc_id, its counts, words lost with frequent lines and their places, verdicts."""
+    out = judged(examined(docs, doc_id, text, host, False), limit, min_words, max_removed)
+    return out.select(F.col("id").alias("doc_id"), "b.*", "n_removed_words", "removed_lines", "base_failed", "kept")
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **params) -> DataFrame:
-    """The documents that the rules keep, with all their columns, without the lines above the limits."""
-    verdict = report(docs, **(PARAMS | params), doc_id=doc_id, text=text, host=host).where("kept").select(F.col("row").alias("_row"), "removed_lines").dropDuplicates(["_row"])
-    joined = docs.withColumn("_row", row_key(F.col(doc_id), F.col(host), F.col(text))).join(verdict, "_row")
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col("removed_lines"), i))
-    cleaned = F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
-    return joined.withColumn(text, cleaned).select(*docs.columns)
+    """The documents that the rules keep, with all their columns, without the lines above the limit."""
+    rows = examined(docs, doc_id, text, host, True)
+    verdict = judged(rows.drop("doc"), **(PARAMS | params)).where("kept").select("row", "removed_lines")
+    whole = F.col("doc").getField(text)
+    lines = F.filter(F.split(whole, "\n", -1), lambda _, i: ~F.array_contains(F.col("removed_lines"), i))
+    cleaned = F.when(F.col("removed_lines").isNull(), whole).otherwise(F.array_join(lines, "\n"))
+    return rows.select("row", "doc").join(verdict, "row").select(*[(cleaned if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +133,10 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 with d as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, string_split(coalesce(text, ''), chr(10)) as l from documents),
-l as (select doc_id, source, text, unnest(l) as raw, unnest(range(len(l))) as pos from d),
-nl as (select doc_id, source, text, raw, translate(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')), '{UPPER}', '{LOWER}') as line from l where regexp_matches(raw, '[^\x20\x09-\x0D]')),
-hosts as (select source, count(distinct text) as n from documents group by source),
-often as (select nl.source, line from (select source, line, count(distinct text) as n from nl group by all) nl join hosts h on nl.source is not distinct from h.source where nl.n > {PARAMS["min_docs"]} and nl.n > {PARAMS["share"]}::double * h.n),
-lost as (select doc_id, sum(len(string_split(nl.line, ' '))) as n from nl join often o on nl.source is not distinct from o.source and nl.line = o.line group by doc_id),
+l as (select doc_id, source, unnest(l) as raw from d),
+nl as (select doc_id, source, raw, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) as line from l where regexp_matches(raw, '[^\x20\x09-\x0D]')),
+often as (select source, line, min(doc_id) as first from nl group by source, line having count(distinct doc_id) > {PARAMS["limit"]}),
+lost as (select doc_id, sum(len(string_split(nl.line, ' '))) as n from nl join often o on nl.source is not distinct from o.source and nl.line = o.line where doc_id <> first group by doc_id),
 dup as (select doc_id, count(*) - count(distinct raw) as n from nl group by doc_id),
 win as (select doc_id, unnest(range(1, len(w) - 6)) as i, w from d where len(w) > 8),
 g as (select doc_id, i, array_to_string(w[i : i + 7], ' ') as t from win),

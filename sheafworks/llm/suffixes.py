@@ -7,9 +7,8 @@ shards by their anchor. Blocks of documents first ask which anchors occur twice
 unique. The pieces of text around the rest go, packed, to the shard of their anchor, equal pieces once. A shard sorts
 the suffixes of those pieces whose anchor has several different pieces: suffixes are classified, the leftmost-smaller
 ones sorted by induction from their substrings and the shard array induced from them in linear passes, a bucket at a
-time; common prefixes come in text order from the permuted array, computed at irreducible positions only. (The reduced
-string's alphabet is too large for bucketwise passes; its ties are sorted by doubling ranks, up to `length` bytes.)
-Windows with a common prefix of `length` or more are equal; all but the first are removed.
+time; the string of their names is sorted by the same procedure until all names differ; common prefixes come in text
+order from the permuted array, computed at irreducible positions only. Windows with a common prefix of `length` or more are equal; all but the first are removed.
 
 Defined cases: null texts are empty; documents shorter than `length` stay as they are; a null id comes after all
 others; rows that repeat an id are told apart by their place in the input; ties cannot occur otherwise; other columns,
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafworks.llm.common import BLOCK_BYTES, block_id, blocks, column, count_parts, documents, flat_text, gaps, pack, stash, trim, unpack
+from sheafworks.llm.common import BLOCK_BYTES, block_id, blocks, column, count_parts, documents, flat_text, gaps, named, pack, part_of, runs_of, stash, trim, unpack
 from sheafworks.llm.jaccard import mix
 
 LENGTH = 100
@@ -170,43 +169,80 @@ def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return larger, lms
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of bytes; suffixes that agree on depth bytes or more may stand in any order."""
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffix array by induced sorting; the reduced string of names is sorted by the same procedure."""
     n, sigma = len(t), int(t.max()) + 1
     larger, lms = classify(t)
-    if len(lms):
-        rough = induce(t, larger, lms[np.argsort(t[lms], kind="stable")], sigma)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        order = rough[is_lms[rough]]
-        place = np.empty(n, np.int64)
-        place[lms] = np.arange(len(lms))
-        k = place[order]  # number of each leftmost-smaller suffix, in order of its substring
-        end = np.append(lms[1:], n - 1)
-        size = end[k] - order + 1
-        same = np.concatenate([[False], size[1:] == size[:-1]])
-        live, off = np.nonzero(same)[0], 0
-        while len(live):
-            equal = t[order[live] + off] == t[order[live - 1] + off]
-            same[live[~equal]] = False
-            off += 1
-            live = live[equal]
-            live = live[size[live] > off]
-        rank = np.empty(len(lms), np.int64)
-        rank[k] = np.cumsum(~same) - 1
-        step = 1
-        while step < depth and rank.max() < len(lms) - 1:  # a substring is two bytes or more
-            nxt = np.full(len(lms), -1)
-            nxt[:-step] = rank[step:] if step < len(lms) else nxt[:-step]
-            key = rank * (len(lms) + 1) + nxt + 1
-            order = np.argsort(key, kind="stable")
-            new = np.empty(len(lms), np.int64)
-            new[order] = np.cumsum(np.concatenate([[False], key[order][1:] != key[order][:-1]]))
-            rank, step = new, step * 2
-        seeds = lms[np.argsort(rank, kind="stable")]
-    else:
-        seeds = lms
-    return induce(t, larger, seeds, sigma)
+    if not len(lms):
+        return induce(t, larger, lms, sigma)
+    rough = induce(t, larger, lms[np.argsort(t[lms], kind="stable")], sigma)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    order = rough[is_lms[rough]]
+    place = np.empty(n, np.int64)
+    place[lms] = np.arange(len(lms))
+    k = place[order]  # number of each leftmost-smaller suffix, in order of its substring
+    end = np.append(lms[1:], n - 1)
+    size = end[k] - order + 1
+    same = np.concatenate([[False], size[1:] == size[:-1]])
+    live, off = np.nonzero(same)[0], 0
+    while len(live):
+        equal = t[order[live] + off] == t[order[live - 1] + off]
+        same[live[~equal]] = False
+        off += 1
+        live = live[equal]
+        live = live[size[live] > off]
+    names = np.empty(len(lms), np.int64)
+    names[k] = np.cumsum(~same) - 1
+    if names.max() == len(lms) - 1:
+        return induce(t, larger, order, sigma)
+    return induce(t, larger, lms[sorted_names(names)], sigma)
+
+
+def sorted_names(t: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of names. They are many and each rare, so that plain passes take the place of bucketwise ones."""
+    n = len(t)
+    larger, lms = classify(t)
+    s, sigma, down, marks = t.tolist(), int(t.max()) + 1, larger.tolist(), lms.tolist()
+    ends = np.cumsum(np.bincount(t, minlength=sigma))
+
+    def induced(seeds: list[int]) -> list[int]:
+        sa, tail = [-1] * n, ends.tolist()
+        for i in reversed(seeds):
+            tail[s[i]] -= 1
+            sa[tail[s[i]]] = i
+        head = [0, *ends[:-1].tolist()]
+        if down[n - 1]:
+            sa[head[s[n - 1]]] = n - 1
+            head[s[n - 1]] += 1
+        for k in range(n):
+            i = sa[k] - 1
+            if i >= 0 and down[i]:
+                sa[head[s[i]]] = i
+                head[s[i]] += 1
+        tail = ends.tolist()
+        for k in range(n - 1, -1, -1):
+            i = sa[k] - 1
+            if i >= 0 and not down[i]:
+                tail[s[i]] -= 1
+                sa[tail[s[i]]] = i
+        return sa
+
+    if not marks:
+        return np.array(induced([]), np.int64)
+    rough = np.array(induced(marks), np.int64)
+    place = np.full(n, -1)
+    place[lms] = np.arange(len(lms))
+    k = place[rough]
+    k = k[k >= 0]
+    spans = [tuple(s[i : j + 1]) for i, j in zip(marks, [*marks[1:], n - 1], strict=True)]
+    names, name, last = np.empty(len(lms), np.int64), -1, None
+    for i in k.tolist():
+        name += spans[i] != last
+        last = spans[i]
+        names[i] = name
+    order = np.argsort(names) if name == len(lms) - 1 else sorted_names(names)
+    return np.array(induced(lms[order].tolist()), np.int64)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -250,7 +286,7 @@ def repeated_windows(pieces: list[bytes], order: np.ndarray, begins: np.ndarray,
     body[start + size] = False
     t[body] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int16) + 1
     used, t = np.unique(t, return_inverse=True)  # at most 257 values, 0 parts the pieces
-    sa = suffix_array(t, length)
+    sa = suffix_array(t)
     lcp = common_prefixes_wide(t, sa, len(used))
     group = np.cumsum(lcp < length)
     which = np.searchsorted(start, sa, side="right") - 1
@@ -292,11 +328,11 @@ def ipc(t: pa.Table) -> bytes:
 
 def collect(batches):
     """Blocks: the texts' bytes, where each lies, ids, and the other columns."""
-    for k, t in enumerate(blocks(batches, BLOCK_BYTES // 2, text="_text")):
-        raw, at = flat_text(column(t, "_text"))
-        ids = column(t, "_id")
+    for k, t in enumerate(blocks(batches, BLOCK_BYTES // 2)):
+        raw, at = flat_text(column(t, "text"))
+        ids = column(t, "id")
         body = pack(raw=np.frombuffer(raw, np.uint8), size=np.diff(at), ids=ids.fill_null(0).to_numpy().astype(np.int64), null=np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8))
-        rest = ipc(t.drop(["_text", "_id"]))
+        rest = ipc(t.select(["rest"]))
         yield pa.RecordBatch.from_arrays([pa.array([block_id(k)], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([body], pa.binary()), pa.array([rest], pa.binary())], names=["block", "bytes", "body", "rest"])
 
 
@@ -311,20 +347,17 @@ class Block:
         self.runs = anchors_of(self.raw, self.start, self.size, length)
         self.short = self.runs["h"] >> np.uint64(64 - bits)
         self.keys, self.count = np.unique(self.short, return_counts=True)
-        self.edges = np.array([(p << bits) // parts for p in range(parts + 1)], np.uint64)
-        self.cut = np.searchsorted(self.keys, self.edges)
+        self.anchor_runs = runs_of(part_of(self.keys, bits, parts))
 
     def ask_anchors(self):
-        for p in range(self.parts):
-            i, j = self.cut[p], self.cut[p + 1]
-            if j > i:
-                yield p, pack(h=gaps(self.keys[i:j]), n=np.minimum(self.count[i:j], 2).astype(np.uint8))
+        for p, i, j in self.anchor_runs:
+            yield p, pack(h=gaps(self.keys[i:j]), n=np.minimum(self.count[i:j], 2).astype(np.uint8))
 
     def pieces(self, answers: dict[int, bytes]) -> None:
         """The runs whose anchor occurs twice, equal pieces of text numbered; the first of each kind, by key."""
         twice = np.zeros(len(self.keys), bool)
-        for p, body in answers.items():
-            twice[self.cut[p] : self.cut[p + 1]] = unpack(body)["twice"]
+        for p, i, j in self.anchor_runs:
+            twice[i:j] = unpack(answers[p])["twice"]
         some = np.nonzero(twice[np.searchsorted(self.keys, self.short)])[0]
         self.s, self.w, key = self.runs["s"][some], self.runs["w"][some], self.short[some]
         doc = np.searchsorted(self.start, self.s, side="right") - 1
@@ -348,23 +381,20 @@ class Block:
         self.kind = number[kind]
         self.first_key, self.first_doc = key[self.first], doc[self.first]
         self.texts = coded.dictionary.take(pa.array(by_key))
-        self.pieces_cut = np.searchsorted(self.first_key, self.edges)
+        self.piece_runs = runs_of(part_of(self.first_key, self.bits, self.parts))
 
     def ask_pieces(self):
-        for p in range(self.parts):
-            i, j = self.pieces_cut[p], self.pieces_cut[p + 1]
-            if j > i:
-                d = self.first_doc[i:j]
-                raw, at = flat_bytes(self.texts.slice(i, j - i))
-                yield p, pack(h=gaps(self.first_key[i:j]), size=np.diff(at), raw=raw, id=self.ids[d], row=d, begin=self.s[self.first[i:j]] - self.start[d])
+        for p, i, j in self.piece_runs:
+            d = self.first_doc[i:j]
+            raw, at = flat_bytes(self.texts.slice(i, j - i))
+            yield p, pack(h=gaps(self.first_key[i:j]), size=np.diff(at), raw=raw, id=self.ids[d], row=d, begin=self.s[self.first[i:j]] - self.start[d])
 
     def removed(self, answers: dict[int, bytes]) -> np.ndarray:
         """Which bytes go."""
         state, lost = np.zeros(len(self.first), np.int64), {}
-        for p, body in answers.items():
-            x = unpack(body)
-            i = self.pieces_cut[p]
-            state[i : i + len(x["state"])] = x["state"]
+        for p, i, j in self.piece_runs:
+            x = unpack(answers[p])
+            state[i:j] = x["state"]
             part = np.nonzero(x["state"] == 2)[0] + i
             for k, flags in zip(part.tolist(), np.split(x["flags"], np.cumsum(self.w[self.first[part]])[:-1]) if len(part) else (), strict=True):
                 lost[k] = np.nonzero(flags)[0]
@@ -493,8 +523,8 @@ def remover(length: int, bits: int, parts: int, texts: bool):
         kept = [whole[s:e] if not n else b.raw[s:e][~gone[s:e]].tobytes() for s, e, n in zip(b.start.tolist(), stop.tolist(), lost.tolist(), strict=True)]
         if texts:
             rest = pa.ipc.open_stream(t.column("rest").drop_null()[0].as_py()).read_all()
-            out = rest.append_column("_text", pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
-            return out.append_column("_removed", pa.array(lost, pa.int64()))
+            out = rest.append_column("text", pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
+            return out.append_column("removed", pa.array(lost, pa.int64()))
         ids = pa.array(np.where(b.null, 0, b.ids), mask=b.null)
         return pa.table({"doc_id": ids, "n_bytes": b.size, "n_removed": lost, "n_spans": spans, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]})
 
@@ -502,8 +532,9 @@ def remover(length: int, bits: int, parts: int, texts: bool):
 
 
 def process(docs: DataFrame, length: int, texts: bool, doc_id: str, text: str) -> DataFrame:
-    rest = [F.col(c) for c in docs.columns] if texts else [F.lit(0).alias("_none")]
-    source = docs.select(F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_id"), *[c for c, n in zip(rest, docs.columns if texts else ["_none"], strict=False) if n != text])
+    """The rows of spans; or with texts (rest, text, removed), rest a struct of the document's other columns."""
+    rest = F.struct(*([named(c) for c in docs.columns if texts and c != text] or [F.lit(0).alias("none")]))
+    source = docs.select(named(text).alias("text"), named(doc_id).cast("long").alias("id"), rest.alias("rest"))
     table = stash(source.mapInArrow(collect, "block long, bytes long, body binary, rest binary"))
     parts = count_parts(table, "bytes")
     bits = min(62, 33 + parts.bit_length())
@@ -516,9 +547,8 @@ def process(docs: DataFrame, length: int, texts: bool, doc_id: str, text: str) -
     rows = bodies.unionByName(level(told, 1)).unionByName(level(judged, 2))
     if not texts:
         return rows.groupBy("block").applyInArrow(remover(length, bits, parts, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    others = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*others, T.StructField("_text", T.StringType()), T.StructField("_removed", T.LongType())])
-    return rows.groupBy("block").applyInArrow(remover(length, bits, parts, True), schema).withColumnRenamed("_text", text).select(*docs.columns, "_removed")
+    schema = T.StructType([T.StructField("rest", source.schema["rest"].dataType), T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())])
+    return rows.groupBy("block").applyInArrow(remover(length, bits, parts, True), schema)
 
 
 def spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -527,9 +557,11 @@ def spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: s
 
 
 def strip(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with what is left of their texts (halves of cut characters go too); those that lost all go."""
-    out = process(docs, length, True, doc_id, text)
-    return out.where((F.col("_removed") == 0) | (F.col(text) != "")).drop("_removed")
+    """The documents with what is left of their texts (halves of cut characters go too); those that lost all go.
+
+    A null text comes back empty."""
+    out = process(docs, length, True, doc_id, text).where((F.col("removed") == 0) | (F.col("text") != ""))
+    return out.select(*[(F.col("text") if c == text else F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import count_parts, documents, gaps, give_back, pack, stash, trim, unpack
+from sheafworks.llm.common import BLOCK_ROWS, ROW_BITS, row_ids, count_parts, documents, gaps, give_back, pack, stash, trim, unpack
 from sheafworks.llm.jaccard import MULT, mix, tokenise, total
 
 #: Words of a shingle, hash functions, how many must agree, shingles of the shortest passage (50 words), similarity.
@@ -109,7 +109,7 @@ class Passages:
         new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (*self.sig, self.m)], axis=0)]) if len(order) else np.zeros(0, bool)
         self.same = np.empty(len(self.m), np.int64)
         self.same[order] = order[new][np.cumsum(new) - 1]
-        self.rows = (block << 24) + np.arange(len(self.m))
+        self.rows = row_ids(block, len(self.m))
         kept = order[new]  # by signature
         self.asked = kept[self.m[kept] >= least]
         only = np.zeros(len(self.m), np.int64)
@@ -282,7 +282,7 @@ def slicer():
         small = (h >> np.uint64(32)).astype(np.uint32)
         asked = t.filter(pa.compute.is_valid(t.column("row")))
         row, lo, hi = (asked.column(n).to_pylist() for n in ("row", "lo", "hi"))
-        got = [small[start[r & 0xFFFFFF] + i : start[r & 0xFFFFFF] + j + 1].tobytes() for r, i, j in zip(row, lo, hi, strict=True)]
+        got = [small[start[r & (BLOCK_ROWS - 1)] + i : start[r & (BLOCK_ROWS - 1)] + j + 1].tobytes() for r, i, j in zip(row, lo, hi, strict=True)]
         return pa.table({"row": asked.column("row"), "lo": asked.column("lo"), "hi": asked.column("hi"), "body": pa.array(got, pa.binary())})
 
     return trim(cut)
@@ -402,7 +402,7 @@ def verified(table: DataFrame, pairs: DataFrame, groups: int, need: int, least:
     """Matches (a, a_first, a_last, b, b_first, b_last, similarity) of pairs of windows, by rows of blocks."""
     found = stash(pairs.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInArrow(joiner(need, least, KINDS), "a long, b long, la long, ra long, lb long, rb long"))
     want = found.select(F.col("a").alias("row"), F.col("la").alias("lo"), F.col("ra").alias("hi")).unionByName(found.select(F.col("b").alias("row"), F.col("lb").alias("lo"), F.col("rb").alias("hi"))).distinct()
-    want = want.select(F.shiftright("row", 24).alias("block"), "row", "lo", "hi", F.lit(None).cast("binary").alias("body"))
+    want = want.select(F.shiftright("row", ROW_BITS).alias("block"), "row", "lo", "hi", F.lit(None).cast("binary").alias("body"))
     bodies = table.join(want.select("block").distinct(), "block", "left_semi").select("block", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), "body")
     cut = stash(bodies.unionByName(want).groupBy("block").applyInArrow(slicer(), "row long, lo long, hi long, body binary"))
     xa = cut.select(F.col("row").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ra"), F.col("body").alias("xa"))
@@ -439,7 +439,7 @@ def left_over(windows: DataFrame, matches: DataFrame, need: int) -> DataFrame:
     first = F.struct("row", "place") == F.col("o")
     seen = all_of.join(held, ["v", "row", "place"], "left").select("v", "row", "place", (~(F.coalesce("closed", F.lit(False)) | first)).alias("open"))
     live = seen.groupBy("v").agg(F.count_if("open").alias("n")).where("n > 0").select("v")
-    seen = seen.join(live, "v", "left_semi").withColumn("g", F.shiftright("row", 24))
+    seen = seen.join(live, "v", "left_semi").withColumn("g", F.shiftright("row", ROW_BITS))
     return stash(seen.groupBy("g").applyInArrow(together(need), "v long, row long, place long, open boolean"))
 
 

@@ -53,6 +53,48 @@ def test_blocks_keep_all_rows_in_order(limit):
         assert sum(sizes) <= limit or sum(1 for s in sizes if s) == 1
 
 
+def test_blocks_of_nothing_are_bounded():
+    batch = pa.RecordBatch.from_pydict({"text": [None, ""] * 50})
+    assert [t.num_rows for t in common.blocks(iter([batch, batch]), rows=64)] == [64, 64, 64, 8]
+
+
+def test_row_numbers_do_not_repeat_and_end_with_an_error():
+    seen = [common.block_id(k, task) for task in (0, 1, 40_000, (1 << 27) - 1) for k in (0, 1, (1 << 20) - 1)]
+    rows = np.concatenate([common.row_ids(b, common.BLOCK_ROWS) for b in seen])
+    assert len(np.unique(rows)) == len(rows) and rows.min() == 0 and int(rows.max()) == (1 << 63) - 1
+    assert ((rows >> common.ROW_BITS) == np.repeat(seen, common.BLOCK_ROWS)).all()
+    for k, task in ((1 << 20, 0), (0, 1 << 27)):
+        with pytest.raises(OverflowError):
+            common.block_id(k, task)
+    with pytest.raises(OverflowError):
+        common.row_ids(0, common.BLOCK_ROWS + 1)
+
+
+@pytest.mark.parametrize("bits, parts", [(33, 1), (40, 7), (62, 100_000)])
+def test_partitions_follow_the_keys(bits, parts):
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << bits, 5000, np.int64)).view(np.uint64)
+    part = common.part_of(keys, bits, parts)
+    assert (np.diff(part) >= 0).all() and part.min() >= 0 and part.max() < parts and (parts > 1000 or len(np.unique(part)) == parts)
+    assert [v for p, i, j in common.runs_of(part) for v in [p] * (j - i)] == part.tolist()
+
+
+def test_small_messages_are_small():
+    assert len(common.pack(h=np.array([1 << 62]), n=np.array([1]))) <= 20
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+
+
 def test_words():
     words, n = common.words_of(pa.array(["A b\tC", None, "", "  é\x0bZ ", "\x85x"]))
     assert words.to_pylist() == ["a", "b", "c", "é", "z", "\x85x"] and n.tolist() == [3, 0, 0, 2, 1]

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from sheafworks.llm import suffixes
+from sheafworks.llm import common, suffixes
 
 
 def brute(rows, length):
@@ -29,7 +29,8 @@ def test_suffix_array_is_sorted():
     for _ in range(300):
         s = bytes(r.choice(b"ab\x01c"[: r.randint(1, 4)]) for _ in range(r.randint(1, 80)))
         t = np.frombuffer(s, np.uint8).astype(np.int64)
-        sa = suffixes.suffix_array(t, 1 << 20)
+        sa = suffixes.suffix_array(t)
+        assert suffixes.sorted_names(t).tolist() == sa.tolist()
         assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
         lcp = suffixes.common_prefixes(t, sa)
         for k in range(1, len(s)):
@@ -52,20 +53,28 @@ def corpus():
     return rows
 
 
-def test_spans_match_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_spans_match_brute_force(spark, monkeypatch, small):
     rows = corpus()
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    if small:  # many blocks and partitions of the exchange
+        monkeypatch.setattr(suffixes, "count_parts", lambda table, name: common.count_parts(table, name, 2000))
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 13), "doc_id long, text string")
+    else:
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = sorted(map(tuple, suffixes.spans(df).collect()), key=repr)
     assert got == sorted(brute(rows, 100), key=repr)
 
 
 def test_strip_keeps_other_columns(spark):
     rows = corpus()
-    df = spark.createDataFrame([(i, t, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, block string, body int").coalesce(1)
-    got = {r["body"]: r for r in suffixes.strip(df).collect()}
+    clash = "doc_id long, text string, block string, body int, _text string, _id int, _removed int, rest int, none string, `a.b` int"
+    df = spark.createDataFrame([(i, t, "s", k, "x", 1, 2, 3, None, 4) for k, (i, t) in enumerate(rows)], clash).coalesce(1)
+    out = suffixes.strip(df)
+    assert out.columns == df.columns
+    got = {r["body"]: r for r in out.collect()}
     want = brute(rows, 100)
     assert set(got) == {k for k, (i, n, lost, _, _) in enumerate(want_in_order(rows, want)) if not n or lost < n}
-    assert all(r["block"] == "s" for r in got.values())
+    assert all((r["block"], r["_text"], r["_id"], r["_removed"], r["rest"], r["none"], r["a.b"]) == ("s", "x", 1, 2, 3, None, 4) for r in got.values())
 
 
 def want_in_order(rows, want):
