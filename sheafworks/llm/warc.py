@@ -1,15 +1,19 @@
 """WARC as a PySpark data source, read and written.
 
-Reading: files are planned into partitions by size. Equality, membership and prefix predicates on the record's type
-and headers are pushed down; a record's headers are parsed first, and the payload of a record that no predicate keeps,
-or that the read schema doesn't ask for, is skipped without decoding: by seeking in plain files and in compressed
-files whose members carry their length, otherwise by inflating without keeping.
+Reading: files are planned into partitions by size; large ones are cut at member starts, which the archives written here
+list; in others the first start of a range is searched: a member (or plain record) that is whole and is followed by
+another one or the end. Equality, membership and prefix predicates on the record's type and headers are pushed down; a
+record's headers are parsed first, and the payload of a record that no predicate keeps, or that the read schema doesn't
+ask for, is skipped without decoding: by seeking in plain files and in compressed files whose members carry their
+length, otherwise by inflating without keeping. Members that are decoded whole are held against their checksum.
 
-Writing: one compressed member for each record, with its length in the member's extra field; each task writes files
-of its own, and the commit lists those that count, so files of lost or repeated tasks are never read.
+Writing: one compressed member for each record, with its length in the member's extra field; each task writes files of
+its own, and each commit adds a manifest of those that count, so files of lost or repeated tasks are never read. Appending
+adds a manifest, overwriting replaces the old ones and deletes their files.
 
 Defined cases: a null payload is an empty one; null headers are left out; empty tables give no file and no rows;
-records of any length up to what one row may hold; columns other than the record's are ignored.
+records of any length up to what one row may hold; equal rows are records of their own; columns other than the record's
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,19 +24,22 @@ import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from sheafworks.llm.common import documents, shared_dir
+from sheafworks.llm.common import documents, drop, shared_dir, stash
 
 #: Column of the table, header of the record.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length"}
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_length long, content_type string, payload binary"
-MANIFEST, LEVEL, ROLL = "_manifest.json", 4, 256 << 20
-HEAD = 64 << 10
+MANIFEST, LEVEL, ROLL = "_manifest-", 4, 256 << 20
+#: Bytes read at once where a record's head is looked for, and bytes between listed starts of an archive.
+HEAD, STEP = 256 << 10, 8 << 20
+MAGIC, PLAIN = b"\x1f\x8b\x08", b"WARC/1."
 
 
 def opened(path: str):
@@ -41,9 +48,11 @@ def opened(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-class Files(InputPartition):
-    def __init__(self, files: list[str]):
-        self.files = files
+class Ranges(InputPartition):
+    """(path, first byte, end, whether the first byte is known to begin a record); records belong to where they begin."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, bool]]):
+        self.ranges = ranges
 
 
 class WarcSource(DataSource):
@@ -60,7 +69,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema, int(self.options.get("partition_bytes", 64 << 20)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 class WarcReader(DataSourceReader):
@@ -78,23 +87,25 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        from pyarrow import fs
-
         store, top = opened(self.path)
-        found = store.get_file_info(fs.FileSelector(top))
-        listed = next((x for x in found if x.base_name == MANIFEST), None)
-        if listed:
-            with store.open_input_stream(listed.path) as f:
-                valid = set(json.loads(f.read()))
-            found = [x for x in found if x.base_name in valid]
-        files = sorted((x for x in found if re.search(r"\.warc(\.gz)?$", x.base_name)), key=lambda x: -x.size)
+        found, listed = listing(store, top)
+        ranges: list[tuple[str, int, int, bool]] = []
+        for x in found:
+            if re.search(r"\.warc(\.gz)?$", x.base_name) and (listed is None or x.base_name in listed):
+                starts = [0, *(listed or {}).get(x.base_name, ())] if listed is not None else list(range(0, x.size, self.partition_bytes))
+                cuts = [0]
+                for at, following in zip(starts, [*starts[1:], x.size], strict=True):
+                    if following - cuts[-1] > self.partition_bytes and at > cuts[-1]:
+                        cuts.append(at)
+                ranges += [(x.path, i, j, i == 0 or listed is not None) for i, j in zip(cuts, [*cuts[1:], x.size], strict=True)]
         groups: list[list] = []
-        for x in files:  # largest first, into the emptiest partition that has room
-            room = [g for g in groups[-64:] if g[0] + x.size <= self.partition_bytes]
+        for r in sorted(ranges, key=lambda r: r[1] - r[2]):  # largest first, into the emptiest partition that has room
+            size = r[2] - r[1]
+            room = [g for g in groups[-64:] if g[0] + size <= self.partition_bytes]
             g = min(room, key=lambda g: g[0]) if room else groups.append([0, []]) or groups[-1]
-            g[0] += x.size
-            g[1].append(x.path)
-        return [Files(g[1]) for g in groups] or [Files([])]
+            g[0] += size
+            g[1].append(r)
+        return [Ranges(g[1]) for g in groups] or [Ranges([])]
 
     def wanted(self, headers: dict[str, str]) -> bool:
         for name, kind, values in self.tests:
@@ -106,9 +117,9 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         store, _ = opened(self.path)
         payload = "payload" in self.names
-        for path in partition.files:
+        for path, begin, end, known in partition.ranges:
             with store.open_input_file(path) as f:
-                for headers, body in records(f, path.endswith(".gz"), self.wanted, payload):
+                for headers, body in records(Window(f), path.endswith(".gz"), self.wanted, payload, begin, end, known):
                     yield tuple(self.value(name, headers, body) for name in self.names)
 
     def value(self, name: str, headers: dict[str, str], body: bytes | None):
@@ -136,84 +147,162 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
 
 
-def records(f, compressed: bool, wanted, payload: bool):
-    """(headers, payload or None) of the records that are wanted."""
-    size, at = f.size(), 0
-    while at < size:
-        f.seek(at)
-        start = f.read(min(HEAD, size - at))
-        if not compressed:
-            while (head := parse_head(start)) is None:
-                more = f.read(HEAD)
-                if not more:
-                    return
-                start += more
-            headers, begin = head
-            n = int(headers["content-length"])
-            if wanted(headers):
-                block = None
-                if payload:
-                    f.seek(at + begin)
-                    block = payload_of(headers, f.read(n))
-                yield headers, block
-            at += begin + n + 4
+def listing(store, top: str):
+    """The folder's files, and the starts that its manifests list for each file that counts; None without manifests."""
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
+    manifests = [x for x in found if x.base_name.startswith(MANIFEST)]
+    listed: dict[str, list[int]] = {}
+    for x in manifests:
+        with store.open_input_stream(x.path) as f:
+            listed |= json.loads(f.read())
+    return found, listed if manifests else None
+
+
+class Window:
+    """Bytes of a file by place; neighbouring short reads share one long one."""
+
+    def __init__(self, f):
+        self.f, self.size, self.at, self.held = f, f.size(), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
+        if at < self.at or at + n > self.at + len(self.held):
+            self.f.seek(at)
+            self.at, self.held = at, self.f.read(max(n, HEAD))
+        return self.held[at - self.at : at - self.at + n]
+
+
+class Member:
+    """A gzip member: its length if it carries it, and its text as far as it was asked for."""
+
+    def __init__(self, w: Window, at: int):
+        self.w, self.at, head = w, at, w.get(at, 20)
+        self.length = struct.unpack_from("<I", head, 16)[0] if len(head) == 20 and head[3] & 4 and head[12:14] == b"sl" else None
+        self.inflate, self.read, self.text, self.end = zlib.decompressobj(31), at, bytearray(), None
+
+    def more(self, keep: bool = True) -> bool:
+        """Inflates some more; false at the member's end, whose checksum zlib verifies."""
+        if self.end is not None:
+            return False
+        raw = self.w.get(self.read, min(HEAD, (self.length or HEAD) - (self.read - self.at if self.length else 0)))
+        if not raw:
+            raise ValueError(f"the member at byte {self.at} has no end")
+        got = self.inflate.decompress(raw)
+        self.read += len(raw)
+        if keep:
+            self.text += got
+        if self.inflate.eof:
+            self.end = self.read - len(self.inflate.unused_data)
+        return True
+
+    def head(self) -> tuple[dict[str, str], int]:
+        if self.length:  # a small piece will do
+            text = zlib.decompressobj(31).decompress(self.w.get(self.at, min(self.length, 4096)), 16 << 10)
+            if (found := parse_head(text)) is not None:
+                return found
+        while (found := parse_head(self.text)) is None:
+            if not self.more():
+                raise ValueError(f"the member at byte {self.at} holds no record")
+        return found
+
+    def whole(self) -> bytes:
+        while self.more():
+            pass
+        return bytes(self.text)
+
+    def skip(self) -> int:
+        """Where the next member begins."""
+        if self.length and self.end is None:
+            return self.at + self.length
+        while self.more(False):
+            pass
+        return self.end
+
+
+def plain_head(w: Window, at: int) -> tuple[dict[str, str], int]:
+    n = 4096
+    while (found := parse_head(w.get(at, n))) is None:
+        if at + n >= w.size:
+            raise ValueError(f"the record at byte {at} has no end")
+        n *= 4
+    return found
+
+
+def after(w: Window, at: int, compressed: bool) -> int | None:
+    """Where the record that begins at this byte ends, or None if none does."""
+    try:
+        if compressed:
+            m = Member(w, at)
+            end = (m.whole(), m.end)[1] if m.text.startswith(PLAIN) or (m.more() and m.text.startswith(PLAIN)) else None
+            return end if end is not None and parse_head(m.text) else None
+        headers, begin = plain_head(w, at)
+        end = at + begin + int(headers["content-length"]) + 4
+        return end if "warc-type" in headers and end <= w.size and w.get(end - 4, 4) == b"\r\n\r\n" else None
+    except (ValueError, KeyError, zlib.error):
+        return None
+
+
+def first_start(w: Window, begin: int, end: int, compressed: bool) -> int:
+    """The first place from begin on where a whole record begins that another one or the end follows; end if none does."""
+    mark, at = MAGIC if compressed else PLAIN, begin
+    while at < end:
+        found = w.get(at, HEAD).find(mark)
+        if found < 0:
+            at += HEAD - len(mark) + 1
             continue
-        flags, skip, length = start[3], 10, None
-        if flags & 4:
-            extra = struct.unpack_from("<H", start, 10)[0]
-            if start[12:14] == b"sl":
-                length = struct.unpack_from("<I", start, 16)[0]
-            skip += 2 + extra
-        if length:
-            inflate = zlib.decompressobj(-15)
-            raw = start[skip:length]
-            head = parse_head(text := inflate.decompress(raw, HEAD))
-            if head is None or (payload and wanted(head[0])):
-                f.seek(at + skip)
-                text = zlib.decompressobj(-15).decompress(f.read(length - skip - 8))
-                head = parse_head(text)
-            headers, begin = head
+        at += found
+        if at < end and (compressed or w.get(at - 4, 4) == b"\r\n\r\n"):
+            following = after(w, at, compressed)
+            if following is not None and (following == w.size or w.get(following, len(mark)) == mark):
+                return at
+        at += 1
+    return end
+
+
+def records(w: Window, compressed: bool, wanted, payload: bool, begin: int, end: int, known: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, payload or None) of the records that are wanted and begin in begin..end."""
+    at = begin if known else first_start(w, begin, end, compressed)
+    while at < end:
+        if compressed:
+            m = Member(w, at)
+            headers, start = m.head()
             if wanted(headers):
-                yield headers, payload_of(headers, text[begin : begin + int(headers["content-length"])]) if payload else None
-            at += length
-            continue
-        inflate, text, raw, head, keep = zlib.decompressobj(31), b"", start, None, True
-        while raw:
-            got = inflate.decompress(raw)
-            text = text + got if keep else b""
-            if head is None and (head := parse_head(text)):
-                keep = payload and wanted(head[0])
-            if inflate.eof:
-                at = f.tell() - len(inflate.unused_data)
-                break
-            raw = f.read(HEAD)
+                yield headers, payload_of(headers, m.whole()[start : start + int(headers["content-length"])]) if payload else None
+            at = m.skip()
         else:
-            at = size
-        if head and wanted(head[0]):
-            yield head[0], payload_of(head[0], text[head[1] : head[1] + int(head[0]["content-length"])]) if payload else None
+            headers, start = plain_head(w, at)
+            n = int(headers["content-length"])
+            if wanted(headers):
+                yield headers, payload_of(headers, w.get(at + start, n)) if payload else None
+            at += start + n + 4
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, files: list[str]):
+    def __init__(self, files: dict[str, list[int]]):
         self.files = files
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator):
         store, top = opened(self.path)
         store.create_dir(top, recursive=True)
-        files, out, size = [], None, 0
+        files, out, size = {}, None, 0
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if out is None or size > ROLL:
                         if out is not None:
                             out.close()
-                        files.append(f"{uuid.uuid4().hex}.warc.gz")
-                        out, size = store.open_output_stream(f"{top}/{files[-1]}", compression=None), 0
+                        name, size, starts = f"{uuid.uuid4().hex}.warc.gz", 0, []
+                        files[name] = starts
+                        out = store.open_output_stream(f"{top}/{name}", compression=None)
+                    if size - (starts[-1] if starts else 0) > STEP:
+                        starts.append(size)
                     data = member(row)
                     size += len(data)
                     out.write(data)
@@ -225,11 +314,20 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         store, top = opened(self.path)
         store.create_dir(top, recursive=True)
-        with store.open_output_stream(f"{top}/{MANIFEST}") as f:
-            f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        found, listed = listing(store, top) if self.overwrite else ([], None)
+        with store.open_output_stream(f"{top}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
+            f.write(json.dumps({k: v for m in messages if m for k, v in m.files.items()}).encode())
+        new = {k for m in messages if m for k in m.files}
+        # manifests first: a reader never meets one whose files are gone
+        for x in sorted(found, key=lambda x: not x.base_name.startswith(MANIFEST)):
+            if x.base_name not in new and (x.base_name.startswith(MANIFEST) or re.search(r"\.warc(\.gz)?$", x.base_name)):
+                store.delete_file(x.path)
 
     def abort(self, messages):
-        """Nothing is listed, so nothing is read."""
+        """Nothing is listed, so nothing is read; the files of the tasks that ended go."""
+        store, top = opened(self.path)
+        for name in (k for m in messages if m for k in m.files):
+            store.delete_file(f"{top}/{name}")
 
 
 def member(row: dict) -> bytes:
@@ -301,7 +399,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     path = shared_dir(spark)
     to_records(mark_revisits(pages)).write.format("warc").mode("append").save(path)
-    return read_back(spark, path)
+    archive = spark.read.format("warc").load(path)
+    out = stash(read_back(spark, path))  # a few numbers for each page, so that the archive may go
+    archive.stashed_at = path
+    drop(archive)
+    return out
 
 
 QUERIES = {"op3_warc": op3_warc}

@@ -7,7 +7,9 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sheafworks.llm import embeddings, pieces, warc
 
@@ -113,19 +115,94 @@ def test_predicates_and_skipped_payloads(spark, tmp_path):
     assert heads.count() == len(pages())
     # the same records as a plain file, and as members that don't carry their length
     raw = b"".join(gzip.open(f).read() for f in (tmp_path / "a").iterdir() if f.name.endswith(".gz"))
-    for name in ("plain", "foreign"):
-        (tmp_path / name).mkdir()
-    (tmp_path / "plain" / "x.warc").write_bytes(raw)
+    foreign(raw, "x.warc", tmp_path / "plain")
+    foreign(raw, "x.warc.gz", tmp_path / "foreign")
+    key = lambda p: plain_rows(spark.read.format("warc").load(str(p)))
+    assert key(path) == key(tmp_path / "plain") == key(tmp_path / "foreign")
+    assert spark.read.format("warc").load(str(tmp_path / "foreign")).where("record_id = '<urn:x-page:102>'").count() == 1
+
+
+def plain_rows(df):
+    return sorted((tuple(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in r) for r in df.collect()), key=repr)
+
+
+def test_appends_add_and_overwriting_replaces(spark, tmp_path):
+    warc.register(spark)
+    path = str(tmp_path / "a")
+    part = lambda k: warc.to_records(warc.mark_revisits(spark.createDataFrame([(10 * k + j, f"u{j}", b"x" * (j + 1)) for j in range(3)], PAGE)))
+    ids = lambda: sorted(r.record_id for r in spark.read.format("warc").load(path).select("record_id").collect())
+    want = lambda *ks: sorted(f"<urn:x-page:{10 * k + j}>" for k in ks for j in range(3))
+    part(0).write.format("warc").mode("append").save(path)
+    part(1).write.format("warc").mode("append").save(path)
+    assert ids() == want(0, 1)
+    part(2).write.format("warc").mode("overwrite").save(path)
+    assert ids() == want(2)
+    listed = warc.listing(*warc.opened(path))[1]
+    assert {f.name for f in (tmp_path / "a").iterdir() if f.name.endswith(".gz")} == set(listed)  # the old files are gone
+    part(3).write.format("warc").mode("append").save(path)
+    assert ids() == want(2, 3)
+
+
+def foreign(raw, name, folder):
+    """The records of raw (a plain archive) as a plain file, or as members that don't carry their length."""
     cut, members = 0, []
     while cut < len(raw):
         headers, begin = warc.parse_head(raw[cut:])
         end = cut + begin + int(headers["content-length"]) + 4
-        members.append(gzip.compress(raw[cut:end]))
+        members.append(raw[cut:end])
         cut = end
-    (tmp_path / "foreign" / "x.warc.gz").write_bytes(b"".join(members))
-    key = lambda p: sorted((tuple(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in r) for r in spark.read.format("warc").load(str(p)).collect()), key=repr)
-    assert key(path) == key(tmp_path / "plain") == key(tmp_path / "foreign")
-    assert spark.read.format("warc").load(str(tmp_path / "foreign")).where("record_id = '<urn:x-page:102>'").count() == 1
+    folder.mkdir()
+    (folder / name).write_bytes(b"".join(map(gzip.compress, members) if name.endswith("gz") else members))
+
+
+def test_large_files_are_split_at_record_starts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "STEP", 2000)  # of the writer on the driver below
+    path = tmp_path / "a"
+    writer = warc.WarcWriter(str(path), False)
+    records = warc.to_records(warc.mark_revisits(spark.createDataFrame(pages(), PAGE))).coalesce(1).toArrow()
+    inner = {"record_type": "response", "record_id": "in", "payload": b"".join(warc.member({"record_id": f"no{k}", "payload": b"n"}) for k in range(40))}
+    writer.commit([writer.write(iter([*records.to_batches(), pa.RecordBatch.from_pylist([inner], records.schema)]))])
+    raw = b"".join(gzip.open(f).read() for f in path.iterdir() if f.name.endswith(".gz"))
+    foreign(raw, "x.warc", tmp_path / "plain")
+    foreign(raw, "x.warc.gz", tmp_path / "foreign")
+    names = [n.split(" ")[0] for n in warc.SCHEMA.split(", ")]
+    key = lambda rows: sorted(rows, key=repr)
+    for folder in (path, tmp_path / "plain", tmp_path / "foreign"):
+        for size in (1 << 30, 3000, 500):
+            reader = warc.WarcReader(str(folder), type("S", (), {"fields": [type("F", (), {"name": n}) for n in names]}), size)
+            parts = reader.partitions()
+            assert (len(parts) == 1) == (size == 1 << 30)
+            got = key(r for p in parts for r in reader.read(p))
+            want = got if size == 1 << 30 and folder == path else want  # noqa: F821
+            assert got == want and len(got) == len(pages()) + 1
+
+
+def test_predicates_reach_the_source_and_spare_payloads(spark, tmp_path):
+    """One record's payload is damaged: reads fail where they decode it, and only there."""
+    warc.register(spark)
+    path = tmp_path / "a"
+    r = random.Random(1)
+    rows = [(k, f"http://h{k % 2}/{k}", r.randbytes(9000)) for k in range(6)]
+    warc.to_records(warc.mark_revisits(spark.createDataFrame(rows, PAGE).coalesce(1))).write.format("warc").mode("append").save(str(path))
+    (file,) = [f for f in path.iterdir() if f.name.endswith(".gz")]
+    raw = bytearray(file.read_bytes())
+    at = 0
+    while b"<urn:x-page:3>" not in gzip.decompress(raw[at : at + struct.unpack_from("<I", raw, at + 16)[0]]):
+        at += struct.unpack_from("<I", raw, at + 16)[0]
+    raw[at + 6000] ^= 255  # in the middle of the payload of record 3
+    file.write_bytes(raw)
+    read = spark.read.format("warc").load(str(path))
+    assert read.where("record_id = '<urn:x-page:2>'").select("payload").first().payload == rows[2][2]
+    assert read.where("target_uri like 'http://h0/%'").select(F.sum(F.octet_length("payload")).alias("n")).first().n == 27_000
+    assert spark.read.format("warc").schema("record_id string").load(str(path)).count() == 6
+    for bad in (read.where("record_id = '<urn:x-page:3>'"), read):
+        with pytest.raises(Exception, match="(?i)incorrect|invalid|error"):
+            bad.select("payload").collect()
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
+
+    reader = warc.WarcReader(str(path), type("S", (), {"fields": []}), 1)
+    kept = [GreaterThan(("payload_length",), 5), EqualTo(("content_type",), "x")]
+    assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), In(("record_id",), ("a", "b")), *kept, StringStartsWith(("target_uri",), "http")])) == kept
 
 
 def test_no_pages_no_archive(spark, tmp_path):
