@@ -9,23 +9,31 @@ contents, which is why the capacities are weighed jointly: a bin is opened large
 
 A shard's loss against one large packing is at most a part-filled bin or so for each capacity.
 
-Defined cases: a null or blank text has the end token only; null and repeated ids are packed row by row; ties in
-length go by id; columns other than id and text play no part; an empty table gives an empty result.
+`pack_documents` plans from lengths alone; `sequences` takes each document's tokens (ids, or anything else in an array)
+through the same packing and gives the filled sequences. Full pieces of long documents are sequences of their own and go
+through no shard.
+
+Defined cases: a null or blank text has the end token only; null and empty token lists are packed nowhere; null and
+repeated ids are packed row by row; ties in length go by id; columns other than those named play no part; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sheafworks.llm.common import documents, stash
+from sheafworks.llm.common import column, documents, named, stash
 
 #: Production parameters: permitted lengths, cost of a sequence beside its tokens, pieces in a shard.
-CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096, 8192), 64, 4_000
+CAPACITIES, OVERHEAD, SHARD = (512, 1024, 2048, 4096, 8192), 64, 10_000
 USES = (0.0, 0.5, 0.8, 0.95)
 RESULT = "doc_id long, piece long, start long, n_tokens long, bin_id long, capacity int, offset long, bin_tokens long"
+BINS = "bin_id long, capacity int, n_tokens long, doc_ids array<long>, starts array<long>, offsets array<long>"
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int, use: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,32 +69,80 @@ def downsized(fill: np.ndarray, capacities: tuple[int, ...]) -> np.ndarray:
     return np.array(capacities)[np.searchsorted(capacities, fill)]
 
 
-def pack_shard(capacities: tuple[int, ...], overhead: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        n = pdf["n_tokens"].to_numpy(np.int64)
-        tried = [best_fit(n, capacities, overhead, use) for use in USES]
-        bins, offsets, fill = min(tried, key=lambda x: int((downsized(x[2], capacities) + overhead).sum()))
-        size = downsized(fill, capacities)
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"].astype("Int64"), "piece": pdf["piece"], "start": pdf["start"], "n_tokens": n, "bin_id": (np.int64(pdf["shard"].iloc[0]) << 32) + bins,
-            "capacity": size[bins].astype(np.int32), "offset": offsets, "bin_tokens": fill[bins],
+def cheapest(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the outcomes of all expectations that of least cost: bins, offsets, contents."""
+    return min((best_fit(lengths, capacities, overhead, use) for use in USES), key=lambda x: cost(x[2], capacities, overhead))
+
+
+def cost(fill: np.ndarray, capacities: tuple[int, ...], overhead: int) -> int:
+    return int((downsized(fill, capacities) + overhead).sum())
+
+
+def pack_shard(capacities: tuple[int, ...], overhead: int, whole: bool):
+    """Pieces of one shard to their places; with whole, to sequences."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        n = t.column("n_tokens").to_numpy()
+        bins, offsets, fill = cheapest(n, capacities, overhead)
+        size, first = downsized(fill, capacities).astype(np.int32), (t.column("shard")[0].as_py() + 1) << 32
+        if not whole:
+            return t.select(["doc_id", "piece", "start", "n_tokens"]).append_column("bin_id", pa.array(first + bins)).append_column("capacity", pa.array(size[bins])).append_column("offset", pa.array(offsets)).append_column("bin_tokens", pa.array(fill[bins]))
+        order = np.lexsort((offsets, bins))
+        t, edge = t.take(pa.array(order)), np.concatenate([[0], np.cumsum(np.bincount(bins, minlength=len(fill)))]).astype(np.int32)
+        lists = lambda a, at: pa.ListArray.from_arrays(pa.array(at), a)
+        tokens = pc.list_flatten(column(t, "tokens"))
+        return pa.table({
+            "bin_id": pa.array(first + np.arange(len(fill))), "capacity": size, "n_tokens": fill, "doc_ids": lists(column(t, "doc_id"), edge), "starts": lists(column(t, "start"), edge),
+            "offsets": lists(pa.array(offsets[order]), edge), "tokens": lists(tokens, np.concatenate([[0], np.cumsum(fill)]).astype(np.int32)),
         })
 
     return pack
 
 
-def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each piece of a document: tokens (words and an end) start..start+n_tokens lie at offset of bin_id."""
+def cut_pieces(docs: DataFrame, n: Column, most: int, *more: Column) -> DataFrame:
+    """(doc_id, salt, piece, start, n_tokens, more): a document's tokens in pieces of the largest capacity, the last shorter."""
+    pieces = docs.select("doc_id", "salt", n.cast("long").alias("n"), *more)
+    pieces = pieces.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("piece"))
+    return pieces.withColumn("start", F.col("piece") * most).withColumn("n_tokens", F.least(F.lit(most), F.col("n") - F.col("start")).cast("long")).drop("n")
+
+
+def dealt(pieces: DataFrame, shards: int) -> DataFrame:
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "piece", "n_tokens"), F.lit(shards)).cast("long")).drop("salt")
+
+
+def full_ids(docs: DataFrame) -> DataFrame:
+    """bin_id of bins that one full piece fills: below those of all shards."""
+    return docs.withColumn("bin_id", -1 - F.monotonically_increasing_id())
+
+
+def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text", n_tokens: Column | None = None) -> DataFrame:
+    """A row for each piece of a document: tokens start..start+n_tokens lie at offset of bin_id.
+
+    Tokens are words and an end, or as many as n_tokens says."""
     most = max(capacities)
-    tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
-    pieces = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("salt"), tokens.alias("n"))
-    pieces = pieces.select("doc_id", "salt", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most))).alias("piece"))
-    pieces = pieces.select("doc_id", "salt", F.col("piece").cast("long").alias("piece"), (F.col("piece") * most).cast("long").alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("long").alias("n_tokens"))
-    pieces = stash(pieces)
-    shards = max(1, -(-pieces.count() // shard))
-    dealt = pieces.select("doc_id", "piece", "start", "n_tokens", F.pmod(F.xxhash64("doc_id", "salt", "piece", "n_tokens"), F.lit(shards)).cast("int").alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(pack_shard(tuple(sorted(capacities)), overhead), RESULT)
+    words = F.regexp_count(F.coalesce(named(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
+    source = docs.select(named(doc_id).cast("long").alias("doc_id"), F.xxhash64(named(text)).alias("salt"), (words if n_tokens is None else n_tokens).alias("count"))
+    pieces = stash(cut_pieces(source, F.col("count"), most))
+    full, rest = pieces.where(F.col("n_tokens") == most), pieces.where(F.col("n_tokens") < most)
+    shards = max(1, -(-rest.count() // shard))
+    packed = dealt(rest, shards).groupBy("shard").applyInArrow(pack_shard(tuple(sorted(capacities)), overhead, False), RESULT)
+    whole = full_ids(full).select("doc_id", "piece", "start", "n_tokens", "bin_id", F.lit(most).alias("capacity"), F.lit(0).cast("long").alias("offset"), F.col("n_tokens").alias("bin_tokens"))
+    return packed.unionByName(whole)
+
+
+def sequences(docs: DataFrame, tokens: str = "ids", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD, doc_id: str = "doc_id") -> DataFrame:
+    """A row for each sequence: its tokens end to end, and whose they are: doc_ids, starts in the documents, offsets here."""
+    most, kind = max(capacities), docs.schema[tokens].dataType
+    sizes = docs.select(F.greatest(F.size(named(tokens)), F.lit(0)).alias("n"))
+    shards = max(1, -(-int(sizes.agg(F.count_if((F.col("n") > 0) & (F.col("n") % most > 0))).first()[0]) // shard))
+    source = docs.select(named(doc_id).cast("long").alias("doc_id"), F.xxhash64(named(tokens)).alias("salt"), named(tokens).alias("all"))
+    pieces = cut_pieces(source, F.greatest(F.size("all"), F.lit(0)), most, F.col("all")).withColumn("tokens", F.slice("all", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int"))).drop("all")
+    schema = T.StructType([*T.DataType.fromDDL(BINS).fields, T.StructField("tokens", kind)])
+    packed = dealt(pieces.where(F.col("n_tokens") < most), shards).groupBy("shard").applyInArrow(pack_shard(tuple(sorted(capacities)), overhead, True), schema)
+    zero = F.array(F.lit(0).cast("long"))
+    whole = full_ids(pieces.where(F.col("n_tokens") == most)).select("bin_id", F.lit(most).alias("capacity"), "n_tokens", F.array("doc_id").alias("doc_ids"), F.array("start").alias("starts"), zero.alias("offsets"), "tokens")
+    return packed.unionByName(whole)
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
