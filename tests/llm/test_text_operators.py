@@ -269,6 +269,69 @@ def test_packing_is_whole_and_fits(docs, capacities, shard):
     assert packing.pack_documents(docs.where("false")).count() == 0
 
 
+def test_packing_keeps_large_and_null_ids(spark):
+    ids = [9007199254740993, None, -(1 << 62) - 1, None]
+    df = spark.createDataFrame([(i, "a b c", 7, "x") for i in ids], "doc_id long, text string, n_tokens int, shard string").coalesce(1)
+    got = packing.pack_documents(df).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted(ids, key=repr) and len({r.bin_id for r in got}) == 1
+
+
+def least_cost(lengths, capacities, overhead):
+    """Brute force: all partitions of the pieces into bins."""
+    best = [math.inf]
+
+    def place(k, fill):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in capacities if c >= f) + overhead for f in fill))
+            return
+        for b in range(len(fill)):
+            if fill[b] + lengths[k] <= max(capacities):
+                place(k + 1, [*fill[:b], fill[b] + lengths[k], *fill[b + 1 :]])
+        place(k + 1, [*fill, lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_cost_is_near_the_least():
+    import numpy as np
+
+    r, ratios = random.Random(4), []
+    for _ in range(150):
+        lengths = np.array(sorted((r.choice([r.randint(1, 30), r.randint(1, 64)]) for _ in range(r.randint(1, 7))), reverse=True))
+        fill = packing.cheapest(lengths, (8, 16, 32, 64), 2)[2]
+        ratios.append(packing.cost(fill, (8, 16, 32, 64), 2) / least_cost(lengths.tolist(), (8, 16, 32, 64), 2))
+    print("cost against the least:", sum(ratios) / len(ratios), max(ratios))
+    assert min(ratios) >= 1 and sum(ratios) / len(ratios) < 1.05 and max(ratios) < 1.4
+
+
+def test_shards_cost_little():
+    import numpy as np
+
+    n = np.sort(np.random.default_rng(5).lognormal(6, 1, 20_000).astype(np.int64).clip(1, 8191))[::-1]
+    whole = packing.cost(packing.cheapest(n, packing.CAPACITIES, packing.OVERHEAD)[2], packing.CAPACITIES, packing.OVERHEAD)
+    parts = sum(packing.cost(packing.cheapest(n[k::10], packing.CAPACITIES, packing.OVERHEAD)[2], packing.CAPACITIES, packing.OVERHEAD) for k in range(10))
+    assert whole <= parts <= 1.01 * whole
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_sequences_hold_all_tokens(spark, kind):
+    r = random.Random(6)
+    make = int if kind == "int" else str
+    rows = [(k if k % 9 else None, [make(r.randrange(10**6)) for _ in range(r.choice([0, 3, 40, 64, 130, r.randint(1, 300)]))]) for k in range(120)]
+    rows += [(500, None), (501, []), rows[5], (9007199254740993, [make(1)])]
+    df = spark.createDataFrame([(*x, 1, "t") for x in rows], f"doc_id long, ids array<{kind}>, shard int, tokens string").repartition(3)
+    got = packing.sequences(df, capacities=(16, 32, 64), overhead=4, shard=50).collect()
+    assert len({x.bin_id for x in got}) == len(got)
+    pieces = Counter()
+    for x in got:
+        assert x.n_tokens == len(x.tokens) <= x.capacity == min(c for c in (16, 32, 64) if c >= x.n_tokens)
+        for i, s, a, b in zip(x.doc_ids, x.starts, x.offsets, [*x.offsets[1:], x.n_tokens]):
+            pieces[i, s, tuple(x.tokens[a:b])] += 1
+    assert pieces == Counter((i, s, tuple(t[s : s + 64])) for i, t in rows for s in range(0, len(t or ()), 64))
+    assert packing.sequences(df.where("false")).count() == 0
+
+
 def test_best_fit_takes_the_tightest_bin():
     import numpy as np
 
@@ -277,9 +340,9 @@ def test_best_fit_takes_the_tightest_bin():
 
 
 # --- sharding ---
-@pytest.mark.parametrize("rows_per_range", [100_000, 3])
-def test_shards_are_even_gapless_and_whole(docs, rows_per_range):
-    got = sharding.assign(docs, 4, rows_per_range=rows_per_range).toPandas()
+@pytest.mark.parametrize("rows, ranges", [(100_000, 4096), (3, 4096), (3, 2)])
+def test_shards_are_even_gapless_and_whole(docs, rows, ranges):
+    got = sharding.assign(docs, 4, rows_per_unit=rows, most_ranges=ranges).toPandas()
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in corpus())
     assert Counter((None if pd.isna(i) else int(i), n, c) for i, n, c in zip(got["doc_id"], got["size"], got["text_crc32"])) == want
     for _, g in got.groupby("shard"):
@@ -289,8 +352,11 @@ def test_shards_are_even_gapless_and_whole(docs, rows_per_range):
     assert sharding.assign(docs.where("false"), 4).count() == 0
 
 
-def test_hot_key_is_subdivided(spark):
-    same = spark.createDataFrame([(k, "copy" if k % 3 else f"text {k}") for k in range(600)], "doc_id long, text string")
-    got = sharding.assign(same, 4, rows_per_range=20).toPandas()
+@pytest.mark.parametrize("ids", [600, 1])
+def test_hot_key_is_subdivided(spark, ids):
+    same = spark.createDataFrame([(k % ids, "copy" if k % 3 else f"text {k}") for k in range(600)], "doc_id long, text string")
+    got = sharding.assign(same, 4, rows_per_unit=20, most_ranges=8).toPandas()
     sums = got.groupby("shard")["size"].sum()
-    assert len(sums) == 4 and sums.max() - sums.min() <= 2 * got["size"].max()
+    assert len(got) == 600 and len(sums) == 4 and sums.max() - sums.min() <= 2 * got["size"].max()
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
