@@ -5,16 +5,21 @@ shingles has one least element, and all passages with the same one form a compac
 in L..c and end in c..R. The windows are the nodes of the Cartesian tree over the hashes whose range is long enough;
 their centres are exactly the minima of the sliding windows of that length, and bounds are the next smaller centres.
 
-Blocks ask, packed, which centres occur twice anywhere; windows of the others can match nothing. The rest are grouped
-by function and centre, and once more by the centres of all functions and what lies between them, which keeps equal
-passages together where variants of them are many. Every window first meets the first document of its group. Windows whose
-match with it is verified and holds the centres need no other partner of the group that has such a match too: both are
-matched through the first. The others meet all of their group, so that pairs grow with the square only of windows that
-share a centre and not a passage. For a pair of documents the windows of all functions are joined as intervals: where at least `need` functions agree on a passage of both, its bounds are verified on the shingles
-themselves, by Jaccard similarity of the best matching stretch.
-
-A match of two passages is found with the chance that `need` of K minima agree (0.99 at a similarity of 0.8); repeats
-that are equal agree on all. What is reported is verified, never estimated.
+Functions are taken in pairs (BANDS). Within a text the windows of a pair are joined as intervals: each two centres that
+are the minima of one passage give the rectangle of all passages of which they are, and the two shingles are its
+signature. Blocks ask, packed, which signatures occur twice anywhere; the others' rectangles can match nothing. The rest
+are a table, grouped by signature.
+
+1. Every rectangle meets that of its group's representative, the one whose passage around the centres is most frequent.
+2. For each two texts the rectangles are joined as intervals, and each maximal stretch is verified: all passages of
+   `least` shingles or more with the wanted Jaccard similarity are taken from it.
+3. Overlapping matches of a text are one passage; passages that are matched, directly or by way of others, are a class.
+4. Rectangles of a group that are not in its largest class meet all of the group that are not in their own class, if at
+   least NEED of the K minima around their centres agree, and are verified likewise. So no pair is given up because it
+   differs from its representative; within a class, copies are not expanded into all pairs.
+
+Two passages of similarity s share a pair's signature with a chance of s * s for each of the BANDS; repeats that are
+equal share all. What is returned was verified, on 32-bit hashes of the shingles.
 
 Defined cases: null texts and texts shorter than a passage match nothing; texts equal in all shingles are compared once
 and the others reported as copies of the first; equal rows are such copies; null ids are reported as null;
@@ -26,14 +31,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import BLOCK_ROWS, ROW_BITS, row_ids, count_parts, documents, gaps, give_back, pack, stash, trim, unpack
+from sheafworks.llm.common import BLOCK_ROWS, ROW_BITS, components, count_parts, documents, gaps, give_back, named, pack, part_of, row_ids, runs_of, stash, trim, unpack
 from sheafworks.llm.jaccard import MULT, mix, tokenise, total
 
-#: Words of a shingle, hash functions, how many must agree, shingles of the shortest passage (50 words), similarity.
+#: Words of a shingle, hash functions, how many must agree around a signature, shingles of the shortest passage (50 words), similarity.
 WIDTH, K, NEED, LEAST, NUM, DEN = 5, 8, 4, 46, 80, 100
+#: Pairs of functions whose minima are a signature: a ring, so that of any five functions that agree two are a pair.
+BANDS = [(k, (k + 1) % K) for k in range(K)]
 
 
 def sequence(b: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +103,9 @@ def compact_windows(h: np.ndarray, m: np.ndarray, least: int) -> tuple[np.ndarra
 
 
 class Passages:
-    """A block's shingles, the windows of the first text of each kind, and the questions on both."""
+    """A block's shingles, the signatures of the first text of each kind, and the questions on both."""
 
-    def __init__(self, block: int, body: bytes, bits: int, parts: int, functions: int, least: int):
+    def __init__(self, block: int, body: bytes, bits: int, parts: int, least: int):
         b = unpack(body)
         self.ids, self.null = b["ids"].astype(np.int64), b["null"].astype(bool)
         self.h, self.m = sequence(b, WIDTH)
@@ -116,82 +123,76 @@ class Passages:
         only[self.asked] = self.m[self.asked]
         self.h1, self.m1 = self.h[np.repeat(only > 0, self.m)], only
         self.start1 = np.cumsum(only) - only
-        self.found = [compact_windows(mix(self.h1, k), self.m1, least) for k in range(functions)]
-        self.bits, self.parts, self.least = bits, parts, least
-        self.keys, self.count = np.unique(np.concatenate([self.key(k, c) for k, (_, c, _) in enumerate(self.found)]) >> np.uint64(64 - bits), return_counts=True)
-        self.cut = np.append(np.searchsorted(self.keys, np.array([(p << bits) // parts for p in range(parts)], np.uint64)), len(self.keys))
-        self.text_cut = np.append(np.searchsorted(self.sig[0][self.asked], np.array([(p << 64) // parts for p in range(parts)], np.uint64)), len(self.asked))
-
-    def key(self, k: int, c: np.ndarray) -> np.ndarray:
-        return mix(self.h1[c] + np.uint64(k + 1), k)
+        self.least, self.bits = least, bits
+        found = [least_of_runs(mix(self.h1, k), self.m1, least) for k in range(K)]
+        self.at, self.low = found[0][0], [low for _, low in found]
+        self.signatures = [self.band(n, x, y) for n, (x, y) in enumerate(BANDS)]
+        self.keys, self.count = np.unique(np.concatenate([v for _, v in self.signatures]) >> np.uint64(64 - bits), return_counts=True)
+        self.runs = runs_of(part_of(self.keys, bits, parts))
+        self.text_runs = runs_of(part_of(self.sig[0][self.asked], 64, parts))
+
+    def band(self, n: int, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of passages with the same two minima begin (places in self.at), and their signatures."""
+        p, q, at = self.low[x], self.low[y], self.at
+        if not len(at):
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        first = np.nonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (at[1:] != at[:-1] + 1)]))[0]
+        return first, mix(mix(self.h1[p[first]], x) + mix(self.h1[q[first]] * MULT[n % 8], y) + np.uint64(n), n)
 
     def ask(self):
-        for p in range(self.parts):
-            i, j = self.cut[p], self.cut[p + 1]
-            t = self.asked[self.text_cut[p] : self.text_cut[p + 1]]
-            if j > i or len(t):
-                yield p, pack(h=gaps(self.keys[i:j]), n=np.minimum(self.count[i:j], 2).astype(np.uint8), s1=self.sig[0][t], s2=self.sig[1][t], m=self.m[t], row=self.rows[t])
+        """Questions by partition: signatures with how often they occur here, and whole texts."""
+        keys, texts = {p: (i, j) for p, i, j in self.runs}, {p: (i, j) for p, i, j in self.text_runs}
+        for p in sorted(keys.keys() | texts.keys()):
+            i, j = keys.get(p, (0, 0))
+            t = self.asked[slice(*texts.get(p, (0, 0)))]
+            yield p, pack(h=gaps(self.keys[i:j]), n=np.minimum(self.count[i:j], 2).astype(np.uint8), s1=self.sig[0][t], s2=self.sig[1][t], m=self.m[t], row=self.rows[t])
 
     def learn(self, answers: dict[int, bytes]) -> None:
-        """Which keys occur twice, and the first row anywhere of each text."""
+        """Which signatures occur twice, and the first row anywhere of each text."""
         self.twice, low = np.zeros(len(self.keys), bool), self.rows.copy()
-        for p, body in answers.items():
-            x = unpack(body)
-            self.twice[self.cut[p] : self.cut[p + 1]] = x["twice"]
-            low[self.asked[self.text_cut[p] : self.text_cut[p + 1]]] = x["first"]
+        got = {p: unpack(body) for p, body in answers.items()}
+        for p, i, j in self.runs:
+            self.twice[i:j] = got[p]["twice"]
+        for p, i, j in self.text_runs:
+            low[self.asked[i:j]] = got[p]["first"]
         self.own = low == self.rows
         self.same = low[self.same]
 
-    def windows(self):
-        """(function, document, L, c, R, key) of the windows that occur twice, in the first text of each kind."""
-        in_text = lambda doc, *places: [doc, *(x - self.start1[doc] for x in places)]
-        has = lambda k, c: self.twice[np.searchsorted(self.keys, self.key(k, c) >> np.uint64(64 - self.bits))]
-        doc_of = lambda at: np.searchsorted(self.start1 + self.m1, at, side="right")
-        for k, (lo, c, hi) in enumerate(self.found):
-            some = has(k, c) & self.own[doc_of(c)]
-            lo, c, hi = lo[some], c[some], hi[some]
-            yield k, *in_text(doc_of(c), lo, c, hi), self.key(k, c)
-        # runs of passages on which all functions agree: texts that share one meet by the whole signature too
-        at, sig, some, new, low, high = None, 0, True, False, None, None
-        for k in range(len(self.found)):
-            at, a = least_of_runs(mix(self.h1, k), self.m1, self.least)
-            if not len(at):
-                return
-            sig = sig + mix(self.h1[a] + np.uint64(k + 1), k + 1)
-            low, high = (a, a) if k == 0 else (np.minimum(low, a), np.maximum(high, a))
-            some = some & has(k, a)
-            new = new | np.concatenate([[True], (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)])
-        # all that lies between the centres belongs to the signature
+    def rectangles(self):
+        """(signature, content, sketch, document, L, centres, R) of those that occur twice, in the first text of each kind.
+
+        content and sketch are those of the passage of `least` shingles around the centres."""
+        bounds = []
+        for k in range(K):
+            lo, c, hi = compact_windows(mix(self.h1, k), self.m1, self.least)
+            bounds.append((c, lo, hi))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.h1, 6), dtype=np.uint64)])
-        sig = sig + mix(sums[high + 1] - sums[low], 5)
-        first = np.nonzero(new)[0]
-        last = at[np.append(first[1:], len(at)) - 1] + self.least - 1
-        ok = some[first] & self.own[doc_of(at[first])]
-        lo, hi = at[first][ok], last[ok]
-        yield KINDS, *in_text(doc_of(lo), lo, low[first][ok], hi), mix(sig[first][ok], 7)
+        for (x, y), (first, v) in zip(BANDS, self.signatures, strict=True):
+            p, q = self.low[x][first], self.low[y][first]
+            doc = np.searchsorted(self.start1 + self.m1, p, side="right")
+            ok = self.twice[np.searchsorted(self.keys, v >> np.uint64(64 - self.bits))] & self.own[doc]
+            p, q, doc, v = p[ok], q[ok], doc[ok], v[ok]
+            at_x, at_y = np.searchsorted(bounds[x][0], p), np.searchsorted(bounds[y][0], q)
+            lo, hi = np.maximum(bounds[x][1][at_x], bounds[y][1][at_y]), np.minimum(bounds[x][2][at_x], bounds[y][2][at_y])
+            p, q = np.minimum(p, q), np.maximum(p, q)
+            begin = self.start1[doc]
+            around = np.clip(p - (self.least - (q - p + 1)) // 2, begin, begin + self.m1[doc] - self.least)
+            where = np.searchsorted(self.at, around)
+            sketch = np.zeros(len(p), np.uint64)
+            for k in range(K):
+                sketch |= (mix(self.h1[self.low[k][where]], k) & np.uint64(255)) << np.uint64(8 * k)
+            yield v, sums[around + self.least] - sums[around], sketch, doc, lo - begin, p - begin, q - begin, hi - begin
 
 
 HEAD = "block long, part int, body binary"
-NEAR = (1 << 16) - 1
-#: Lowest bits of a window's key: its function, or all of them for a whole signature.
-KINDS = 15
-
+RECTANGLES = "v long, s long, sketch long, row long, lo int, p int, q int, hi int"
 
-def packed_place(lo: np.ndarray, c: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A window as one number; reaches of more than 65,535 shingles to a side are written as that."""
-    return (c << 32) | (np.minimum(c - lo, NEAR) << 16) | np.minimum(hi - c, NEAR)
 
-
-def place_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c = x >> 32
-    return c - ((x >> 16) & NEAR), c, c + (x & NEAR)
-
-
-def asker(bits: int, parts: int, functions: int, least: int):
+def asker(bits: int, parts: int, least: int):
     def ask(batches):
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                asked = list(Passages(block, body, bits, parts, functions, least).ask())
+                asked = list(Passages(block, body, bits, parts, least).ask())
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(asked), pa.int64()), pa.array([p for p, _ in asked], pa.int32()), pa.array([x for _, x in asked], pa.binary())], names=["block", "part", "body"])
                 give_back()
 
@@ -203,73 +204,63 @@ def add_up(t: pa.Table) -> pa.Table:
     keys = [np.cumsum(x["h"].astype(np.uint64), dtype=np.uint64) for x in got]
     u, inv = np.unique(np.concatenate(keys), return_inverse=True)
     twice = (np.bincount(inv, weights=np.concatenate([x["n"] for x in got]), minlength=len(u)) > 1).astype(np.uint8)
-    s1, s2, m, row = (np.concatenate([x[n] for x in got]) for n in ("s1", "s2", "m", "row"))
+    s1, s2, m, row = (np.concatenate([x[n].astype(np.uint64) for x in got]) for n in ("s1", "s2", "m", "row"))
     order = np.lexsort((row, m, s2, s1))
     new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (s1, s2, m)], axis=0)]) if len(order) else np.zeros(0, bool)
-    first = np.empty(len(row), np.int64)
+    first = np.empty(len(row), np.uint64)
     first[order] = row[order][new][np.cumsum(new) - 1] if len(order) else row
     parts = [np.split(x, np.cumsum([len(v) for v in sizes])[:-1]) for x, sizes in ((inv, keys), (first, [x["row"] for x in got]))]
     out = [pack(twice=twice[i], first=f) for i, f in zip(*parts, strict=True)]
     return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(out, pa.binary())})
 
 
-def emitter(bits: int, parts: int, functions: int, least: int):
-    """Windows (v not null; its last four bits are the function, all set for a signature), and every document's row with that of its first copy."""
+def emitter(bits: int, parts: int, least: int):
+    """Rectangles (v not null), and every document's row with that of its first copy."""
 
     def emit(t: pa.Table) -> pa.Table:
         part, bodies = t.column("part").to_pylist(), t.column("body").to_pylist()
-        s = Passages(t.column("block")[0].as_py(), bodies[part.index(-1)], bits, parts, functions, least)
+        s = Passages(t.column("block")[0].as_py(), bodies[part.index(-1)], bits, parts, least)
         s.learn({p: body for p, body in zip(part, bodies, strict=True) if p >= 0})
-        v, row, place = [], [], []
-        for k, doc, lo, c, hi, key in s.windows():
-            v.append(((key & ~np.uint64(KINDS)) | np.uint64(k)).view(np.int64))
-            row.append(s.rows[doc])
-            place.append(packed_place(lo, c, hi))
-        none = [np.empty(0, np.int64)]
-        v, row, place = (np.concatenate([*x, *none]) for x in (v, row, place))
-        nulls = lambda k: pa.nulls(k, pa.int64())
+        found = list(zip(*s.rectangles(), strict=True))
+        v, content, sketch, doc, *places = (np.concatenate(x) for x in found)
         n, d = len(v), len(s.m)
+        long, int_ = (lambda x: pa.concat_arrays([pa.array(x.view(np.int64)), pa.nulls(d, pa.int64())])), (lambda x: pa.concat_arrays([pa.array(x.astype(np.int32)), pa.nulls(d, pa.int32())]))
+        only = lambda x: pa.concat_arrays([pa.nulls(n, pa.int64()), x])
         return pa.table({
-            "v": pa.concat_arrays([pa.array(v), nulls(d)]), "row": pa.array(np.concatenate([row, s.rows])), "place": pa.concat_arrays([pa.array(place), nulls(d)]),
-            "doc_id": pa.concat_arrays([nulls(n), pa.array(s.ids, mask=s.null)]), "same": pa.concat_arrays([nulls(n), pa.array(s.same)]), "m": pa.concat_arrays([nulls(n), pa.array(s.m)]),
+            "v": long(v), "s": long(content), "sketch": long(sketch), "row": pa.array(np.concatenate([s.rows[doc], s.rows])), **{name: int_(x) for name, x in zip(("lo", "p", "q", "hi"), places, strict=True)},
+            "doc_id": only(pa.array(s.ids, mask=s.null)), "same": only(pa.array(s.same)), "m": only(pa.array(s.m)),
         })
 
     return trim(emit)
 
 
-def agreeing(rows: np.ndarray, need: int, least: int, whole: int) -> list[tuple[int, int, int, int]]:
-    """Stretches of both texts (la, ra, lb, rb) in which windows of at least need functions meet.
+def stretches_of(x: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """Maximal stretches of two texts (la, ra, lb, rb) from the rectangles that they share: L, centre, R in each.
 
-    rows: function, L, c, R in one text, L, c, R in the other. A sweep by shift parts windows whose shifts are more than
-    a passage apart; a sweep by place then joins the intervals that overlap, so that the work is that of two sorts.
+    A sweep by shift parts rectangles whose shifts are more than a passage apart; a sweep by place then joins the
+    intervals that overlap, so that the work is that of two sorts.
     """
-    shift = rows[:, 2] - rows[:, 5]
+    shift = x[:, 1] - x[:, 4]
     order = np.argsort(shift, kind="stable")
-    lane = np.empty(len(rows), np.int64)
+    lane = np.empty(len(x), np.int64)
     lane[order] = np.cumsum(np.concatenate([[0], np.diff(shift[order]) > least]))
-    rows, lane = rows[order := np.lexsort((rows[:, 1], lane))], lane[order]
-    reach = np.maximum.accumulate(rows[:, 3] + lane * (1 << 40)) - lane * (1 << 40)
-    new = np.concatenate([[True], (lane[1:] != lane[:-1]) | (rows[1:, 1] > reach[:-1])])
-    edge = np.append(np.nonzero(new)[0], len(rows))
-    return [
-        (int(x[:, 1].min()), int(x[:, 3].max()), int(x[:, 4].min()), int(x[:, 6].max()))
-        for x in (rows[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True))
-        if (x[:, 0] == whole).any() or len(np.unique(x[:, 0])) >= need
-    ]
-
-
-def joiner(need: int, least: int, whole: int):
-    def stretches(t: pa.Table) -> pa.Table:
+    x, lane = x[order := np.lexsort((x[:, 0], lane))], lane[order]
+    reach = np.maximum.accumulate(x[:, 2] + lane * (1 << 40)) - lane * (1 << 40)
+    new = np.nonzero(np.concatenate([[True], (lane[1:] != lane[:-1]) | (x[1:, 0] > reach[:-1])]))[0]
+    low, high = np.minimum.reduceat(x, new), np.maximum.reduceat(x, new)
+    return list(zip(low[:, 0].tolist(), high[:, 2].tolist(), low[:, 3].tolist(), high[:, 5].tolist(), strict=True))
+
+
+def joiner(least: int):
+    def join(t: pa.Table) -> pa.Table:
         t = t.sort_by([("a", "ascending"), ("b", "ascending")])
         a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-        x = np.stack([t.column("f").to_numpy(), *place_of(t.column("pa").to_numpy()), *place_of(t.column("pb").to_numpy())], axis=1)
+        x = np.stack([t.column(n).to_numpy().astype(np.int64) for n in ("la", "ca", "ra", "lb", "cb", "rb")], axis=1)
         edge = np.concatenate([[0], np.nonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]))[0] + 1, [len(a)]])
-        out: list[tuple] = []
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            out += [(int(a[lo]), int(b[lo]), *s) for s in agreeing(x[lo:hi], need, least, whole)]
+        out = [(int(a[lo]), int(b[lo]), *s) for lo, hi in zip(edge[:-1], edge[1:], strict=True) for s in stretches_of(x[lo:hi], least)]
         return pa.table({n: pa.array([r[k] for r in out], pa.int64()) for k, n in enumerate(("a", "b", "la", "ra", "lb", "rb"))})
 
-    return trim(stretches)
+    return trim(join)
 
 
 def slicer():
@@ -332,11 +323,20 @@ def similarity_of(x: np.ndarray, y: np.ndarray, num: int, den: int) -> float:
     return common / union if den * common >= num * union else 0.0
 
 
+def widened(i: int, j: int, n: int, least: int, left: float) -> tuple[int, int]:
+    """i..j made `least` long within 0..n-1 where it is shorter, that share of what lacks on the left if there is room."""
+    lack = max(0, least - (j - i + 1))
+    before = min(i, round(lack * left))
+    after = min(n - 1 - j, lack - before)
+    return max(0, i - (lack - after)), j + after
+
+
 def verify(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> tuple[int, int, int, int, float] | None:
     """The best matching passages of two stretches (bounds in each, similarity), or None.
 
     The run that gains most is tried first, then the longest one with the hits of that similarity, then runs with ever
-    fewer misses, down to none, then equal runs.
+    fewer misses, down to none, then equal runs. A run shorter than a passage is widened, for a passage may begin or end
+    with what differs.
     """
     in_y = np.isin(x, y)
     for best, worth, cost in ((best_stretch, den - num, num), (longest_stretch, den - num, 2 * num), (best_stretch, 1, 20), (best_stretch, 1, 1 << 40)):
@@ -344,11 +344,13 @@ def verify(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> tupl
         p, q = best(np.isin(y, x[i : j + 1]), worth, cost)
         i2, j2 = best(np.isin(x[i : j + 1], y[p : q + 1]), worth, cost)
         i, j = i + i2, i + j2
-        if min(j - i, q - p) + 1 < least:
-            continue
-        similarity = similarity_of(x[i : j + 1], y[p : q + 1], num, den)
-        if similarity:
-            return i, j, p, q, similarity
+        for left in (0.5, 0.0, 1.0) if min(j - i, q - p) + 1 < least else (0.5,):
+            (a, b), (c, d) = widened(i, j, len(x), least, left), widened(p, q, len(y), least, left)
+            if min(b - a, d - c) + 1 < least:
+                continue
+            similarity = similarity_of(x[a : b + 1], y[c : d + 1], num, den)
+            if similarity:
+                return a, b, c, d, similarity
     run = equal_run(x, y, least)
     return (*run, 1.0) if run else None
 
@@ -389,114 +391,120 @@ def checker(least: int, num: int, den: int):
     return check
 
 
-def paired(met: DataFrame) -> DataFrame:
-    """(a, b, f, pa, pb) of windows (v, row, place) and those they meet (o); a is the later row."""
-    later = F.col("row") > F.col("o.row")
-    return met.select(
-        F.greatest("row", "o.row").alias("a"), F.least("row", "o.row").alias("b"), F.col("v").bitwiseAND(F.lit(KINDS)).alias("f"),
-        F.when(later, F.col("place")).otherwise(F.col("o.place")).alias("pa"), F.when(later, F.col("o.place")).otherwise(F.col("place")).alias("pb"),
-    )
+def sides(found: DataFrame, a: list[str], b: list[str], names: list[str]) -> DataFrame:
+    """Both sides of pairs as rows, each once."""
+    one = lambda cols: found.select(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)])
+    return one(a).unionByName(one(b)).distinct()
 
 
-def verified(table: DataFrame, pairs: DataFrame, groups: int, need: int, least: int, functions: int, num: int, den: int) -> DataFrame:
-    """Matches (a, a_first, a_last, b, b_first, b_last, similarity) of pairs of windows, by rows of blocks."""
-    found = stash(pairs.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInArrow(joiner(need, least, KINDS), "a long, b long, la long, ra long, lb long, rb long"))
-    want = found.select(F.col("a").alias("row"), F.col("la").alias("lo"), F.col("ra").alias("hi")).unionByName(found.select(F.col("b").alias("row"), F.col("lb").alias("lo"), F.col("rb").alias("hi"))).distinct()
+def verified(table: DataFrame, pairs: DataFrame, groups: int, least: int, num: int, den: int) -> DataFrame:
+    """Matches (a, a_first, a_last, b, b_first, b_last, similarity), written, from rectangles that meet; a is the later row."""
+    found = stash(pairs.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInArrow(joiner(least), "a long, b long, la long, ra long, lb long, rb long"))
+    want = sides(found, ["a", "la", "ra"], ["b", "lb", "rb"], ["row", "lo", "hi"])
     want = want.select(F.shiftright("row", ROW_BITS).alias("block"), "row", "lo", "hi", F.lit(None).cast("binary").alias("body"))
     bodies = table.join(want.select("block").distinct(), "block", "left_semi").select("block", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), "body")
     cut = stash(bodies.unionByName(want).groupBy("block").applyInArrow(slicer(), "row long, lo long, hi long, body binary"))
     xa = cut.select(F.col("row").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ra"), F.col("body").alias("xa"))
     xb = cut.select(F.col("row").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("rb"), F.col("body").alias("xb"))
     both = found.join(xa, ["a", "la", "ra"]).join(xb, ["b", "lb", "rb"]).select("a", "b", "la", "lb", "xa", "xb")
-    return both.mapInArrow(checker(least, num, den), "a long, a_first long, a_last long, b long, b_first long, b_last long, similarity double")
+    matches = both.mapInArrow(checker(least, num, den), "a long, a_first long, a_last long, b long, b_first long, b_last long, similarity double")
+    return stash(matches.distinct())
 
 
-def with_first(windows: DataFrame) -> DataFrame:
-    """(v, row, place, o): each window of a group of several documents, and the group's first window."""
-    first = windows.groupBy("v").agg(F.min(F.struct("row", "place")).alias("o"), F.max("row").alias("last")).where("o.row <> last").select("v", "o")
-    return windows.join(first, "v")
+def meeting(one: DataFrame, two: DataFrame, condition: Column) -> DataFrame:
+    """(a, b, la, ca, ra, lb, cb, rb) of the rectangles of one and two that share a signature."""
+    o = two.select("v", *[F.col(c).alias(f"o_{c}") for c in two.columns if c != "v"])
+    met = one.join(o, "v").where((F.col("row") != F.col("o_row")) & condition)
+    later = F.col("row") > F.col("o_row")
+    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
+    side = lambda n, mine: [pick(*((c, f"o_{c}") if mine else (f"o_{c}", c))).alias(f"{as_}{n}") for c, as_ in (("lo", "l"), ("p", "c"), ("hi", "r"))]
+    return met.select(F.greatest("row", "o_row").alias("a"), F.least("row", "o_row").alias("b"), *side("a", True), *side("b", False))
 
 
-def met_by_first(table: DataFrame, windows: DataFrame, need: int, least: int, functions: int, num: int, den: int) -> DataFrame:
-    """Matches of each window with its group's first one."""
-    met = with_first(windows).where("row <> o.row")
-    return verified(table, paired(met), max(1, windows.count() // 40_000), need, least, functions, num, den)
+def represented(rectangles: DataFrame) -> DataFrame:
+    """Those of groups of several documents, with the group's representative: the first row of the most frequent content.
 
-
-def left_over(windows: DataFrame, matches: DataFrame, need: int) -> DataFrame:
-    """(v, row, place, open): the windows that may match another than their group's first one.
-
-    A window is closed if a match with the group's first one holds the centres of both; two closed windows of a group
-    are matched through the first. Open ones meet all of their group. Of both only those are kept that lie with windows
-    of enough other functions, each holding the other's centre; without them no passage has enough minima.
+    Counted by content first, so that a hot signature is added up before it is shuffled; all minima are hash aggregates.
     """
-    of = lambda p, n: F.shiftright(F.col(p), 32).between(F.col(f"{n}_first"), F.col(f"{n}_last") - (WIDTH - 1))
-    all_of = with_first(windows).withColumn("a", F.greatest("row", "o.row")).withColumn("b", F.least("row", "o.row"))
-    spans = matches.drop("similarity")
-    # the first one has the least row, so that it is b
-    held = all_of.where("row <> o.row").withColumn("o_place", F.col("o.place")).join(spans, ["a", "b"]).where(of("place", "a") & of("o_place", "b"))
-    held = held.select("v", "row", "place").distinct().withColumn("closed", F.lit(True))
-    first = F.struct("row", "place") == F.col("o")
-    seen = all_of.join(held, ["v", "row", "place"], "left").select("v", "row", "place", (~(F.coalesce("closed", F.lit(False)) | first)).alias("open"))
-    live = seen.groupBy("v").agg(F.count_if("open").alias("n")).where("n > 0").select("v")
-    seen = seen.join(live, "v", "left_semi").withColumn("g", F.shiftright("row", ROW_BITS))
-    return stash(seen.groupBy("g").applyInArrow(together(need), "v long, row long, place long, open boolean"))
-
-
-def together(need: int):
-    """Windows of a block that lie, each with the other's centre, with windows of enough functions; all whole signatures."""
-
-    def choose(t: pa.Table) -> pa.Table:
-        t = t.select(["v", "row", "place", "open"]).sort_by([("row", "ascending"), ("place", "ascending")])
-        row, f = t.column("row").to_numpy(), t.column("v").to_numpy() & KINDS
-        lo, c, hi = place_of(t.column("place").to_numpy())
-        # reaches that are written as the longest may be longer
-        far = t.column("place").to_numpy()
-        lo, hi = np.where((far >> 16) & NEAR == NEAR, 0, lo), np.where(far & NEAR == NEAR, 1 << 40, hi)
-        edge = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1, [len(row)]])
-        ok = f == KINDS
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            for k in range(i, j):
-                u, v = i + np.searchsorted(c[i:j], lo[k]), i + np.searchsorted(c[i:j], hi[k], side="right")
-                near = (lo[u:v] <= c[k]) & (c[k] <= hi[u:v])
-                ok[k] |= len(np.unique(f[u:v][near])) >= need
-        return t.filter(pa.array(ok))
-
-    return trim(choose)
-
-
-def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN, functions: int = K, need: int = NEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Matches (doc_id, first_word, last_word, other_id, other_first, other_last, similarity); words count from 0.
-
-    Documents that share a passage are matched with the first one that holds it, or with each other; documents whose
-    shingles all equal those of an earlier one are matched with that one only, with similarity 1.
+    by = rectangles.groupBy("v", "s").agg(F.count("*").alias("c"), F.min("row").alias("r"), F.max("row").alias("z"))
+    rank = F.col("c").cast("decimal(14,0)") * F.lit(str(1 << 63)).cast("decimal(20,0)") - F.col("r").cast("decimal(20,0)")
+    best = by.groupBy("v").agg(F.max_by("r", rank).alias("first"), F.min("r").alias("low"), F.max("z").alias("high")).where("low <> high").select("v", "first")
+    return rectangles.join(best, "v")
+
+
+def passages_of(matches: DataFrame) -> DataFrame:
+    """(row, first, last, passage): every matched run of words; those of a text that overlap are one passage, named by its begin."""
+    runs = sides(matches, ["a", "a_first", "a_last"], ["b", "b_first", "b_last"], ["row", "first", "last"])
+    w = Window.partitionBy("row").orderBy("first", "last")
+    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(before.isNull() | (F.col("first") > before), F.col("first"))
+    return runs.withColumn("begin", begins).withColumn("passage", F.max("begin").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("begin")
+
+
+def node(row: str, passage: str) -> Column:
+    """A passage as one number."""
+    return (F.col(row).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col(passage).cast("decimal(12,0)")).cast("decimal(38,0)")
+
+
+def classes(matches: DataFrame) -> DataFrame:
+    """(row, first, last, class): each matched run and the least passage that it is connected with."""
+    runs = stash(passages_of(matches).withColumn("node", node("row", "passage")))
+    side = lambda n: runs.select(F.col("row").alias(n), F.col("first").alias(f"{n}_first"), F.col("last").alias(f"{n}_last"), F.col("node").alias(f"{n}_node"))
+    edges = matches.join(side("a"), ["a", "a_first", "a_last"]).join(side("b"), ["b", "b_first", "b_last"]).select("a_node", "b_node").distinct()
+    low = components(edges, "a_node", "b_node").withColumnRenamed("node", "n")
+    return stash(runs.join(low, F.col("node") == F.col("n"), "left").select("row", "first", "last", F.coalesce("component", "node").alias("class")))
+
+
+def apart(rectangles: DataFrame, runs: DataFrame, need: int) -> DataFrame:
+    """Meetings of rectangles of a group that are in different classes, one of them at least not in the largest one."""
+    of = runs.select(F.col("row").alias("r"), "first", "last", "class")
+    inside = F.col("p").between(F.col("first"), F.col("last") - (WIDTH - 1)) & F.col("q").between(F.col("first"), F.col("last") - (WIDTH - 1))
+    placed = rectangles.drop("first", "s").join(of, (F.col("row") == F.col("r")) & inside, "left").groupBy("v", "sketch", "row", "lo", "p", "q", "hi").agg(F.min("class").alias("class"))
+    by = placed.groupBy("v", "class").agg(F.count("*").alias("c"))
+    largest = by.groupBy("v").agg(F.max_by("class", F.when(F.col("class").isNotNull(), F.col("c"))).alias("main"), F.sum("c").alias("n"), F.max(F.when(F.col("class").isNotNull(), F.col("c"))).alias("most"))
+    open_ = largest.where(F.col("most").isNull() | (F.col("most") < F.col("n"))).select("v", "main")
+    placed = stash(placed.join(open_, "v").withColumn("other", ~F.col("class").eqNullSafe(F.col("main")) | F.col("class").isNull()).drop("main"))
+    differ = F.col("class").isNull() | F.col("o_class").isNull() | (F.col("class") != F.col("o_class"))
+    x = F.col("sketch").bitwiseXOR(F.col("o_sketch"))
+    agree = sum((F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for k in range(K))
+    once = ~F.col("o_other") | (F.col("row") > F.col("o_row"))
+    return meeting(placed.where("other"), placed, differ & once & (agree >= need))
+
+
+def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN, need: int = NEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Matches (doc_id, first_word, last_word, other_id, other_first, other_last, similarity, class_id, class_first).
+
+    Words count from 0. Passages that are connected by matches have one class, named by the document and first word of
+    its first passage. Documents whose shingles all equal those of an earlier one are matched with that one only, with
+    similarity 1; their class is the one that begins with it.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
     table = stash(source.mapInArrow(tokenise, "block long, bytes long, body binary"))
     parts = count_parts(table, "bytes")
-    bits = min(62, 35 + parts.bit_length())
-    asked = table.select("block", "body").mapInArrow(asker(bits, parts, functions, least), HEAD)
+    bits = min(62, 36 + parts.bit_length())
+    asked = table.select("block", "body").mapInArrow(asker(bits, parts, least), HEAD)
     told = stash(asked.groupBy("part").applyInArrow(trim(add_up), HEAD))
     rows = table.select("block", F.lit(-1).alias("part"), "body").unionByName(told)
-    out = stash(rows.groupBy("block").applyInArrow(emitter(bits, parts, functions, least), "v long, row long, place long, doc_id long, same long, m long"))
-    windows = out.where("v is not null").select("v", "row", "place")
+    out = stash(rows.groupBy("block").applyInArrow(emitter(bits, parts, least), f"{RECTANGLES}, doc_id long, same long, m long"))
     ids = out.where("v is null").select("row", "doc_id", "same", "m")
+    rectangles = stash(represented(out.where("v is not null").select("v", "s", "sketch", "row", "lo", "p", "q", "hi")))
+    groups = max(1, rectangles.count() // 40_000)
+
+    first = rectangles.drop("s", "sketch")
+    matches = verified(table, meeting(first.where("row <> first"), first.where("row = first"), F.lit(True)), groups, least, num, den)
+    more = verified(table, apart(rectangles, classes(matches), need), groups, least, num, den)
+    matches = stash(matches.unionByName(more).distinct())
+    runs = classes(matches)
 
-    matches = stash(met_by_first(table, windows, need, least, functions, num, den))
-    rest = left_over(windows, matches, need)
-    groups = rest.groupBy("v").agg(F.count_if("open").alias("n_open"), F.min("row").alias("lo"), F.max("row").alias("hi"))
-    rest = stash(rest.join(groups.where("n_open > 0 and lo <> hi").select("v"), "v", "left_semi"))
-    one, two = rest.where("open").drop("open"), rest.select("v", F.col("row").alias("o_row"), F.col("place").alias("o_place"), F.col("open").alias("o_open"))
-    # two open windows meet once
-    met = one.join(two, "v").where("row <> o_row and (not o_open or row > o_row)").select("v", "row", "place", F.struct(F.col("o_row").alias("row"), F.col("o_place").alias("place")).alias("o"))
-    matches = matches.unionByName(verified(table, paired(met), max(1, rest.count() // 40_000), need, least, functions, num, den)).distinct()
     copies = ids.where((F.col("row") != F.col("same")) & (F.col("m") >= least))
-    whole = F.col("m") + F.lit(WIDTH - 2)
-    copies = copies.select(F.col("row").alias("a"), F.lit(0).cast("long").alias("a_first"), whole.alias("a_last"), F.col("same").alias("b"), F.lit(0).cast("long").alias("b_first"), whole.alias("b_last"), F.lit(1.0).alias("similarity"))
-    matches = matches.unionByName(copies)
+    whole, zero = F.col("m") + F.lit(WIDTH - 2), F.lit(0).cast("long")
+    copies = copies.select(F.col("row").alias("a"), zero.alias("a_first"), whole.alias("a_last"), F.col("same").alias("b"), zero.alias("b_first"), whole.alias("b_last"), F.lit(1.0).alias("similarity"), (F.col("same").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)")).cast("decimal(38,0)").alias("class"))
+    in_class = runs.select(F.col("row").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), "class")
+    matches = matches.join(in_class, ["b", "b_first", "b_last"]).unionByName(copies)
+    matches = matches.withColumn("c", F.expr("class div cast(4294967296 as decimal(12,0))")).withColumn("class_first", (F.col("class") % F.lit(1 << 32).cast("decimal(12,0)")).cast("long"))
     name = lambda row, out_: ids.select(F.col("row").alias(row), F.col("doc_id").alias(out_))
-    done = matches.join(name("a", "doc_id"), "a").join(name("b", "other_id"), "b")
-    return done.select("doc_id", F.col("a_first").alias("first_word"), F.col("a_last").alias("last_word"), "other_id", F.col("b_first").alias("other_first"), F.col("b_last").alias("other_last"), "similarity")
+    done = matches.join(name("a", "doc_id"), "a").join(name("b", "other_id"), "b").join(name("c", "class_id"), "c")
+    return done.select("doc_id", F.col("a_first").alias("first_word"), F.col("a_last").alias("last_word"), "other_id", F.col("b_first").alias("other_first"), F.col("b_last").alias("other_last"), "similarity", "class_id", "class_first")
 
 
 def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def variants(spark):
     for k in range(40):
         passage = text(50)
         start = r.randrange(1, 5)
-        early.append((k, " ".join(text(40) + passage[start : start + 45] + text(40))))
+        early.append((k, " ".join(text(40) + passage[start : start + 42] + text(40))))
         late += [(100 + 2 * k + j, " ".join(text(30) + passage + text(30))) for j in range(2)]
     return spark.createDataFrame(early + late, "doc_id long, text string").coalesce(1), {(100 + 2 * k, 101 + 2 * k) for k in range(40)}
 
@@ -208,22 +208,79 @@ def test_all_passages_of_two_documents_are_found(spark):
     assert {(r.other_id, r.doc_id, r.other_first, r.other_last, r.first_word, r.last_word) for r in got} == want
 
 
-def test_recall_of_variants(spark):
-    """200 pairs of passages of 50 words, one word changed: similarity 41 / 51."""
-    assert sum(math.comb(windows.K, k) * 0.8**k * 0.2 ** (windows.K - k) for k in range(windows.NEED, windows.K + 1)) > 0.985
-    r = random.Random(3)
+def changed(r, x, n):
+    """x with n words replaced, dropped or put in."""
+    x = list(x)
+    for _ in range(n):
+        k, how = r.randrange(len(x)), r.random()
+        x[k : k + (how < 0.8)] = [f"c{r.randrange(10**7)}"] * (how < 0.6 or how >= 0.8)
+    return x
+
+
+def shingled(x):
+    return {tuple(x[j : j + 5]) for j in range(len(x) - 4)}
+
+
+def linked_by_class(got):
+    """Pairs of documents that share a class of passages."""
+    of = defaultdict(set)
+    for r in got:
+        of[r.class_id, r.class_first] |= {r.doc_id, r.other_id}
+    return lambda i, j: any(i in v and j in v for v in of.values())
+
+
+@pytest.mark.parametrize("n", [50, 70, 120])
+def test_recall_of_pairs(spark, n):
+    """Isolated pairs of passages of n words with some words changed, against brute force."""
+    r = random.Random(n)
     text = lambda n: [f"q{r.randrange(10**7)}" for _ in range(n)]
     rows, want = [], set()
-    for k in range(200):
-        x = text(50)
-        y = [*x[:25], "changed", *x[26:]]
-        s, t = ({tuple(w[j : j + 5]) for j in range(46)} for w in (x, y))
-        if len(s & t) >= 0.8 * len(s | t):
-            want.add((2 * k, 2 * k + 1))
-        rows += [(2 * k + j, " ".join(text(40) + w + text(40))) for j, w in enumerate((x, y))]
-    got = {(r.other_id, r.doc_id) for r in windows.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
-    print("recall", len(got & want), "of", len(want))
-    assert len(want) == 200 and got <= want and len(got) >= 190
+    while len(want) < 150:
+        x = text(n)
+        y = changed(r, x, r.randint(0, n // 40))
+        s, t = shingled(x), shingled(y)
+        if min(len(x), len(y)) >= 50 and len(s & t) >= 0.8 * len(s | t):
+            k = len(rows)
+            want.add((k, k + 1))
+            rows += [(k + j, " ".join(text(40) + w + text(40))) for j, w in enumerate((x, y))]
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    pairs = {(min(r.other_id, r.doc_id), max(r.other_id, r.doc_id)) for r in got}
+    print("recall", n, len(pairs & want), "of", len(want))
+    assert pairs <= want and len(pairs) >= 0.95 * len(want) and len(got) == len(set(got))
+
+
+def test_recall_in_clusters(spark):
+    """Variants of a passage: every two that are similar are in one class, though both may differ from the representative."""
+    r = random.Random(8)
+    text = lambda n: [f"k{r.randrange(10**7)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(4):
+        base = text(70)
+        members = [changed(r, base, r.randint(0, 3)) for _ in range(40)]
+        for i, x in enumerate(members):
+            rows.append((100 * k + i, " ".join(text(30) + x + text(30))))
+            for j in range(i):
+                s, t = shingled(x), shingled(members[j])
+                if len(s & t) >= 0.8 * len(s | t):
+                    want.add((100 * k + j, 100 * k + i))
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    together = linked_by_class(got)
+    found = sum(together(i, j) for i, j in want)
+    print("recall in clusters", found, "of", len(want))
+    assert found >= 0.97 * len(want) and len(got) == len(set(got))
+
+
+def test_two_equal_passages_in_three_documents(spark):
+    r = random.Random(2)
+    text = lambda n: [f"z{r.randrange(10**7)}" for _ in range(n)]
+    a, b = text(80), text(80)
+    rows = [(k, " ".join(text(10 + k) + a + text(30 + 5 * k) + b + text(8))) for k in (1, 2, 3)]
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(set(got))
+    for r in got:
+        assert r.last_word - r.first_word == r.other_last - r.other_first == 79 and r.similarity == 1
+    assert {i for r in got for i in (r.doc_id, r.other_id)} == {1, 2, 3} and len(got) == 4
+    assert {(r.class_id, r.class_first) for r in got} == {(1, 11), (1, 11 + 80 + 35)}
 
 
 def test_window_bounds():
