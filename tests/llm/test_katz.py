@@ -64,11 +64,13 @@ def texts():
     return [*rows, (None, None), (500, ""), (501, "\t \n"), (3, rows[3][1]), (3, rows[3][1]), (777, "new words only here"), (778, "a b " * 3000)]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_match_brute_force(spark, monkeypatch, order):
+@pytest.mark.parametrize("order, parts, hot", [(1, 1, 10**6), (2, 1, 10**6), (3, 1, 10**6), (2, 7, 20), (3, 5, 3), (4, 3, 2)])
+def test_scores_match_brute_force(spark, monkeypatch, order, parts, hot):
+    """Also with several blocks, partitions and contexts dealt in shares."""
+    monkeypatch.setattr(katz, "count_parts", lambda table, name: parts)
     rows = texts()
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, block string, part int").repartition(3)
-    got = katz.train_and_score(df, order)[0].collect()
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, block string, part int").repartition(3 * parts)
+    got = katz.score(df, order, hot).collect()
     want, _, _ = brute(rows, order)
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     assert len(got) == len(want)
@@ -77,13 +79,55 @@ def test_scores_match_brute_force(spark, monkeypatch, order):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
-def test_contexts_add_up_to_one():
-    rows = texts()
-    _, p, c = brute(rows, 2)
-    vocabulary = [w for (w,) in c[1]] + ["unseen word"]
-    for h in vocabulary[:-1]:
-        assert sum(p((h,), w) for w in vocabulary) == pytest.approx(1)
+@pytest.mark.parametrize("hot", [10**6, 5])
+def test_contexts_add_up_to_one(spark, monkeypatch, hot):
+    """The engine's own tables: in each context the seen n-grams and alpha times the lower level's rest are 1."""
+    monkeypatch.setattr(katz, "count_parts", lambda table, name: 3)
+    df = spark.createDataFrame(texts(), "doc_id long, text string").repartition(4)
+    model, words, grams, contexts = katz.model_tables(df, 3, hot)
+    level1 = {r.word: model.unigram(r["count"]) for r in words.collect()}
+    assert sum(level1.values()) + model.unseen == pytest.approx(1)
+    low, seen = {}, defaultdict(dict)
+    for r in grams.collect():
+        seen[r.level, r.context][r.word] = (r["count"], r.ngram)
+    of = {(r.level, r.context): r for r in contexts.collect() if r.n}
+    assert set(of) == set(seen) and len(of) > 10
+    probability, suffix = {}, {}
+    for level in (2, 3):
+        for (k, h), follow in seen.items():
+            if k != level:
+                continue
+            r = of[k, h]
+            kept = {w: c * (model.d[k - 1][c] if c <= katz.KATZ else 1) / r.used for w, (c, _) in follow.items()}
+            if level == 2:
+                rest = 1 - sum(level1[w] for w in follow)
+                for w, (_, ngram) in follow.items():
+                    suffix[ngram] = w
+                low[h] = (kept, r.alpha)
+            else:
+                backed, alpha = low[suffix[h]]  # the context's last word
+                rest = 1 - sum(backed.get(w, alpha * level1[w]) for w in follow)
+            assert sum(kept.values()) + r.alpha * rest == pytest.approx(1)
+            assert r.n == sum(c for c, _ in follow.values()) and 0 <= r.alpha
+
+
+def test_held_out_texts_gain_by_order(spark):
+    """Held-out texts score better with bigrams than with single words."""
+    import random
+
+    r = random.Random(1)
+    follow = {f"w{k}": [f"w{r.randrange(50)}" for _ in range(3)] for k in range(50)}
+
+    def text():
+        w = ["w0"]
+        for _ in range(40):
+            w.append(r.choice(follow[w[-1]]))
+        return " ".join(w)
+
+    df = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    by = [sum(x.score for x in katz.score(df, order).collect() if x.held_out) for order in (1, 2)]
+    assert by[1] > 0.6 * by[0]
 
 
 def test_empty_table(spark):
-    assert katz.train_and_score(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+    assert katz.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
