@@ -18,8 +18,8 @@ are a table, grouped by signature.
    least NEED of the K minima around their centres agree, and are verified likewise. So no pair is given up because it
    differs from its representative; within a class, copies are not expanded into all pairs.
 
-Two passages of similarity s share a pair's signature with a chance of s * s for each of the BANDS; repeats that are
-equal share all. What is returned was verified, on 32-bit hashes of the shingles.
+Two passages of similarity s share a pair's signature with a chance of s * s for each of the BANDS (0.98 for one of them
+at 0.8, more where they are longer than `least`); repeats that are equal share all. What is returned was verified, on 32-bit hashes of the shingles.
 
 Defined cases: null texts and texts shorter than a passage match nothing; texts equal in all shingles are compared once
 and the others reported as copies of the first; equal rows are such copies; null ids are reported as null;
@@ -39,8 +39,8 @@ from sheafworks.llm.jaccard import MULT, mix, tokenise, total
 
 #: Words of a shingle, hash functions, how many must agree around a signature, shingles of the shortest passage (50 words), similarity.
 WIDTH, K, NEED, LEAST, NUM, DEN = 5, 8, 4, 46, 80, 100
-#: Pairs of functions whose minima are a signature: a ring, so that of any five functions that agree two are a pair.
-BANDS = [(k, (k + 1) % K) for k in range(K)]
+#: Pairs of functions whose minima are a signature: of any five functions that agree two are a pair.
+BANDS = [(k, k + 1) for k in range(0, K, 2)]
 
 
 def sequence(b: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +127,19 @@ class Passages:
         found = [least_of_runs(mix(self.h1, k), self.m1, least) for k in range(K)]
         self.at, self.low = found[0][0], [low for _, low in found]
         self.signatures = [self.band(n, x, y) for n, (x, y) in enumerate(BANDS)]
-        self.keys, self.count = np.unique(np.concatenate([v for _, v in self.signatures]) >> np.uint64(64 - bits), return_counts=True)
+        # distinct signatures, and in how many texts they are
+        v, doc = np.concatenate([v for _, v in self.signatures]) >> np.uint64(64 - bits), np.concatenate([self.text_of(self.at[first]) for first, _ in self.signatures])
+        order = np.argsort(v, kind="stable")
+        v, doc = v[order], doc[order]
+        new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
+        self.keys = v[new]
+        self.count = np.add.reduceat((new | np.concatenate([[True], doc[1:] != doc[:-1]])).astype(np.int64), np.nonzero(new)[0]) if len(v) else np.zeros(0, np.int64)
         self.runs = runs_of(part_of(self.keys, bits, parts))
         self.text_runs = runs_of(part_of(self.sig[0][self.asked], 64, parts))
 
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start1 + self.m1, at, side="right")
+
     def band(self, n: int, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of passages with the same two minima begin (places in self.at), and their signatures."""
         p, q, at = self.low[x], self.low[y], self.at
@@ -169,7 +178,7 @@ class Passages:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.h1, 6), dtype=np.uint64)])
         for (x, y), (first, v) in zip(BANDS, self.signatures, strict=True):
             p, q = self.low[x][first], self.low[y][first]
-            doc = np.searchsorted(self.start1 + self.m1, p, side="right")
+            doc = self.text_of(p)
             ok = self.twice[np.searchsorted(self.keys, v >> np.uint64(64 - self.bits))] & self.own[doc]
             p, q, doc, v = p[ok], q[ok], doc[ok], v[ok]
             at_x, at_y = np.searchsorted(bounds[x][0], p), np.searchsorted(bounds[y][0], q)
@@ -180,12 +189,12 @@ class Passages:
             where = np.searchsorted(self.at, around)
             sketch = np.zeros(len(p), np.uint64)
             for k in range(K):
-                sketch |= (mix(self.h1[self.low[k][where]], k) & np.uint64(255)) << np.uint64(8 * k)
-            yield v, sums[around + self.least] - sums[around], sketch, doc, lo - begin, p - begin, q - begin, hi - begin
+                sketch |= (mix(self.h1[self.low[k][where]], k) & np.uint64(15)) << np.uint64(4 * k)
+            yield v, (sums[around + self.least] - sums[around]) >> np.uint64(32), sketch, doc, lo - begin, p - begin, q - begin, hi - begin
 
 
 HEAD = "block long, part int, body binary"
-RECTANGLES = "v long, s long, sketch long, row long, lo int, p int, q int, hi int"
+RECTANGLES = "v long, s int, sketch int, row long, lo int, p int, q int, hi int"
 
 
 def asker(bits: int, parts: int, least: int):
@@ -224,10 +233,11 @@ def emitter(bits: int, parts: int, least: int):
         found = list(zip(*s.rectangles(), strict=True))
         v, content, sketch, doc, *places = (np.concatenate(x) for x in found)
         n, d = len(v), len(s.m)
-        long, int_ = (lambda x: pa.concat_arrays([pa.array(x.view(np.int64)), pa.nulls(d, pa.int64())])), (lambda x: pa.concat_arrays([pa.array(x.astype(np.int32)), pa.nulls(d, pa.int32())]))
+        padded = lambda x, kind: pa.concat_arrays([pa.array(x), pa.nulls(d, kind)])
+        long, int_ = (lambda x: padded(x.view(np.int64), pa.int64())), (lambda x: padded(x.astype(np.uint32).view(np.int32), pa.int32()))
         only = lambda x: pa.concat_arrays([pa.nulls(n, pa.int64()), x])
         return pa.table({
-            "v": long(v), "s": long(content), "sketch": long(sketch), "row": pa.array(np.concatenate([s.rows[doc], s.rows])), **{name: int_(x) for name, x in zip(("lo", "p", "q", "hi"), places, strict=True)},
+            "v": long(v), "s": int_(content), "sketch": int_(sketch), "row": pa.array(np.concatenate([s.rows[doc], s.rows])), **{name: int_(x) for name, x in zip(("lo", "p", "q", "hi"), places, strict=True)},
             "doc_id": only(pa.array(s.ids, mask=s.null)), "same": only(pa.array(s.same)), "m": only(pa.array(s.m)),
         })
 
@@ -466,7 +476,7 @@ def apart(rectangles: DataFrame, runs: DataFrame, need: int) -> DataFrame:
     placed = stash(placed.join(open_, "v").withColumn("other", ~F.col("class").eqNullSafe(F.col("main")) | F.col("class").isNull()).drop("main"))
     differ = F.col("class").isNull() | F.col("o_class").isNull() | (F.col("class") != F.col("o_class"))
     x = F.col("sketch").bitwiseXOR(F.col("o_sketch"))
-    agree = sum((F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for k in range(K))
+    agree = sum((F.shiftright(x, 4 * k).bitwiseAND(F.lit(15)) == 0).cast("int") for k in range(K))
     once = ~F.col("o_other") | (F.col("row") > F.col("o_row"))
     return meeting(placed.where("other"), placed, differ & once & (agree >= need))
 
