@@ -44,8 +44,8 @@ def parse_data_uri(text: Column, default_mime: str = "image/png") -> tuple[Colum
 
 
 def hex_encode(text: Column) -> Column:
-    """Two digits for each Latin-1 byte."""
-    return F.hex(F.encode(text, "ISO-8859-1"))
+    """Two digits for each character's Latin-1 byte; of characters beyond, for the low byte of each UTF-16 unit."""
+    return F.regexp_replace(F.hex(F.encode(text, "UTF-16BE")), "(..)(..)", "$2")
 
 
 def hex_decode(digits: Column) -> Column:

@@ -5,38 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this many terms are a literal in the plan; more are a table that is joined.
+#: Up to this many terms are literals in the plan; more are a table that is joined. Both are cleaned by the same expression.
 INLINE = 200
+#: What is trimmed from terms: all white space, as a browser does.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-def clean_terms(terms: list[str], case_sensitive: bool = False) -> list[str]:
-    cleaned = dict.fromkeys(t.strip() for t in terms)
-    return [t if case_sensitive else t.lower() for t in cleaned if t]
+def cased(text: Column, case_sensitive: bool) -> Column:
+    return text if case_sensitive else F.lower(text)
+
+
+def cleaned(term: Column, case_sensitive: bool = False) -> Column:
+    """A term as it is looked for; null if it is blank."""
+    t = cased(F.btrim(term, F.lit(WHITE)), case_sensitive)
+    return F.when(t != "", t)
 
 
 def holds(text: Column, terms: list[str], case_sensitive: bool = False) -> Column:
-    """Whether text holds a term."""
-    text = text if case_sensitive else F.lower(text)
+    """Whether text holds a term; for a list of any length, also on streams."""
+    text, terms = cased(text, case_sensitive), list(dict.fromkeys(terms))
+    if len(terms) > INLINE:
+        return F.coalesce(F.exists(F.lit(terms), lambda t: F.coalesce(F.contains(text, cleaned(t, case_sensitive)), F.lit(False))), F.lit(False))
     out = F.lit(False)
-    for t in clean_terms(terms, case_sensitive):
-        out = out | F.contains(text, F.lit(t))
-    return F.coalesce(out, F.lit(False))
+    for t in terms:
+        out = out | F.coalesce(F.contains(text, cleaned(F.lit(t), case_sensitive)), F.lit(False))
+    return out
 
 
-def find_terms(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: bool = False) -> DataFrame:
-    """Runs with a term in them, each once. Terms: a list, or a table (term) that Spark joins as its size allows."""
+def texts_with(runs: DataFrame, terms: DataFrame, case_sensitive: bool) -> DataFrame:
+    """(hit): the distinct texts, as they are compared, that hold a term of the table (term).
+
+    A text's pieces of the lengths that terms have are joined with the terms by equality, so that the work does not grow
+    with texts times terms. Only the distinct lengths reach the driver.
+    """
+    table = terms.select(cleaned(F.col("term"), case_sensitive).alias("t")).where("t is not null").distinct()
+    lengths = sorted(r.n for r in table.select(F.length("t").alias("n")).distinct().collect())
+    texts = runs.select(cased(F.col("run_text"), case_sensitive).alias("hit")).where("hit is not null").distinct()
+    starts = F.sequence(F.lit(1), F.length("hit") - F.col("n") + 1)
+    sized = texts.select("hit", F.explode(F.lit(lengths).cast("array<int>")).alias("n")).where(F.length("hit") >= F.col("n"))
+    pieces = sized.select("hit", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("hit"), i, F.col("n"))))).alias("t"))
+    return pieces.join(table, "t", "left_semi").select("hit").distinct()
+
+
+def matched(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: bool, keep: bool) -> DataFrame:
+    """Runs with a term in them (keep), or the others. Terms: a list, or a table (term)."""
     if isinstance(terms, list) and len(terms) <= INLINE:
-        return runs.where(holds(F.col("run_text"), terms, case_sensitive))
+        hit = holds(F.col("run_text"), terms, case_sensitive)
+        return runs.where(hit if keep else ~hit)
     table = terms if isinstance(terms, DataFrame) else runs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    term = F.trim("term") if case_sensitive else F.lower(F.trim("term"))
-    table = table.select(term.alias("_term")).where("_term <> ''").distinct()
-    text = F.col("run_text") if case_sensitive else F.lower("run_text")
-    return runs.join(table, F.contains(text, F.col("_term")), "left_semi")
+    found = texts_with(runs, table, case_sensitive)
+    return runs.join(found, cased(F.col("run_text"), case_sensitive) == F.col("hit"), "left_semi" if keep else "left_anti")
+
+
+def find_terms(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """Runs with a term in them, each once."""
+    return matched(runs, terms, case_sensitive, True)
 
 
-def redact_runs(runs: DataFrame, terms: list[str], case_sensitive: bool = False) -> DataFrame:
-    """What is left without the runs that hold a term: one pass, no join."""
-    return runs.where(~holds(F.col("run_text"), terms, case_sensitive))
+def redact_runs(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """What is left without the runs that hold a term; runs without text stay."""
+    return matched(runs, terms, case_sensitive, False)
 
 
 def redaction_boxes(runs: DataFrame, terms: list[str]) -> DataFrame:
@@ -49,9 +77,9 @@ def redaction_boxes(runs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def redaction_report(runs: DataFrame, terms: list[str]) -> DataFrame:
-    """Matching runs by page, by document and in all; level is 0, 1 and 3."""
-    hit = runs.select("doc_id", "page_no", holds(F.col("run_text"), terms).cast("long").alias("hit"))
-    return hit.rollup("doc_id", "page_no").agg(F.sum("hit").alias("hits"), F.grouping_id().alias("level"))
+    """Matching runs by page, by document and in all; level is 0, 1 and 3. Pages are added up first, then rolled up."""
+    pages = runs.select("doc_id", "page_no", holds(F.col("run_text"), terms).cast("long").alias("hit")).groupBy("doc_id", "page_no").agg(F.sum("hit").alias("hit"))
+    return pages.rollup("doc_id", "page_no").agg(F.sum("hit").alias("hits"), F.grouping_id().alias("level"))
 
 
 def verify_redaction(runs: DataFrame, redacted: DataFrame, terms: list[str]) -> DataFrame:

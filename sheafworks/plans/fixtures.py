@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from sheafworks.functions.tables import read
 from sheafworks.operators.pages import paginate
 
 TERMS = ["the", "tion", " ", "EAU"]
+#: More terms than are put into a plan: pairs of syllables, in blanks and either case.
+SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "eau", "ou", "è", "ê", "ç", "ñ", "ß", "ung", "ti"]
+MANY_TERMS = [f"\t{(a + b).upper()}\n" if (i + j) % 2 else f"\xa0 {a + b}" for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES)]
 
 VIEWS = {
     "doc_pages": "select doc_id, cast(i as int) as page_no, substr(text, (i-1)*500+1, 500) as page_text from (select doc_id, text, unnest(generate_series(1, greatest(1, (length(text)+499)//500))) as i from documents)",
@@ -32,10 +37,12 @@ union all select 'n'||n_nationkey, 'r'||n_regionkey, 'Font' from nation union al
 case o_orderkey % 8 when 0 then 3 when 1 then 3 when 2 then 4 when 3 then 4 when 6 then 4 when 7 then 0 else (o_orderkey // 8) % 4 + 1 end as n from orders)""",
     "pixels": """select vec_id as image_id, cast(p % 8 as int) as x, cast(p // 8 as int) as y, c[p+1] as r, c[(p+21) % 64 + 1] as g, c[(p+42) % 64 + 1] as b, case when (p % 8 + p // 8) % 5 = 0 then 128 else 255 end as a
 from (select vec_id, c, unnest(range(0, 64)) as p from (select vec_id, list_transform(embedding, lambda v: cast(least(255, greatest(0, floor((cast(v as double)+1e0)*127.5e0))) as int)) as c from embeddings))""",
+    "mixed_dims": "select vec_id as image_id, cast(4 + vec_id % 5 as int) as width, cast(3 + vec_id % 6 as int) as height from embeddings",
+    "mixed_pixels": "select p.image_id, cast((p.y*8 + p.x) % d.width as int) as x, cast((p.y*8 + p.x) // d.width as int) as y, r, g, b, a from pixels p join mixed_dims d on p.image_id = d.image_id where p.y*8 + p.x < d.width*d.height",
     "image_dims": "select p_partkey as image_id, p_name||'.png' as name, p_size*40 as width, cast((p_partkey % 37 + 1)*30 as int) as height, p_partkey*13 + 1000 as size_before, (p_partkey*7919) % 30000 as size_after, (['image/png','image/jpeg','image/webp','image/gif'])[p_partkey % 4 + 1] as mime, cast(p_partkey % 10 as int) as orientation from part",
     "clicks": "select event_id, user_id, ts, event_id % (select count(*) from embeddings) as image_id, value/400e0 as fx, cast(event_id % 97 as double)/90e0 as fy from events",
     "samples": "select user_id as row_id, row_number() over (partition by user_id order by ts, event_id) as pos, cast(floor(value) as int) % 256 as delta from events",
-    "entries": "select source as archive, doc_id as entry_no, 'doc-'||doc_id||'.txt' as name, strlen(text) as size, (strlen(text)*(doc_id % 13))//10 as compressed_size from documents",
+    "entries": "select source as archive, doc_id as entry_no, 'doc-'||doc_id||'.txt' as name, strlen(text) as size, (strlen(text)*(doc_id % 13))//10 as compressed_size, text as data from documents",
     "catalog": "select cast(p_partkey as varchar) as slug, p_type as category, p_name as title, p_brand as description, case when p_size > 5 then 'ready' else 'planned' end as status from part",
 }
 
@@ -46,7 +53,7 @@ def sql(body: str, *names: str) -> str:
 
     def add(name: str) -> None:
         for other in VIEWS:
-            if other != name and f"from {other}" in VIEWS[name] and other not in need:
+            if other != name and re.search(rf"(from|join) {other}\b", VIEWS[name]) and other not in need:
                 add(other)
         if name not in need:
             need.append(name)
@@ -139,6 +146,18 @@ def pixel_dims(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"))
 
 
+def mixed_dims(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of several sizes."""
+    k = F.col("vec_id")
+    return read(spark, d, "embeddings").select(k.alias("image_id"), (4 + k % 5).cast("int").alias("width"), (3 + k % 6).cast("int").alias("height"))
+
+
+def mixed_pixels(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("y") * 8 + F.col("x")
+    p = pixels(spark, d).join(mixed_dims(spark, d), "image_id").where(n < F.col("width") * F.col("height"))
+    return p.select("image_id", (n % F.col("width")).alias("x"), F.floor(n / F.col("width")).cast("int").alias("y"), "r", "g", "b", "a")
+
+
 def rasters(spark: SparkSession, d: str) -> DataFrame:
     """One row for each picture: width, height and row-major channel arrays."""
     c = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 1.0) * 127.5))).cast("int"))

@@ -19,6 +19,10 @@ def on_pixels(f, *args, **kw):
     return lambda s, d: f(fx.pixels(s, d), fx.pixel_dims(s, d), *args, **kw)
 
 
+def on_mixed(f, *args, **kw):
+    return lambda s, d: f(fx.mixed_pixels(s, d), fx.mixed_dims(s, d), *args, **kw)
+
+
 def tiles(spark, d):
     t = raster.watermark_tiles(fx.image_dims(spark, d), WIDTH / 1000 * 48, 48)
     return t.select("image_id", six("x").alias("x"), six("y").alias("y"))
@@ -87,9 +91,8 @@ def parsed(spark, d):
 
 
 def hexed(spark, d):
-    only = F.regexp_replace("text", "[^\\x20-\\x7E]", "")
-    coded = encoding.hex_encode(only)
-    return read(spark, d, "documents").select("doc_id", coded.alias("hex"), F.decode(encoding.hex_decode(F.concat(F.lit("zz "), coded, F.lit("4"))), "UTF-8").alias("back"))
+    coded = encoding.hex_encode(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", coded.alias("hex"), F.decode(encoding.hex_decode(F.concat(F.lit("zz "), coded, F.lit("4"))), "ISO-8859-1").alias("back"))
 
 
 def dates(spark, d):
@@ -114,7 +117,7 @@ def names(spark, d):
 
 
 def manifest(spark, d):
-    return archive.archive_manifest(fx.entries(spark, d).drop("data")).select("archive", "entry_no", "method", "payload", "offset", "central_size")
+    return archive.archive_manifest(fx.entries(spark, d)).select("archive", "entry_no", "method", "payload", "crc", "offset", "central_size")
 
 
 QUERIES = {
@@ -123,6 +126,11 @@ QUERIES = {
     "crop_pixels": on_pixels(raster.crop_pixels, 2, 3, 4, 99),
     "rotate_90_flip_h": on_pixels(raster.rotate_flip_pixels, 90, True, False),
     "rotate_180_flip_v": on_pixels(raster.rotate_flip_pixels, 180, False, True),
+    "crop_mixed_sizes": on_mixed(raster.crop_pixels, 5, 1, 3, 4),
+    "rotate_mixed_sizes": on_mixed(raster.rotate_flip_pixels, 270, True, False),
+    "rotate_none_mixed_sizes": on_mixed(raster.rotate_flip_pixels, 0, False, True),
+    "resize_mixed_sizes": on_mixed(raster.resize_pixels, 6, 5),
+    "ascii_mixed_sizes": on_mixed(raster.ascii_cells, 3),
     "fit_dims": lambda s, d: raster.fit_dims(fx.image_dims(s, d), 1600).select("image_id", "new_width", "new_height"),
     "resize_width": lambda s, d: raster.resize_dims(fx.image_dims(s, d), width=333).select("image_id", "new_width", "new_height"),
     "resize_percent": lambda s, d: raster.resize_dims(fx.image_dims(s, d), pct=50).select("image_id", "new_width", "new_height"),
@@ -174,9 +182,12 @@ def filter_sql() -> str:
     return sql("select image_id, x, y, " + ", ".join(f"cast(floor({c}+0.5e0) as int) as {c}" for c in "rgb") + f", a from ({inner})", "pixels")
 
 
+CELL = "substr('{0}', cast(least(9, floor((1e0-(0.299::double*r+0.587::double*g+0.114::double*b)/255e0)*10)) as int)+1, 1)"
+
+
 def ascii_sql(ramp: str, art: bool = True) -> str:
     cells = "select image_id, x*6//8 as nx, y*3//8 as ny, cast(floor(avg(r)+0.5e0) as int) as r, cast(floor(avg(g)+0.5e0) as int) as g, cast(floor(avg(b)+0.5e0) as int) as b from pixels group by all"
-    ch = f"substr('{ramp}', cast(least(9, floor((1e0-(0.299::double*r+0.587::double*g+0.114::double*b)/255e0)*10)) as int)+1, 1)"
+    ch = CELL.format(ramp)
     if not art:
         return sql(f"select image_id, nx as x, ny as y, r, g, b, {ch} as ch from ({cells})", "pixels")
     return sql(f"select image_id, string_agg(line, chr(10) order by ny) as art from (select image_id, ny, string_agg({ch}, '' order by nx) as line from ({cells}) group by image_id, ny) group by image_id", "pixels")
@@ -204,6 +215,19 @@ CMYK = LUM.format(**{c: f"(1e0-least(1e0, args[{i}]+args[4]))" for c, i in zip("
 RGB3 = LUM.format(r="args[1]", g="args[2]", b="args[3]")
 GRAY = f"case when op in ('rg','RG') then {RGB3} when op in ('k','K') then {CMYK} when op in ('sc','SCN') then case len(args) when 1 then args[1] when 3 then {RGB3} when 4 then {CMYK} end end"
 SIZE = "size*entry_no*entry_no"
+#: The low bytes of a character's UTF-16 units.
+UNITS = "case when unicode(c) < 65536 then [unicode(c) & 255] else [((unicode(c) - 65536) >> 10) & 255, unicode(c) & 255] end"
+
+
+def crc_sql(data: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, by the usual table of 256 remainders."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    octets = f"list_transform(regexp_extract_all(hex(encode({data})), '..'), lambda h: ('0x' || h)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda crc, b: xor(crc >> 8, ({table}::bigint[])[(xor(crc, b) & 255) + 1])), 4294967295::bigint)"
 
 
 def scaled_sql(power: int, unit: str) -> str:
@@ -217,6 +241,11 @@ ORACLES = {
     "crop_pixels": sql(f"select {PIX.format('x-2', 'y-3')} from pixels where x between 2 and 5 and y between 3 and 7", "pixels"),
     "rotate_90_flip_h": sql(f"select {PIX.format('7-y', '7-x')} from pixels", "pixels"),
     "rotate_180_flip_v": sql(f"select {PIX.format('7-x', 'y')} from pixels", "pixels"),
+    "crop_mixed_sizes": sql("select image_id, x-x0 as x, y-1 as y, r, g, b, a from (select p.*, least(5, width-1) as x0, width, height from mixed_pixels p join mixed_dims d on p.image_id = d.image_id) where x >= x0 and x < x0 + least(3, width-x0) and y >= 1 and y < 1 + least(4, height-1)", "mixed_pixels", "mixed_dims"),
+    "rotate_mixed_sizes": sql("select p.image_id, y as x, x as y, r, g, b, a from mixed_pixels p", "mixed_pixels"),
+    "rotate_none_mixed_sizes": sql("select p.image_id, x, height-1-y as y, r, g, b, a from mixed_pixels p join mixed_dims d on p.image_id = d.image_id", "mixed_pixels", "mixed_dims"),
+    "resize_mixed_sizes": sql(f"select m.image_id, x*6//width as x, y*5//height as y, {GROUPED} from mixed_pixels m join mixed_dims d on m.image_id = d.image_id where width >= 6 and height >= 5 group by m.image_id, x*6//width, y*5//height union all select m.image_id, i, j, r, g, b, a from mixed_pixels m join mixed_dims d on m.image_id = d.image_id join range(0,6) t(i) on m.x = i*width//6 join range(0,5) u(j) on m.y = j*height//5 where width < 6 or height < 5", "mixed_pixels", "mixed_dims"),
+    "ascii_mixed_sizes": sql(f"select image_id, nx as x, ny as y, r, g, b, {CELL.format(raster.RAMP)} as ch from (select m.image_id, x*3//width as nx, y*n//height as ny, cast(floor(avg(r)+0.5e0) as int) as r, cast(floor(avg(g)+0.5e0) as int) as g, cast(floor(avg(b)+0.5e0) as int) as b from mixed_pixels m join (select *, greatest(1, cast(floor(3*(height::double/width)*0.5e0+0.5e0) as int)) as n from mixed_dims) d on m.image_id = d.image_id group by all)", "mixed_pixels", "mixed_dims"),
     "fit_dims": sql(f"select image_id, {FIT.format('width')} as new_width, {FIT.format('height')} as new_height from image_dims", "image_dims"),
     "resize_width": sql("select image_id, 333 as new_width, greatest(1, cast(floor(333e0/(width::double/height)+0.5e0) as int)) as new_height from image_dims", "image_dims"),
     "resize_percent": sql("select image_id, greatest(1, cast(floor(width*0.5e0+0.5e0) as int)) as new_width, greatest(1, cast(floor(height*0.5e0+0.5e0) as int)) as new_height from image_dims", "image_dims"),
@@ -234,7 +263,7 @@ ORACLES = {
     "blur_rasters": blur_sql(),
     "collage_layout": sql(f"""select brand, image_id, r as row, c as col, 8+c*408 as cx, 8+r*408 as cy, {SIX.format('scale')} as scale, {SIX.format('(8+c*408+(400-width*scale)/2e0)')} as dx, {SIX.format('(8+r*408+(400-height*scale)/2e0)')} as dy, 1640 as canvas_w, cast(ceil(n/4e0) as int)*400+(cast(ceil(n/4e0) as int)+1)*8 as canvas_h
 from (select *, i % 4 as c, i // 4 as r, greatest(400e0/width, 400e0/height) as scale from (select d.*, p_brand as brand, row_number() over (partition by p_brand order by image_id)-1 as i, count(*) over (partition by p_brand) as n from image_dims d join part on p_partkey = image_id))""", "image_dims"),
-    "archive_manifest": sql("select archive, entry_no, method, payload, coalesce(sum(30+strlen(name)+payload) over (partition by archive order by entry_no rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\", 46+strlen(name) as central_size from (select *, case when compressed_size >= size then 0 else 8 end as method, case when compressed_size >= size then size else compressed_size end as payload from entries)", "entries"),
+    "archive_manifest": sql(f"select archive, entry_no, method, payload, {crc_sql('data')} as crc, coalesce(sum(30+strlen(name)+payload) over (partition by archive order by entry_no rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\", 46+strlen(name) as central_size from (select *, case when compressed_size >= size then 0 else 8 end as method, case when compressed_size >= size then size else compressed_size end as payload from entries)", "entries"),
     "icon_directory": sql("select archive, entry_no, size, (6+16*count(*) over (partition by archive)+coalesce(sum(size) over (partition by archive order by entry_no rows between unbounded preceding and 1 preceding), 0))::bigint as \"offset\" from entries", "entries"),
     "delta_decode": sql("select row_id, pos, delta, cast(sum(delta) over (partition by row_id order by pos) % 256 as int) as value from samples", "samples"),
     "pick_history": sql(f"select user_id, array_to_string(list_reduce(list_prepend([], list(hex order by ts, event_id).list_transform(lambda h: [h])), lambda acc, h: case when list_contains(acc, h[1]) then acc else list_slice(list_prepend(h[1], acc), 1, 16) end), ',') as history from ({PICK}) group by user_id", "clicks", "pixels"),
@@ -247,7 +276,7 @@ from (select *, i % 4 as c, i // 4 as r, greatest(400e0/width, 400e0/height) as
     "flatten_alpha": sql("select image_id, x, y, " + ", ".join(f"cast(floor(a/255e0*{c}+(1e0-a/255e0)*255e0+0.5e0) as int) as {c}" for c in "rgb") + ", 255 as a from pixels", "pixels"),
     "to_data_uri": "select doc_id, 'data:text/plain;base64,'||base64(encode(text)) as uri, base64(encode(text)) as bare from documents",
     "parse_data_uri": "select doc_id, case when doc_id % 2 = 0 then 'image/webp' else 'image/png' end as mime, text, case when doc_id % 2 = 0 then 'webp' else 'png' end as ext from documents",
-    "hex_coding": r"select doc_id, hex(t) as hex, t as back from (select doc_id, regexp_replace(text, '[^\x20-\x7E]', '', 'g') as t from documents)",
+    "hex_coding": f"select doc_id, array_to_string(list_transform(u, lambda b: upper(lpad(to_hex(b), 2, '0'))), '') as hex, array_to_string(list_transform(u, lambda b: chr(b)), '') as back from (select doc_id, flatten(list_transform(regexp_extract_all(text, '(?s).'), lambda c: {UNITS})) as u from documents)",
     "format_bytes": sql(f"select entry_no, case when {SIZE} < 1024 then ({SIZE})||' B' when {SIZE} < 1048576 then {scaled_sql(1, 'KB')} when {SIZE} < 1073741824 then {scaled_sql(2, 'MB')} when {SIZE} < 1099511627776 then {scaled_sql(3, 'GB')} else {scaled_sql(4, 'TB')} end as shown from entries", "entries"),
     "suggest_name": r"select page_id, regexp_replace(url, '\.[^.]+$', '')||'-small.webp' as named, regexp_replace(url, '\.[^.]+$', '')||'.'||split_part(url, '.', -1) as same from pages",
     "dates": "select event_id, strftime(ts, 'D:%Y%m%dT%H%M%SZ') as pdf_date, cast(((year(ts)-1980)<<9)|(month(ts)<<5)|day(ts) as int) as dos_date, cast((hour(ts)<<11)|(minute(ts)<<5)|(second(ts)>>1) as int) as dos_time from events",

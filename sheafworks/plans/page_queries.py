@@ -14,6 +14,8 @@ WIDTH = sum(HELV[ord(c) - 32] for c in LABEL)
 RANGES = "1-3, 5,8-12, 2-4, 5-3, abc, 999"
 CODE_RANGES = [(1, 65, 90, 97), (2, 97, 122, 65), (3, 70, 72, 48)]
 SIX = "floor({0}*1e6+0.5e0)/1e6"
+MANY = "regexp_matches(lower(run_text), '" + "|".join(sorted({t.strip().lower() for t in fx.MANY_TERMS})) + "')"
+BOXES = "select doc_id, page_no, run_seq, x-1e0 as x, y-font_size*0.25e0-1e0 as y, end_x-x+2e0 as w, (y+font_size*0.85e0)-(y-font_size*0.25e0)+2e0 as h from text_runs"
 HIT = "(contains(lower(run_text), 'the') or contains(lower(run_text), 'tion') or contains(lower(run_text), 'eau'))"
 
 
@@ -35,7 +37,7 @@ def remapped(spark, d):
 def reached(spark, d):
     from sheafworks.functions.tables import read
 
-    roots = read(spark, d, "orders").where("o_orderkey < 200").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    roots = read(spark, d, "orders").where("o_orderstatus = 'O'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
     return objects.reachable(fx.object_edges(spark, d), roots)
 
 
@@ -68,8 +70,8 @@ def documents_text(breaks):
 
 def coded(spark, d):
     ranges = spark.createDataFrame(CODE_RANGES, "range_no int, lo int, hi int, base int")
-    codes = fx.text_runs(spark, d).select("doc_id", "run_seq", F.ascii(F.substring("run_text", 1, 1)).alias("code"))
-    return text.decode_codes(codes, ranges).select("doc_id", "run_seq", "code", "ch", "unmapped")
+    codes = fx.text_runs(spark, d).select("doc_id", "run_seq", F.posexplode(F.split("run_text", "")).alias("pos", "c")).where("c <> ''")
+    return text.decode_codes(codes.select("doc_id", "run_seq", "pos", F.ascii("c").alias("code")), ranges).select("doc_id", "run_seq", "pos", "code", "ch", "unmapped")
 
 
 def measured(spark, d):
@@ -81,6 +83,11 @@ def verified(spark, d):
     return redact.verify_redaction(runs, redact.redact_runs(runs, TERMS), TERMS)
 
 
+def half_verified(spark, d):
+    runs = fx.text_runs(spark, d)
+    return redact.verify_redaction(runs, redact.redact_runs(runs, TERMS[:1]), TERMS)
+
+
 BOX = ["doc_id", "page_no", "llx", "lly", "urx", "ury"]
 RUN = ["doc_id", "page_no", "run_seq", "run_text"]
 QUERIES = {
@@ -104,6 +111,10 @@ QUERIES = {
     "remap_refs": remapped,
     "redaction_report": lambda s, d: redact.redaction_report(fx.text_runs(s, d), TERMS),
     "verify_redaction": verified,
+    "verify_half_redaction": half_verified,
+    "find_many_terms": lambda s, d: redact.find_terms(fx.text_runs(s, d), fx.MANY_TERMS).select(*RUN),
+    "redact_many_terms": lambda s, d: redact.redact_runs(fx.text_runs(s, d), fx.MANY_TERMS).select(*RUN),
+    "boxes_of_many_terms": lambda s, d: redact.redaction_boxes(fx.text_runs(s, d), fx.MANY_TERMS),
     "page_text": page_text,
     "redacted_page_text": lambda s, d: page_text(s, d, redact.redact_runs(fx.text_runs(s, d), TERMS)),
     "document_text": documents_text(False),
@@ -162,19 +173,23 @@ ORACLES = {
     "search_catalog": sql("select * from catalog where contains(lower(title), 'ring') or contains(lower(description), 'ring') or contains(lower(category), 'ring')", "catalog"),
     "search_blank": sql("select * from catalog", "catalog"),
     "place_watermark": sql(f"select doc_id, page_no, {SIX.format(f'((llx+urx)/2e0 - {WIDTH / 1000 * 48 / 2!r}::double*cos(radians(45e0)))')} as x, {SIX.format(f'((lly+ury)/2e0 - {WIDTH / 1000 * 48 / 2!r}::double*sin(radians(45e0)))')} as y from boxes", "boxes"),
-    "redaction_boxes": sql(f"select doc_id, page_no, run_seq, x-1e0 as x, y-font_size*0.25e0-1e0 as y, end_x-x+2e0 as w, (y+font_size*0.85e0)-(y-font_size*0.25e0)+2e0 as h from text_runs where {HIT}", "text_runs"),
+    "redaction_boxes": sql(f"{BOXES} where {HIT}", "text_runs"),
     "split_by_ranges": sql("select doc_id, part_no, page_no from doc_pages join (values (1,1,3),(2,5,5),(3,8,12),(4,2,4),(5,5,3),(6,999,999)) r(part_no, lo, hi) on page_no between lo and hi", "doc_pages"),
     "find_terms": sql(f"select {', '.join(RUN)} from text_runs where {HIT}", "text_runs"),
     "redact_runs": sql(f"select {', '.join(RUN)} from text_runs where not {HIT}", "text_runs"),
     "measure_text": sql(f"select doc_id, run_seq, {SIX.format('(w/1000e0*font_size)')} as width from (select *, {width_sql('run_text')} as w from text_runs)", "text_runs"),
-    "decode_codes": sql("""select doc_id, run_seq, code, coalesce(chr(cast(coalesce(case when code between 70 and 72 then 48+code-70 when code between 97 and 122 then 65+code-97 when code between 65 and 90 then 97+code-65 end,
+    "decode_codes": sql("""select doc_id, run_seq, pos, code, coalesce(chr(cast(coalesce(case when code between 70 and 72 then 48+code-70 when code between 97 and 122 then 65+code-97 when code between 65 and 90 then 97+code-65 end,
 case when code between 32 and 126 then code when code = 145 then 8216 when code = 146 then 8217 when code = 147 then 8220 when code = 148 then 8221 when code = 149 then 8226 when code = 150 then 8211 when code = 151 then 8212 when code between 160 and 255 then code end) as int)), '�') as ch,
-not (code between 32 and 126 or code between 145 and 151 or code between 160 and 255) as unmapped from (select doc_id, run_seq, unicode(run_text) as code from text_runs)""", "text_runs"),
+not (code between 32 and 126 or code between 145 and 151 or code between 160 and 255) as unmapped from (select doc_id, run_seq, cast(i - 1 as int) as pos, unicode(substr(run_text, i, 1)) as code from (select *, unnest(range(1, length(run_text) + 1)) as i from text_runs))""", "text_runs"),
     "inherit_page_attrs": sql("select a.node_id, coalesce(a.media_w, b.media_w, c.media_w) as media_w, coalesce(a.rotate, b.rotate, c.rotate) as rotate from page_tree a left join page_tree b on a.parent_id = b.node_id left join page_tree c on b.parent_id = c.node_id", "page_tree"),
-    "reachable": with_views("select node from r", "r(node) as (select 'o'||o_orderkey from orders where o_orderkey < 200 union select dst from r join object_edges e on r.node = e.src where kind <> 'Parent')", "object_edges"),
+    "reachable": with_views("select node from r", "r(node) as (select 'o'||o_orderkey from orders where o_orderstatus = 'O' union select dst from r join object_edges e on r.node = e.src where kind <> 'Parent')", "object_edges"),
     "remap_refs": sql("select src, dst, kind, c_custkey as new_dst, count(*) as n from object_edges left join (select c_custkey from customer where c_custkey % 10 <> 0) on dst = 'c'||c_custkey group by all", "object_edges"),
     "redaction_report": sql(f"select doc_id, page_no, sum(case when {HIT} then 1 else 0 end)::bigint as hits, grouping(doc_id, page_no) as level from text_runs group by rollup(doc_id, page_no)", "text_runs"),
-    "verify_redaction": sql("select distinct doc_id, 0 as remaining from text_runs", "text_runs"),
+    "verify_redaction": sql(f"select doc_id, count(*) filter (not {HIT} and {HIT}) as remaining from text_runs group by doc_id", "text_runs"),
+    "verify_half_redaction": sql(f"select doc_id, count(*) filter (not contains(lower(run_text), 'the') and {HIT}) as remaining from text_runs group by doc_id", "text_runs"),
+    "find_many_terms": sql(f"select {', '.join(RUN)} from text_runs where {MANY}", "text_runs"),
+    "redact_many_terms": sql(f"select {', '.join(RUN)} from text_runs where not {MANY}", "text_runs"),
+    "boxes_of_many_terms": sql(f"{BOXES} where {MANY}", "text_runs"),
     "page_text": sql(page_text_sql("text_runs"), "text_runs"),
     "redacted_page_text": sql(page_text_sql(f"(select * from text_runs where not {HIT})"), "text_runs"),
     "document_text": document_sql("chr(10)||chr(10)"),

@@ -8,20 +8,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def normal_path(path: Column) -> Column:
-    """Paths as users give them and as Spark reports them, alike."""
-    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "%20", " ")
+def normal_path(path: Column, reported: bool) -> Column:
+    """Paths as users give them and, with their escapes undone, as Spark reports them: alike."""
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    return F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain) if reported else plain
 
 
 def read_corpus(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
     """All rows of the files (or folders of files) with input_order, the place of their path in the user's list.
 
-    The list is the user's own, so that its table is small; a path that holds many files gives them all its place.
+    The list is the user's own, so that its table is small; a path that holds many files gives them all its place. The
+    distinct files are matched with the list, the rows are joined with the files by equality.
     """
-    order = spark.createDataFrame([(p.rstrip("/"), k) for k, p in enumerate(paths)], "given string, input_order int").withColumn("given", normal_path(F.col("given")))
-    rows = spark.read.format(fmt).load(paths).withColumn("_path", normal_path(F.col("_metadata.file_path")))
+    order = spark.createDataFrame([(p.rstrip("/"), k) for k, p in enumerate(paths)], "given string, input_order int").withColumn("given", normal_path(F.col("given"), False))
+    rows = spark.read.format(fmt).load(paths).withColumn("_path", normal_path(F.col("_metadata.file_path"), True))
     here = (F.col("_path") == F.col("given")) | F.startswith(F.col("_path"), F.concat("given", F.lit("/")))
-    return rows.join(F.broadcast(order), here).drop("_path", "given")
+    files = rows.select("_path").distinct().join(F.broadcast(order), here).drop("given")
+    return rows.join(files, "_path").drop("_path")
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -4,29 +4,30 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sheafworks.operators.redact import redact_runs
+from sheafworks.operators.redact import holds
 
 
 def stream_redact(runs: DataFrame, terms: list[str]) -> DataFrame:
     """redact_runs on a stream: stateless, so that any sink and any trigger will do."""
-    return redact_runs(runs, terms)
+    return runs.where(~holds(F.col("run_text"), terms))
 
 
 def stream_pick_history(picks: DataFrame, k: int = 16) -> DataFrame:
-    """(user_id, history): after each micro-batch the list of the users that it touched, colours joined by commas.
+    """(user_id, history): after each micro-batch the lists of the users that it touched.
 
     The state of a user is at most k strings. Within a micro-batch picks are taken in the order of (ts, event_id).
     """
 
     def fold(key: tuple, batches, state: GroupState):
-        history = list(state.get[0].split(",")) if state.exists and state.get[0] else []
+        history = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for color in rows["hex"]:
             if color not in history:
                 history = [color, *history][:k]
-        state.update((",".join(history),))
-        yield pd.DataFrame({"user_id": [key[0]], "history": [",".join(history)]})
+        state.update((history,))
+        yield pd.DataFrame({"user_id": [key[0]], "history": [history]})
 
-    return picks.groupBy("user_id").applyInPandasWithState(fold, "user_id long, history string", "history string", "update", GroupStateTimeout.NoTimeout)
+    return picks.groupBy("user_id").applyInPandasWithState(fold, "user_id long, history array<string>", "history array<string>", "update", GroupStateTimeout.NoTimeout)

@@ -276,7 +276,7 @@ def test_stream_history_equals_batch(spark, tmp_path):
     q = streams.stream_pick_history(stream).writeStream.outputMode("update").format("memory").queryName("histories").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    last = {r.user_id: r.history for r in spark.table("histories").collect()}
+    last = {r.user_id: ",".join(r.history) for r in spark.table("histories").collect()}
     assert last == history_of(rows, 16)
 
 
@@ -291,6 +291,39 @@ def test_stream_redaction_equals_batch(spark, runs, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(redact.redact_runs(some, ["secret"]))
 
 
+@pytest.mark.parametrize("n", [1, 200, 201, 2000])
+def test_terms_are_cleaned_alike_however_many_they_are(spark, runs, n):
+    """The same runs by finding, boxes, removal and verification, for lists, tables and streams."""
+    terms = ["\t\xa0SECRET\n\ufeff", *[f"{k} \u3000" if k % 2 else f" \t{k}x" for k in range(1000, 999 + n)]]
+    more = runs.unionByName(spark.createDataFrame([(3, 1, 1, "É 1001a", 10.0, 0.0, 0.0, 1.0), (3, 1, 2, "1002X", 10.0, 0.0, 0.0, 1.0), (3, 1, 2, "1002X", 10.0, 0.0, 0.0, 1.0)], RUNS))
+    want = {(1, 1, 2), (2, 2, 1)} | ({(3, 1, 1), (3, 1, 2)} if n > 2 else set())
+    key = lambda df: sorted((r.doc_id, r.page_no, r.run_seq) for r in df.collect())
+    full = sorted(k for k in key(more) if k in want)
+    table = spark.createDataFrame([(t,) for t in [*terms, " ", "\n", None]], "term string")
+    for given in (terms, [*terms, "", "\u2003 "], table):
+        assert key(redact.find_terms(more, given)) == full == key(redact.redaction_boxes(more, given))
+        left = redact.redact_runs(more, given)
+        assert key(left) == sorted(k for k in key(more) if k not in want)
+        assert {r.remaining for r in redact.verify_redaction(more, left, given).collect()} == {0}
+    assert key(streams.stream_redact(more, terms)) == key(left)
+    assert redact.find_terms(more, terms, True).count() == (0 if n < 3 else 1)
+    assert "NestedLoop" not in redact.find_terms(more, table)._jdf.queryExecution().toString()
+
+
+def test_corpus_paths_join_by_equality(spark, paged, tmp_path):
+    odd = tmp_path / "a b+c%20d"
+    for k in (1, 3):
+        paged.where(F.col("doc_id") == k).repartition(3).write.parquet(str(odd / f"k={k}"))
+    got = files.read_corpus(spark, [str(odd / "k=3"), str(odd / "k=1")])
+    assert {(r.doc_id, r.input_order) for r in got.collect()} == {(3, 0), (1, 1)} and got.count() == 11
+
+
+def test_text_width_of_odd_texts(spark):
+    rows = [("A",), ("",), (None,), ("é\x01~",), ("\U0001f600",)]
+    got = [r.w for r in spark.createDataFrame(rows, "t string").coalesce(1).select(pages.text_width(F.col("t"), text.widths("Helvetica")).alias("w")).collect()]
+    assert got == [667, 0, None, 556 + 556 + 584, 556]
+
+
 def png(width, height, rows):
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     raw = b"".join(b"\0" + bytes(v for p in row for v in p) for row in rows)
