@@ -438,10 +438,15 @@ def represented(rectangles: DataFrame) -> DataFrame:
     """
     by = rectangles.groupBy("v", "s").agg(F.count("*").alias("c"), F.min("row").alias("r"), F.max("row").alias("z"))
     rank = F.col("c").cast("decimal(14,0)") * F.lit(str(1 << 63)).cast("decimal(20,0)") - F.col("r").cast("decimal(20,0)")
-    best = by.groupBy("v").agg(F.max_by("r", rank).alias("first"), F.min("r").alias("low"), F.max("z").alias("high")).where("low <> high").select("v", "first")
+    best = by.groupBy("v").agg(F.max_by("r", rank).alias("first"), F.max_by("s", rank).alias("usual"), F.min("r").alias("low"), F.max("z").alias("high")).where("low <> high").select("v", "first", "usual")
     return rectangles.join(best, "v")
 
 
+def once(rectangles: DataFrame, *by: str) -> DataFrame:
+    """Of rectangles with one signature and content in one text the first: a text that repeats itself is met once."""
+    return rectangles.groupBy("v", "row", *by).agg(F.min_by("lo", "p").alias("lo"), F.min("p").alias("p"), F.min_by("q", "p").alias("q"), F.min_by("hi", "p").alias("hi"))
+
+
 def passages_of(matches: DataFrame) -> DataFrame:
     """(row, first, last, passage): every matched run of words; those of a text that overlap are one passage, named by its begin."""
     runs = sides(matches, ["a", "a_first", "a_last"], ["b", "b_first", "b_last"], ["row", "first", "last"])
@@ -469,7 +474,7 @@ def apart(rectangles: DataFrame, runs: DataFrame, need: int) -> DataFrame:
     """Meetings of rectangles of a group that are in different classes, one of them at least not in the largest one."""
     of = runs.select(F.col("row").alias("r"), "first", "last", "class")
     inside = F.col("p").between(F.col("first"), F.col("last") - (WIDTH - 1)) & F.col("q").between(F.col("first"), F.col("last") - (WIDTH - 1))
-    placed = rectangles.drop("first", "s").join(of, (F.col("row") == F.col("r")) & inside, "left").groupBy("v", "sketch", "row", "lo", "p", "q", "hi").agg(F.min("class").alias("class"))
+    placed = rectangles.drop("first", "usual").join(of, (F.col("row") == F.col("r")) & inside, "left").groupBy("v", "s", "sketch", "row", "lo", "p", "q", "hi").agg(F.min("class").alias("class"))
     by = placed.groupBy("v", "class").agg(F.count("*").alias("c"))
     largest = by.groupBy("v").agg(F.max_by("class", F.when(F.col("class").isNotNull(), F.col("c"))).alias("main"), F.sum("c").alias("n"), F.max(F.when(F.col("class").isNotNull(), F.col("c"))).alias("most"))
     open_ = largest.where(F.col("most").isNull() | (F.col("most") < F.col("n"))).select("v", "main")
@@ -477,8 +482,8 @@ def apart(rectangles: DataFrame, runs: DataFrame, need: int) -> DataFrame:
     differ = F.col("class").isNull() | F.col("o_class").isNull() | (F.col("class") != F.col("o_class"))
     x = F.col("sketch").bitwiseXOR(F.col("o_sketch"))
     agree = sum((F.shiftright(x, 4 * k).bitwiseAND(F.lit(15)) == 0).cast("int") for k in range(K))
-    once = ~F.col("o_other") | (F.col("row") > F.col("o_row"))
-    return meeting(placed.where("other"), placed, differ & once & (agree >= need))
+    first = ~F.col("o_other") | (F.col("row") > F.col("o_row"))
+    return meeting(placed.where("other").drop("s"), once(placed, "s", "sketch", "class", "other").drop("s"), differ & first & (agree >= need))
 
 
 def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN, need: int = NEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -500,8 +505,8 @@ def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN
     rectangles = stash(represented(out.where("v is not null").select("v", "s", "sketch", "row", "lo", "p", "q", "hi")))
     groups = max(1, rectangles.count() // 40_000)
 
-    first = rectangles.drop("s", "sketch")
-    matches = verified(table, meeting(first.where("row <> first"), first.where("row = first"), F.lit(True)), groups, least, num, den)
+    hubs = once(rectangles.where("row = first and s = usual"))
+    matches = verified(table, meeting(rectangles.where("row <> first").select("v", "row", "lo", "p", "q", "hi"), hubs, F.lit(True)), groups, least, num, den)
     more = verified(table, apart(rectangles, classes(matches), need), groups, least, num, den)
     matches = stash(matches.unionByName(more).distinct())
     runs = classes(matches)
