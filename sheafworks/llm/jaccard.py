@@ -6,9 +6,15 @@ Two sets with Jaccard >= t share a token among the first |x| - ceil(t |x|) + 1 o
 for all. All orders used here put tokens of one document first; a document whose prefix holds only those is out.
 
 The others (equal sets once) are split into classes: first those connected by shared prefix tokens of the first order,
-then, within a class, by those of the second. Linked documents are always in one class. Within a class, a pair must
-share prefix tokens under all orders (the filters are intersected) before its sets are compared; large classes are cut
-into tiles, each pair of tiles is one task. A task returns a spanning forest of its links, never all pairs.
+then, within a class, by those of the second, then of the third. Linked documents are always in one class. Every member
+of a class is compared with its hub, the member of which most tokens are shared; those linked with it need not be
+compared with each other, being in one component. The others are compared with all of their class: a pair must share
+prefix tokens under all orders (the filters are intersected) before its sets are compared. Large classes are cut into
+tiles, each pair of tiles, one of them not linked with the hub, is one task. A task returns a spanning forest of its
+links, never all pairs.
+
+Tokens stand for shingles by 64-bit hashes: two of a pair's shingles are taken for one with a chance of about
+|x| |y| / 2**64, whatever the size of the corpus, as only the tokens of a pair are ever compared.
 
 Defined cases: null and blank texts have an empty set and link with nothing; fewer words than a shingle make one
 shingle of the whole; equal rows are copies of each other; a null id takes part, but the smallest id is taken of those
@@ -146,7 +152,7 @@ def selector(width: int, num: int, den: int, bits: int, parts: int):
         lists = lambda x: pa.array(x, pa.list_(pa.int64()))
         return pa.table({
             "doc_id": pa.array(s.ids, mask=s.null), "row": pa.array(row_ids(block, len(s.m))), "n": pa.array(s.m), "sig1": pa.array(s.sig[0]), "sig2": pa.array(s.sig[1]),
-            "may": pa.array(may), "toks": lists(toks), **{f"pre{k}": lists(pre[k]) for k in range(ORDERS)},
+            "may": pa.array(may), "shared": pa.array(total((of > 1).astype(np.int64), s.m) * 1_000_000 // np.maximum(1, s.m)), "toks": lists(toks), **{f"pre{k}": lists(pre[k]) for k in range(ORDERS)},
         })
 
     return trim(select)
@@ -160,6 +166,15 @@ def refine(members: DataFrame, prefix: str) -> DataFrame:
     return components(edges).select(F.col("node").alias("row"), F.col("component").alias("class"))
 
 
+def with_hubs(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(row, class, hub, linked): each document, the hub of its class, whether it is linked with it (or is it)."""
+    rank = F.col("shared").cast("decimal(12,0)") * F.lit(str(1 << 63)).cast("decimal(20,0)") - F.col("row").cast("decimal(20,0)")
+    hubs = placed.groupBy("class").agg(F.max_by("row", rank).alias("row"), F.count("*").alias("c")).where("c > 1").select("class", "row")
+    hubs = hubs.join(placed.select("row", "n", "toks"), "row").select("class", F.col("row").alias("hub"), F.col("n").alias("hub_n"), F.col("toks").alias("hub_toks"))
+    both = placed.join(hubs, "class").select("row", "class", "hub", (F.col("n") + F.col("hub_n")).alias("sizes"), F.size(F.array_intersect("toks", "hub_toks")).alias("common"))
+    return both.select("row", "class", "hub", ((F.col("row") == F.col("hub")) | (den * F.col("common") >= num * (F.col("sizes") - F.col("common")))).alias("linked"))
+
+
 def incidence(xs: list[np.ndarray], ys: list[np.ndarray]):
     """Chunks of 0/1 matrices of xs and ys over the tokens that both have."""
     tx, ty = np.concatenate(xs), np.concatenate(ys)
@@ -232,21 +247,21 @@ def verifier(num: int, den: int):
 
     def verify(t: pa.Table) -> pa.Table:
         t = t.sort_by("class")
-        cls, tile = column(t, "class").to_numpy(), t.column("tile")[0].as_py()
+        cls, tile, near = column(t, "class").to_numpy(), t.column("tile")[0].as_py(), t.column("opens")[0].as_py()
         edge = np.concatenate([[0], np.nonzero(np.diff(cls))[0] + 1, [len(cls)]])
         a, b = [], []
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            if hi - lo > 1:
+            if hi - lo > 1 and tile < near:
                 x = members_of(t.slice(lo, hi - lo))
                 i, j = linked(x, x, num, den, True)
                 p, q = forest(x["row"][i], x["row"][j])
                 a, b = a + p, b + q
-        out = {"class": pa.array([None] * len(a), pa.int64()), "tile": pa.array([None] * len(a), pa.int32()), "tiles": pa.array([None] * len(a), pa.int32()), "body": pa.array([None] * len(a), pa.binary()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
+        out = {"class": pa.array([None] * len(a), pa.int64()), "tile": pa.array([None] * len(a), pa.int32()), "tiles": pa.array([None] * len(a), pa.int32()), "opens": pa.array([None] * len(a), pa.int32()), "body": pa.array([None] * len(a), pa.binary()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
         out = pa.table(out)
         if tile >= 0:
             x = members_of(t)
             flat = {"row": x["row"], "n": x["n"]} | {k: np.concatenate(x[k]) for k in x if k not in ("row", "n")} | {f"{k}_n": np.fromiter(map(len, x[k]), np.int64) for k in x if k not in ("row", "n")}
-            own = pa.table({"class": t.column("class").slice(0, 1), "tile": t.column("tile").slice(0, 1), "tiles": t.column("tiles").slice(0, 1), "body": pa.array([pack(**flat)], pa.binary()), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
+            own = pa.table({"class": t.column("class").slice(0, 1), "tile": t.column("tile").slice(0, 1), "tiles": t.column("tiles").slice(0, 1), "opens": t.column("opens").slice(0, 1), "body": pa.array([pack(**flat)], pa.binary()), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
             out = pa.concat_tables([out, own.cast(out.schema)])
         return out
 
@@ -280,26 +295,35 @@ def join(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id"
     told = stash(asked.groupBy("part").applyInArrow(trim(frequencies), head))
     lists = ", ".join(f"pre{k} array<long>" for k in range(ORDERS))
     rows = table.select("block", F.lit(-1).alias("part"), "body").unionByName(told)
-    found = stash(rows.groupBy("block").applyInArrow(selector(width, num, den, bits, parts), f"doc_id long, row long, n long, sig1 long, sig2 long, may boolean, toks array<long>, {lists}"))
+    found = stash(rows.groupBy("block").applyInArrow(selector(width, num, den, bits, parts), f"doc_id long, row long, n long, sig1 long, sig2 long, may boolean, shared long, toks array<long>, {lists}"))
 
     drop(table, told)
     may = found.where("may")
     reps = may.groupBy("sig1", "sig2").agg(F.min("row").alias("row"))
     members = stash(may.join(reps.select("row"), "row").drop("doc_id", "sig1", "sig2", "may"))
     classes = refine(members.withColumn("class", F.lit(0).cast("long")), "pre0")
-    classes = refine(members.join(classes, "row"), "pre1")
-    sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    for k in range(1, ORDERS):
+        classes = refine(members.join(classes, "row"), f"pre{k}")
+    placed = stash(members.join(classes, "row"))
+    star = stash(with_hubs(placed, num, den))
+
+    # classes with members that are not linked with their hub; those come first in the count of tiles
+    near = star.withColumn("open", ~F.col("linked")).groupBy("class").agg(F.count_if("open").alias("n_open"), F.count("*").alias("n")).where("n_open > 0 and n > 1")
+    tiles = F.ceil(F.col("n_open") / tile).cast("int"), F.ceil((F.col("n") - F.col("n_open")) / tile).cast("int")
+    near = near.select("class", F.when(F.col("n") > tile, tiles[0]).otherwise(1).alias("opens"), F.when(F.col("n") > tile, tiles[0] + tiles[1]).otherwise(1).alias("tiles"))
+    at = lambda n: F.pmod(F.xxhash64("row"), n)
+    tile_of = F.when(F.col("tiles") == 1, -1).when(~F.col("linked"), at(F.col("opens"))).otherwise(F.col("opens") + at(F.greatest(F.lit(1), F.col("tiles") - F.col("opens")))).cast("int")
     rows_each = max(1, members.count() // 2000)
     group = F.when(F.col("tiles") > 1, F.col("class")).otherwise(F.pmod(F.xxhash64("class"), F.lit(rows_each)))
-    tile_of = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int")).otherwise(F.lit(-1))
-    placed = members.join(classes, "row").join(sizes, "class").withColumn("tile", tile_of).withColumn("group", group)
-    out = stash(placed.groupBy("group", "tile").applyInArrow(verifier(num, den), "class long, tile int, tiles int, body binary, a long, b long"))
-    drop(members)
+    rest = placed.join(star.select("row", "linked"), "row").join(near, "class").withColumn("tile", tile_of).withColumn("group", group).drop("linked", "shared")
+    out = stash(rest.groupBy("group", "tile").applyInArrow(verifier(num, den), "class long, tile int, tiles int, opens int, body binary, a long, b long"))
+    drop(members, placed)
     large = out.where("body is not null")
-    partner = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    partner = F.explode(F.sequence(F.lit(0), F.when(F.col("tile") < F.col("opens"), F.col("tiles")).otherwise(F.col("opens")) - 1))
     sent = large.select("class", "tile", "body", partner.alias("other")).where("tile <> other").select("class", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "body")
     crossed = sent.groupBy("class", "i", "j").applyInArrow(crosser(num, den), "a long, b long")
-    low = components(out.where("a is not null").select("a", "b").unionByName(crossed))
+    stars = star.where("linked and row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b"))
+    low = components(stars.unionByName(out.where("a is not null").select("a", "b")).unionByName(crossed))
 
     kinds = found.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("lo"))
     kinds = kinds.join(reps, ["sig1", "sig2"], "left").join(low, F.col("row") == F.col("node"), "left").select("sig1", "sig2", "n", "lo", F.coalesce("component", "row").alias("g"))
