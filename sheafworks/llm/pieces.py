@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import blocks, column, documents, flat_text
+from sheafworks.llm.common import blocks, column, documents, flat_text, named
 
 MARK = "▁"
 #: Protobuf's numbers of the piece types and models.
@@ -73,7 +73,7 @@ class Model:
                 normaliser = dict(fields(value))
         self.kind = trainer.get(3, UNIGRAM)
         self.byte_fallback = bool(trainer.get(35, 0))
-        self.charsmap = normaliser.get(2, b"")
+        self.charsmap, self.rule = normaliser.get(2, b""), normaliser.get(1, b"")
         self.prefix, self.squeeze, self.escape = (bool(normaliser.get(k, 1)) for k in (3, 4, 5))
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), None)
         inner = any(p[2] in (NORMAL, USER) and MARK in p[0].lstrip(MARK) for p in self.pieces)
@@ -92,7 +92,9 @@ class Model:
         else:
             raise ValueError(f"models of type {self.kind} are not supported")
         out = Tokenizer(model)
-        steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
+        # the library maps "\r\n" as one character; the rules of this family turn each into a blank
+        steps = [normalizers.Replace("\r\n", "\n\n")] if self.rule.startswith(b"nmt") and self.charsmap else []
+        steps += [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
         if self.prefix:
@@ -212,7 +214,7 @@ def encode(docs: DataFrame, model_path: str, threads: int = 2, digest: bool = Fa
     """Ids of each text; with digest, their SHA-1 (as little-endian 32-bit numbers) and whether decoding gives the text."""
     with open(model_path, "rb") as f:
         raw = f.read()
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
     more = "ids_sha1 string, n_byte_ids long, round_trip boolean" if digest else "ids array<int>"
     return source.mapInArrow(encoder(raw, threads, digest), f"doc_id long, n_ids long, parity boolean, {more}")
 

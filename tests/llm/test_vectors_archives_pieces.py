@@ -227,15 +227,44 @@ def field(number, value):
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
-def small_unigram():
-    """A hand-made model: unigram scores, byte fallback, no normalisation but the marker."""
+def small_unigram(squeeze=0, charsmap=b"", inner=False):
+    """A hand-made model: unigram scores, byte fallback, white space squeezed or not, with or without a normaliser."""
     rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{k:02X}>", 0.0, 6) for k in range(256)]
-    rows += [(p, s, 1) for p, s in (("▁", -3.0), ("a", -3.5), ("b", -4.0), ("ab", -4.5), ("▁ab", -5.0), ("aba", -5.2), ("é", -6.0), ("ba", -4.8), ("▁a", -4.1))]
+    rows += [(p, s, 1) for p, s in (("▁", -3.0), ("a", -3.5), ("b", -4.0), ("ab", -4.5), ("▁ab", -5.0), ("aba", -5.2), ("é", -6.0), ("ba", -4.8), ("▁a", -4.1), ("fi", -5.5), ("1", -5.0), ("ア", -6.0))]
+    rows += [("▁ab▁ab", -6.1, 1)] if inner else []
     model = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, kind)) for p, s, kind in rows)
-    model += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    model += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"nmt_nfkc" if charsmap else b"identity") + (field(2, charsmap) if charsmap else b"") + field(3, 1) + field(4, squeeze) + field(5, 1))
     return model
 
 
+def nfkc():
+    """The compiled rules that the sentencepiece library brings along, as most models hold them."""
+    import sentencepiece
+
+    return dict(pieces.fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec()))[2]
+
+
+ODD = ["  a  b  ", " ", "\ufb01 \u2460 \uff71", "a b\u3000ab", "A\u0301 e\u0301", "ab\u200bab", "\x00a", "a\r\nb\u2028c", "ab   ab ab", "\u2026\u00bd", "\ufeffab", "e\u0301\u00e9 \uff21\uff42", "     ", "ab\x7f\x01 b"]
+
+
+@pytest.mark.parametrize("squeeze, mapped, inner", [(0, False, False), (0, True, False), (1, False, True), (1, True, False), (1, True, True)])
+def test_unigram_with_a_normaliser(spark, tmp_path, squeeze, mapped, inner):
+    """Whole texts against the library, for the query too."""
+    import sentencepiece
+
+    raw = small_unigram(squeeze, nfkc() if mapped else b"", inner)
+    (tmp_path / "m").write_bytes(raw)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    texts = [*TEXTS, *ODD]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in pieces.op9_sentencepiece(spark, str(tmp_path), str(tmp_path / "m")).collect()}
+    assert all(r.parity for r in got.values())
+    for k, t in enumerate(texts):
+        want = sp.encode(t or "")
+        assert (got[k].n_ids, got[k].ids_sha1) == (len(want), hashlib.sha1(np.array(want, "<u4").tobytes()).hexdigest()), t
+    assert got[2].ids_sha1 != hashlib.sha1(b"").hexdigest()
+
+
 TEXTS = ["", None, "ab abba éab", "x y", "  a  b ", "ab" * 50, "日本 語", "a\nb\tab", "▁ab", "abab abab", "é" * 30, "abab abab"]
 
 
