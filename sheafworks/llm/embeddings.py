@@ -1,7 +1,7 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-Vectors of one label are rotated to their principal axes and cut into tiles along the first one. Two tiles meet only
-if the best product their bounds allow reaches the threshold. In a task, products of the leading axes are summed
+Vectors of one label are rotated to their principal axes and cut into tiles along the first two. Runs of tiles, then
+tiles of the runs that are left, meet only if the best product their bounds allow reaches the threshold. In a task, products of the leading axes are summed
 first; what the other axes can add is bounded by the product of the suffix norms, and only pairs that can still reach
 the threshold go on. Decisions near the threshold are made on the vectors as given, in double precision. The rotation
 is orthogonal: the sample that it is fitted on changes the speed, never the result.
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import column, components, documents, pack, stash, unpack
+from sheafworks.llm.common import column, components, documents, named, pack, stash, unpack
 
-#: Vectors that the rotation is fitted on (a bound, not a share), vectors in a tile, axes with tile bounds.
-FIT, TILE, LEAD = 20_000, 1024, 8
+#: Vectors that the rotation is fitted on (a bound, not a share), vectors in a tile, axes with tile bounds, tiles of a run.
+FIT, TILE, LEAD, RUN = 20_000, 1024, 8, 64
 SLACK = 1e-9
 
 
@@ -97,6 +97,17 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
     return node[node != low], low[node != low]
 
 
+def meeting(x: DataFrame, y: DataFrame, name: str, threshold: float, *on: str) -> DataFrame:
+    """Pairs of rows of one label and length, x's name up to y's (name2), whose bounds allow a product of threshold."""
+    keys = ["label", "d", *on]
+    y = y.select(*keys, *[F.col(c).alias(f"{c}2") for c in (name, "low", "high", "rest")])
+    products = lambda p, q: F.greatest(p["low"] * q["low2"], p["low"] * q["high2"], p["high"] * q["low2"], p["high"] * q["high2"])
+    # vectors with fewer axes have nulls there
+    best = F.aggregate(F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("low2", "high2"), products), F.lit(0.0), lambda acc, z: acc + F.coalesce(z, F.lit(0.0)))
+    order = F.lit(True) if on else F.col(name) <= F.col(f"{name}2")
+    return x.join(y, keys).where(order & (best + F.col("rest") * F.col("rest2") >= threshold - SLACK))
+
+
 def links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """vectors: (rk, rep, label, v, copies), distinct. Gives (rk, n) and the edges (a, b) between reps."""
     axes = fit_axes(vectors)
@@ -109,22 +120,27 @@ def links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
             v = column(t, "v")
             lens = np.diff(v.offsets.to_numpy())
             values = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            first = np.zeros(len(lens))
+            lead = np.zeros((2, len(lens)))
             ends = np.cumsum(lens)
             for d in np.unique(lens):
                 rows = np.nonzero(lens == d)[0]
                 x = values[(ends[rows] - d)[:, None] + np.arange(d)]
-                first[rows] = unit(x) @ axes[d][:, 0] if d in axes else 0
-            yield pa.RecordBatch.from_arrays([t.column(n).combine_chunks() for n in ("rk", "rep", "label", "v", "copies")] + [pa.array(first)], names=["rk", "rep", "label", "v", "copies", "first"])
+                if d in axes:
+                    lead[: min(2, d), rows] = (unit(x) @ axes[d][:, :2]).T
+            yield pa.RecordBatch.from_arrays([t.column(n).combine_chunks() for n in ("rk", "rep", "label", "v", "copies")] + [pa.array(x) for x in lead], names=["rk", "rep", "label", "v", "copies", "first", "second"])
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    placed = stash(vectors.select("rk", "rep", "label", "v", "copies").mapInArrow(blocked, f"rk long, rep long, label {kinds['label']}, v {kinds['v']}, copies long, first double"))
-    # Cuts along the first axis from quantiles of each label; Spark's sketch is of bounded size for each label.
-    cuts = placed.groupBy("label", F.size("v").alias("d")).agg(F.percentile_approx("first", [k / 64 for k in range(1, 64)], 2000).alias("cuts"))
+    placed = stash(vectors.select("rk", "rep", "label", "v", "copies").mapInArrow(blocked, f"rk long, rep long, label {kinds['label']}, v {kinds['v']}, copies long, first double, second double"))
+    # Cuts along two axes from quantiles of each label; Spark's sketch is of bounded size for each label.
+    quantiles = lambda c: F.percentile_approx(c, [k / 64 for k in range(1, 64)], 2000)
+    cuts = placed.groupBy("label", F.size("v").alias("d")).agg(quantiles("first").alias("cuts"), quantiles("second").alias("cuts2"))
     cuts = cuts.join(sizes, ["label", "d"])
-    cell = F.aggregate("cuts", F.lit(0), lambda acc, c: acc + F.when(F.col("first") > c, 1).otherwise(0))
-    # Up to 64 tiles are runs of cells; more are cells subdivided by hash.
-    tile = F.when(F.col("tiles") <= 64, F.floor(cell * F.col("tiles") / 64).cast("int")).otherwise((cell * F.ceil(F.col("tiles") / 64) + F.pmod(F.xxhash64("rk", F.lit("tile")), F.ceil(F.col("tiles") / 64))).cast("int"))
+    cell = lambda c, cuts_: F.aggregate(cuts_, F.lit(0), lambda acc, x: acc + F.when(F.col(c) > x, 1).otherwise(0))
+    # Up to 64 tiles are runs of the first axis's cells; more are cells cut along the second axis, beyond 4,096 also by hash.
+    each = F.ceil(F.col("tiles") / 64)
+    deep = F.greatest(F.lit(1), F.ceil(each / 64))
+    below = F.when(each <= 64, F.floor(cell("second", "cuts2") * each / 64)).otherwise(cell("second", "cuts2") * deep + F.pmod(F.xxhash64("rk", F.lit("tile")), deep))
+    tile = F.when(F.col("tiles") <= 64, F.floor(cell("first", "cuts") * F.col("tiles") / 64)).otherwise(cell("first", "cuts") * F.when(each <= 64, each).otherwise(64 * deep) + below).cast("int")
     tiled = placed.withColumn("d", F.size("v")).join(cuts, ["label", "d"]).select("label", "d", tile.alias("tile"), "rk", "rep", "v", "copies")
 
     def gather(t: pa.Table) -> pa.Table:
@@ -138,13 +154,14 @@ def links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
     head = f"label {kinds['label']}, d int, tile int"
     tiles = stash(tiled.groupBy("label", "d", "tile").applyInArrow(gather, f"{head}, low array<double>, high array<double>, rest double, body binary"))
-    bounds = tiles.drop("body")
-    x, y = bounds.alias("x"), bounds.select(F.col("label").alias("l2"), F.col("d").alias("d2"), F.col("tile").alias("t2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("rest").alias("rest2"))
-    best = F.aggregate(
-        F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("low2", "high2"), lambda p, q: F.greatest(p["low"] * q["low2"], p["low"] * q["high2"], p["high"] * q["low2"], p["high"] * q["high2"])),
-        F.lit(0.0), lambda acc, z: acc + z,
-    )
-    pairs = x.join(y, (F.col("label") == F.col("l2")) & (F.col("d") == F.col("d2")) & (F.col("tile") <= F.col("t2"))).where(best + F.col("rest") * F.col("rest2") >= threshold - SLACK).select("label", "d", "tile", "t2")
+    bounds = tiles.select("label", "d", F.floor(F.col("tile") / RUN).alias("run"), "tile", "low", "high", "rest")
+    # Runs of tiles first, so that a label's tiles are not all met with each other.
+    ends = lambda f, c: F.array(*[f(F.get(c, F.lit(k))) for k in range(LEAD)]).alias(c)
+    wide = bounds.groupBy("label", "d", "run").agg(ends(F.min, "low"), ends(F.max, "high"), F.max("rest").alias("rest"))
+    near = meeting(wide, wide, "run", threshold).select("label", "d", "run", F.col("run2").alias("other"))
+    one, two = near.join(bounds, ["label", "d", "run"]), bounds.withColumnRenamed("run", "other")
+    pairs = meeting(one, two, "tile", threshold, "other").select("label", "d", "tile", F.col("tile2").alias("t2"))
+    pairs = pairs.select("label", "d", F.least("tile", "t2").alias("tile"), F.greatest("tile", "t2").alias("t2")).distinct()
     sides = pairs.select("label", "d", F.col("tile").alias("i"), F.col("t2").alias("j"), F.explode(F.array_distinct(F.array("tile", "t2"))).alias("tile"))
     sent = tiles.select("label", "d", "tile", "body").join(sides, ["label", "d", "tile"])
 
@@ -172,17 +189,18 @@ def links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
 def near_vectors(vectors: DataFrame, threshold: float, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.transform(F.col(embedding), lambda x: x + F.lit(0).cast("float")).alias("v") if dict(vectors.dtypes)[embedding] == "array<float>" else F.col(embedding).alias("v"))
+    rows = vectors.select(named(vec_id).alias("vec_id"), named(label).alias("label"), F.transform(named(embedding), lambda x: x + F.lit(0).cast("float")).alias("v") if dict(vectors.dtypes)[embedding] == "array<float>" else named(embedding).alias("v"))
     rows = rows.withColumn("ok", F.coalesce(usable("v", "label"), F.lit(False)))
-    rows = rows.withColumn("rk", F.xxhash64("label", "v"))
-    good = stash(rows.where("ok").groupBy("rk", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    # equal vectors by their values, not by a hash of them
+    kinds = stash(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    good = stash(kinds.withColumn("rk", F.monotonically_increasing_id()))
     counts, edges = links(good, threshold)
     low = components(edges)
     found = (
-        good.select("rk", "rep", "copies").join(counts, "rk", "left").join(low, good["rep"] == low["node"], "left")
-        .select("rk", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        good.join(counts, "rk", "left").join(low, good["rep"] == low["node"], "left")
+        .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    out = rows.select("vec_id", F.when(F.col("ok"), F.col("rk")).alias("rk")).join(found, "rk", "left")
+    out = rows.select("vec_id", F.when(F.col("ok"), F.col("label")).alias("label"), "v").join(found, ["label", "v"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

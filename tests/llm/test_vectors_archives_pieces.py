@@ -54,9 +54,10 @@ def brute_links(rows, threshold):
     return sorted((rows[i][0], len(links[i]), low[i], low[i] == rows[i][0]) for i in range(n))
 
 
-@pytest.mark.parametrize("tile", [1024, 16])
-def test_links_match_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, run", [(1024, 64), (16, 4), (1, 8)])
+def test_links_match_brute_force(spark, monkeypatch, tile, run):
     monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "RUN", run)
     rows = vectors()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, rk int, tile string").repartition(3)
     got = embeddings.near_vectors(df, 0.9)
