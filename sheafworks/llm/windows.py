@@ -365,6 +365,23 @@ def verify(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> tupl
     return (*run, 1.0) if run else None
 
 
+def dense_parts(hit: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Where passages can lie: around runs of `least` with enough hits, the others' hits being too scattered.
+
+    A passage with a share of num / den hits holds a run of `least` with 3 / 4 of that share; with half a run on each
+    side, parts that are closer than a run are one part.
+    """
+    if len(hit) < least:
+        return []
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    at = np.nonzero(4 * den * (sums[least:] - sums[:-least]) >= 3 * num * least)[0]
+    if not len(at):
+        return []
+    cut = np.nonzero(np.diff(at) > 2 * least)[0]
+    first, last = at[np.concatenate([[0], cut + 1])], at[np.append(cut, len(at) - 1)]
+    return [(max(0, i - least // 2), min(len(hit), j + least + least // 2)) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+
+
 def verify_all(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int, float]]:
     """All matching passages of two stretches: what a match leaves of either is verified again.
 
@@ -374,7 +391,19 @@ def verify_all(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) ->
     out, todo = [], [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
-        if min(b - a, d - c) < least or np.isin(x[a:b], y[c:d]).sum() * den < least * num:
+        if min(b - a, d - c) < least:
+            continue
+        parts = dense_parts(np.isin(x[a:b], y[c:d]), least, num, den)
+        if not parts:
+            continue
+        if len(parts) > 1 or parts[0][1] - parts[0][0] < (b - a) // 2:
+            todo += [(a + i, a + j, c, d) for i, j in parts]
+            continue
+        sides = dense_parts(np.isin(y[c:d], x[a:b]), least, num, den)
+        if not sides:
+            continue
+        if len(sides) > 1 or sides[0][1] - sides[0][0] < (d - c) // 2:
+            todo += [(a, b, c + i, c + j) for i, j in sides]
             continue
         v = verify(x[a:b], y[c:d], least, num, den)
         if v:
@@ -384,7 +413,7 @@ def verify_all(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) ->
         else:
             i, j = best_stretch(np.isin(x[a:b], y[c:d]), den - num, num)
             todo += [(a, a + i, c, d), (a + j + 1, b, c, d)]
-    return sorted(out)
+    return sorted(set(out))
 
 
 def checker(least: int, num: int, den: int):
