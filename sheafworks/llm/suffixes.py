@@ -10,6 +10,9 @@ ones sorted by induction from their substrings and the shard array induced from
 time; the string of their names is sorted by the same procedure until all names differ; common prefixes come in text
 order from the permuted array, computed at irreducible positions only. Windows with a common prefix of `length` or more are equal; all but the first are removed.
 
+An anchor that more than HOT runs of windows have, as one within a frequent line has, would make one shard's share grow
+with the corpus. Its windows are dealt one by one by a hash of 128 bits of the whole window, each once for each block.
+
 Defined cases: null texts are empty; documents shorter than `length` stay as they are; a null id comes after all
 others; rows that repeat an id are told apart by their place in the input; ties cannot occur otherwise; other columns,
 whatever their names, go through `strip` untouched; empty in, empty out; a text larger than a block is a block of its
@@ -34,6 +37,8 @@ LAST = np.iinfo(np.int64).max
 PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.int64).view(np.uint64) | np.uint64(1)
 CHUNK, BATCH = 1 << 20, 1 << 20
+#: Runs of windows with one anchor that one shard takes.
+HOT = 50_000
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------
@@ -48,10 +53,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def gram_hashes(raw: np.ndarray, gram: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+def gram_hashes(raw: np.ndarray, gram: int, up: np.ndarray, down: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(VALUES[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -59,6 +64,19 @@ def gram_hashes(raw: np.ndarray, gram: int, up: np.ndarray, down: np.ndarray) ->
     return h
 
 
+def window_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two hashes of the windows that begin at these places, which ascend."""
+    out, i = [np.empty(len(at), np.uint64) for _ in range(2)], 0
+    up, down = powers(CHUNK + length)
+    while i < len(at):
+        j = int(np.searchsorted(at, at[i] + CHUNK))
+        some = raw[at[i] : at[j - 1] + length]
+        for x, values in zip(out, (VALUES, mix(VALUES, 1) | np.uint64(1)), strict=True):
+            x[i:j] = gram_hashes(some, length, up, down, values)[at[i:j] - at[i]]
+        i = j
+    return out
+
+
 def anchors_of(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """For runs of windows with one anchor: first window, number of windows, hash of the anchor. By text order."""
     gram = length // 2
@@ -337,13 +355,13 @@ def collect(batches):
 
 
 class Block:
-    def __init__(self, block: int, body: bytes, length: int, bits: int, parts: int):
+    def __init__(self, block: int, body: bytes, length: int, bits: int, parts: int, hot: int):
         b = unpack(body)
         self.raw, self.size = b["raw"], b["size"].astype(np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.ids = np.where(b["null"].astype(bool), LAST, b["ids"].astype(np.int64))
         self.null = b["null"].astype(bool)
-        self.block, self.length, self.bits, self.parts = block, length, bits, parts
+        self.block, self.length, self.bits, self.parts, self.hot = block, length, bits, parts, hot
         self.runs = anchors_of(self.raw, self.start, self.size, length)
         self.short = self.runs["h"] >> np.uint64(64 - bits)
         self.keys, self.count = np.unique(self.short, return_counts=True)
@@ -351,14 +369,28 @@ class Block:
 
     def ask_anchors(self):
         for p, i, j in self.anchor_runs:
-            yield p, pack(h=gaps(self.keys[i:j]), n=np.minimum(self.count[i:j], 2).astype(np.uint8))
+            yield p, pack(h=gaps(self.keys[i:j]), n=np.minimum(self.count[i:j], self.hot + 1))
+
+    def hot_windows(self, some: np.ndarray) -> None:
+        """The windows of these runs; of equal ones the first, by hash."""
+        w = self.runs["w"][some]
+        at = np.repeat(self.runs["s"][some], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        doc = np.searchsorted(self.start, at, side="right") - 1
+        h = window_hashes(self.raw, at, self.length)
+        order = np.lexsort((at, doc, self.ids[doc], h[1], h[0]))
+        new = np.concatenate([[True], (h[0][order][1:] != h[0][order][:-1]) | (h[1][order][1:] != h[1][order][:-1])]) if len(at) else np.zeros(0, bool)
+        self.again, first = at[order][~new], order[new]
+        self.windows = {"at": at[first], "h1": h[0][first], "h2": h[1][first], "doc": doc[first]}
+        self.window_runs = runs_of(part_of(self.windows["h1"], 64, self.parts))
 
     def pieces(self, answers: dict[int, bytes]) -> None:
         """The runs whose anchor occurs twice, equal pieces of text numbered; the first of each kind, by key."""
-        twice = np.zeros(len(self.keys), bool)
+        often = np.zeros(len(self.keys), np.uint8)
         for p, i, j in self.anchor_runs:
-            twice[i:j] = unpack(answers[p])["twice"]
-        some = np.nonzero(twice[np.searchsorted(self.keys, self.short)])[0]
+            often[i:j] = unpack(answers[p])["often"]
+        often = often[np.searchsorted(self.keys, self.short)]
+        self.hot_windows(np.nonzero(often == 2)[0])
+        some = np.nonzero(often == 1)[0]
         self.s, self.w, key = self.runs["s"][some], self.runs["w"][some], self.short[some]
         doc = np.searchsorted(self.start, self.s, side="right") - 1
         full = self.size[doc] > 0
@@ -384,10 +416,15 @@ class Block:
         self.piece_runs = runs_of(part_of(self.first_key, self.bits, self.parts))
 
     def ask_pieces(self):
-        for p, i, j in self.piece_runs:
-            d = self.first_doc[i:j]
-            raw, at = flat_bytes(self.texts.slice(i, j - i))
-            yield p, pack(h=gaps(self.first_key[i:j]), size=np.diff(at), raw=raw, id=self.ids[d], row=d, begin=self.s[self.first[i:j]] - self.start[d])
+        pieces, windows = {p: (i, j) for p, i, j in self.piece_runs}, {p: (i, j) for p, i, j in self.window_runs}
+        for p in sorted(pieces.keys() | windows.keys()):
+            i, j = pieces.get(p, (0, 0))
+            d, x, more = self.first_doc[i:j], self.windows, {}
+            raw, at = flat_bytes(self.texts.slice(i, j - i)) if j > i else (np.empty(0, np.uint8), np.zeros(1, np.int64))
+            if p in windows:
+                k = slice(*windows[p])
+                more = {"h1": gaps(x["h1"][k]), "h2": x["h2"][k], "id1": self.ids[x["doc"][k]], "row1": x["doc"][k], "begin1": x["at"][k] - self.start[x["doc"][k]]}
+            yield p, pack(h=gaps(self.first_key[i:j]), size=np.diff(at), raw=raw, id=self.ids[d], row=d, begin=self.s[self.first[i:j]] - self.start[d], **more)
 
     def removed(self, answers: dict[int, bytes]) -> np.ndarray:
         """Which bytes go."""
@@ -408,6 +445,12 @@ class Block:
             s = self.s[self.first[k]] + off
             np.add.at(change, s, 1)
             np.add.at(change, s + self.length, -1)
+        later = np.zeros(len(self.windows["at"]), bool)
+        for p, i, j in self.window_runs:
+            later[i:j] = unpack(answers[p])["later"]
+        for s in (self.again, self.windows["at"][later]):
+            np.add.at(change, s, 1)
+            np.add.at(change, s + self.length, -1)
         return np.cumsum(change)[:-1] > 0
 
 
@@ -419,36 +462,42 @@ def flat_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 HEAD = "block long, part int, body binary"
 
 
-def anchor_asker(length: int, bits: int, parts: int):
+def anchor_asker(length: int, bits: int, parts: int, hot: int):
     def ask(batches):
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                asked = list(Block(block, body, length, bits, parts).ask_anchors())
+                asked = list(Block(block, body, length, bits, parts, hot).ask_anchors())
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(asked), pa.int64()), pa.array([p for p, _ in asked], pa.int32()), pa.array([x for _, x in asked], pa.binary())], names=["block", "part", "body"])
 
     return ask
 
 
-def count_anchors(t: pa.Table) -> pa.Table:
-    got = [unpack(b) for b in t.column("body").to_pylist()]
-    keys = [np.cumsum(x["h"].astype(np.uint64), dtype=np.uint64) for x in got]
-    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    twice = (np.bincount(inv, weights=np.concatenate([x["n"] for x in got]), minlength=len(u)) > 1).astype(np.uint8)
-    out = [pack(twice=twice[i]) for i in np.split(inv, np.cumsum([len(k) for k in keys])[:-1])]
-    return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(out, pa.binary())})
+def anchor_counter(hot: int):
+    """Answers: 0 for anchors of one run of windows, 1 for those of several, 2 for those of too many for one shard."""
 
+    def count(t: pa.Table) -> pa.Table:
+        got = [unpack(b) for b in t.column("body").to_pylist()]
+        keys = [np.cumsum(x["h"].astype(np.uint64), dtype=np.uint64) for x in got]
+        u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(inv, weights=np.concatenate([x["n"] for x in got]), minlength=len(u))
+        often = (n > 1).astype(np.uint8) + (n > hot)
+        out = [pack(often=often[i]) for i in np.split(inv, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(out, pa.binary())})
+
+    return trim(count)
 
-def restored(t: pa.Table, length: int, bits: int, parts: int) -> tuple[Block, dict[int, bytes], dict[int, bytes]]:
+
+def restored(t: pa.Table, length: int, bits: int, parts: int, hot: int) -> tuple[Block, dict[int, bytes], dict[int, bytes]]:
     level, part, bodies = t.column("level").to_pylist(), t.column("part").to_pylist(), t.column("body").to_pylist()
     by: dict[int, dict[int, bytes]] = {0: {}, 1: {}, 2: {}}
     for k, p, body in zip(level, part, bodies, strict=True):
         by[k][p] = body
-    return Block(t.column("block")[0].as_py(), by[0][0], length, bits, parts), by[1], by[2]
+    return Block(t.column("block")[0].as_py(), by[0][0], length, bits, parts, hot), by[1], by[2]
 
 
-def piece_asker(length: int, bits: int, parts: int):
+def piece_asker(length: int, bits: int, parts: int, hot: int):
     def ask(t: pa.Table) -> pa.Table:
-        b, told, _ = restored(t, length, bits, parts)
+        b, told, _ = restored(t, length, bits, parts, hot)
         b.pieces(told)
         asked = list(b.ask_pieces())
         return pa.table({"block": pa.array([b.block] * len(asked), pa.int64()), "part": pa.array([p for p, _ in asked], pa.int32()), "body": pa.array([x for _, x in asked], pa.binary())})
@@ -456,6 +505,19 @@ def piece_asker(length: int, bits: int, parts: int):
     return trim(ask)
 
 
+def later_windows(got: list[dict], blocks_: list[int]) -> list[np.ndarray]:
+    """For each block's hot windows, which of them occur earlier in another block."""
+    some = [x for x in got if "h1" in x]
+    none = np.empty(0, np.uint64)
+    h1 = np.concatenate([*[np.cumsum(x["h1"].astype(np.uint64), dtype=np.uint64) for x in some], none])
+    h2, id_, row, begin = (np.concatenate([*[x[k].astype(kind) for x in some], none.astype(kind)]) for k, kind in (("h2", np.uint64), ("id1", np.int64), ("row1", np.int64), ("begin1", np.int64)))
+    block = np.concatenate([*[np.full(len(x["h1"]), b, np.int64) for x, b in zip(got, blocks_, strict=True) if "h1" in x], none.astype(np.int64)])
+    order = np.lexsort((begin, row, block, id_, h2, h1))
+    later = np.zeros(len(h1), bool)
+    later[order[1:]] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    return np.split(later, np.cumsum([len(x["h1"]) if "h1" in x else 0 for x in got])[:-1])
+
+
 def sorter(length: int):
     """One shard: which pieces are not the first of their text, and which windows of the others occur earlier."""
 
@@ -496,21 +558,21 @@ def sorter(length: int):
                         state[i] = 2
                         flags[i] = f
         out, lo = [], 0
-        for x in got:
+        for x, later in zip(got, later_windows(got, blocks_), strict=True):
             hi = lo + len(x["size"])
             mine = [flags[i] for i in range(lo, hi) if state[i] == 2]
-            out.append(pack(state=state[lo:hi], flags=np.concatenate([*mine, np.zeros(0, bool)]).astype(np.uint8)))
+            out.append(pack(state=state[lo:hi], flags=np.concatenate([*mine, np.zeros(0, bool)]).astype(np.uint8), later=later))
             lo = hi
         return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(out, pa.binary())})
 
     return trim(sort)
 
 
-def remover(length: int, bits: int, parts: int, texts: bool):
+def remover(length: int, bits: int, parts: int, hot: int, texts: bool):
     """Per document: sizes, removed bytes and runs, digest; or with texts, the other columns and the text that is left."""
 
     def remove(t: pa.Table) -> pa.Table:
-        b, told, answers = restored(t, length, bits, parts)
+        b, told, answers = restored(t, length, bits, parts, hot)
         b.pieces(told)
         gone = b.removed(answers)
         ends = np.concatenate([[0], np.cumsum(gone)])
@@ -531,36 +593,36 @@ def remover(length: int, bits: int, parts: int, texts: bool):
     return trim(remove)
 
 
-def process(docs: DataFrame, length: int, texts: bool, doc_id: str, text: str) -> DataFrame:
+def process(docs: DataFrame, length: int, texts: bool, doc_id: str, text: str, hot: int) -> DataFrame:
     """The rows of spans; or with texts (rest, text, removed), rest a struct of the document's other columns."""
     rest = F.struct(*([named(c) for c in docs.columns if texts and c != text] or [F.lit(0).alias("none")]))
     source = docs.select(named(text).alias("text"), named(doc_id).cast("long").alias("id"), rest.alias("rest"))
     table = stash(source.mapInArrow(collect, "block long, bytes long, body binary, rest binary"))
     parts = count_parts(table, "bytes")
     bits = min(62, 33 + parts.bit_length())
-    asked = table.select("block", "body").mapInArrow(anchor_asker(length, bits, parts), HEAD)
-    told = stash(asked.groupBy("part").applyInArrow(trim(count_anchors), HEAD))
+    asked = table.select("block", "body").mapInArrow(anchor_asker(length, bits, parts, hot), HEAD)
+    told = stash(asked.groupBy("part").applyInArrow(anchor_counter(hot), HEAD))
     bodies = table.select("block", F.lit(0).alias("level"), F.lit(0).alias("part"), "body", F.col("rest") if texts else F.lit(None).cast("binary").alias("rest"))
     level = lambda df, k: df.select("block", F.lit(k).alias("level"), "part", "body", F.lit(None).cast("binary").alias("rest"))
-    pieces = bodies.drop("rest").unionByName(level(told, 1).drop("rest")).groupBy("block").applyInArrow(piece_asker(length, bits, parts), HEAD)
+    pieces = bodies.drop("rest").unionByName(level(told, 1).drop("rest")).groupBy("block").applyInArrow(piece_asker(length, bits, parts, hot), HEAD)
     judged = stash(pieces.groupBy("part").applyInArrow(sorter(length), HEAD))
     rows = bodies.unionByName(level(told, 1)).unionByName(level(judged, 2))
     if not texts:
-        return rows.groupBy("block").applyInArrow(remover(length, bits, parts, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return rows.groupBy("block").applyInArrow(remover(length, bits, parts, hot, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     schema = T.StructType([T.StructField("rest", source.schema["rest"].dataType), T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())])
-    return rows.groupBy("block").applyInArrow(remover(length, bits, parts, True), schema)
+    return rows.groupBy("block").applyInArrow(remover(length, bits, parts, hot, True), schema)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    return process(docs, length, False, doc_id, text)
+    return process(docs, length, False, doc_id, text, hot)
 
 
-def strip(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def strip(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """The documents with what is left of their texts (halves of cut characters go too); those that lost all go.
 
     A null text comes back empty."""
-    out = process(docs, length, True, doc_id, text).where((F.col("removed") == 0) | (F.col("text") != ""))
+    out = process(docs, length, True, doc_id, text, hot).where((F.col("removed") == 0) | (F.col("text") != ""))
     return out.select(*[(F.col("text") if c == text else F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 

@@ -53,15 +53,15 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_spans_match_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, hot", [(False, 10**6), (True, 10**6), (True, 1), (True, 12)])
+def test_spans_match_brute_force(spark, monkeypatch, small, hot):
     rows = corpus()
     if small:  # many blocks and partitions of the exchange
         monkeypatch.setattr(suffixes, "count_parts", lambda table, name: common.count_parts(table, name, 2000))
         df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 13), "doc_id long, text string")
     else:
         df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    got = sorted(map(tuple, suffixes.spans(df).collect()), key=repr)
+    got = sorted(map(tuple, suffixes.spans(df, hot=hot).collect()), key=repr)
     assert got == sorted(brute(rows, 100), key=repr)
 
 
