@@ -325,14 +325,35 @@ def equal_run(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, int, int,
     return None
 
 
-def similarity_of(x: np.ndarray, y: np.ndarray, num: int, den: int) -> float:
+def held(x: np.ndarray, y: np.ndarray, kinds: int) -> np.ndarray:
+    """Which of x are in y; both hold numbers below kinds."""
+    has = np.zeros(kinds, bool)
+    has[y] = True
+    return has[x]
+
+
+def similarity_of(x: np.ndarray, y: np.ndarray, kinds: int, num: int, den: int) -> float:
     """Jaccard similarity of two runs, or 0 where it is too low."""
-    s, t = np.unique(x), np.unique(y)
-    common = len(np.intersect1d(s, t, assume_unique=True))
-    union = len(s) + len(t) - common
+    s, t = np.zeros(kinds, bool), np.zeros(kinds, bool)
+    s[x], t[y] = True, True
+    common, union = np.count_nonzero(s & t), np.count_nonzero(s | t)
     return common / union if den * common >= num * union else 0.0
 
 
+def has_run(hit: np.ndarray, least: int, share: float) -> bool:
+    """Whether a run of `least` or more holds that share of hits."""
+    if len(hit) < least:
+        return False
+    sums = np.concatenate([[0.0], np.cumsum(hit - share)])
+    return bool((sums[least:] - np.minimum.accumulate(sums[: len(sums) - least])).max() >= -1e-9)
+
+
+def possible(hx: np.ndarray, hy: np.ndarray, least: int, num: int, den: int) -> bool:
+    """Whether passages of that similarity can lie here: both hold num / den hits, and one of them the mean share or more."""
+    low, mean = num / den, 2 * num / (num + den)
+    return has_run(hx, least, low) and has_run(hy, least, low) and (has_run(hx, least, mean) or has_run(hy, least, mean))
+
+
 def widened(i: int, j: int, n: int, least: int, left: float) -> tuple[int, int]:
     """i..j made `least` long within 0..n-1 where it is shorter, that share of what lacks on the left if there is room."""
     lack = max(0, least - (j - i + 1))
@@ -341,77 +362,56 @@ def widened(i: int, j: int, n: int, least: int, left: float) -> tuple[int, int]:
     return max(0, i - (lack - after)), j + after
 
 
-def verify(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> tuple[int, int, int, int, float] | None:
+def verify(x: np.ndarray, y: np.ndarray, kinds: int, least: int, num: int, den: int) -> tuple[int, int, int, int, float] | None:
     """The best matching passages of two stretches (bounds in each, similarity), or None.
 
     The run that gains most is tried first, then the longest one with the hits of that similarity, then runs with ever
     fewer misses, down to none, then equal runs. A run shorter than a passage is widened, for a passage may begin or end
     with what differs.
     """
-    in_y = np.isin(x, y)
+    in_y, tried = held(x, y, kinds), set()
     for best, worth, cost in ((best_stretch, den - num, num), (longest_stretch, den - num, 2 * num), (best_stretch, 1, 20), (best_stretch, 1, 1 << 40)):
         i, j = best(in_y, worth, cost)
-        p, q = best(np.isin(y, x[i : j + 1]), worth, cost)
-        i2, j2 = best(np.isin(x[i : j + 1], y[p : q + 1]), worth, cost)
+        if (i, j) in tried:
+            continue
+        tried.add((i, j))
+        p, q = best(held(y, x[i : j + 1], kinds), worth, cost)
+        i2, j2 = best(held(x[i : j + 1], y[p : q + 1], kinds), worth, cost)
         i, j = i + i2, i + j2
         for left in (0.5, 0.0, 1.0) if min(j - i, q - p) + 1 < least else (0.5,):
             (a, b), (c, d) = widened(i, j, len(x), least, left), widened(p, q, len(y), least, left)
             if min(b - a, d - c) + 1 < least:
                 continue
-            similarity = similarity_of(x[a : b + 1], y[c : d + 1], num, den)
+            similarity = similarity_of(x[a : b + 1], y[c : d + 1], kinds, num, den)
             if similarity:
                 return a, b, c, d, similarity
     run = equal_run(x, y, least)
     return (*run, 1.0) if run else None
 
 
-def dense_parts(hit: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Where passages can lie: around runs of `least` with enough hits, the others' hits being too scattered.
-
-    A passage with a share of num / den hits holds a run of `least` with 3 / 4 of that share; with half a run on each
-    side, parts that are closer than a run are one part.
-    """
-    if len(hit) < least:
-        return []
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    at = np.nonzero(4 * den * (sums[least:] - sums[:-least]) >= 3 * num * least)[0]
-    if not len(at):
-        return []
-    cut = np.nonzero(np.diff(at) > 2 * least)[0]
-    first, last = at[np.concatenate([[0], cut + 1])], at[np.append(cut, len(at) - 1)]
-    return [(max(0, i - least // 2), min(len(hit), j + least + least // 2)) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
-
-
 def verify_all(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int, float]]:
     """All matching passages of two stretches: what a match leaves of either is verified again.
 
     What is left of x meets all of y, the passage in x what is left of y. Where nothing matches, what lies around the
-    run that gains most is tried without it.
+    run that gains most is tried without it. Where hits are too few or too scattered for a passage, nothing is tried.
     """
+    known, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y, kinds = code[: len(x)], code[len(x) :], len(known)
     out, todo = [], [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
         if min(b - a, d - c) < least:
             continue
-        parts = dense_parts(np.isin(x[a:b], y[c:d]), least, num, den)
-        if not parts:
-            continue
-        if len(parts) > 1 or parts[0][1] - parts[0][0] < (b - a) // 2:
-            todo += [(a + i, a + j, c, d) for i, j in parts]
-            continue
-        sides = dense_parts(np.isin(y[c:d], x[a:b]), least, num, den)
-        if not sides:
-            continue
-        if len(sides) > 1 or sides[0][1] - sides[0][0] < (d - c) // 2:
-            todo += [(a, b, c + i, c + j) for i, j in sides]
+        hx = held(x[a:b], y[c:d], kinds)
+        if not possible(hx, held(y[c:d], x[a:b], kinds), least, num, den):
             continue
-        v = verify(x[a:b], y[c:d], least, num, den)
+        v = verify(x[a:b], y[c:d], kinds, least, num, den)
         if v:
             i, j, p, q = a + v[0], a + v[1], c + v[2], c + v[3]
             out.append((i, j, p, q, v[4]))
             todo += [(a, i, c, d), (j + 1, b, c, d), (i, j + 1, c, p), (i, j + 1, q + 1, d)]
         else:
-            i, j = best_stretch(np.isin(x[a:b], y[c:d]), den - num, num)
+            i, j = best_stretch(hx, den - num, num)
             todo += [(a, a + i, c, d), (a + j + 1, b, c, d)]
     return sorted(set(out))
 
