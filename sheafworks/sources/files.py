@@ -51,7 +51,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 raw = np.frombuffer(row.data, np.uint8).reshape(-1, row.nChannels).astype(np.int32)
                 b, g, r = (raw[:, k] for k in range(3)) if row.nChannels >= 3 else (raw[:, 0],) * 3
                 a = raw[:, 3] if row.nChannels == 4 else np.full(len(raw), 255, np.int32)
-                out.append((row.origin, row.width, row.height, r.tolist(), g.tolist(), b.tolist(), a.tolist()))
+                out.append((row.origin, row.width, row.height, r, g, b, a))
             yield pd.DataFrame(out, columns=["origin", "width", "height", "r", "g", "b", "a"])
 
     images = spark.read.format("image").option("dropInvalid", True).load(path)
