@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheafworks.llm.common import BLOCK_ROWS, ROW_BITS, components, count_parts, documents, gaps, give_back, named, pack, part_of, row_ids, runs_of, stash, trim, unpack
+from sheafworks.llm.common import BLOCK_ROWS, ROW_BITS, components, count_parts, documents, drop, gaps, give_back, named, pack, part_of, row_ids, runs_of, stash, trim, unpack
 from sheafworks.llm.jaccard import MULT, mix, tokenise, total
 
 #: Words of a shingle, hash functions, how many must agree around a signature, shingles of the shortest passage (50 words), similarity.
@@ -447,7 +447,9 @@ def verified(table: DataFrame, pairs: DataFrame, groups: int, least: int, num: i
     xb = cut.select(F.col("row").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("rb"), F.col("body").alias("xb"))
     both = found.join(xa, ["a", "la", "ra"]).join(xb, ["b", "lb", "rb"]).select("a", "b", "la", "lb", "xa", "xb")
     matches = both.mapInArrow(checker(least, num, den), "a long, a_first long, a_last long, b long, b_first long, b_last long, similarity double")
-    return stash(matches.distinct())
+    out = stash(matches.distinct())
+    drop(found, cut)
+    return out
 
 
 def meeting(one: DataFrame, two: DataFrame, condition: Column) -> DataFrame:
@@ -530,14 +532,16 @@ def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN
     told = stash(asked.groupBy("part").applyInArrow(trim(add_up), HEAD))
     rows = table.select("block", F.lit(-1).alias("part"), "body").unionByName(told)
     out = stash(rows.groupBy("block").applyInArrow(emitter(bits, parts, least), f"{RECTANGLES}, doc_id long, same long, m long"))
-    ids = out.where("v is null").select("row", "doc_id", "same", "m")
+    ids = stash(out.where("v is null").select("row", "doc_id", "same", "m"))
     rectangles = stash(represented(out.where("v is not null").select("v", "s", "sketch", "row", "lo", "p", "q", "hi")))
+    drop(told, out)
     groups = max(1, rectangles.count() // 40_000)
 
     hubs = once(rectangles.where("row = first and s = usual"))
-    matches = verified(table, meeting(rectangles.where("row <> first").select("v", "row", "lo", "p", "q", "hi"), hubs, F.lit(True)), groups, least, num, den)
-    more = verified(table, apart(rectangles, classes(matches), need), groups, least, num, den)
-    matches = stash(matches.unionByName(more).distinct())
+    early = verified(table, meeting(rectangles.where("row <> first").select("v", "row", "lo", "p", "q", "hi"), hubs, F.lit(True)), groups, least, num, den)
+    late = verified(table, apart(rectangles, classes(early), need), groups, least, num, den)
+    matches = stash(early.unionByName(late).distinct())
+    drop(table, rectangles, early, late)
     runs = classes(matches)
 
     copies = ids.where((F.col("row") != F.col("same")) & (F.col("m") >= least))
