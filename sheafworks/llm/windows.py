@@ -14,9 +14,11 @@ are a table, grouped by signature.
 2. For each two texts the rectangles are joined as intervals, and each maximal stretch is verified: all passages of
    `least` shingles or more with the wanted Jaccard similarity are taken from it.
 3. Overlapping matches of a text are one passage; passages that are matched, directly or by way of others, are a class.
-4. Rectangles of a group that are not in its largest class meet all of the group that are not in their own class, if at
-   least NEED of the K minima around their centres agree, and are verified likewise. So no pair is given up because it
-   differs from its representative; within a class, copies are not expanded into all pairs.
+4. Rectangles of a group that are in no class, and one of each class, meet one of each other class, if at least NEED of
+   the K minima around their centres agree, and are verified likewise: most classes of a group become one.
+5. Those that are not in the group's largest class then meet all of the group that are not in their own, in the same
+   way. So no pair is given up because it differs from its representative; within a class, copies are not expanded into
+   all pairs.
 
 Two passages of similarity s share a pair's signature with a chance of s * s for each of the BANDS (0.98 for one of them
 at 0.8, more where they are longer than `least`); repeats that are equal share all. What is returned was verified, on 32-bit hashes of the shingles.
@@ -29,6 +31,8 @@ is a block of its own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -498,11 +502,15 @@ def classes(matches: DataFrame) -> DataFrame:
     side = lambda n: runs.select(F.col("row").alias(n), F.col("first").alias(f"{n}_first"), F.col("last").alias(f"{n}_last"), F.col("node").alias(f"{n}_node"))
     edges = matches.join(side("a"), ["a", "a_first", "a_last"]).join(side("b"), ["b", "b_first", "b_last"]).select("a_node", "b_node").distinct()
     low = components(edges, "a_node", "b_node").withColumnRenamed("node", "n")
-    return stash(runs.join(low, F.col("node") == F.col("n"), "left").select("row", "first", "last", F.coalesce("component", "node").alias("class")))
+    out = stash(runs.join(low, F.col("node") == F.col("n"), "left").select("row", "first", "last", F.coalesce("component", "node").alias("class")))
+    drop(runs)
+    return out
+
 
+def apart(rectangles: DataFrame, runs: DataFrame, need: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(meetings, the table that they read): meetings of rectangles of a group that are in different classes, one of them at least not in the largest one.
 
-def apart(rectangles: DataFrame, runs: DataFrame, need: int) -> DataFrame:
-    """Meetings of rectangles of a group that are in different classes, one of them at least not in the largest one."""
+    Each class, and those in none, are met as one of them; with every, as all of them."""
     of = runs.select(F.col("row").alias("r"), "first", "last", "class")
     inside = F.col("p").between(F.col("first"), F.col("last") - (WIDTH - 1)) & F.col("q").between(F.col("first"), F.col("last") - (WIDTH - 1))
     placed = rectangles.drop("first", "usual").join(of, (F.col("row") == F.col("r")) & inside, "left").groupBy("v", "s", "sketch", "row", "lo", "p", "q", "hi").agg(F.min("class").alias("class"))
@@ -513,8 +521,12 @@ def apart(rectangles: DataFrame, runs: DataFrame, need: int) -> DataFrame:
     differ = F.col("class").isNull() | F.col("o_class").isNull() | (F.col("class") != F.col("o_class"))
     x = F.col("sketch").bitwiseXOR(F.col("o_sketch"))
     agree = sum((F.shiftright(x, 4 * k).bitwiseAND(F.lit(15)) == 0).cast("int") for k in range(K))
+    if not every:
+        one = placed.groupBy("v", "class", "other").agg(F.min(F.struct("row", "p", "lo", "q", "hi", "sketch")).alias("x")).select("v", "class", "other", "x.*")
+        mine = placed.where("class is null").select(*one.columns).unionByName(one.where("other and class is not null"))
+        return meeting(mine, one, differ & (agree >= need)), placed
     first = ~F.col("o_other") | (F.col("row") > F.col("o_row"))
-    return meeting(placed.where("other").drop("s"), once(placed, "s", "sketch", "class", "other").drop("s"), differ & first & (agree >= need))
+    return meeting(placed.where("other").drop("s"), once(placed, "s", "sketch", "class", "other").drop("s"), differ & first & (agree >= need)), placed
 
 
 def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN, need: int = NEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -539,9 +551,14 @@ def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN
 
     hubs = once(rectangles.where("row = first and s = usual"))
     early = verified(table, meeting(rectangles.where("row <> first").select("v", "row", "lo", "p", "q", "hi"), hubs, F.lit(True)), groups, least, num, den)
-    late = verified(table, apart(rectangles, classes(early), need), groups, least, num, den)
-    matches = stash(early.unionByName(late).distinct())
-    drop(table, rectangles, early, late)
+    done = [early]
+    for every in (False, True):
+        runs = classes(reduce(DataFrame.unionByName, done))
+        met, read = apart(rectangles, runs, need, every)
+        done.append(verified(table, met, groups, least, num, den))
+        drop(runs, read)
+    matches = stash(reduce(DataFrame.unionByName, done).distinct())
+    drop(table, rectangles, *done)
     runs = classes(matches)
 
     copies = ids.where((F.col("row") != F.col("same")) & (F.col("m") >= least))
