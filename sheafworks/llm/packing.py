@@ -78,8 +78,8 @@ def cost(fill: np.ndarray, capacities: tuple[int, ...], overhead: int) -> int:
     return int((downsized(fill, capacities) + overhead).sum())
 
 
-def pack_shard(capacities: tuple[int, ...], overhead: int, whole: bool):
-    """Pieces of one shard to their places; with whole, to sequences."""
+def pack_shard(capacities: tuple[int, ...], overhead: int, whole: bool, mark: str | None = None):
+    """Pieces of one shard to their places; with whole, to sequences. mark: what parts tokens that come as one string."""
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -91,7 +91,8 @@ def pack_shard(capacities: tuple[int, ...], overhead: int, whole: bool):
         order = np.lexsort((offsets, bins))
         t, edge = t.take(pa.array(order)), np.concatenate([[0], np.cumsum(np.bincount(bins, minlength=len(fill)))]).astype(np.int32)
         lists = lambda a, at: pa.ListArray.from_arrays(pa.array(at), a)
-        tokens = pc.list_flatten(column(t, "tokens"))
+        tokens = column(t, "tokens") if mark is None else pc.split_pattern(column(t, "tokens"), mark).cast(pa.list_(pa.string()))
+        tokens = pc.list_flatten(tokens)
         return pa.table({
             "bin_id": pa.array(first + np.arange(len(fill))), "capacity": size, "n_tokens": fill, "doc_ids": lists(column(t, "doc_id"), edge), "starts": lists(column(t, "start"), edge),
             "offsets": lists(pa.array(offsets[order]), edge), "tokens": lists(tokens, np.concatenate([[0], np.cumsum(fill)]).astype(np.int32)),
@@ -131,15 +132,19 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ov
     return packed.unionByName(whole)
 
 
-def sequences(docs: DataFrame, tokens: str = "ids", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD, doc_id: str = "doc_id") -> DataFrame:
-    """A row for each sequence: its tokens end to end, and whose they are: doc_ids, starts in the documents, offsets here."""
+def sequences(docs: DataFrame, tokens: str = "ids", capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD, doc_id: str = "doc_id", mark: str | None = None) -> DataFrame:
+    """A row for each sequence: its tokens end to end, and whose they are: doc_ids, starts in the documents, offsets here.
+
+    Where tokens are strings and none holds `mark` (nor is empty), pieces are moved as one string each, in less space."""
     most, kind = max(capacities), docs.schema[tokens].dataType
     sizes = docs.select(F.greatest(F.size(named(tokens)), F.lit(0)).alias("n"))
     shards = max(1, -(-int(sizes.agg(F.count_if((F.col("n") > 0) & (F.col("n") % most > 0))).first()[0]) // shard))
     source = docs.select(named(doc_id).cast("long").alias("doc_id"), F.xxhash64(named(tokens)).alias("salt"), named(tokens).alias("all"))
     pieces = cut_pieces(source, F.greatest(F.size("all"), F.lit(0)), most, F.col("all")).withColumn("tokens", F.slice("all", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int"))).drop("all")
     schema = T.StructType([*T.DataType.fromDDL(BINS).fields, T.StructField("tokens", kind)])
-    packed = dealt(pieces.where(F.col("n_tokens") < most), shards).groupBy("shard").applyInArrow(pack_shard(tuple(sorted(capacities)), overhead, True), schema)
+    short = dealt(pieces.where(F.col("n_tokens") < most), shards)
+    short = short if mark is None else short.withColumn("tokens", F.array_join("tokens", mark))
+    packed = short.groupBy("shard").applyInArrow(pack_shard(tuple(sorted(capacities)), overhead, True, mark), schema)
     zero = F.array(F.lit(0).cast("long"))
     whole = full_ids(pieces.where(F.col("n_tokens") == most)).select("bin_id", F.lit(most).alias("capacity"), "n_tokens", F.array("doc_id").alias("doc_ids"), F.array("start").alias("starts"), zero.alias("offsets"), "tokens")
     return packed.unionByName(whole)

@@ -371,14 +371,14 @@ def test_shards_cost_little():
     assert whole <= parts <= 1.01 * whole
 
 
-@pytest.mark.parametrize("kind", ["int", "string"])
-def test_sequences_hold_all_tokens(spark, kind):
+@pytest.mark.parametrize("kind, mark", [("int", None), ("string", None), ("string", " ")])
+def test_sequences_hold_all_tokens(spark, kind, mark):
     r = random.Random(6)
     make = int if kind == "int" else str
     rows = [(k if k % 9 else None, [make(r.randrange(10**6)) for _ in range(r.choice([0, 3, 40, 64, 130, r.randint(1, 300)]))]) for k in range(120)]
     rows += [(500, None), (501, []), rows[5], (9007199254740993, [make(1)])]
     df = spark.createDataFrame([(*x, 1, "t") for x in rows], f"doc_id long, ids array<{kind}>, shard int, tokens string").repartition(3)
-    got = packing.sequences(df, capacities=(16, 32, 64), overhead=4, shard=50).collect()
+    got = packing.sequences(df, capacities=(16, 32, 64), overhead=4, shard=50, mark=mark).collect()
     assert len({x.bin_id for x in got}) == len(got)
     pieces = Counter()
     for x in got:
