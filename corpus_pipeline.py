@@ -46,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the documents' words, each document with an end mark: bin_id, capacity, n_tokens, doc_ids, starts,
     offsets, tokens. A null or empty text is its end mark alone. Null and repeated ids are packed row by row."""
-    return packing.sequences(docs.select("doc_id", F.array_append(quality.words(F.coalesce("text", F.lit(""))), F.lit(END)).alias("tokens")), "tokens")
+    return packing.sequences(docs.select("doc_id", F.array_append(quality.words(F.coalesce("text", F.lit(""))), F.lit(END)).alias("tokens")), "tokens", mark=" ")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("sequences", sequences)]
