@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheafworks.llm import embeddings, jaccard, katz, packing, pieces, quality, sharding, suffixes, warc, windows
+from sheafworks.llm import clusters, embeddings, fim, fmindex, jaccard, katz, packing, pieces, quality, sharding, suffixes, warc, windows
 
-MODULES = [katz, packing, warc, embeddings, jaccard, sharding, suffixes, windows, pieces, quality]
+MODULES = [katz, packing, warc, embeddings, jaccard, sharding, suffixes, windows, pieces, quality, fmindex, fim, clusters]
 
 
 def queries() -> dict:
