@@ -25,7 +25,28 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/sheaf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut wrote and nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.cut_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame | list[DataFrame], *names: str) -> str | list[str]:
+    """The names, each with as many underscores before it as make it unlike all columns of the tables."""
+    taken = {c.lower() for t in (df if isinstance(df, list) else [df]) for c in t.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out[0] if len(out) == 1 else out
 
 
 def half_up(x: Column) -> Column:

@@ -1,14 +1,27 @@
-"""Redaction: find runs that hold a term, remove them, report, cover, verify."""
+"""Redaction: find runs that hold a term, remove them, report, cover, verify.
+
+Terms, few or many, become one automaton (Aho-Corasick) that reads each distinct text of an Arrow batch once: the work
+grows with the text, not with texts times terms, and nothing is shuffled. Terms that are too large for a task's memory
+are a table that is joined with the pieces of the texts by equality.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import ahocorasick
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this many terms are literals in the plan; more are a table that is joined. Both are cleaned by the same expression.
-INLINE = 200
+from sheafworks.functions.tables import fresh
+
+#: Bytes of terms that an automaton takes (some 60 times as much memory in a task); beyond, terms are joined.
+TERM_BYTES = 4 << 20
 #: What is trimmed from terms: all white space, as a browser does.
 WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_built: dict[str, object] = {}
 
 
 def cased(text: Column, case_sensitive: bool) -> Column:
@@ -21,15 +34,41 @@ def cleaned(term: Column, case_sensitive: bool = False) -> Column:
     return F.when(t != "", t)
 
 
-def holds(text: Column, terms: list[str], case_sensitive: bool = False) -> Column:
-    """Whether text holds a term; for a list of any length, also on streams."""
-    text, terms = cased(text, case_sensitive), list(dict.fromkeys(terms))
-    if len(terms) > INLINE:
-        return F.coalesce(F.exists(F.lit(terms), lambda t: F.coalesce(F.contains(text, cleaned(t, case_sensitive)), F.lit(False))), F.lit(False))
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.coalesce(F.contains(text, cleaned(F.lit(t), case_sensitive)), F.lit(False))
-    return out
+def searching(terms, key: str):
+    """A column function: whether a text holds one of the broadcast terms; false for nulls. A worker builds the automaton once."""
+
+    def automaton():
+        if key not in _built:
+            _built.clear()
+            a = _built[key] = ahocorasick.Automaton()
+            for t in terms.value:
+                a.add_word(t, True)
+            a.make_automaton()
+        return _built[key]
+
+    def search(texts: pa.Array) -> pa.Array:
+        a, coded = automaton(), texts.dictionary_encode()
+        hit = pa.array([next(a.iter(t), None) is not None for t in coded.dictionary.to_pylist()], pa.bool_())
+        return pc.fill_null(hit.take(coded.indices), False)
+
+    return F.arrow_udf(search, "boolean")
+
+
+def holds(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: bool = False) -> Column | None:
+    """Whether run_text holds a term, also on streams; None if the terms are too large for that."""
+    session = runs.sparkSession
+    table = terms if isinstance(terms, DataFrame) else session.createDataFrame([(t,) for t in terms], "term string")
+    table = table.select(cleaned(F.col("term"), case_sensitive).alias("t")).where("t is not null")
+    if isinstance(terms, DataFrame):
+        table = table.distinct()
+        if (table.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > TERM_BYTES:
+            return None
+    found = list(dict.fromkeys(r.t for r in table.collect()))
+    if sum(len(t.encode()) for t in found) > TERM_BYTES:
+        return None
+    if not found:
+        return F.lit(False)
+    return searching(session.sparkContext.broadcast(found), uuid.uuid4().hex)(cased(F.col("run_text"), case_sensitive))
 
 
 def texts_with(runs: DataFrame, terms: DataFrame, case_sensitive: bool) -> DataFrame:
@@ -49,12 +88,22 @@ def texts_with(runs: DataFrame, terms: DataFrame, case_sensitive: bool) -> DataF
 
 def matched(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: bool, keep: bool) -> DataFrame:
     """Runs with a term in them (keep), or the others. Terms: a list, or a table (term)."""
-    if isinstance(terms, list) and len(terms) <= INLINE:
-        hit = holds(F.col("run_text"), terms, case_sensitive)
+    hit = holds(runs, terms, case_sensitive)
+    if hit is not None:
         return runs.where(hit if keep else ~hit)
     table = terms if isinstance(terms, DataFrame) else runs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    found = texts_with(runs, table, case_sensitive)
-    return runs.join(found, cased(F.col("run_text"), case_sensitive) == F.col("hit"), "left_semi" if keep else "left_anti")
+    name = fresh(runs, "hit")
+    found = texts_with(runs, table, case_sensitive).withColumnRenamed("hit", name)
+    return runs.join(found, cased(F.col("run_text"), case_sensitive) == F.col(name), "left_semi" if keep else "left_anti")
+
+
+def hits(runs: DataFrame, terms: list[str] | DataFrame, name: str) -> DataFrame:
+    """runs with a boolean column: whether run_text holds a term."""
+    hit = holds(runs, terms)
+    if hit is not None:
+        return runs.withColumn(name, hit)
+    some = matched(runs, terms, False, True).withColumn(name, F.lit(True))
+    return some.unionByName(matched(runs, terms, False, False).withColumn(name, F.lit(False)))
 
 
 def find_terms(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: bool = False) -> DataFrame:
@@ -67,7 +116,7 @@ def redact_runs(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: b
     return matched(runs, terms, case_sensitive, False)
 
 
-def redaction_boxes(runs: DataFrame, terms: list[str]) -> DataFrame:
+def redaction_boxes(runs: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
     """(doc_id, page_no, run_seq, x, y, w, h) of the rectangle over each matching run, a point wider on each side."""
     size = F.col("font_size")
     return find_terms(runs, terms).select(
@@ -76,13 +125,13 @@ def redaction_boxes(runs: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
-def redaction_report(runs: DataFrame, terms: list[str]) -> DataFrame:
+def redaction_report(runs: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
     """Matching runs by page, by document and in all; level is 0, 1 and 3. Pages are added up first, then rolled up."""
-    pages = runs.select("doc_id", "page_no", holds(F.col("run_text"), terms).cast("long").alias("hit")).groupBy("doc_id", "page_no").agg(F.sum("hit").alias("hit"))
+    pages = hits(runs.select("doc_id", "page_no", "run_text"), terms, "hit").select("doc_id", "page_no", F.col("hit").cast("long").alias("hit")).groupBy("doc_id", "page_no").agg(F.sum("hit").alias("hit"))
     return pages.rollup("doc_id", "page_no").agg(F.sum("hit").alias("hits"), F.grouping_id().alias("level"))
 
 
-def verify_redaction(runs: DataFrame, redacted: DataFrame, terms: list[str]) -> DataFrame:
+def verify_redaction(runs: DataFrame, redacted: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
     """(doc_id, remaining) for every document that had runs; all must be 0."""
     left = find_terms(redacted, terms).groupBy("doc_id").agg(F.count("*").alias("n"))
     return runs.select("doc_id").distinct().join(left, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("remaining"))

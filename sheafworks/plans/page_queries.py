@@ -106,7 +106,7 @@ QUERIES = {
     "redact_runs": lambda s, d: redact.redact_runs(fx.text_runs(s, d), TERMS).select(*RUN),
     "measure_text": measured,
     "decode_codes": coded,
-    "inherit_page_attrs": lambda s, d: objects.inherit_page_attrs(fx.page_tree(s, d), ["media_w", "rotate"], 3),
+    "inherit_page_attrs": lambda s, d: objects.inherit_page_attrs(fx.page_tree(s, d), ["media_w", "rotate"]),
     "reachable": reached,
     "remap_refs": remapped,
     "redaction_report": lambda s, d: redact.redaction_report(fx.text_runs(s, d), TERMS),

@@ -11,8 +11,11 @@ from sheafworks.operators.redact import holds
 
 
 def stream_redact(runs: DataFrame, terms: list[str]) -> DataFrame:
-    """redact_runs on a stream: stateless, so that any sink and any trigger will do."""
-    return runs.where(~holds(F.col("run_text"), terms))
+    """redact_runs on a stream: stateless, so that any sink and any trigger will do. Terms beyond redact.TERM_BYTES are an error."""
+    hit = holds(runs, terms)
+    if hit is None:
+        raise ValueError("too many terms for a stream")
+    return runs.where(~hit)
 
 
 def stream_pick_history(picks: DataFrame, k: int = 16) -> DataFrame:

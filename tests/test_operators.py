@@ -1,10 +1,13 @@
 """Edge cases and properties on small hand-made tables."""
 
 import datetime
+import os
+import random
 import re
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,25 +294,119 @@ def test_stream_redaction_equals_batch(spark, runs, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(redact.redact_runs(some, ["secret"]))
 
 
-@pytest.mark.parametrize("n", [1, 200, 201, 2000])
-def test_terms_are_cleaned_alike_however_many_they_are(spark, runs, n):
-    """The same runs by finding, boxes, removal and verification, for lists, tables and streams."""
+@pytest.mark.parametrize("n, joined", [(1, True), (201, False), (2000, True)])
+def test_terms_are_cleaned_alike_however_many_they_are(spark, runs, monkeypatch, n, joined):
+    """The same runs by finding, boxes, removal, report and verification, for lists, tables and streams, by automaton and by join.
+
+    Runs have columns of the names that the operators use inside."""
+    if joined:
+        monkeypatch.setattr(redact, "TERM_BYTES", 3)
     terms = ["\t\xa0SECRET\n\ufeff", *[f"{k} \u3000" if k % 2 else f" \t{k}x" for k in range(1000, 999 + n)]]
     more = runs.unionByName(spark.createDataFrame([(3, 1, 1, "É 1001a", 10.0, 0.0, 0.0, 1.0), (3, 1, 2, "1002X", 10.0, 0.0, 0.0, 1.0), (3, 1, 2, "1002X", 10.0, 0.0, 0.0, 1.0)], RUNS))
     want = {(1, 1, 2), (2, 2, 1)} | ({(3, 1, 1), (3, 1, 2)} if n > 2 else set())
+    for c in ("hit", "t", "n", "term", "_hit"):
+        more = more.withColumn(c, F.lit("secret"))
     key = lambda df: sorted((r.doc_id, r.page_no, r.run_seq) for r in df.collect())
     full = sorted(k for k in key(more) if k in want)
     table = spark.createDataFrame([(t,) for t in [*terms, " ", "\n", None]], "term string")
-    for given in (terms, [*terms, "", "\u2003 "], table):
+    for given in ([*terms, "", "\u2003 "], table):
         assert key(redact.find_terms(more, given)) == full == key(redact.redaction_boxes(more, given))
         left = redact.redact_runs(more, given)
         assert key(left) == sorted(k for k in key(more) if k not in want)
+        assert left.columns == more.columns
         assert {r.remaining for r in redact.verify_redaction(more, left, given).collect()} == {0}
-    assert key(streams.stream_redact(more, terms)) == key(left)
+        assert redact.redaction_report(more, given).where("level = 3").first().hits == len(full)
+    if joined:
+        with pytest.raises(ValueError):
+            streams.stream_redact(more, terms)
+    else:
+        assert key(streams.stream_redact(more, terms)) == key(left)
     assert redact.find_terms(more, terms, True).count() == (0 if n < 3 else 1)
     assert "NestedLoop" not in redact.find_terms(more, table)._jdf.queryExecution().toString()
 
 
+def test_a_hundred_thousand_terms_read_each_text_once(spark):
+    r = random.Random(5)
+    terms = ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(100_000)]
+    rows = [(k, 1, k, "x" * (k % 40) + (terms[k].upper() if k % 3 else "abcdefgh") + "yz", 1.0, 0.0, 0.0, 0.0) for k in range(300)]
+    found = redact.find_terms(spark.createDataFrame(rows, RUNS), terms)
+    assert sorted(x.doc_id for x in found.collect()) == [k for k in range(300) if k % 3]
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_a_path_given_twice_and_a_file_in_a_given_folder(spark, paged, tmp_path):
+    paged.where("doc_id = 1").coalesce(1).write.parquet(str(tmp_path / "a"))
+    paged.where("doc_id = 3").coalesce(1).write.parquet(str(tmp_path / "b"))
+    one = str(next((tmp_path / "a").glob("*.parquet")))
+    count = lambda paths: {(r.doc_id, r.input_order): r["count"] for r in files.read_corpus(spark, paths).groupBy("doc_id", "input_order").count().collect()}
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    assert count([a, a]) == {(1, 0): 10, (1, 1): 10}
+    assert count([a, b, one, f"file://{a}/"]) == {(1, 0): 10, (3, 1): 1, (1, 2): 10, (1, 3): 10}
+    assert count([one, a]) == {(1, 0): 10, (1, 1): 10}
+    with pytest.raises(ValueError):
+        files.read_corpus(spark, [f"{a}/*"])
+
+
+def test_a_large_part_is_many_files_and_a_small_one_is_one(spark, tmp_path):
+    rows = spark.range(60_000).select(F.when(F.col("id") < 50, "small").otherwise("large").alias("part_name"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        files.write_parts(rows.repartition(8), str(tmp_path / "parts"))
+        files.write_parts(rows.where("part_name = 'small'"), str(tmp_path / "few"), rows_per_file=20)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    n = lambda folder, part: len(list((tmp_path / folder / f"part_name={part}").glob("*.parquet")))
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "parts" / "part_name=large").glob("*.parquet")}
+    assert len(tasks) > 3 and n("parts", "small") == 1 and n("few", "small") == 3
+    assert spark.read.parquet(str(tmp_path / "parts")).count() == 60_000
+
+
+def test_values_come_down_deep_trees(spark):
+    """A chain of 41 levels with leaves, columns of inner names, and ways that turn back."""
+    rows = [(k, k - 1 if k else None, 7 if not k else k if k % 13 == 0 else None, None) for k in range(41)] + [(100 + k, k, None, "own" if k % 2 else None) for k in range(41)] + [(200, 999, None, None), (201, 200, None, None)]
+    tree = spark.createDataFrame(rows, "node_id int, parent_id int, up int, node string")
+    got = {r.node_id: (r.up, r.node) for r in objects.inherit_page_attrs(tree, ["up", "node"]).collect()}
+    want = {k: (k // 13 * 13 or 7, None) for k in range(41)}
+    assert got == want | {100 + k: (want[k][0], "own" if k % 2 else None) for k in range(41)} | {200: (None, None), 201: (None, None)}
+    for odd in ([(1, 1, None)], [(1, 2, 5), (2, 3, None), (3, 1, None), (4, 1, 5)]):
+        with pytest.raises(ValueError):
+            objects.inherit_page_attrs(spark.createDataFrame(odd, "node_id int, parent_id int, a int"), ["a"])
+    assert objects.inherit_page_attrs(tree.where("false"), ["up"]).count() == 0
+
+
+@pytest.mark.parametrize("thin", [10_000, 0])
+def test_closure_of_chains_cycles_and_hubs(spark, monkeypatch, thin):
+    monkeypatch.setattr(objects, "THIN", thin)
+    n = 500 if thin else 8
+    rows = [(f"n{k}", f"n{k + 1}", "Kid") for k in range(n)] + [(f"n{n}", "n5", "Kid"), ("n3", "n1", "Parent"), ("n7", "out", "Parent"), ("n2", None, "Kid")]
+    rows += [(f"n{k}", "hub", "Font") for k in range(n)] + [("hub", f"h{k}", "Kid") for k in range(50)] + [("other", "n0", "Kid")]
+    written = []
+    monkeypatch.setattr(objects, "cut", lambda df, cut=objects.cut: written.append(cut(df)) or written[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = [r.node for r in objects.reachable(spark.createDataFrame(rows, "src string, dst string, kind string"), spark.createDataFrame([("n0",), ("zz",)], "node string")).collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(got) == sorted([f"n{k}" for k in range(n + 1)] + ["hub", "zz"] + [f"h{k}" for k in range(50)])
+    left = [t for t in written if os.path.isdir(t.cut_at)]
+    assert sum(t.count() for t in left) == len(got) and len(left) <= 8  # spent tables are gone
+
+
+def test_one_picture_at_a_time(spark):
+    size = 64
+    raw = bytes(range(256)) * 64
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([f"p{k}" for k in range(5)]), pa.array([size] * 5, pa.int32()), pa.array([size] * 5, pa.int32()), pa.array([4, 4, 3, 1, 4], pa.int32()), pa.array([raw[: size * size * n] for n in (4, 4, 3, 1, 4)], pa.binary())],
+        names=["origin", "width", "height", "nChannels", "data"],
+    )
+    for limit, sizes in ((1, [1] * 5), (16 * size * size * 2, [2, 2, 1]), (1 << 30, [5])):
+        out = list(files.picture_batches(iter([batch]), limit))
+        assert [b.num_rows for b in out] == sizes
+        t = pa.Table.from_batches(out)
+        assert t.column("b")[0].as_py()[:2] == [0, 4] and t.column("a")[2].as_py() == [255] * size * size and t.column("r")[3].as_py() == t.column("g")[3].as_py()
+
+
 def test_corpus_paths_join_by_equality(spark, paged, tmp_path):
     odd = tmp_path / "a b+c%20d"
     for k in (1, 3):
