@@ -102,14 +102,15 @@ def pack_shard(capacities: tuple[int, ...], overhead: int, whole: bool, mark: st
 
 
 def cut_pieces(docs: DataFrame, n: Column, most: int, *more: Column) -> DataFrame:
-    """(doc_id, salt, piece, start, n_tokens, more): a document's tokens in pieces of the largest capacity, the last shorter."""
-    pieces = docs.select("doc_id", "salt", n.cast("long").alias("n"), *more)
+    """(doc_id, salt, row, piece, start, n_tokens, more): a document's tokens in pieces of the largest capacity, the last shorter."""
+    pieces = docs.select("doc_id", "salt", F.monotonically_increasing_id().alias("row"), n.cast("long").alias("n"), *more)
     pieces = pieces.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("piece"))
     return pieces.withColumn("start", F.col("piece") * most).withColumn("n_tokens", F.least(F.lit(most), F.col("n") - F.col("start")).cast("long")).drop("n")
 
 
 def dealt(pieces: DataFrame, shards: int) -> DataFrame:
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "piece", "n_tokens"), F.lit(shards)).cast("long")).drop("salt")
+    """Pieces with their shard. The row's number is part of the hash, so that equal rows are spread as well."""
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "piece", "n_tokens", "row"), F.lit(shards)).cast("long")).drop("salt", "row")
 
 
 def full_ids(docs: DataFrame) -> DataFrame:
@@ -141,7 +142,8 @@ def sequences(docs: DataFrame, tokens: str = "ids", capacities: tuple[int, ...]
     shards = max(1, -(-int(sizes.agg(F.count_if((F.col("n") > 0) & (F.col("n") % most > 0))).first()[0]) // shard))
     source = docs.select(named(doc_id).cast("long").alias("doc_id"), F.xxhash64(named(tokens)).alias("salt"), named(tokens).alias("all"))
     pieces = cut_pieces(source, F.greatest(F.size("all"), F.lit(0)), most, F.col("all")).withColumn("tokens", F.slice("all", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int"))).drop("all")
-    schema = T.StructType([*T.DataType.fromDDL(BINS).fields, T.StructField("tokens", kind)])
+    # Arrow lists may hold nulls, whatever the column of the input may
+    schema = T.StructType([*T.DataType.fromDDL(BINS).fields, T.StructField("tokens", T.ArrayType(kind.elementType))])
     short = dealt(pieces.where(F.col("n_tokens") < most), shards)
     short = short if mark is None else short.withColumn("tokens", F.array_join("tokens", mark))
     packed = short.groupBy("shard").applyInArrow(pack_shard(tuple(sorted(capacities)), overhead, True, mark), schema)

@@ -7,8 +7,8 @@ fails, or if it is depleted: fewer than `min_words` words are left, or more than
 
 The texts are read once: each row's counts and the hashes of its lines are written to a table, on which all else works.
 
-Defined cases: a null or blank text has no words and fails the base rule; a null host is a host of its own; each row
-counts as a document, equal rows get equal results; of lines whose documents all have null ids none is left, a smallest
+Defined cases: a null or blank text has no words and fails the base rule; a null host is a host of its own; rows that
+share an id count as one document, those with a null id each as one, and equal rows get equal results; of lines whose documents all have null ids none is left, a smallest
 id that is repeated keeps its lines in each of its rows; other columns of the input, whatever their names, stay
 untouched in `keep`; an empty table gives an empty result. Very long texts are one row each and are never shuffled.
 """
@@ -93,10 +93,13 @@ def examined(docs: DataFrame, doc_id: str, text: str, host: str, whole: bool) ->
 
 
 def frequent_lines(rows: DataFrame, limit: int) -> DataFrame:
-    """(host, line, n_docs, first) of the lines in more than limit documents; a document counts once for each line."""
+    """(host, line, n_docs, first) of the lines in more than limit documents; an id counts once for each line, a null id each time.
+
+    Counted in two steps, by line and id first, so that a line that is everywhere is no single task."""
     once = F.array_distinct(F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["line"]))
     lines = rows.select("host", "id", F.explode(once).alias("line"))
-    return lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > limit)
+    each = lines.groupBy("host", "line", "id").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("id").isNull(), F.col("n")).otherwise(F.lit(1).cast("long")))
+    return each.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > limit)
 
 
 def judged(rows: DataFrame, limit: int, min_words: int, max_removed: float) -> DataFrame:

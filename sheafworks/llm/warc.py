@@ -1,15 +1,17 @@
 """WARC as a PySpark data source, read and written.
 
-Reading: files are planned into partitions by size; large ones are cut at member starts, which the archives written here
-list; in others the first start of a range is searched: a member (or plain record) that is whole and is followed by
-another one or the end. Equality, membership and prefix predicates on the record's type and headers are pushed down; a
+Reading: files are planned into partitions by size alone; the task that reads a range finds its first record. Archives
+written here have a small file of member starts beside them, which only that task opens; in others the first start is
+searched: a member (or plain record) that is whole and is followed by another one or the end. Equality, membership and prefix predicates on the record's type and headers are pushed down; a
 record's headers are parsed first, and the payload of a record that no predicate keeps, or that the read schema doesn't
 ask for, is skipped without decoding: by seeking in plain files and in compressed files whose members carry their
 length, otherwise by inflating without keeping. Members that are decoded whole are held against their checksum.
 
 Writing: one compressed member for each record, with its length in the member's extra field; each task writes files of
-its own, and each commit adds a manifest of those that count, so files of lost or repeated tasks are never read. Appending
-adds a manifest, overwriting replaces the old ones and deletes their files.
+its own, and each commit adds a manifest of the names that count, so files of lost or repeated tasks are never read.
+Archives of other makers count without a manifest, before and after; archives made here that lie in a folder without one
+(copied there, say) are listed by the first commit, if they were there when its job began. Overwriting replaces manifests
+and deletes archives; MANIFESTS manifests are made one.
 
 Defined cases: a null payload is an empty one; null headers are left out; empty tables give no file and no rows;
 records of any length up to what one row may hold; equal rows are records of their own; columns other than the record's
@@ -36,9 +38,10 @@ from sheafworks.llm.common import documents, drop, shared_dir, stash
 #: Column of the table, header of the record.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length"}
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_length long, content_type string, payload binary"
-MANIFEST, LEVEL, ROLL = "_manifest-", 4, 256 << 20
+MANIFEST, STARTS, MANIFESTS, LEVEL, ROLL = "_manifest-", "_starts-", 32, 4, 256 << 20
 #: Bytes read at once where a record's head is looked for, and bytes between listed starts of an archive.
 HEAD, STEP = 256 << 10, 8 << 20
+ARCHIVE, OURS = re.compile(r"\.warc(\.gz)?$"), re.compile(r"^[0-9a-f]{32}\.warc\.gz$")
 MAGIC, PLAIN = b"\x1f\x8b\x08", b"WARC/1."
 
 
@@ -49,9 +52,9 @@ def opened(path: str):
 
 
 class Ranges(InputPartition):
-    """(path, first byte, end, whether the first byte is known to begin a record); records belong to where they begin."""
+    """(path, first byte, end); records belong to where they begin."""
 
-    def __init__(self, ranges: list[tuple[str, int, int, bool]]):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
         self.ranges = ranges
 
 
@@ -87,17 +90,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        store, top = opened(self.path)
-        found, listed = listing(store, top)
-        ranges: list[tuple[str, int, int, bool]] = []
-        for x in found:
-            if re.search(r"\.warc(\.gz)?$", x.base_name) and (listed is None or x.base_name in listed):
-                starts = [0, *(listed or {}).get(x.base_name, ())] if listed is not None else list(range(0, x.size, self.partition_bytes))
-                cuts = [0]
-                for at, following in zip(starts, [*starts[1:], x.size], strict=True):
-                    if following - cuts[-1] > self.partition_bytes and at > cuts[-1]:
-                        cuts.append(at)
-                ranges += [(x.path, i, j, i == 0 or listed is not None) for i, j in zip(cuts, [*cuts[1:], x.size], strict=True)]
+        found, _, counts = listing(*opened(self.path))
+        ranges = [(x.path, i, min(x.size, i + self.partition_bytes)) for x in found if counts(x.base_name) for i in range(0, max(1, x.size), self.partition_bytes)]
         groups: list[list] = []
         for r in sorted(ranges, key=lambda r: r[1] - r[2]):  # largest first, into the emptiest partition that has room
             size = r[2] - r[1]
@@ -117,8 +111,10 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         store, _ = opened(self.path)
         payload = "payload" in self.names
-        for path, begin, end, known in partition.ranges:
+        for path, begin, end in partition.ranges:
             with store.open_input_file(path) as f:
+                whole = begin == 0 and end >= f.size()
+                begin, end, known = (begin, end, True) if whole else known_range(store, path, f.size(), begin, end)
                 for headers, body in records(Window(f), path.endswith(".gz"), self.wanted, payload, begin, end, known):
                     yield tuple(self.value(name, headers, body) for name in self.names)
 
@@ -148,16 +144,34 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def listing(store, top: str):
-    """The folder's files, and the starts that its manifests list for each file that counts; None without manifests."""
+    """The folder's files, the names that its manifests list (None without manifests), and which archives count."""
     from pyarrow import fs
 
-    found = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
-    manifests = [x for x in found if x.base_name.startswith(MANIFEST)]
-    listed: dict[str, list[int]] = {}
-    for x in manifests:
-        with store.open_input_stream(x.path) as f:
-            listed |= json.loads(f.read())
-    return found, listed if manifests else None
+    for last in (False, False, True):
+        found = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
+        manifests = [x for x in found if x.base_name.startswith(MANIFEST)]
+        listed: set[str] = set()
+        try:
+            for x in manifests:
+                with store.open_input_stream(x.path) as f:
+                    listed.update(json.loads(f.read()))
+            break
+        except FileNotFoundError:  # another commit made several manifests one meanwhile
+            if last:
+                raise
+    named = listed if manifests else None
+    return found, named, lambda name: bool(ARCHIVE.search(name)) and (named is None or name in named or not OURS.match(name))
+
+
+def known_range(store, path: str, size: int, begin: int, end: int) -> tuple[int, int, bool]:
+    """Both ends at the next listed start, if starts are listed; whether the first is known to begin a record."""
+    top, _, name = path.rpartition("/")
+    try:
+        with store.open_input_stream(f"{top}/{STARTS}{name}.json") as f:
+            starts = [0, *json.loads(f.read()), size]
+    except FileNotFoundError:
+        return begin, end, begin == 0
+    return *(min(x for x in starts if x >= min(at, size)) for at in (begin, end)), True
 
 
 class Window:
@@ -280,27 +294,36 @@ def records(w: Window, compressed: bool, wanted, payload: bool, begin: int, end:
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, files: dict[str, list[int]]):
+    def __init__(self, files: list[str]):
         self.files = files
 
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
+        found, listed, _ = listing(*opened(path))
+        self.adopted = [x.base_name for x in found if OURS.match(x.base_name)] if listed is None and not overwrite else []
 
     def write(self, iterator):
         store, top = opened(self.path)
         store.create_dir(top, recursive=True)
-        files, out, size = {}, None, 0
+        files, out, size, starts = [], None, 0, []
+
+        def close():
+            out.close()
+            if starts:
+                with store.open_output_stream(f"{top}/{STARTS}{files[-1]}.json") as f:
+                    f.write(json.dumps(starts).encode())
+
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if out is None or size > ROLL:
                         if out is not None:
-                            out.close()
-                        name, size, starts = f"{uuid.uuid4().hex}.warc.gz", 0, []
-                        files[name] = starts
-                        out = store.open_output_stream(f"{top}/{name}", compression=None)
+                            close()
+                        files.append(f"{uuid.uuid4().hex}.warc.gz")
+                        size, starts = 0, []
+                        out = store.open_output_stream(f"{top}/{files[-1]}", compression=None)
                     if size - (starts[-1] if starts else 0) > STEP:
                         starts.append(size)
                     data = member(row)
@@ -308,26 +331,39 @@ class WarcWriter(DataSourceArrowWriter):
                     out.write(data)
         finally:
             if out is not None:
-                out.close()
+                close()
         return Written(files)
 
     def commit(self, messages):
         store, top = opened(self.path)
         store.create_dir(top, recursive=True)
-        found, listed = listing(store, top) if self.overwrite else ([], None)
+        new = [k for m in messages if m for k in m.files]
+        found, _, _ = listing(store, top)
+        manifests = [x for x in found if x.base_name.startswith(MANIFEST)]
+        names, spent = [*self.adopted, *new], []
+        if self.overwrite:
+            kept = {*new, *(f"{STARTS}{k}.json" for k in new)}
+            spent = [x for x in found if x.base_name not in kept and (x.base_name.startswith((MANIFEST, STARTS)) or ARCHIVE.search(x.base_name))]
+        elif len(manifests) >= MANIFESTS:
+            spent = manifests
+            for x in manifests:
+                with store.open_input_stream(x.path) as f:
+                    names += json.loads(f.read())
         with store.open_output_stream(f"{top}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
-            f.write(json.dumps({k: v for m in messages if m for k, v in m.files.items()}).encode())
-        new = {k for m in messages if m for k in m.files}
+            f.write(json.dumps(list(dict.fromkeys(names))).encode())
         # manifests first: a reader never meets one whose files are gone
-        for x in sorted(found, key=lambda x: not x.base_name.startswith(MANIFEST)):
-            if x.base_name not in new and (x.base_name.startswith(MANIFEST) or re.search(r"\.warc(\.gz)?$", x.base_name)):
-                store.delete_file(x.path)
+        for x in sorted(spent, key=lambda x: not x.base_name.startswith(MANIFEST)):
+            store.delete_file(x.path)
 
     def abort(self, messages):
         """Nothing is listed, so nothing is read; the files of the tasks that ended go."""
+        from pyarrow import fs
+
         store, top = opened(self.path)
         for name in (k for m in messages if m for k in m.files):
-            store.delete_file(f"{top}/{name}")
+            for path in (f"{top}/{name}", f"{top}/{STARTS}{name}.json"):
+                if store.get_file_info(path).type != fs.FileType.NotFound:
+                    store.delete_file(path)
 
 
 def member(row: dict) -> bytes:

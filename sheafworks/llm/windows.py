@@ -366,12 +366,58 @@ def widened(i: int, j: int, n: int, least: int, left: float) -> tuple[int, int]:
     return max(0, i - (lack - after)), j + after
 
 
+def enumerated(x: np.ndarray, y: np.ndarray, kinds: int, least: int, num: int, den: int) -> tuple[int, int, int, int, float] | None:
+    """The matching passages that exceed the similarity most, of all bounds that can be best; None if nothing matches.
+
+    A passage of x that is best begins and ends where runs common to both texts do, or is one that was made `least` long.
+    For each, whose elements are S, the passage of y is exact: common * den >= num * (S + T - common) holds where the sum
+    over y of 1 for a hit and -num / den for a miss reaches S * num / den, so that it is the run of greatest sum among
+    those of `least` elements and more. An element that recurs within `least` counts once.
+    """
+    nx, ny, share = len(x), len(y), num / den
+    if min(nx, ny) < least:
+        return None
+    in_y = held(x, y, kinds)
+    follows = np.isin(x[:-1] * kinds + x[1:], y[:-1] * kinds + y[1:])
+    begins, ends = np.nonzero(in_y & ~np.append(False, follows))[0], np.nonzero(in_y & ~np.append(follows, False))[0]
+    order = np.argsort(y, kind="stable")
+    again = np.zeros(ny, bool)
+    again[order[1:]] = (y[order[1:]] == y[order[:-1]]) & (order[1:] - order[:-1] < least)
+    following, last, tried = np.full(kinds, nx), nx, []
+    for i in begins[::-1].tolist():
+        following[x[i:last][::-1]] = np.arange(i, last)[::-1]  # where each element occurs first from i on
+        last = i
+        first = following[x[i:]] == np.arange(i, nx)
+        size, common = np.cumsum(first), np.cumsum(first & in_y[i:])
+        js = ends[ends >= i]
+        js = js[common[js - i] >= share * np.maximum(size[js - i], least * share) - 1e-9]
+        place = following[y]
+        for k in range(0, len(js), max(1, (1 << 21) // ny)):
+            some = js[k : k + max(1, (1 << 21) // ny)]
+            weight = np.where(place[None, :] <= some[:, None], 1.0, -share)
+            weight[:, again] = 0.0
+            sums = np.concatenate([np.zeros((len(some), 1)), np.cumsum(weight, axis=1)], axis=1)
+            gain = sums[:, least:] - np.minimum.accumulate(sums[:, : ny + 1 - least], axis=1)
+            q = gain.argmax(axis=1)
+            margin = gain[np.arange(len(some)), q] - share * np.maximum(size[some - i], least - (some - i + 1) + size[some - i])
+            for n in np.nonzero(margin >= -1e-9)[0].tolist():
+                tried.append((float(margin[n]), i, int(some[n]), int(np.argmin(sums[n, : q[n] + 1])), int(q[n]) + least - 1))
+    for _, i, j, p, q in sorted(tried, reverse=True):
+        for left in (0.5, 0.0, 1.0) if j - i + 1 < least else (0.5,):
+            a, b = widened(i, j, nx, least, left)
+            similarity = similarity_of(x[a : b + 1], y[p : q + 1], kinds, num, den)
+            if similarity:
+                return a, b, p, q, similarity
+    return None
+
+
 def verify(x: np.ndarray, y: np.ndarray, kinds: int, least: int, num: int, den: int) -> tuple[int, int, int, int, float] | None:
     """The best matching passages of two stretches (bounds in each, similarity), or None.
 
     The run that gains most is tried first, then the longest one with the hits of that similarity, then runs with ever
-    fewer misses, down to none, then equal runs. A run shorter than a passage is widened, for a passage may begin or end
-    with what differs.
+    fewer misses, down to none, then equal runs: these are quick, and what they find is a match. A run shorter than a
+    passage is widened, for a passage may begin or end with what differs. If they find none, all bounds are tried, from
+    either text.
     """
     in_y, tried = held(x, y, kinds), set()
     for best, worth, cost in ((best_stretch, den - num, num), (longest_stretch, den - num, 2 * num), (best_stretch, 1, 20), (best_stretch, 1, 1 << 40)):
@@ -390,14 +436,19 @@ def verify(x: np.ndarray, y: np.ndarray, kinds: int, least: int, num: int, den:
             if similarity:
                 return a, b, c, d, similarity
     run = equal_run(x, y, least)
-    return (*run, 1.0) if run else None
+    if run:
+        return (*run, 1.0)
+    found = enumerated(x, y, kinds, least, num, den)
+    if found is None and (other := enumerated(y, x, kinds, least, num, den)):
+        found = (*other[2:4], *other[:2], other[4])
+    return found
 
 
 def verify_all(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int, float]]:
     """All matching passages of two stretches: what a match leaves of either is verified again.
 
-    What is left of x meets all of y, the passage in x what is left of y. Where nothing matches, what lies around the
-    run that gains most is tried without it. Where hits are too few or too scattered for a passage, nothing is tried.
+    What is left of x meets all of y, the passage in x what is left of y. Where hits are too few or too scattered for a
+    passage, nothing is tried.
     """
     known, code = np.unique(np.concatenate([x, y]), return_inverse=True)
     x, y, kinds = code[: len(x)], code[len(x) :], len(known)
@@ -414,9 +465,6 @@ def verify_all(x: np.ndarray, y: np.ndarray, least: int, num: int, den: int) ->
             i, j, p, q = a + v[0], a + v[1], c + v[2], c + v[3]
             out.append((i, j, p, q, v[4]))
             todo += [(a, i, c, d), (j + 1, b, c, d), (i, j + 1, c, p), (i, j + 1, q + 1, d)]
-        else:
-            i, j = best_stretch(hx, den - num, num)
-            todo += [(a, a + i, c, d), (a + j + 1, b, c, d)]
     return sorted(set(out))
 
 

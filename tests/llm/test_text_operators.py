@@ -88,6 +88,16 @@ def test_first_document_keeps_its_lines(spark):
     assert {i for (i, has) in got if has} == {1, *range(90, 110)} and sum(got.values()) == 51
 
 
+def test_lines_are_counted_by_documents(spark):
+    """Rows that share an id are one document, those without an id one each; lines at the limit stay."""
+    line, text = "shared words of some line", lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(k, f"{line}\n{text(k)}", "a") for k in range(10) for _ in range(3)] + [(None, f"null line here\n{text(j)}", "a") for j in range(6)] + [(7, f"null line here\n{text(99)}", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    lost = lambda limit: Counter((r.doc_id, r.n_removed_words) for r in quality.report(df, limit, 10, 0.5).collect())
+    assert lost(10) == Counter({(None, 0): 6, **{(k, 0): 3 for k in range(10)}, (7, 0): 4})
+    assert lost(6) == Counter({(None, 3): 6, (0, 0): 3, **{(k, 5): 3 for k in range(1, 10)}, (7, 0): 1})
+
+
 def test_quality_of_nothing(docs):
     assert quality.report(docs.where("false"), **quality.PARAMS).count() == 0 and quality.keep(docs.where("false")).count() == 0
 
@@ -249,6 +259,53 @@ def test_recall_of_pairs(spark, n):
     assert pairs <= want and len(pairs) >= 0.95 * len(want) and len(got) == len(set(got))
 
 
+def edited(r, x, how, n):
+    """x with one run of n words put in, dropped or replaced, or with its two parts swapped."""
+    k = r.randint(len(x) // 4, 3 * len(x) // 4)
+    new = [f"e{r.randrange(10**7)}" for _ in range(n)]
+    return {"insert": x[:k] + new + x[k:], "drop": x[:k] + x[k + n :], "replace": x[:k] + new + x[k + n :], "swap": x[k:] + x[:k]}[how]
+
+
+@pytest.mark.parametrize("how", ["insert", "drop", "replace", "swap"])
+def test_recall_of_edits(spark, how):
+    """Isolated pairs with one edit of several words, as long as the similarity allows, for each length; brute force."""
+    r = random.Random(how)
+    text = lambda n: [f"s{r.randrange(10**7)}" for _ in range(n)]
+    rows, want = [], defaultdict(set)
+    for n in (50, 60, 70, 80, 120):
+        for _ in range(400):
+            x = text(n)
+            y = edited(r, x, how, r.randint(1, n // 8))
+            s, t = shingled(x), shingled(y)
+            if len(want[n]) < 60 and min(len(x), len(y)) >= 50 and len(s & t) >= 0.8 * len(s | t):
+                k = len(rows)
+                want[n].add((k, k + 1))
+                rows += [(k + j, " ".join(text(40) + w + text(40))) for j, w in enumerate((x, y))]
+    got = windows.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    pairs = {(min(r.other_id, r.doc_id), max(r.other_id, r.doc_id)) for r in got}
+    found = {n: (len(pairs & v), len(v)) for n, v in want.items() if v}
+    print("recall", how, found)
+    assert pairs <= set().union(*want.values()) and all(a >= 0.9 * b for a, b in found.values()) and len(got) == len(set(got))
+
+
+def test_bounds_of_edits_are_exact():
+    """Verification alone finds every passage, whatever lies around it."""
+    import numpy as np
+
+    r, text = random.Random(4), lambda n: [f"b{r.randrange(10**7)}" for _ in range(n)]
+    for _ in range(300):
+        x = text(r.choice([50, 60, 80, 120]))
+        y = edited(r, x, r.choice(["insert", "drop", "replace", "swap"]), r.randint(1, len(x) // 8))
+        s, t = shingled(x), shingled(y)
+        if min(len(x), len(y)) < 50 or len(s & t) < 0.8 * len(s | t):
+            continue
+        code = {}
+        p, q = r.randint(0, 40), r.randint(0, 40)
+        codes = lambda w: np.array([code.setdefault(tuple(w[k : k + 5]), len(code)) for k in range(len(w) - 4)], np.uint32)  # noqa: B023, E731
+        got = windows.verify_all(codes(text(p) + x + text(20)), codes(text(q) + y + text(20)), 46, 80, 100)
+        assert any(a <= p + len(x) - 5 and b >= p and c <= q + len(y) - 5 and d >= q for a, b, c, d, _ in got)
+
+
 def test_recall_in_clusters(spark):
     """Variants of a passage: every two that are similar are in one class, though both may differ from the representative."""
     r = random.Random(8)
@@ -326,6 +383,20 @@ def test_packing_is_whole_and_fits(docs, capacities, shard):
     assert packing.pack_documents(docs.where("false")).count() == 0
 
 
+def test_sequences_of_columns_without_nulls(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "d"), (3, "e f")], "doc_id int, text string")
+    for tokens in (F.split("text", " "), F.array(F.lit("x"), F.lit("y"))):
+        got = packing.sequences(df.select("doc_id", tokens.alias("tokens")), "tokens", capacities=(2, 4), overhead=1, shard=10).collect()
+        assert sorted(t for r in got for t in r.tokens) == sorted(t for r in df.select(tokens.alias("t")).collect() for t in r.t)
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    df = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.pack_documents(df.repartition(4), shard=10_000)
+    shards = got.select(F.shiftright("bin_id", 32).alias("shard")).groupBy("shard").count().collect()
+    assert len(shards) == 6 and sum(r["count"] for r in shards) == 60_000 and max(r["count"] for r in shards) < 11_000
+
+
 def test_packing_keeps_large_and_null_ids(spark):
     ids = [9007199254740993, None, -(1 << 62) - 1, None]
     df = spark.createDataFrame([(i, "a b c", 7, "x") for i in ids], "doc_id long, text string, n_tokens int, shard string").coalesce(1)

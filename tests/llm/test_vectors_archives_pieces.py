@@ -144,6 +144,53 @@ def test_appends_add_and_overwriting_replaces(spark, tmp_path):
     assert ids() == want(2, 3)
 
 
+def test_appends_hide_no_archive(spark, tmp_path, monkeypatch):
+    """Foreign archives before and after the first commit, archives of ours without a manifest, many commits made one."""
+    monkeypatch.setattr(warc, "MANIFESTS", 3)
+    warc.register(spark)
+    path, n = str(tmp_path / "a"), lambda p: spark.read.format("warc").load(p).count()
+    page = lambda k: warc.to_records(warc.mark_revisits(spark.createDataFrame([(k, f"u{k}", b"x" * (k + 1))], PAGE))).coalesce(1)
+    raw = b"".join(gzip.decompress(warc.member(r.asDict())) for k in range(3) for r in page(k).collect())
+    foreign(raw, "other.warc.gz", tmp_path / "a")
+    assert n(path) == 3
+    page(10).write.format("warc").mode("append").save(path)
+    assert n(path) == 4
+    (tmp_path / "a" / "later.warc").write_bytes(raw)
+    assert n(path) == 7
+    schema = ["record_type", "record_id", "target_uri", "warc_date", "refers_to", "payload_digest", "payload_length", "content_type", "payload"]
+    for k in range(11, 16):
+        writer = warc.WarcWriter(path, False)
+        writer.commit([writer.write(iter([pa.RecordBatch.from_pylist([{c: r[c] for c in schema if c in r} for r in (x.asDict() for x in page(k).collect())])]))])
+    assert n(path) == 12 and len([f for f in (tmp_path / "a").iterdir() if f.name.startswith(warc.MANIFEST)]) <= 3
+    (tmp_path / "b").mkdir()
+    for f in (tmp_path / "a").iterdir():
+        if warc.OURS.match(f.name):
+            (tmp_path / "b" / f.name).write_bytes(f.read_bytes())
+    assert n(str(tmp_path / "b")) == 6
+    page(20).write.format("warc").mode("append").save(str(tmp_path / "b"))
+    assert n(str(tmp_path / "b")) == 7
+    page(21).write.format("warc").mode("overwrite").save(path)
+    assert n(path) == 1
+
+
+def test_planning_reads_names_and_sizes_only(spark, tmp_path):
+    """A thousand archives: what the driver holds are ranges of bytes, and manifests hold names, no starts."""
+    warc.register(spark)
+    writer = warc.WarcWriter(str(tmp_path / "a"), False)
+    row = {"record_type": "response", "record_id": "<urn:x:1>", "payload": b"p" * 50}
+    done = []
+    for _ in range(1000):
+        done.append(writer.write(iter([pa.RecordBatch.from_pylist([{c.split()[0]: row.get(c.split()[0]) for c in warc.SCHEMA.split(", ")}])])))
+    writer.commit(done)
+    assert max(len(str(m.files)) for m in done) < 60
+    manifest = next(f for f in (tmp_path / "a").iterdir() if f.name.startswith(warc.MANIFEST))
+    assert manifest.stat().st_size < 1000 * 50
+    reader = warc.WarcReader(str(tmp_path / "a"), spark.createDataFrame([], warc.SCHEMA).schema, 100_000)
+    parts = reader.partitions()
+    assert sum(len(p.ranges) for p in parts) == 1000 and 2 <= len(parts) <= 10
+    assert spark.read.format("warc").load(str(tmp_path / "a")).count() == 1000
+
+
 def foreign(raw, name, folder):
     """The records of raw (a plain archive) as a plain file, or as members that don't carry their length."""
     cut, members = 0, []
