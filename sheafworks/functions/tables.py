@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,18 +55,41 @@ def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
+def totals(rows: DataFrame, keys: list[str], run: str, order: list[str], value: Column, before: str, whole: str | None = None) -> DataFrame:
+    """rows with the sum of value over the rows before by key and order, and over all rows of the key. Runs follow the order.
+
+    Two levels: sums within runs, and runs before them, so that one giant key is no single task.
+    """
+    v, inside, total, earlier, *on = fresh(rows, "v", "inside", "total", "earlier", *[f"{k}_of" for k in [*keys, run]])
+    rows_v = rows.withColumn(v, value)
+    sums = rows_v.groupBy(*[F.col(k).alias(o) for k, o in zip([*keys, run], on, strict=True)]).agg(F.sum(v).alias(total))
+    of_key = Window.partitionBy(*on[:-1])
+    sums = sums.withColumn(earlier, F.coalesce(F.sum(total).over(of_key.orderBy(on[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = sums.withColumn(total, F.sum(total).over(of_key)) if whole else sums.drop(total)
+    inner = Window.partitionBy(*keys, run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows_v.withColumn(inside, F.coalesce(F.sum(v).over(inner), F.lit(0)))
+    match = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip([*keys, run], on, strict=True)]
+    out = out.join(sums, match).withColumn(before, F.col(inside) + F.col(earlier))
+    return out.select(*[F.col(c) for c in rows.columns], before, *([F.col(total).alias(whole)] if whole else []))
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = 100_000) -> DataFrame:
-    """Adds the sum of value over the rows before, by key and a unique whole-number order.
+    """Adds the sum of value over the rows before, by key and a whole-number order. Runs are width orders."""
+    run = fresh(df, "run")
+    return totals(df.withColumn(run, F.floor(F.col(order) / width)), keys, run, [order], value, name).drop(run)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, whole: str | None = None, width: int = 100_000) -> DataFrame:
+    """Adds name, 1..N by key and order, and whole, the N of the key.
 
-    Two levels: sums within runs of width orders, and runs before them, so that one giant key is no single task.
+    One whole-number column is cut to runs of width numbers. Any other order is cut by range partitions: rows are dealt by
+    ranges of keys and order, written with their partition's number, and numbered within it.
     """
-    cut_at = F.floor(F.col(order) / width)
-    rows = df.withColumn("_v", value).withColumn("_run", cut_at)
-    sums = rows.groupBy(*keys, "_run").agg(F.sum("_v").alias("_s"))
-    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    inner = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-    on = [rows[k].eqNullSafe(sums[k]) for k in [*keys, "_run"]]
-    out = rows.join(sums, on).withColumn(name, F.col("_in") + F.col("_before"))
-    return out.select(*[rows[c] for c in df.columns], name)
+    run = fresh([df], "run", name)[0]
+    kind = df.schema[order[0]].dataType
+    if len(order) == 1 and isinstance(kind, IntegralType):
+        rows = df.withColumn(run, F.floor(F.col(order[0]) / width))
+    else:
+        rows = cut(df.repartitionByRange(*keys, *order).withColumn(run, F.spark_partition_id()))
+    out = totals(rows, keys, run, order, F.lit(1).cast("long"), name, whole)
+    return out.withColumn(name, F.col(name) + 1).drop(run)

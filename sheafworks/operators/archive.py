@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafworks.functions.tables import half_up, running_total
+from sheafworks.functions.tables import fresh, half_up, running_total
 
 LOCAL, CENTRAL = 30, 46
 
@@ -47,12 +47,14 @@ def archive_manifest(entries: DataFrame) -> DataFrame:
 
 def icon_directory(icons: DataFrame) -> DataFrame:
     """Offsets of the pictures in an icon file: 6 + 16 n bytes of directory come first. icons: (archive, entry_no, size)."""
-    n = icons.groupBy("archive").agg(F.count("*").alias("_n"))
-    out = running_total(icons, ["archive"], "entry_no", F.col("size"), "_before").join(n, "archive")
-    return out.withColumn("offset", F.lit(6) + 16 * F.col("_n") + F.col("_before")).drop("_n", "_before")
+    n, before = fresh(icons, "n", "before")
+    counts = icons.groupBy("archive").agg(F.count("*").alias(n))
+    out = running_total(icons, ["archive"], "entry_no", F.col("size"), before).join(counts, "archive")
+    return out.withColumn("offset", F.lit(6) + 16 * F.col(n) + F.col(before)).drop(n, before)
 
 
 def delta_decode(samples: DataFrame) -> DataFrame:
     """Adds value: running sum of the deltas of a row, modulo 256. samples: (row_id, pos, delta)."""
-    out = running_total(samples, ["row_id"], "pos", F.col("delta"), "_before")
-    return out.withColumn("value", F.pmod(F.col("_before") + F.col("delta"), F.lit(256)).cast("int")).drop("_before")
+    before = fresh(samples, "before")
+    out = running_total(samples, ["row_id"], "pos", F.col("delta"), before)
+    return out.withColumn("value", F.pmod(F.col(before) + F.col("delta"), F.lit(256)).cast("int")).drop(before)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafworks.functions.tables import cut, drop, fresh
+from sheafworks.functions.tables import cut, drop, fresh, ranked
 
 
 def distinct_shared(resources: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def first_value_per_key(sections: DataFrame) -> DataFrame:
 
 
 def compact_ids(objects: DataFrame) -> DataFrame:
-    """Adds new_id 1..N by ascending number within each document."""
-    return objects.withColumn("new_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("obj_num")))
+    """Adds new_id 1..N by ascending number within each document, of which one may hold most of all objects."""
+    return ranked(objects, ["doc_id"], ["obj_num"], "new_id").withColumn("new_id", F.col("new_id").cast("int"))
 
 
 def inherit_page_attrs(tree: DataFrame, attrs: list[str]) -> DataFrame:
@@ -103,7 +103,9 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def remap_refs(edges: DataFrame, id_map: DataFrame) -> DataFrame:
     """Adds new_dst; null where the target has no new id. id_map: (old_id, new_id)."""
-    return edges.join(id_map, F.col("dst") == F.col("old_id"), "left").select(*edges.columns, F.col("new_id").alias("new_dst"))
+    old, new = fresh(edges, "old", "new")
+    ids = id_map.select(F.col("old_id").alias(old), F.col("new_id").alias(new))
+    return edges.join(ids, F.col("dst") == F.col(old), "left").select(*edges.columns, F.col(new).alias("new_dst"))
 
 
 def overlay_updates(base: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafworks.functions.tables import half_up, running_total
+from sheafworks.functions.tables import fresh, half_up, ranked, running_total, totals
 
 #: The box of a page that has none.
 DEFAULT_BOX = {"llx": 0.0, "lly": 0.0, "urx": 612.0, "ury": 792.0}
@@ -71,35 +71,43 @@ def split_by_ranges(pages: DataFrame, ranges: str) -> DataFrame:
     if not parsed:
         raise ValueError(f"{ranges!r} names no range of pages")
     table = pages.sparkSession.createDataFrame([(k + 1, lo, hi) for k, (lo, hi, _) in enumerate(parsed)], "part_no int, lo long, hi long")
-    return pages.join(F.broadcast(table), F.col("page_no").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    lo, hi = fresh(pages, "lo", "hi")
+    table = table.withColumnsRenamed({"lo": lo, "hi": hi})
+    return pages.join(F.broadcast(table), F.col("page_no").between(F.col(lo), F.col(hi))).drop(lo, hi)
 
 
 def split_chunks(pages: DataFrame, size: int) -> DataFrame:
-    """Adds part_no: runs of `size` pages of each document, the last may be short."""
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no"))
-    return pages.withColumn("part_no", (F.floor((nth - 1) / max(1, size)) + 1).cast("int"))
+    """Adds part_no: runs of `size` pages of each document, the last may be short. A long document is many tasks."""
+    nth = fresh(pages, "nth")
+    return ranked(pages, ["doc_id"], ["page_no"], nth).withColumn("part_no", (F.floor((F.col(nth) - 1) / max(1, size)) + 1).cast("int")).drop(nth)
 
 
 def part_names(parts: DataFrame, base: Column) -> DataFrame:
-    """Adds part_name: base-pFIRST or base-pFIRST-LAST."""
-    w = Window.partitionBy("doc_id", "part_no")
-    first, last = F.min("page_no").over(w), F.max("page_no").over(w)
-    return parts.withColumn("part_name", F.concat(base, F.lit("-p"), first.cast("string"), F.when(first == last, "").otherwise(F.concat(F.lit("-"), last.cast("string")))))
+    """Adds part_name: base-pFIRST or base-pFIRST-LAST. First and last pages are aggregated, whatever a part's size."""
+    doc, part, first, last = fresh(parts, "doc", "part", "first", "last")
+    ends = parts.groupBy(F.col("doc_id").alias(doc), F.col("part_no").alias(part)).agg(F.min("page_no").alias(first), F.max("page_no").alias(last))
+    name = F.concat(base, F.lit("-p"), F.col(first).cast("string"), F.when(F.col(first) == F.col(last), "").otherwise(F.concat(F.lit("-"), F.col(last).cast("string"))))
+    out = parts.join(ends, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("part_no").eqNullSafe(F.col(part)))
+    return out.withColumn("part_name", name).drop(doc, part, first, last)
 
 
-def merge_documents(pages: DataFrame, order: DataFrame) -> DataFrame:
-    """Pages of the documents of each bundle, numbered 1..N by the bundle's order. order: (doc_id, bundle_id, input_order)."""
-    place = ["bundle_id", "input_order", "doc_id"]
+def merge_documents(pages: DataFrame, order: DataFrame, width: int = 100_000) -> DataFrame:
+    """Pages of the documents of each bundle, numbered 1..N by the bundle's order. order: (doc_id, bundle_id, input_order).
+
+    Pages are counted by runs of each document; the counts are added up by documents and by inputs, and each page's number
+    in its run comes on top. A page moves once, whatever the size of its document, input or bundle.
+    """
     p = pages.join(order, "doc_id")
-    docs = p.groupBy(*place).agg(F.count("*").alias("_n"))
-    inputs = docs.groupBy("bundle_id", "input_order").agg(F.sum("_n").alias("_n"))
-    inputs = running_total(inputs, ["bundle_id"], "input_order", F.col("_n"), "_inputs").select(F.col("bundle_id").alias("_b"), F.col("input_order").alias("_o"), "_inputs")
-    docs = running_total(docs, ["bundle_id", "input_order"], "doc_id", F.col("_n"), "_docs").drop("_n")
-    docs = docs.join(inputs, F.col("bundle_id").eqNullSafe(F.col("_b")) & F.col("input_order").eqNullSafe(F.col("_o")))
-    docs = docs.select(F.col("bundle_id").alias("_b"), F.col("input_order").alias("_o"), F.col("doc_id").alias("_d"), (F.col("_inputs") + F.col("_docs") + 1).alias("_first"))
-    p = running_total(p, place, "page_no", F.lit(1), "_nth")
-    p = p.join(docs, F.col("bundle_id").eqNullSafe(F.col("_b")) & F.col("input_order").eqNullSafe(F.col("_o")) & (F.col("doc_id") == F.col("_d")))
-    return p.withColumn("new_page_no", (F.col("_first") + F.col("_nth")).cast("int")).drop("_b", "_o", "_d", "_first", "_nth")
+    run, nth, b, o, d, r, n, first, inputs, docs, b2, o2 = fresh(p, "run", "nth", "b", "o", "d", "r", "n", "first", "inputs", "docs", "b2", "o2")
+    p = p.withColumn(run, F.floor(F.col("page_no") / width))
+    runs = p.groupBy(F.col("bundle_id").alias(b), F.col("input_order").alias(o), F.col("doc_id").alias(d), F.col(run).alias(r)).agg(F.count("*").alias(n))
+    each = running_total(runs.groupBy(b, o).agg(F.sum(n).alias(n)), [b], o, F.col(n), inputs).select(F.col(b).alias(b2), F.col(o).alias(o2), inputs)
+    cell = fresh(runs, "cell")
+    runs = totals(runs.withColumn(cell, F.floor(F.col(d) / width)), [b, o], cell, [d, r], F.col(n), docs)
+    runs = runs.join(each, F.col(b).eqNullSafe(F.col(b2)) & F.col(o).eqNullSafe(F.col(o2))).select(b, o, d, r, (F.col(inputs) + F.col(docs)).alias(first))
+    p = p.withColumn(nth, F.row_number().over(Window.partitionBy("bundle_id", "input_order", "doc_id", run).orderBy("page_no")))
+    p = p.join(runs, F.col("bundle_id").eqNullSafe(F.col(b)) & F.col("input_order").eqNullSafe(F.col(o)) & (F.col("doc_id") == F.col(d)) & F.col(run).eqNullSafe(F.col(r)))
+    return p.withColumn("new_page_no", (F.col(first) + F.col(nth)).cast("int")).drop(run, nth, b, o, d, r, first)
 
 
 def text_width(text: Column, widths: list[int], first: int = 32, fallback: int = 556) -> Column:
@@ -122,19 +130,18 @@ def text_width(text: Column, widths: list[int], first: int = 32, fallback: int =
 
 def number_pages(pages: DataFrame, fmt: str, start: int, position: str, size: float, widths: list[int]) -> DataFrame:
     """Adds label, x, y: {n} and {total} are replaced once each; margins of 28 points."""
-    per_doc = Window.partitionBy("doc_id")
-    n, total = F.row_number().over(per_doc.orderBy("page_no")) + (start - 1), F.count("*").over(per_doc)
-    p = effective_box(pages).withColumn("_n", n.cast("string")).withColumn("_total", total.cast("string"))
+    nth, total, wide = fresh(pages, "nth", "total", "wide")
+    p = ranked(effective_box(pages), ["doc_id"], ["page_no"], nth, total)
 
     def once(text: Column, mark: str, value: Column) -> Column:
         at = F.instr(text, mark)
         return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), value, F.substring(text, at + len(mark), F.length(text)))).otherwise(text)
 
-    p = p.withColumn("label", once(once(F.lit(fmt), "{n}", F.col("_n")), "{total}", F.col("_total")))
-    p = p.withColumn("_w", text_width(F.col("label"), widths) / F.lit(1000.0) * F.lit(float(size)))
+    p = p.withColumn("label", once(once(F.lit(fmt), "{n}", (F.col(nth) + (start - 1)).cast("string")), "{total}", F.col(total).cast("string")))
+    p = p.withColumn(wide, text_width(F.col("label"), widths) / F.lit(1000.0) * F.lit(float(size)))
     y = F.col("lly") + float(MARGIN) if position.startswith("bottom") else F.col("ury") - float(MARGIN)
-    x = (F.col("llx") + F.col("urx")) / 2.0 - F.col("_w") / 2.0 if "center" in position else F.col("urx") - float(MARGIN) - F.col("_w") if "right" in position else F.col("llx") + float(MARGIN)
-    return p.withColumns({"x": x, "y": y}).drop("_n", "_total", "_w")
+    x = (F.col("llx") + F.col("urx")) / 2.0 - F.col(wide) / 2.0 if "center" in position else F.col("urx") - float(MARGIN) - F.col(wide) if "right" in position else F.col("llx") + float(MARGIN)
+    return p.withColumns({"x": x, "y": y}).drop(nth, total, wide)
 
 
 def doc_stats(pages: DataFrame) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafworks.functions import colors
-from sheafworks.functions.tables import half_up, running_total
+from sheafworks.functions.tables import half_up, ranked
 
 #: Characters from dark to light; icon sizes, and those of them in the icon file.
 RAMP = "@%#*+=-:. "
@@ -20,9 +19,14 @@ ICONS, ICO = (16, 32, 48, 64, 128, 180, 192, 512), (16, 32, 48)
 RGBA = ("r", "g", "b", "a")
 
 
+def framed(pixels: DataFrame, dims: DataFrame) -> DataFrame:
+    """Pixels with their picture's width and height, without other columns."""
+    return pixels.select("image_id", "x", "y", *RGBA).join(dims.select("image_id", "width", "height"), "image_id")
+
+
 def crop_pixels(pixels: DataFrame, dims: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
     """Pixels in the rectangle, which is clamped to the picture; coordinates start again at 0."""
-    p = pixels.join(dims, "image_id")
+    p = framed(pixels, dims)
     x0, y0 = F.greatest(F.lit(0), F.least(F.lit(x), F.col("width") - 1)), F.greatest(F.lit(0), F.least(F.lit(y), F.col("height") - 1))
     p = p.withColumn("_x", x0).withColumn("_y", y0)
     w1, h1 = F.greatest(F.lit(1), F.least(F.lit(w), F.col("width") - F.col("_x"))), F.greatest(F.lit(1), F.least(F.lit(h), F.col("height") - F.col("_y")))
@@ -32,7 +36,7 @@ def crop_pixels(pixels: DataFrame, dims: DataFrame, x: int, y: int, w: int, h: i
 
 def rotate_flip_pixels(pixels: DataFrame, dims: DataFrame, angle: int, flip_h: bool = False, flip_v: bool = False) -> DataFrame:
     """Flipped, then turned clockwise by 0, 90, 180 or 270."""
-    p = pixels.join(dims, "image_id")
+    p = framed(pixels, dims)
     w, h = F.col("width"), F.col("height")
     x = w - 1 - F.col("x") if flip_h else F.col("x")
     y = h - 1 - F.col("y") if flip_v else F.col("y")
@@ -69,7 +73,8 @@ def watermark_tiles(dims: DataFrame, text_width: float, size: float) -> DataFram
 
 def resize_pixels(pixels: DataFrame, dims: DataFrame, w: int, h: int) -> DataFrame:
     """Shrinking: mean of the pixels that fall in a cell. Growing: the nearest pixel, by a generated grid and a join."""
-    d = dims.withColumn("_grow", (F.col("width") < w) | (F.col("height") < h))
+    pixels, d = pixels.select("image_id", "x", "y", *RGBA), dims.select("image_id", "width", "height")
+    d = d.withColumn("_grow", (F.col("width") < w) | (F.col("height") < h))
     p = pixels.join(d, "image_id")
     cell = lambda c, n, side: F.floor(F.col(c) * F.lit(n) / F.col(side)).cast("int")
     small = p.where(~F.col("_grow")).groupBy("image_id", cell("x", w, "width").alias("nx"), cell("y", h, "height").alias("ny")).agg(*[half_up(F.avg(c)).cast("int").alias(c) for c in RGBA])
@@ -83,7 +88,7 @@ def resize_pixels(pixels: DataFrame, dims: DataFrame, w: int, h: int) -> DataFra
 def ascii_cells(pixels: DataFrame, dims: DataFrame, cols: int, invert: bool = False) -> DataFrame:
     """(image_id, x, y, r, g, b, ch): one character for each cell, twice as tall as wide."""
     rows = F.greatest(F.lit(1), half_up(F.lit(cols) * (F.col("height") / F.col("width")) * 0.5)).cast("int")
-    p = pixels.join(dims.withColumn("_rows", rows), "image_id")
+    p = pixels.select("image_id", "x", "y", *"rgb").join(dims.select("image_id", "width", "height", rows.alias("_rows")), "image_id")
     nx, ny = F.floor(F.col("x") * cols / F.col("width")).cast("int"), F.floor(F.col("y") * F.col("_rows") / F.col("height")).cast("int")
     c = p.groupBy("image_id", nx.alias("nx"), ny.alias("ny")).agg(*[half_up(F.avg(k)).cast("int").alias(k) for k in "rgb"])
     light = colors.luminance(F.col("r"), F.col("g"), F.col("b"), colors.SCREEN) / 255.0
@@ -106,46 +111,77 @@ def kernel(radius: float) -> list[float]:
     return [v / sum(w) for v in w]
 
 
+#: Side of the squares that pixels are blurred in, without what they need of their neighbours.
+TILE = 256
+
+
+def along(x: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
+    """Weighted sums along an axis; what is outside counts as nothing."""
+    reach, n = len(weights) // 2, x.shape[axis]
+    padded = np.pad(x, [(reach, reach) if k == axis else (0, 0) for k in range(2)])
+    return sum(w * padded[tuple(slice(k, k + n) if axis == d else slice(None) for d in range(2))] for k, w in enumerate(weights))
+
+
+def softened(block: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Channels r, g, b (times a / 255) and a of a block, blurred, as whole numbers that are no more premultiplied."""
+    r, g, b, a = (along(along(c, weights, 1), weights, 0) for c in block)
+    solid = np.where(a > 0, a, 1.0)
+    colours = [np.where(a > 0, np.minimum(255.0, c * 255.0 / solid), 0.0) for c in (r, g, b)]
+    return np.floor(np.stack([*colours, a]) + 1e-9 + 0.5).astype(np.int32)
+
+
 def blur_pixels(pixels: DataFrame, dims: DataFrame, radius: float) -> DataFrame:
-    """Long form, for small radii: two passes of exploded taps on premultiplied colours; edges fade."""
-    weights = kernel(radius)
+    """Pixel rows, blurred on premultiplied colours; edges fade. Pixels that nothing reaches give no row.
+
+    Pictures are cut to tiles; a pixel goes to its own tile and to those whose pixels it reaches, and a tile is one block of
+    numbers, so that a picture of any size is many tasks of bounded memory.
+    """
+    weights = np.array(kernel(radius))
     reach = len(weights) // 2
-    a = F.col("a") / F.lit(255.0)
-    p = pixels.select("image_id", "x", "y", *[(F.col(c) * a).alias(c) for c in "rgb"], F.col("a").cast("double").alias("a"))
-    taps = F.explode(F.array(*[F.struct(F.lit(k - reach).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)])).alias("t")
-    for axis, other in (("x", "y"), ("y", "x")):
-        p = p.select("image_id", other, axis, *RGBA, taps).withColumn(axis, F.col(axis) + F.col("t.k"))
-        p = p.groupBy("image_id", "x", "y").agg(*[F.sum(F.col(c) * F.col("t.w")).alias(c) for c in RGBA])
-    p = p.join(dims, "image_id").where("x >= 0 and y >= 0 and x < width and y < height")
-    plain = lambda c: F.when(F.col("a") > 0, F.least(F.lit(255.0), F.col(c) * 255.0 / F.col("a"))).otherwise(0.0)
-    return p.select("image_id", "x", "y", *[half_up(plain(c) + 1e-9).cast("int").alias(c) for c in "rgb"], half_up(F.col("a") + 1e-9).cast("int").alias("a"))
+    tile = max(TILE, reach)
+    p = framed(pixels, dims)
+    p = p.where(F.col("x").between(-reach, F.col("width") + reach - 1) & F.col("y").between(-reach, F.col("height") + reach - 1))
+    tiles = lambda c, side: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - reach, F.lit(0)) / tile), F.floor(F.least(F.col(c) + reach, F.col(side) - 1) / tile)))
+    p = p.select("*", tiles("x", "width").alias("tx")).select("*", tiles("y", "height").alias("ty"))
+
+    def blur(t: pa.Table) -> pa.Table:
+        one = lambda c: t.column(c)[0].as_py()
+        left, top = one("tx") * tile, one("ty") * tile
+        w, h = min(tile, one("width") - left), min(tile, one("height") - top)
+        x, y = (t.column(c).to_numpy().astype(np.int64) - at + reach for c, at in (("x", left), ("y", top)))
+        block, here = np.zeros((4, h + 2 * reach, w + 2 * reach)), np.zeros((h + 2 * reach, w + 2 * reach))
+        values = [t.column(c).to_numpy().astype(np.float64) for c in RGBA]
+        for c, v in zip(block, [*(v * (values[3] / 255.0) for v in values[:3]), values[3]], strict=True):
+            np.add.at(c, (y, x), v)
+        here[y, x] = 1.0
+        inner = (slice(reach, reach + h), slice(reach, reach + w))
+        reached = along(along(here, np.ones(len(weights)), 1), np.ones(len(weights)), 0)[inner] > 0
+        out = softened(block, weights)[:, inner[0], inner[1]]
+        ys, xs = np.nonzero(reached)
+        ids = pa.repeat(t.column("image_id")[0], len(xs))
+        return pa.table({"image_id": ids, "x": (xs + left).astype(np.int32), "y": (ys + top).astype(np.int32), **{c: out[k][ys, xs] for k, c in enumerate(RGBA)}})
+
+    schema = T.StructType([pixels.schema["image_id"], *[T.StructField(c, T.IntegerType()) for c in ("x", "y", *RGBA)]])
+    return p.groupBy("image_id", "tx", "ty").applyInArrow(blur, schema)
 
 
 def blur_rasters(rasters: DataFrame, radius: float) -> DataFrame:
-    """Raster form: one row for each picture, no shuffle; numpy on Arrow batches."""
+    """Raster form: one row for each picture, no shuffle; numpy on the lists of Arrow batches, one picture at a time."""
     weights = np.array(kernel(radius))
 
-    def along(x: np.ndarray, axis: int) -> np.ndarray:
-        reach = len(weights) // 2
-        padded = np.pad(x, [(reach, reach) if k == axis else (0, 0) for k in range(2)])
-        return sum(w * np.take(padded, np.arange(k, k + x.shape[axis]), axis=axis) for k, w in enumerate(weights))
-
     def blur(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                a = np.array(row.a, float).reshape(row.height, row.width)
-                soft = along(along(a, 1), 0)
-                new = {"image_id": row.image_id, "width": row.width, "height": row.height}
-                for c in "rgb":
-                    v = along(along(np.array(getattr(row, c), float).reshape(a.shape) * a / 255.0, 1), 0)
-                    v = np.where(soft > 0, np.minimum(255.0, v * 255.0 / np.where(soft > 0, soft, 1)), 0)
-                    new[c] = np.floor(v + 1e-9 + 0.5).astype(int).ravel().tolist()
-                new["a"] = np.floor(soft + 1e-9 + 0.5).astype(int).ravel().tolist()
-                out.append(new)
-            yield pd.DataFrame(out, columns=list(pdf.columns))
-
-    return rasters.mapInPandas(blur, rasters.schema)
+        for batch in batches:
+            names = batch.schema.names
+            for i in range(batch.num_rows):
+                row = dict(zip(names, batch.columns, strict=True))
+                size = (row["height"][i].as_py(), row["width"][i].as_py())
+                block = np.stack([row[c].slice(i, 1).flatten().to_numpy().astype(np.float64).reshape(size) for c in RGBA])
+                block[:3] *= block[3] / 255.0
+                new = dict(zip(RGBA, softened(block, weights), strict=True))
+                lists = lambda v: pa.ListArray.from_arrays(pa.array([0, v.size], pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([lists(new[c]) if c in new else row[c].slice(i, 1) for c in names], names=names)
+
+    return rasters.mapInArrow(blur, rasters.schema)
 
 
 def raster_pixels(rasters: DataFrame) -> DataFrame:
@@ -176,12 +212,18 @@ def pick_history(picks: DataFrame, k: int = 16) -> DataFrame:
         user, history, some = None, [], False
         for batch in batches:
             users, out = [], []
-            for u, color in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if some and u != user:
+            who, what = (batch.column(k).dictionary_encode("encode") for k in range(2))
+            u, c = (x.indices.to_numpy() for x in (who, what))
+            names, colours = who.dictionary.to_pylist(), what.dictionary.to_pylist()
+            # a colour that its user's last pick had changes nothing; those without a colour are all kept
+            none = np.array([x is None for x in colours], bool)[c]
+            at = np.nonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (c[1:] != c[:-1]) | none[1:]]))[0] if len(u) else []
+            for i in at:
+                if some and names[u[i]] != user:
                     users.append(user)
                     out.append(history)
                     history = []
-                user, some = u, True
+                user, some, color = names[u[i]], True, colours[c[i]]
                 if color is None or color not in history:
                     history = [color, *history][:k]
             kind = batch.schema.field(0).type
@@ -196,7 +238,7 @@ def pick_history(picks: DataFrame, k: int = 16) -> DataFrame:
 def chroma_key(pixels: DataFrame, tolerance: float, feather: float) -> DataFrame:
     """Transparent where the colour is near that of the picture's first pixel, softened in the feather band."""
     key = pixels.where("x = 0 and y = 0").select("image_id", *[F.col(c).alias(f"_{c}") for c in "rgb"])
-    p = pixels.join(key, "image_id")
+    p = pixels.select("image_id", "x", "y", *RGBA).join(key, "image_id")
     sq = lambda c: (F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}"))
     p = p.withColumn("_d", F.sqrt((sq("r") + sq("g") + sq("b")).cast("double")))
     t = (F.col("_d") - F.lit(float(tolerance))) / F.lit(float(max(1, feather)))
@@ -232,11 +274,10 @@ def border_pixels(pixels: DataFrame, dims: DataFrame, width: int, color: tuple[i
 
 def collage_layout(dims: DataFrame, bundle: str, cols: int, cell: int, gap: int) -> DataFrame:
     """Row and column of each picture of a bundle, cell origin, cover-fit scale and offsets, canvas size."""
-    counts = dims.groupBy(F.col(bundle).alias("_b")).agg(F.ceil(F.count("*") / F.lit(cols)).cast("int").alias("_rows"))
-    d = running_total(dims, [bundle], "image_id", F.lit(1), "_i").withColumn("_i", F.col("_i").cast("int"))
-    d = d.join(counts, F.col(bundle).eqNullSafe(F.col("_b"))).drop("_b")
-    d = d.withColumn("col", F.col("_i") % cols).withColumn("row", F.floor(F.col("_i") / cols).cast("int"))
+    d = dims.select(F.col(bundle).alias("bundle"), "image_id", "width", "height")
+    d = ranked(d, ["bundle"], ["image_id"], "nth", "total").withColumn("nth", (F.col("nth") - 1).cast("int"))
+    d = d.withColumn("rows", F.ceil(F.col("total") / F.lit(cols)).cast("int")).withColumn("col", F.col("nth") % cols).withColumn("row", F.floor(F.col("nth") / cols).cast("int"))
     d = d.withColumn("cx", gap + F.col("col") * (cell + gap)).withColumn("cy", gap + F.col("row") * (cell + gap))
     d = d.withColumn("scale", F.greatest(F.lit(float(cell)) / F.col("width"), F.lit(float(cell)) / F.col("height")))
     off = lambda at, side: F.col(at) + (F.lit(cell) - F.col(side) * F.col("scale")) / 2.0
-    return d.select(bundle, "image_id", "row", "col", "cx", "cy", "scale", off("cx", "width").alias("dx"), off("cy", "height").alias("dy"), F.lit(cols * cell + (cols + 1) * gap).alias("canvas_w"), (F.col("_rows") * cell + (F.col("_rows") + 1) * gap).alias("canvas_h"))
+    return d.select(F.col("bundle").alias(bundle), "image_id", "row", "col", "cx", "cy", "scale", off("cx", "width").alias("dx"), off("cy", "height").alias("dy"), F.lit(cols * cell + (cols + 1) * gap).alias("canvas_w"), (F.col("rows") * cell + (F.col("rows") + 1) * gap).alias("canvas_h"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafworks.functions.tables import half_up
+from sheafworks.functions.tables import fresh, half_up
 from sheafworks.operators.pages import text_width
 
 #: Advance widths of codes 32..126 of the two standard fonts, in thousandths; other codes have 556.
@@ -51,8 +51,8 @@ def assemble_document(pages: DataFrame, page_breaks: bool = False) -> DataFrame:
     """(doc_id, text, had_unmapped, n_pages) from (doc_id, page_no, page_text, unmapped)."""
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no"))
     mark = F.concat(F.lit("\n\n——— Page "), nth.cast("string"), F.lit(" ———\n\n")) if page_breaks else F.lit("\n\n")
-    p = pages.withColumn("_piece", F.concat(F.when(nth == 1, "").otherwise(mark), "page_text"))
-    return p.groupBy("doc_id").agg(in_order(F.col("page_no"), F.col("_piece")).alias("text"), F.bool_or("unmapped").alias("had_unmapped"), F.count("*").alias("n_pages"))
+    p = pages.select("doc_id", "page_no", "unmapped", F.concat(F.when(nth == 1, "").otherwise(mark), "page_text").alias("piece"))
+    return p.groupBy("doc_id").agg(in_order(F.col("page_no"), F.col("piece")).alias("text"), F.bool_or("unmapped").alias("had_unmapped"), F.count("*").alias("n_pages"))
 
 
 def measure_text(runs: DataFrame, font: str = "Helvetica") -> DataFrame:
@@ -69,12 +69,13 @@ def decode_codes(codes: DataFrame, ranges: DataFrame, simple: bool = True) -> Da
 
     Ranges are expanded to codes (at most 65,536 of them), so that the join is an equi-join.
     """
-    table = ranges.select("range_no", "base", "lo", F.explode(F.sequence("lo", "hi")).alias("code")).groupBy("code").agg(F.max_by(F.col("base") + F.col("code") - F.col("lo"), "range_no").alias("to"))
+    to, shown = fresh(codes, "to", "shown")
+    table = ranges.select("range_no", "base", "lo", F.explode(F.sequence("lo", "hi")).alias("code")).groupBy("code").agg(F.max_by(F.col("base") + F.col("code") - F.col("lo"), "range_no").alias(to))
     code = F.col("code")
     fallback = F.when(code.between(32, 126), code).when(code.isin(*WINANSI), F.element_at(F.create_map(*[F.lit(x) for p in WINANSI.items() for x in p]), code.cast("int"))).when(code.between(0xA0, 0xFF), code)
-    found = F.coalesce(F.col("to"), fallback) if simple else F.col("to")
-    out = codes.join(table, "code", "left").withColumn("_to", found)
-    return out.withColumn("unmapped", F.col("_to").isNull()).withColumn("ch", F.when(F.col("_to").isNull(), UNMAPPED).otherwise(character(F.col("_to")))).drop("_to", "to")
+    found = F.coalesce(F.col(to), fallback) if simple else F.col(to)
+    out = codes.join(table, "code", "left").withColumn(shown, found)
+    return out.withColumn("unmapped", F.col(shown).isNull()).withColumn("ch", F.when(F.col(shown).isNull(), UNMAPPED).otherwise(character(F.col(shown)))).drop(shown, to)
 
 
 def join_run_items(items: DataFrame, font_size: float = 10.0, hscale: float = 1.0) -> DataFrame:

@@ -271,7 +271,43 @@ def test_history_of_a_heavy_user_is_no_array(spark):
     assert {u: ",".join(out[u]) for u in (1, 2)} == history_of([r for r in rows if r[0]], 16) and len(out) == 3 and len(out[None]) == 16
 
 
-def test_stream_history_equals_batch(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_histories_expire_and_late_picks_are_dropped(spark, tmp_path, rocks):
+    """A stream that is stopped and started again between micro-batches, with picks in disorder, late ones and idle users."""
+    at = lambda minute: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+    batches = [
+        [(1, at(2), 2, "b"), (1, at(1), 1, "a"), (2, at(3), 3, "x")],
+        [(1, at(60), 4, "c"), (1, at(59), 5, "a")],
+        [(2, at(1), 6, "late"), (1, at(61), 7, "d")],
+        [(3, at(200), 8, "z")],
+        [(3, at(201), 9, "y")],
+    ]
+    seen: list[tuple] = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, PICK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(PICK).parquet(str(tmp_path / "in"))
+        out = streams.stream_pick_history(stream, 3, late="10 minutes", idle="90 minutes")
+        q = out.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend((r.user_id, tuple(r.history)) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+    last = {}
+    for u, h in seen:
+        last[u] = h
+    assert (1, ("b", "a")) in seen and (1, ("c", "b", "a")) in seen and (1, ("d", "c", "b")) in seen
+    assert not any("late" in h for _, h in seen)
+    assert last == {1: (), 2: (), 3: ("y", "z")}
+    with pytest.raises(ValueError):
+        streams.stream_pick_history(stream, idle="1 minute")
+
+
+def test_stream_history_equals_batch(spark, tmp_path, rocks):
     rows = pick_rows()
     for n in range(3):
         spark.createDataFrame(rows[n * 30 : n * 30 + 30] + rows[90 + n * 30 : 120 + n * 30], PICK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -407,6 +443,91 @@ def test_one_picture_at_a_time(spark):
         assert t.column("b")[0].as_py()[:2] == [0, 4] and t.column("a")[2].as_py() == [255] * size * size and t.column("r")[3].as_py() == t.column("g")[3].as_py()
 
 
+def test_a_picture_of_many_tiles_is_blurred_as_one(spark, monkeypatch):
+    import math
+
+    r = random.Random(1)
+    w, h, radius = 37, 23, 1.5
+    rows = [(7, x, y, *(r.randrange(256) for _ in range(4))) for x in range(w) for y in range(h) if r.random() < 0.9] + [(9, 0, 0, 255, 0, 0, 255)]
+    dims = spark.createDataFrame([(7, w, h), (9, 1, 1)], "image_id long, width int, height int")
+    p = spark.createDataFrame([(*x, 1, 2) for x in rows], "image_id long, x int, y int, r int, g int, b int, a int, width int, tx int")
+    reach = math.ceil(3 * radius)
+    k = [math.exp(-(d * d) / (2 * radius * radius)) for d in range(-reach, reach + 1)]
+    k = [v / sum(k) for v in k]
+    want = {}
+    for image, iw, ih in ((7, w, h), (9, 1, 1)):
+        near: dict = {}
+        for i, x, y, cr, cg, cb, a in rows:
+            if i == image:
+                for dx in range(-reach, reach + 1):
+                    for dy in range(-reach, reach + 1):
+                        if 0 <= x + dx < iw and 0 <= y + dy < ih:
+                            v = near.setdefault((x + dx, y + dy), [0.0] * 4)
+                            for n, c in enumerate((cr * a / 255, cg * a / 255, cb * a / 255, a)):
+                                v[n] += k[dx + reach] * k[dy + reach] * c
+        for (x, y), v in near.items():
+            want[image, x, y] = [*(min(255.0, c * 255 / v[3]) if v[3] > 0 else 0.0 for c in v[:3]), v[3]]
+    for tile in (8, 256):
+        monkeypatch.setattr(raster, "TILE", tile)
+        got = {(x.image_id, x.x, x.y): (x.r, x.g, x.b, x.a) for x in raster.blur_pixels(p, dims, radius).collect()}
+        assert got.keys() == want.keys() and all(abs(g - v) <= 0.5 + 1e-6 for key in want for g, v in zip(got[key], want[key], strict=True))
+
+
+@pytest.mark.parametrize("order", [["page_no"], ["name"], ["name", "page_no"]])
+def test_ranks_of_one_giant_document(spark, order):
+    from sheafworks.functions import tables
+
+    rows = spark.range(6_000).select(F.when(F.col("id") < 5_900, 1).when(F.col("id") < 5_990, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), (F.col("id") * 7919 % 6_000).alias("page_no"))
+    rows = rows.withColumn("name", F.lpad(F.col("page_no").cast("string"), 6, "0")).withColumn("run", F.lit("mine"))
+    got = tables.ranked(rows.repartition(4), ["doc_id"], order, "nth", "total", width=500)
+    assert got.columns == [*rows.columns, "nth", "total"]
+    place: dict = {}
+    for r in sorted(got.collect(), key=lambda r: r.page_no):
+        place[r.doc_id] = place.get(r.doc_id, 0) + 1
+        assert (r.nth, r.total) == (place[r.doc_id], {1: 5_900, None: 90}.get(r.doc_id, 1))
+
+
+INSIDE = ["run", "nth", "total", "wide", "first", "last", "doc", "part", "lo", "hi", "n", "before", "v", "inside", "earlier", "b", "o", "d", "inputs", "docs", "cell", "to", "shown", "up", "node", "further", "old", "new", "path", "hit", "t", "_n", "_first", "_run", "_v", "_s", "_x", "_y", "_to", "_piece", "_rows", "_d", "_i", "_b", "width_above", "doc_id_of", "run_of", "archive_of"]
+
+
+def inside(df):
+    return df.select("*", *[F.lit("mine").alias(c) for c in INSIDE if c not in df.columns])
+
+
+@pytest.mark.parametrize("name", ["merge", "number", "chunks", "names", "ranges", "compact", "remap", "inherit", "codes", "icons", "delta", "manifest", "separators", "document", "collage", "crop", "shrink", "key"])
+def test_columns_may_have_the_names_used_inside(spark, paged, runs, name):
+    """The same rows with as without further columns, which stay where the operator keeps columns."""
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    box = paged.withColumns({c: F.lit(float(v)) for c, v in (("llx", 0), ("lly", 0), ("urx", 100), ("ury", 100))})
+    pixel = make([(1, x, y, 9 * x, y, 7, 255) for x in range(4) for y in range(4)], "image_id long, x int, y int, r int, g int, b int, a int")
+    dims = make([(1, 4, 4)], "image_id long, width int, height int")
+    made = {
+        "merge": (lambda w: pages.merge_documents(w(paged), make([(1, 5, 2), (3, 5, 1)], "doc_id long, bundle_id int, input_order int"))),
+        "number": lambda w: pages.number_pages(w(box), "{n}/{total}", 1, "top-center", 9, text.widths("Helvetica")),
+        "chunks": lambda w: pages.split_chunks(w(paged), 3),
+        "names": lambda w: pages.part_names(w(paged.withColumn("part_no", F.lit(1))), F.lit("x")),
+        "ranges": lambda w: pages.split_by_ranges(w(paged), "1-2, 2"),
+        "compact": lambda w: objects.compact_ids(w(make([(1, 9), (1, 4), (2, 5)], "doc_id int, obj_num int"))),
+        "remap": lambda w: objects.remap_refs(w(make([("a", "b")], "src string, dst string")), w(make([("b", 3)], "old_id string, new_id int"))),
+        "inherit": lambda w: objects.inherit_page_attrs(w(make([(1, None, 5), (2, 1, None)], "node_id int, parent_id int, width int")), ["width"]),
+        "codes": lambda w: text.decode_codes(w(make([(65,), (300,)], "code int")), make([(1, 65, 66, 97)], "range_no int, lo int, hi int, base int")),
+        "icons": lambda w: archive.icon_directory(w(make([("z", 1, 10), ("z", 2, 20)], "archive string, entry_no int, size int"))),
+        "delta": lambda w: archive.delta_decode(w(make([(1, 0, 250), (1, 1, 10)], "row_id int, pos int, delta int"))),
+        "manifest": lambda w: archive.archive_manifest(w(make([("z", 1, "n", 10, 5), ("z", 2, "m", 10, 50)], "archive string, entry_no int, name string, size int, compressed_size int"))),
+        "separators": lambda w: text.run_separators(w(runs)),
+        "document": lambda w: text.assemble_document(w(paged.withColumn("unmapped", F.lit(False))), True),
+        "collage": lambda w: raster.collage_layout(w(make([(1, 1, 4, 4), (2, 1, 3, 9)], "image_id long, brand int, width int, height int")), "brand", 1, 10, 2),
+        "crop": lambda w: raster.crop_pixels(w(pixel), w(dims), 1, 1, 2, 2),
+        "shrink": lambda w: raster.resize_pixels(w(pixel), w(dims), 2, 2),
+        "key": lambda w: raster.chroma_key(w(pixel), 5.0, 5.0),
+    }[name]
+    plain = made(lambda df: df)
+    more = made(inside)
+    assert sorted(map(tuple, more.select(*plain.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    if "run" in more.columns:
+        assert {r.run for r in more.select("run").distinct().collect()} == {"mine"}
+
+
 def test_corpus_paths_join_by_equality(spark, paged, tmp_path):
     odd = tmp_path / "a b+c%20d"
     for k in (1, 3):
