@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafworks.functions.tables import fresh, half_up, ranked, running_total, totals
+from sheafworks.functions.tables import fresh, half_up, ranked, totals
 
 #: The box of a page that has none.
 DEFAULT_BOX = {"llx": 0.0, "lly": 0.0, "urx": 612.0, "ury": 792.0}
@@ -94,20 +94,18 @@ def part_names(parts: DataFrame, base: Column) -> DataFrame:
 def merge_documents(pages: DataFrame, order: DataFrame, width: int = 100_000) -> DataFrame:
     """Pages of the documents of each bundle, numbered 1..N by the bundle's order. order: (doc_id, bundle_id, input_order).
 
-    Pages are counted by runs of each document; the counts are added up by documents and by inputs, and each page's number
-    in its run comes on top. A page moves once, whatever the size of its document, input or bundle.
+    Pages are counted by runs of each document, and the counts added up in two levels, so that neither a giant document nor
+    a giant bundle is one task; documents that share a place in the list are added up in one, a row for each. A page moves
+    once, and its number in its run comes on top.
     """
     p = pages.join(order, "doc_id")
-    run, nth, b, o, d, r, n, first, inputs, docs, b2, o2 = fresh(p, "run", "nth", "b", "o", "d", "r", "n", "first", "inputs", "docs", "b2", "o2")
+    run, nth, b, o, d, r, n, before, cell = fresh(p, "run", "nth", "b", "o", "d", "r", "n", "before", "cell")
     p = p.withColumn(run, F.floor(F.col("page_no") / width))
     runs = p.groupBy(F.col("bundle_id").alias(b), F.col("input_order").alias(o), F.col("doc_id").alias(d), F.col(run).alias(r)).agg(F.count("*").alias(n))
-    each = running_total(runs.groupBy(b, o).agg(F.sum(n).alias(n)), [b], o, F.col(n), inputs).select(F.col(b).alias(b2), F.col(o).alias(o2), inputs)
-    cell = fresh(runs, "cell")
-    runs = totals(runs.withColumn(cell, F.floor(F.col(d) / width)), [b, o], cell, [d, r], F.col(n), docs)
-    runs = runs.join(each, F.col(b).eqNullSafe(F.col(b2)) & F.col(o).eqNullSafe(F.col(o2))).select(b, o, d, r, (F.col(inputs) + F.col(docs)).alias(first))
+    runs = totals(runs.withColumn(cell, F.floor(F.col(o) / width)), [b], cell, [o, d, r], F.col(n), before).drop(cell, n)
     p = p.withColumn(nth, F.row_number().over(Window.partitionBy("bundle_id", "input_order", "doc_id", run).orderBy("page_no")))
     p = p.join(runs, F.col("bundle_id").eqNullSafe(F.col(b)) & F.col("input_order").eqNullSafe(F.col(o)) & (F.col("doc_id") == F.col(d)) & F.col(run).eqNullSafe(F.col(r)))
-    return p.withColumn("new_page_no", (F.col(first) + F.col(nth)).cast("int")).drop(run, nth, b, o, d, r, first)
+    return p.withColumn("new_page_no", (F.col(before) + F.col(nth)).cast("int")).drop(run, nth, b, o, d, r, before)
 
 
 def text_width(text: Column, widths: list[int], first: int = 32, fallback: int = 556) -> Column:

@@ -144,13 +144,12 @@ def blur_pixels(pixels: DataFrame, dims: DataFrame, radius: float) -> DataFrame:
     tiles = lambda c, side: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - reach, F.lit(0)) / tile), F.floor(F.least(F.col(c) + reach, F.col(side) - 1) / tile)))
     p = p.select("*", tiles("x", "width").alias("tx")).select("*", tiles("y", "height").alias("ty"))
 
-    def blur(t: pa.Table) -> pa.Table:
-        one = lambda c: t.column(c)[0].as_py()
-        left, top = one("tx") * tile, one("ty") * tile
-        w, h = min(tile, one("width") - left), min(tile, one("height") - top)
-        x, y = (t.column(c).to_numpy().astype(np.int64) - at + reach for c, at in (("x", left), ("y", top)))
+    def blur(image, tx: int, ty: int, t: dict) -> dict:
+        left, top = tx * tile, ty * tile
+        w, h = min(tile, int(t["width"][0]) - left), min(tile, int(t["height"][0]) - top)
+        x, y = (t[c].astype(np.int64) - at + reach for c, at in (("x", left), ("y", top)))
         block, here = np.zeros((4, h + 2 * reach, w + 2 * reach)), np.zeros((h + 2 * reach, w + 2 * reach))
-        values = [t.column(c).to_numpy().astype(np.float64) for c in RGBA]
+        values = [t[c].astype(np.float64) for c in RGBA]
         for c, v in zip(block, [*(v * (values[3] / 255.0) for v in values[:3]), values[3]], strict=True):
             np.add.at(c, (y, x), v)
         here[y, x] = 1.0
@@ -158,11 +157,40 @@ def blur_pixels(pixels: DataFrame, dims: DataFrame, radius: float) -> DataFrame:
         reached = along(along(here, np.ones(len(weights)), 1), np.ones(len(weights)), 0)[inner] > 0
         out = softened(block, weights)[:, inner[0], inner[1]]
         ys, xs = np.nonzero(reached)
-        ids = pa.repeat(t.column("image_id")[0], len(xs))
-        return pa.table({"image_id": ids, "x": (xs + left).astype(np.int32), "y": (ys + top).astype(np.int32), **{c: out[k][ys, xs] for k, c in enumerate(RGBA)}})
+        return {"image_id": pa.repeat(image, len(xs)), "x": (xs + left).astype(np.int32), "y": (ys + top).astype(np.int32), **{c: out[k][ys, xs] for k, c in enumerate(RGBA)}}
+
+    def blur_all(batches):
+        """Rows come by tile; a tile may go on in the next batch."""
+        kept: list[pa.RecordBatch] = []
+
+        def tiles_of(parts):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            ids, cols = t.column("image_id"), {c: t.column(c).to_numpy() for c in t.column_names if c != "image_id"}
+            who = ids.dictionary_encode("encode").combine_chunks().indices.to_numpy() if t.num_rows else np.empty(0, np.int32)
+            new = np.nonzero((who[1:] != who[:-1]) | (cols["tx"][1:] != cols["tx"][:-1]) | (cols["ty"][1:] != cols["ty"][:-1]))[0] + 1
+            edge = [0, *new.tolist(), len(who)]
+            return t, cols, edge
+
+        def done(t, cols, edge):
+            out = [blur(t.column("image_id")[i], int(cols["tx"][i]), int(cols["ty"][i]), {c: v[i:j] for c, v in cols.items()}) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            columns = {c: pa.concat_arrays([o[c] for o in out]) if c == "image_id" else np.concatenate([o[c] for o in out]) for c in ("image_id", "x", "y", *RGBA)}
+            yield from pa.table(columns).to_batches()
+
+        for batch in batches:
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) < 100_000:
+                continue
+            t, cols, edge = tiles_of(kept)
+            if len(edge) > 2:
+                yield from done(t, cols, edge[:-1])
+            kept = t.slice(edge[-2]).to_batches()
+        if kept:
+            t, cols, edge = tiles_of(kept)
+            if edge[-1]:
+                yield from done(t, cols, edge)
 
     schema = T.StructType([pixels.schema["image_id"], *[T.StructField(c, T.IntegerType()) for c in ("x", "y", *RGBA)]])
-    return p.groupBy("image_id", "tx", "ty").applyInArrow(blur, schema)
+    return p.repartition("image_id", "tx", "ty").sortWithinPartitions("image_id", "tx", "ty").mapInArrow(blur_all, schema)
 
 
 def blur_rasters(rasters: DataFrame, radius: float) -> DataFrame:

@@ -1,13 +1,15 @@
 """Redaction: find runs that hold a term, remove them, report, cover, verify.
 
-Terms, few or many, become one automaton (Aho-Corasick) that reads each distinct text of an Arrow batch once: the work
-grows with the text, not with texts times terms, and nothing is shuffled. Terms that are too large for a task's memory
-are a table that is joined with the pieces of the texts by equality.
+Whether a run holds a term is a column, computed where the run is: nothing is shuffled or joined. Terms, cleaned by one
+expression, become an automaton (Aho-Corasick) that reads each distinct text of an Arrow batch once, so that the work grows
+with the text, not with texts times terms; a handful of them are plain `contains`, which stay in compiled code. Terms that
+are too large for a task's memory are a table that is joined with the pieces of the texts by equality.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -19,6 +21,8 @@ from sheafworks.functions.tables import fresh
 
 #: Bytes of terms that an automaton takes (some 60 times as much memory in a task); beyond, terms are joined.
 TERM_BYTES = 4 << 20
+#: Up to this many cleaned terms are `contains` expressions; the column is the same, it is only faster.
+FEW = 8
 #: What is trimmed from terms: all white space, as a browser does.
 WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _built: dict[str, object] = {}
@@ -66,9 +70,10 @@ def holds(runs: DataFrame, terms: list[str] | DataFrame, case_sensitive: bool =
     found = list(dict.fromkeys(r.t for r in table.collect()))
     if sum(len(t.encode()) for t in found) > TERM_BYTES:
         return None
-    if not found:
-        return F.lit(False)
-    return searching(session.sparkContext.broadcast(found), uuid.uuid4().hex)(cased(F.col("run_text"), case_sensitive))
+    text = cased(F.col("run_text"), case_sensitive)
+    if len(found) <= FEW:
+        return reduce(lambda out, t: out | F.coalesce(F.contains(text, F.lit(t)), F.lit(False)), found, F.lit(False))
+    return searching(session.sparkContext.broadcast(found), uuid.uuid4().hex)(text)
 
 
 def texts_with(runs: DataFrame, terms: DataFrame, case_sensitive: bool) -> DataFrame:
