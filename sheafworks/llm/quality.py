@@ -2,14 +2,15 @@
 
 A line is normalised (white space runs to one blank, ends trimmed, lower case) and hashed; for every host the documents
 that hold it are counted. A line in more than `limit` documents of a host is removed from all of them but the one with
-the smallest id, so that a page of which a host has many copies is left once. A document is rejected if a base rule
-fails, or if it is depleted: fewer than `min_words` words are left, or more than `max_removed` of them went.
+the smallest id, so that a page of which a host has many copies is left once; without `keep_first` from all. A document is
+rejected if a base rule fails, or if it is depleted: fewer than `min_words` words are left, or more than `max_removed` of
+them went.
 
 The texts are read once: each row's counts and the hashes of its lines are written to a table, on which all else works.
 
 Defined cases: a null or blank text has no words and fails the base rule; a null host is a host of its own; rows that
-share an id count as one document, those with a null id each as one, and equal rows get equal results; of lines whose documents all have null ids none is left, a smallest
-id that is repeated keeps its lines in each of its rows; other columns of the input, whatever their names, stay
+share an id count as one document, those with a null id each as one, and equal rows get equal results; of lines whose
+documents all have null ids none is left, a smallest id that is repeated keeps its lines in each of its rows; other columns of the input, whatever their names, stay
 untouched in `keep`; an empty table gives an empty result. Very long texts are one row each and are never shuffled.
 """
 
@@ -102,11 +103,13 @@ def frequent_lines(rows: DataFrame, limit: int) -> DataFrame:
     return each.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") > limit)
 
 
-def judged(rows: DataFrame, limit: int, min_words: int, max_removed: float) -> DataFrame:
+def judged(rows: DataFrame, limit: int, min_words: int, max_removed: float, keep_first: bool = True) -> DataFrame:
     """rows with n_removed_words, removed_lines (places of lines, null if none), base_failed, kept."""
     often = frequent_lines(rows, limit).select(F.col("host").alias("h"), F.col("line").alias("l"), "first")
     lines = rows.select("row", "id", "host", F.posexplode("lines").alias("pos", "x")).where("x is not null").select("row", "id", "host", "pos", "x.line", "x.n")
-    gone = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).where(~F.col("id").eqNullSafe(F.col("first")) | F.col("id").isNull())
+    gone = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+    if keep_first:
+        gone = gone.where(~F.col("id").eqNullSafe(F.col("first")) | F.col("id").isNull())
     gone = gone.groupBy("row").agg(F.sum("n").alias("n_gone"), F.sort_array(F.collect_list("pos")).alias("removed_lines"))
     out = rows.join(gone, "row", "left").withColumn("n_removed_words", F.coalesce("n_gone", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("b.n_words") < 20) | (100 * F.col("b.n_repeat_words") > 30 * F.col("b.n_words")))
@@ -114,9 +117,9 @@ def judged(rows: DataFrame, limit: int, min_words: int, max_removed: float) -> D
     return out.withColumn("kept", ~F.col("base_failed") & (left >= min_words) & (F.col("n_removed_words") <= max_removed * F.col("b.n_words")))
 
 
-def report(docs: DataFrame, limit: int, min_words: int, max_removed: float, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def report(docs: DataFrame, limit: int, min_words: int, max_removed: float, keep_first: bool = True, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per document: doc_id, its counts, words lost with frequent lines and their places, verdicts."""
-    out = judged(examined(docs, doc_id, text, host, False), limit, min_words, max_removed)
+    out = judged(examined(docs, doc_id, text, host, False), limit, min_words, max_removed, keep_first)
     return out.select(F.col("id").alias("doc_id"), "b.*", "n_removed_words", "removed_lines", "base_failed", "kept")
 
 

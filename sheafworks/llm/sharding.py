@@ -1,6 +1,6 @@
 """Sharding by sampled splitters: size-weighted key samples, quantile ranges, overfull ranges subdivided.
 
-Law `bytes`: the shards' sizes differ by less than the largest record. Records are laid out along ranges of the
+Law `bytes`: the shards' sizes differ by less than twice the largest record. Records are laid out along ranges of the
 text's hash, so that equal texts are neighbours and mostly share a shard; a run of copies larger than a shard is cut.
 
 The splitters are a bounded number, whatever the input. A range that holds more rows than a task should have is cut at

@@ -95,6 +95,8 @@ def test_lines_are_counted_by_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     lost = lambda limit: Counter((r.doc_id, r.n_removed_words) for r in quality.report(df, limit, 10, 0.5).collect())
     assert lost(10) == Counter({(None, 0): 6, **{(k, 0): 3 for k in range(10)}, (7, 0): 4})
+    plain = Counter((r.doc_id, r.n_removed_words) for r in quality.report(df, 6, 10, 0.5, keep_first=False).collect())
+    assert plain == Counter({(None, 3): 6, **{(k, 5): 3 for k in range(10)}, (7, 3): 1})
     assert lost(6) == Counter({(None, 3): 6, (0, 0): 3, **{(k, 5): 3 for k in range(1, 10)}, (7, 0): 1})
 
 

@@ -330,6 +330,12 @@ def test_unigram_parity_and_round_trip(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file here")
+@pytest.mark.skipif(not os.path.exists(MODEL) or not os.path.isdir("/root/testdata/sf0.001"), reason="the model or the tables are not here")
+def test_no_document_of_the_table_lacks_parity(spark):
+    got = pieces.op9_sentencepiece(spark, "/root/testdata/sf0.001").select("parity", "round_trip").distinct().collect()
+    assert {r.parity for r in got} == {True}
+
+
 def test_bpe_parity_and_round_trip(spark):
     import sentencepiece
 
