@@ -103,7 +103,7 @@ def merge_documents(pages: DataFrame, order: DataFrame, width: int = 100_000) ->
     p = p.withColumn(run, F.floor(F.col("page_no") / width))
     runs = p.groupBy(F.col("bundle_id").alias(b), F.col("input_order").alias(o), F.col("doc_id").alias(d), F.col(run).alias(r)).agg(F.count("*").alias(n))
     runs = totals(runs.withColumn(cell, F.floor(F.col(o) / width)), [b], cell, [o, d, r], F.col(n), before).drop(cell, n)
-    p = p.withColumn(nth, F.row_number().over(Window.partitionBy("bundle_id", "input_order", "doc_id", run).orderBy("page_no")))
+    p = p.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", run, "bundle_id", "input_order").orderBy("page_no")))
     p = p.join(runs, F.col("bundle_id").eqNullSafe(F.col(b)) & F.col("input_order").eqNullSafe(F.col(o)) & (F.col("doc_id") == F.col(d)) & F.col(run).eqNullSafe(F.col(r)))
     return p.withColumn("new_page_no", (F.col(before) + F.col(nth)).cast("int")).drop(run, nth, b, o, d, r, before)
 
