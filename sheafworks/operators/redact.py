@@ -43,7 +43,8 @@ def searching(terms, key: str):
 
     def automaton():
         if key not in _built:
-            _built.clear()
+            if len(_built) == 4:  # conditions of one stage take turns
+                del _built[next(iter(_built))]
             a = _built[key] = ahocorasick.Automaton()
             for t in terms.value:
                 a.add_word(t, True)
