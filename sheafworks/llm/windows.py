@@ -17,11 +17,15 @@ are a table, grouped by signature.
 4. Rectangles of a group that are in no class, and one of each class, meet one of each other class, if at least NEED of
    the K minima around their centres agree, and are verified likewise: most classes of a group become one.
 5. Those that are not in the group's largest class then meet all of the group that are not in their own, in the same
-   way. So no pair is given up because it differs from its representative; within a class, copies are not expanded into
-   all pairs.
+   way. So a pair that differs from its representative still meets; within a class, copies are not expanded into all
+   pairs.
+
+Steps 4 and 5 compare sketches of the minima around the centres before they verify: a pair whose sketches agree in fewer
+than NEED of them is not verified there, and is lost if it met nowhere else. The tests measure recall of the whole query.
 
 Two passages of similarity s share a pair's signature with a chance of s * s for each of the BANDS (0.98 for one of them
-at 0.8, more where they are longer than `least`); repeats that are equal share all. What is returned was verified, on 32-bit hashes of the shingles.
+at 0.8, more where they are longer than `least`); repeats that are equal share all. Verification is exact, on 32-bit
+hashes of the shingles: it tries all bounds that can be best.
 
 Defined cases: null texts and texts shorter than a passage match nothing; texts equal in all shingles are compared once
 and the others reported as copies of the first; equal rows are such copies; null ids are reported as null;
