@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sheafworks.llm import common, jaccard, packing, quality, sharding, windows
@@ -482,6 +483,26 @@ def test_shards_are_even_gapless_and_whole(docs, rows, ranges):
     assert sharding.assign(docs.where("false"), 4).count() == 0
 
 
+@pytest.mark.parametrize("shards, rows, ranges", [(4, 100_000, 4096), (16, 100_000, 4096), (7, 200, 5), (1, 100_000, 4096)])
+def test_shards_follow_the_law(spark, docs, shards, rows, ranges):
+    """Records along the hashes of their texts, equal texts by id and place; each in the shard that its middle byte is in."""
+    r = random.Random(5)
+    more = [(10_000 - i, r.choice(["copy", f"text {i} " * r.randint(0, 9), None])) for i in range(300)] + [(7, "é" * 40_000), (None, "copy"), (None, "copy")]
+    records = spark.createDataFrame(more, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    bodies = [(None if i is None else int(i), (t or "").encode()) for i, t in more + [(row[0], row[1]) for row in corpus()]]
+    key = lambda row: (xxhash.xxh64_intdigest(row[1], seed=42) + (1 << 63)) % (1 << 64)  # noqa: E731 - signed hashes in ascending order
+    ordered = sorted(bodies, key=lambda row: (key(row), row[0] is not None, row[0] or 0))
+    total, run, begun, want = sum(len(b) + 1 for _, b in bodies), 0, Counter(), Counter()
+    for i, body in ordered:
+        size = len(body) + 1
+        shard = min(shards - 1, (2 * run + size) * shards // (2 * total))
+        want[i, size, zlib.crc32(body), shard, begun[shard]] += 1
+        begun[shard] += 1
+        run += size
+    got = sharding.assign(records, shards, rows_per_unit=rows, most_ranges=ranges).collect()
+    assert Counter(tuple(g) for g in got) == want
+
+
 @pytest.mark.parametrize("ids", [600, 1])
 def test_hot_key_is_subdivided(spark, ids):
     same = spark.createDataFrame([(k % ids, "copy" if k % 3 else f"text {k}") for k in range(600)], "doc_id long, text string")
