@@ -7,8 +7,9 @@ shards by their anchor. Blocks of documents first ask which anchors occur twice
 unique. The pieces of text around the rest go, packed, to the shard of their anchor, equal pieces once. A shard sorts
 the suffixes of those pieces whose anchor has several different pieces: suffixes are classified, the leftmost-smaller
 ones sorted by induction from their substrings and the shard array induced from them in linear passes, a bucket at a
-time; the string of their names is sorted by the same procedure until all names differ; common prefixes come in text
-order from the permuted array, computed at irreducible positions only. Windows with a common prefix of `length` or more are equal; all but the first are removed.
+time; the string of their names is sorted by the same procedure, its substrings a symbol at a time, until all names
+differ; common prefixes come in text order from the permuted array, computed at irreducible positions only. Windows
+with a common prefix of `length` or more are equal; all but the first are removed.
 
 An anchor that more than HOT runs of windows have, as one within a frequent line has, would make one shard's share grow
 with the corpus. Its windows are dealt one by one by a hash of 128 bits of the whole window, each once for each block.
@@ -217,11 +218,40 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return induce(t, larger, lms[sorted_names(names)], sigma)
 
 
+def named_substrings(t: np.ndarray, larger: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings in their order, equal ones alike.
+
+    They are sorted a symbol and class at a time, only those that are still alike at each step. With classes none begins
+    another one, but for the last, which the end of the string, smaller than all symbols, tells apart."""
+    n = len(t)
+    key = np.append(2 * t.astype(np.int64) + ~larger, -1)
+    size = np.append(np.diff(lms) + 1, n - lms[-1] + 1)
+    order = np.argsort(key[lms], kind="stable")
+    first = key[lms[order]]
+    new = np.concatenate([[True], first[1:] != first[:-1]])
+    at, off = np.arange(len(lms)), 1
+    while True:
+        group = np.cumsum(new[at]) - 1
+        keep = (np.bincount(group)[group] > 1) & (size[order[at]] > off) if len(at) else np.zeros(0, bool)
+        at, group = at[keep], group[keep]
+        if not len(at):
+            break
+        some = order[at]
+        k = group * (int(key.max()) + 2) + key[lms[some] + off] + 1
+        o = np.argsort(k, kind="stable")
+        order[at], k = some[o], k[o]
+        new[at[1:][k[1:] != k[:-1]]] = True
+        off += 1
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return names
+
+
 def sorted_names(t: np.ndarray) -> np.ndarray:
     """Suffix array of a string of names. They are many and each rare, so that plain passes take the place of bucketwise ones."""
     n = len(t)
     larger, lms = classify(t)
-    s, sigma, down, marks = t.tolist(), int(t.max()) + 1, larger.tolist(), lms.tolist()
+    s, sigma, down = t.tolist(), int(t.max()) + 1, larger.tolist()
     ends = np.cumsum(np.bincount(t, minlength=sigma))
 
     def induced(seeds: list[int]) -> list[int]:
@@ -246,20 +276,10 @@ def sorted_names(t: np.ndarray) -> np.ndarray:
                 sa[tail[s[i]]] = i
         return sa
 
-    if not marks:
+    if not len(lms):
         return np.array(induced([]), np.int64)
-    rough = np.array(induced(marks), np.int64)
-    place = np.full(n, -1)
-    place[lms] = np.arange(len(lms))
-    k = place[rough]
-    k = k[k >= 0]
-    spans = [tuple(s[i : j + 1]) for i, j in zip(marks, [*marks[1:], n - 1], strict=True)]
-    names, name, last = np.empty(len(lms), np.int64), -1, None
-    for i in k.tolist():
-        name += spans[i] != last
-        last = spans[i]
-        names[i] = name
-    order = np.argsort(names) if name == len(lms) - 1 else sorted_names(names)
+    names = named_substrings(t, larger, lms)
+    order = np.argsort(names) if names.max() == len(lms) - 1 else sorted_names(names)
     return np.array(induced(lms[order].tolist()), np.int64)
 
 

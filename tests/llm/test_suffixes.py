@@ -24,6 +24,17 @@ def brute(rows, length):
     return list(out.values())
 
 
+def test_names_are_sorted():
+    """Strings of many rare names, of long rises and falls, and of periods."""
+    r = np.random.default_rng(3)
+    rare = [r.integers(0, 90, r.integers(1, 120)) for _ in range(200)]
+    slopes = [np.concatenate([np.arange(30), np.arange(40)[::-1]] * int(k)) for k in (1, 2, 5)]
+    periods = [np.tile(r.integers(0, 3, r.integers(1, 9)), 12) for _ in range(200)]
+    for t in [*rare, *slopes, *periods]:
+        t = np.unique(t, return_inverse=True)[1]
+        assert suffixes.sorted_names(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
 def test_suffix_array_is_sorted():
     r = random.Random(1)
     for _ in range(300):
