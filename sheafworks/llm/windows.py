@@ -1,27 +1,24 @@
 """Near-duplicate passages by compact windows.
 
-A text is its sequence of five-word shingles, hashed. Under each of K hash functions every passage of at least `least`
-shingles has one least element, and all passages with the same one form a compact window (L, c, R): passages that begin
-in L..c and end in c..R. The windows are the nodes of the Cartesian tree over the hashes whose range is long enough;
-their centres are exactly the minima of the sliding windows of that length, and bounds are the next smaller centres.
-
-Functions are taken in pairs (BANDS). Within a text the windows of a pair are joined as intervals: each two centres that
-are the minima of one passage give the rectangle of all passages of which they are, and the two shingles are its
-signature. Blocks ask, packed, which signatures occur twice anywhere; the others' rectangles can match nothing. The rest
-are a table, grouped by signature.
-
-1. Every rectangle meets that of its group's representative, the one whose passage around the centres is most frequent.
+A text is its sequence of five-word shingles, hashed. Blocks first ask, packed, which shingles occur in two texts
+anywhere. A passage that matches another one shares NUM / DEN of its shingles with it: only stretches in which runs of
+`least` shingles and more reach that share of such shingles are looked at (covered), which loses no match.
+
+In these stretches, under each of K hash functions every passage of at least `least` shingles has one least element, and
+all passages with the same one form a compact window (L, c, R): passages that begin in L..c and end in c..R. The windows
+are the nodes of the Cartesian tree over the hashes whose range is long enough; their centres are exactly the minima of
+the sliding windows of that length, and bounds are the next smaller centres. Functions are taken in pairs (BANDS). Within
+a text the windows of a pair are joined as intervals: each two centres that are the minima of one passage give the
+rectangle of all passages of which they are, and the two shingles are its signature.
+
+1. Blocks ask, packed, who else has a signature: the answer is the representative's rectangle, that of the first row of
+   the most frequent passage around the centres. A block then has all that its texts share with representatives.
 2. For each two texts the rectangles are joined as intervals, and each maximal stretch is verified: all passages of
    `least` shingles or more with the wanted Jaccard similarity are taken from it.
 3. Overlapping matches of a text are one passage; passages that are matched, directly or by way of others, are a class.
-4. Rectangles of a group that are in no class, and one of each class, meet one of each other class, if at least NEED of
-   the K minima around their centres agree, and are verified likewise: most classes of a group become one.
-5. Those that are not in the group's largest class then meet all of the group that are not in their own, in the same
-   way. So a pair that differs from its representative still meets; within a class, copies are not expanded into all
-   pairs.
-
-Steps 4 and 5 compare sketches of the minima around the centres before they verify: a pair whose sketches agree in fewer
-than NEED of them is not verified there, and is lost if it met nowhere else. The tests measure recall of the whole query.
+4. Blocks ask which signatures have rectangles of more than one class (or of none) that may match. Their rectangles meet
+   all of the signature that are not of their own class, and are verified likewise. So a pair that differs from its
+   representative still meets; within a class, copies are not expanded into all pairs.
 
 Two passages of similarity s share a pair's signature with a chance of s * s for each of the BANDS (0.98 for one of them
 at 0.8, more where they are longer than `least`); repeats that are equal share all. Verification is exact, on 32-bit
@@ -35,8 +32,6 @@ is a block of its own.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,8 +40,8 @@ from pyspark.sql import functions as F
 from sheafworks.llm.common import BLOCK_ROWS, ROW_BITS, components, count_parts, documents, drop, gaps, give_back, named, pack, part_of, row_ids, runs_of, stash, trim, unpack
 from sheafworks.llm.jaccard import MULT, mix, tokenise, total
 
-#: Words of a shingle, hash functions, how many must agree around a signature, shingles of the shortest passage (50 words), similarity.
-WIDTH, K, NEED, LEAST, NUM, DEN = 5, 8, 4, 46, 80, 100
+#: Words of a shingle, hash functions, shingles of the shortest passage (50 words), similarity.
+WIDTH, K, LEAST, NUM, DEN = 5, 8, 46, 80, 100
 #: Pairs of functions whose minima are a signature: of any five functions that agree two are a pair.
 BANDS = [(k, k + 1) for k in range(0, K, 2)]
 
@@ -110,8 +105,31 @@ def compact_windows(h: np.ndarray, m: np.ndarray, least: int) -> tuple[np.ndarra
     return np.array(lo, np.int64), c, np.array(hi, np.int64)
 
 
+def covered(hit: np.ndarray, again: np.ndarray, m: np.ndarray, least: int, worth: int, cost: int, sum_: int) -> np.ndarray:
+    """Which elements of texts end to end are in some run of `least` or more whose hits and misses add up to that sum at least.
+
+    A miss that occurs earlier in the text costs nothing, so that no run is lost whose distinct elements have that sum.
+    """
+    n, start = len(hit), np.cumsum(m) - m
+    if not n:
+        return np.zeros(0, bool)
+    # places are between elements; every text has one more, and lies below all earlier ones
+    at = np.arange(n) + np.repeat(np.arange(len(m)), m)
+    weight = np.zeros(n + len(m), np.int64)
+    weight[at + 1] = np.where(hit, worth, np.where(again, 0, -cost))
+    weight[start + np.arange(len(m))] = -(worth + cost) * (np.append(0, m[:-1]) + m + 1) - sum_
+    sums = np.cumsum(weight)
+    # the first place of each run that ends here and has that sum
+    begin = np.searchsorted(-np.minimum.accumulate(sums), sum_ - sums, side="left")
+    ends = np.nonzero(np.arange(len(sums)) - begin >= least)[0]
+    inside = np.zeros(len(sums) + 1, np.int64)
+    np.add.at(inside, begin[ends] + 1, 1)
+    np.add.at(inside, ends + 1, -1)
+    return np.cumsum(inside)[at + 1] > 0
+
+
 class Passages:
-    """A block's shingles, the signatures of the first text of each kind, and the questions on both."""
+    """A block's shingles, those that other texts share, and the signatures of what they cover in the first text of each kind."""
 
     def __init__(self, block: int, body: bytes, bits: int, parts: int, least: int):
         b = unpack(body)
@@ -130,79 +148,85 @@ class Passages:
         only = np.zeros(len(self.m), np.int64)
         only[self.asked] = self.m[self.asked]
         self.h1, self.m1 = self.h[np.repeat(only > 0, self.m)], only
-        self.start1 = np.cumsum(only) - only
         self.least, self.bits = least, bits
-        found = [least_of_runs(mix(self.h1, k), self.m1, least) for k in range(K)]
-        self.at, self.low = found[0][0], [low for _, low in found]
-        self.signatures = [self.band(n, x, y) for n, (x, y) in enumerate(BANDS)]
-        # distinct signatures, and in how many texts they are
-        v, doc = np.concatenate([v for _, v in self.signatures]) >> np.uint64(64 - bits), np.concatenate([self.text_of(self.at[first]) for first, _ in self.signatures])
-        order = np.argsort(v, kind="stable")
-        v, doc = v[order], doc[order]
-        new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
-        self.keys = v[new]
-        self.count = np.add.reduceat((new | np.concatenate([[True], doc[1:] != doc[:-1]])).astype(np.int64), np.nonzero(new)[0]) if len(v) else np.zeros(0, np.int64)
+        # distinct shingles, and in how many texts they are
+        v = self.h1 >> np.uint64(64 - bits)
+        self.order = np.argsort(v, kind="stable")
+        v, doc = v[self.order], np.repeat(np.arange(len(only)), only)[self.order]
+        self.new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
+        self.again = np.concatenate([[False], ~self.new[1:] & (doc[1:] == doc[:-1])]) if len(v) else np.zeros(0, bool)
+        self.keys = v[self.new]
+        self.count = np.add.reduceat((~self.again).astype(np.int64), np.nonzero(self.new)[0]) if len(v) else np.zeros(0, np.int64)
         self.runs = runs_of(part_of(self.keys, bits, parts))
         self.text_runs = runs_of(part_of(self.sig[0][self.asked], 64, parts))
 
-    def text_of(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.start1 + self.m1, at, side="right")
-
-    def band(self, n: int, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where runs of passages with the same two minima begin (places in self.at), and their signatures."""
-        p, q, at = self.low[x], self.low[y], self.at
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        first = np.nonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (at[1:] != at[:-1] + 1)]))[0]
-        return first, mix(mix(self.h1[p[first]], x) + mix(self.h1[q[first]] * MULT[n % 8], y) + np.uint64(n), n)
-
     def ask(self):
-        """Questions by partition: signatures with how often they occur here, and whole texts."""
+        """Questions by partition: shingles with how often they occur here, and whole texts."""
         keys, texts = {p: (i, j) for p, i, j in self.runs}, {p: (i, j) for p, i, j in self.text_runs}
         for p in sorted(keys.keys() | texts.keys()):
             i, j = keys.get(p, (0, 0))
             t = self.asked[slice(*texts.get(p, (0, 0)))]
             yield p, pack(h=gaps(self.keys[i:j]), n=np.minimum(self.count[i:j], 2).astype(np.uint8), s1=self.sig[0][t], s2=self.sig[1][t], m=self.m[t], row=self.rows[t])
 
-    def learn(self, answers: dict[int, bytes]) -> None:
-        """Which signatures occur twice, and the first row anywhere of each text."""
-        self.twice, low = np.zeros(len(self.keys), bool), self.rows.copy()
+    def learn(self, answers: dict[int, bytes], num: int, den: int) -> None:
+        """Which shingles occur in two texts, the first row anywhere of each text, and what passages can cover."""
+        twice, low = np.zeros(len(self.keys), bool), self.rows.copy()
         got = {p: unpack(body) for p, body in answers.items()}
         for p, i, j in self.runs:
-            self.twice[i:j] = got[p]["twice"]
+            twice[i:j] = got[p]["twice"]
         for p, i, j in self.text_runs:
             low[self.asked[i:j]] = got[p]["first"]
-        self.own = low == self.rows
+        own = low == self.rows
         self.same = low[self.same]
-
-    def rectangles(self):
-        """(signature, content, sketch, document, L, centres, R) of those that occur twice, in the first text of each kind.
-
-        content and sketch are those of the passage of `least` shingles around the centres."""
-        bounds = []
+        hit, again = np.zeros(len(self.h1), bool), np.zeros(len(self.h1), bool)
+        hit[self.order], again[self.order] = twice[np.cumsum(self.new) - 1], self.again
+        # runs of what is covered, within a text, as texts of their own
+        doc = np.repeat(np.arange(len(self.m1)), self.m1)
+        at = np.nonzero(covered(hit, again, self.m1, self.least, den - num, num, 0) & own[doc])[0]
+        first = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])]))[0] if len(at) else np.zeros(0, np.int64)
+        self.h2, self.m2 = self.h1[at], np.diff(first, append=len(at))
+        self.start2, self.doc2 = first, doc[at[first]]
+        self.place2 = at[first] - (np.cumsum(self.m1) - self.m1)[self.doc2]
+        # (den + num) * common >= num * (S + T), T being `least` or more where nothing recurs
+        self.strong = covered(hit[at], again[at], self.m2, self.least, den, num, num * self.least)
+        self.loops = total(again[at].astype(np.int64), self.m2) > 0
+
+    def rectangles(self) -> dict[str, np.ndarray]:
+        """v, content, text, kind, L, centres, R of what is covered, by signature; of a text that repeats itself the first with each.
+
+        Content is that of the passage of `least` shingles around the centres. Kind is 1 where shingles recur, else 2
+        where a passage around the centres has hits enough for one without such shingles to match, else 0.
+        """
+        least, bounds, low, found = self.least, [], [], []
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.h2, 6), dtype=np.uint64)])
         for k in range(K):
-            lo, c, hi = compact_windows(mix(self.h1, k), self.m1, self.least)
+            h = mix(self.h2, k)
+            at, lowest = least_of_runs(h, self.m2, least)
+            low.append(lowest)
+            lo, c, hi = compact_windows(h, self.m2, least)
             bounds.append((c, lo, hi))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.h1, 6), dtype=np.uint64)])
-        for (x, y), (first, v) in zip(BANDS, self.signatures, strict=True):
-            p, q = self.low[x][first], self.low[y][first]
-            doc = self.text_of(p)
-            ok = self.twice[np.searchsorted(self.keys, v >> np.uint64(64 - self.bits))] & self.own[doc]
-            p, q, doc, v = p[ok], q[ok], doc[ok], v[ok]
+        strong = np.concatenate([[0], np.cumsum(self.strong)])
+        for n, (x, y) in enumerate(BANDS):
+            # where runs of passages with the same two minima begin
+            p, q = low[x], low[y]
+            first = np.nonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (at[1:] != at[:-1] + 1)]))[0] if len(at) else np.zeros(0, np.int64)
+            p, q = p[first], q[first]
+            v = mix(mix(self.h2[p], x) + mix(self.h2[q] * MULT[n % 8], y) + np.uint64(n), n)
             at_x, at_y = np.searchsorted(bounds[x][0], p), np.searchsorted(bounds[y][0], q)
             lo, hi = np.maximum(bounds[x][1][at_x], bounds[y][1][at_y]), np.minimum(bounds[x][2][at_x], bounds[y][2][at_y])
             p, q = np.minimum(p, q), np.maximum(p, q)
-            begin = self.start1[doc]
-            around = np.clip(p - (self.least - (q - p + 1)) // 2, begin, begin + self.m1[doc] - self.least)
-            where = np.searchsorted(self.at, around)
-            sketch = np.zeros(len(p), np.uint64)
-            for k in range(K):
-                sketch |= (mix(self.h1[self.low[k][where]], k) & np.uint64(15)) << np.uint64(4 * k)
-            yield v, (sums[around + self.least] - sums[around]) >> np.uint64(32), sketch, doc, lo - begin, p - begin, q - begin, hi - begin
+            run = np.searchsorted(self.start2, p, side="right") - 1
+            around = np.clip(p - (least - (q - p + 1)) // 2, self.start2[run], self.start2[run] + self.m2[run] - least)
+            shift = self.place2[run] - self.start2[run]
+            found.append((v >> np.uint64(64 - self.bits), (sums[around + least] - sums[around]) >> np.uint64(32), self.doc2[run], np.where(self.loops[run], 1, 2 * (strong[q + 1] - strong[p] == q + 1 - p)), lo + shift, p + shift, q + shift, hi + shift))
+        v, content, doc, kind, *places = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((places[1], doc, v))
+        order = order[np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (doc[order][1:] != doc[order][:-1])])] if len(order) else order
+        return dict(zip(("v", "s", "doc", "kind", *PLACES), (x[order] for x in (v, content, doc, kind, *places)), strict=True))
 
 
 HEAD = "block long, part int, body binary"
-RECTANGLES = "v long, s int, sketch int, row long, lo int, p int, q int, hi int"
+PLACES = ("lo", "p", "q", "hi")
 
 
 def asker(bits: int, parts: int, least: int):
@@ -231,27 +255,173 @@ def add_up(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(out, pa.binary())})
 
 
-def emitter(bits: int, parts: int, least: int):
-    """Rectangles (v not null), and every document's row with that of its first copy."""
+def messages(block: int, messages: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"block": pa.array([block] * len(messages), pa.int64()), "part": pa.array([p for p, _ in messages], pa.int32()), "body": pa.array([x for _, x in messages], pa.binary())})
+
+
+def emitter(bits: int, parts: int, least: int, num: int, den: int):
+    """A block's rows (part -2), its rectangles (-1), and what it asks of each partition of signatures."""
 
     def emit(t: pa.Table) -> pa.Table:
         part, bodies = t.column("part").to_pylist(), t.column("body").to_pylist()
-        s = Passages(t.column("block")[0].as_py(), bodies[part.index(-1)], bits, parts, least)
-        s.learn({p: body for p, body in zip(part, bodies, strict=True) if p >= 0})
-        found = list(zip(*s.rectangles(), strict=True))
-        v, content, sketch, doc, *places = (np.concatenate(x) for x in found)
-        n, d = len(v), len(s.m)
-        padded = lambda x, kind: pa.concat_arrays([pa.array(x), pa.nulls(d, kind)])
-        long, int_ = (lambda x: padded(x.view(np.int64), pa.int64())), (lambda x: padded(x.astype(np.uint32).view(np.int32), pa.int32()))
-        only = lambda x: pa.concat_arrays([pa.nulls(n, pa.int64()), x])
-        return pa.table({
-            "v": long(v), "s": int_(content), "sketch": int_(sketch), "row": pa.array(np.concatenate([s.rows[doc], s.rows])), **{name: int_(x) for name, x in zip(("lo", "p", "q", "hi"), places, strict=True)},
-            "doc_id": only(pa.array(s.ids, mask=s.null)), "same": only(pa.array(s.same)), "m": only(pa.array(s.m)),
-        })
+        block = t.column("block")[0].as_py()
+        s = Passages(block, bodies[part.index(-1)], bits, parts, least)
+        s.learn({p: body for p, body in zip(part, bodies, strict=True) if p >= 0}, num, den)
+        r = s.rectangles()
+        out = [(-2, pack(ids=s.ids, null=s.null.astype(np.uint8), same=s.same, m=s.m)), (-1, pack(**{n: gaps(x) if n == "v" else x for n, x in r.items() if n != "s"}))]
+        # each content once, by signature
+        order = np.lexsort((r["doc"], r["s"], r["v"]))
+        first, n = firsts(r["v"][order], r["s"][order])
+        r = {k: x[order[first]] for k, x in r.items()}
+        for p, i, j in runs_of(part_of(r["v"], bits, parts)):
+            out.append((p, pack(v=gaps(r["v"][i:j]), s=r["s"][i:j], n=n[i:j], row=s.rows[r["doc"][i:j]], **{k: r[k][i:j] for k in PLACES})))
+        return messages(block, out)
 
     return trim(emit)
 
 
+def rows_of(t: pa.Table) -> pa.Table:
+    got = unpack(t.column("body")[0].as_py())
+    rows = (np.int64(t.column("block")[0].as_py()) << ROW_BITS) + np.arange(len(got["ids"]), dtype=np.int64)
+    return pa.table({"row": pa.array(rows), "doc_id": pa.array(got["ids"].astype(np.int64), mask=got["null"].astype(bool)), "same": pa.array(got["same"].astype(np.int64)), "m": pa.array(got["m"].astype(np.int64))})
+
+
+def firsts(*sorted_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values of sorted arrays begin, and how long they are."""
+    n = len(sorted_by[0])
+    first = np.nonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)]))[0] if n else np.zeros(0, np.int64)
+    return first, np.diff(first, append=n)
+
+
+def elect(t: pa.Table) -> pa.Table:
+    """For each block the representative of each of its signatures that several texts have.
+
+    It is the first row of the most frequent content, with its rectangle; blocks have added up their own rows before.
+    """
+    got = [unpack(b) for b in t.column("body").to_pylist()]
+    keys = [np.cumsum(x["v"].astype(np.uint64), dtype=np.uint64) for x in got]
+    v, content, row, n = np.concatenate(keys), *(np.concatenate([x[k].astype(np.int64) for x in got]) for k in ("s", "row", "n"))
+    order = np.lexsort((row, content, v))
+    first, _ = firsts(v[order], content[order])
+    total_n = np.add.reduceat(n[order], first) if len(first) else first
+    best = order[first]
+    order = np.lexsort((row[best], -total_n, v[best]))
+    best, total_n = best[order], total_n[order]
+    first, _ = firsts(v[best])
+    many = (np.add.reduceat(total_n, first) if len(first) else first) > 1
+    hub, signature = best[first], v[best[first]]
+    cols = {k: np.concatenate([x[k].astype(np.int64) for x in got])[hub] for k in PLACES} | {"row": row[hub]}
+    out = []
+    for key in keys:
+        at = np.searchsorted(signature, key[firsts(key)[0]])
+        some = many[at]
+        out.append(pack(some=some.astype(np.uint8), **{k: c[at[some]] for k, c in cols.items()}))
+    return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(out, pa.binary())})
+
+
+def meeter(bits: int, parts: int, least: int):
+    """The stretches that a block's texts share with the representatives of their signatures."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        part, bodies = t.column("part").to_pylist(), t.column("body").to_pylist()
+        got = {p: unpack(b) for p, b in zip(part, bodies, strict=True)}
+        r = got[-1]
+        v = np.cumsum(r["v"].astype(np.uint64), dtype=np.uint64)
+        rows = (np.int64(t.column("block")[0].as_py()) << ROW_BITS) + r["doc"].astype(np.int64)
+        first, n = firsts(v)
+        hub, places = np.full(len(first), -1), np.zeros((len(first), 3), np.int64)
+        for p, i, j in runs_of(part_of(v[first], bits, parts)):
+            some = i + np.nonzero(got[p]["some"])[0]
+            hub[some] = got[p]["row"].astype(np.int64)
+            places[some] = np.stack([got[p][k].astype(np.int64) for k in ("lo", "p", "hi")], axis=1)
+        hub, places = np.repeat(hub, n), np.repeat(places, n, axis=0)
+        ok = np.nonzero((hub >= 0) & (hub != rows))[0]
+        x = np.concatenate([np.stack([r[k].astype(np.int64) for k in ("lo", "p", "hi")], axis=1), places], axis=1)
+        ok = ok[np.lexsort((hub[ok], rows[ok]))]
+        return stretches(rows[ok], hub[ok], x[ok], least)
+
+    return trim(meet)
+
+
+def placed(bits: int, parts: int, least: int):
+    """A block's rectangles that others share, with their labels (part -1), and which labels each signature has here.
+
+    All passages of `least` that have a rectangle's minima hold its core. Where the core overlaps matched passages of one
+    class only, whatever else matches there is of that class, which is the label; elsewhere it is the row's own.
+    """
+
+    def place(t: pa.Table) -> pa.Table:
+        block, told = t.column("block")[0].as_py(), t.filter(pa.compute.is_valid(t.column("body")))
+        got = {p: unpack(b) for p, b in zip(told.column("part").to_pylist(), told.column("body").to_pylist(), strict=True)}
+        r = {k: x.astype(np.int64) for k, x in got[-1].items() if k != "v"} | {"v": np.cumsum(got[-1]["v"].astype(np.uint64), dtype=np.uint64)}
+        first, n = firsts(r["v"])
+        some = np.zeros(len(first), bool)
+        for p, i, j in runs_of(part_of(r["v"][first], bits, parts)):
+            some[i:j] = got[p]["some"]
+        r = {k: x[np.repeat(some, n)] for k, x in r.items()}
+        matched = t.filter(pa.compute.is_valid(t.column("row")))
+        row, begin, end, name = (matched.column(k).to_numpy() for k in ("row", "first", "last", "label"))
+        doc = row & (BLOCK_ROWS - 1)
+        order = np.lexsort((begin, doc))
+        begin, end, name = ((doc << 40) + begin)[order], ((doc << 40) + end)[order], name[order]
+        label = -1 - r["doc"] - (np.int64(block) << ROW_BITS)
+        low, high = np.minimum(r["p"], r["hi"] - least + 1), np.maximum(r["q"], r["lo"] + least - 1) + WIDTH - 1
+        i, j = np.searchsorted(end, (r["doc"] << 40) + low, side="left"), np.searchsorted(begin, (r["doc"] << 40) + high, side="right") - 1
+        at = np.nonzero(i <= j)[0]
+        other = np.cumsum(np.concatenate([[0], name[1:] != name[:-1]])) if len(name) else name
+        at = at[other[i[at]] == other[j[at]]]
+        label[at] = name[i[at]]
+        out = [(-1, pack(**{k: gaps(x) if k == "v" else x for k, x in r.items()}, label=label))]
+        first, n = firsts(r["v"])
+        if len(first):
+            top, loops = np.iinfo(np.int64).max, np.maximum.reduceat((r["kind"] == 1).astype(np.uint8), first)
+            low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
+            strong = r["kind"] > 0
+            low2, high2 = np.minimum.reduceat(np.where(strong, label, top), first), np.maximum.reduceat(np.where(strong, label, -top), first)
+            for p, i, j in runs_of(part_of(r["v"][first], bits, parts)):
+                out.append((p, pack(v=gaps(r["v"][first[i:j]]), loops=loops[i:j], low=low[i:j], high=high[i:j], low2=low2[i:j], high2=high2[i:j])))
+        return messages(block, out)
+
+    return trim(place)
+
+
+def unsettled(t: pa.Table) -> pa.Table:
+    """Which signatures have rectangles of several classes that may match: 1, or 2 where a text with recurring shingles is among them."""
+    got = [unpack(b) for b in t.column("body").to_pylist()]
+    keys = [np.cumsum(x["v"].astype(np.uint64), dtype=np.uint64) for x in got]
+    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    order = np.argsort(inv, kind="stable")
+    first, _ = firsts(inv[order])
+    of = lambda k, f: f.reduceat(np.concatenate([x[k].astype(np.int64) for x in got])[order], first)
+    loops = of("loops", np.maximum) > 0
+    open_ = np.where(loops, 2 * (of("low", np.minimum) < of("high", np.maximum)), of("low2", np.minimum) < of("high2", np.maximum)).astype(np.uint8)
+    out = [pack(open=open_[i]) for i in np.split(inv, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table({"block": t.column("block"), "part": t.column("part"), "body": pa.array(out, pa.binary())})
+
+
+STRETCHES = "a long, b long, la long, ra long, lb long, rb long"
+OPEN = "v long, row long, label long, kind int, lo int, p int, q int, hi int"
+
+
+def opener(bits: int, parts: int):
+    """The rectangles of signatures that are not settled."""
+
+    def open_(t: pa.Table) -> pa.Table:
+        got = {p: unpack(b) for p, b in zip(t.column("part").to_pylist(), t.column("body").to_pylist(), strict=True)}
+        r = got[-1]
+        v = np.cumsum(r["v"].astype(np.uint64), dtype=np.uint64)
+        first, n = firsts(v)
+        state = np.zeros(len(first), np.uint8)
+        for p, i, j in runs_of(part_of(v[first], bits, parts)):
+            state[i:j] = got[p]["open"]
+        state = np.repeat(state, n)
+        ok = (state == 2) | (state == 1) & (r["kind"] > 0)
+        rows = (np.int64(t.column("block")[0].as_py()) << ROW_BITS) + r["doc"].astype(np.int64)
+        return pa.table({"v": v[ok].astype(np.int64), "row": rows[ok], "label": r["label"][ok].astype(np.int64), **{k: r[k][ok].astype(np.int32) for k in ("kind", *PLACES)}})
+
+    return trim(open_)
+
+
 def stretches_of(x: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
     """Maximal stretches of two texts (la, ra, lb, rb) from the rectangles that they share: L, centre, R in each.
 
@@ -269,14 +439,18 @@ def stretches_of(x: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
     return list(zip(low[:, 0].tolist(), high[:, 2].tolist(), low[:, 3].tolist(), high[:, 5].tolist(), strict=True))
 
 
+def stretches(a: np.ndarray, b: np.ndarray, x: np.ndarray, least: int) -> pa.Table:
+    """Those of all pairs of texts, the rectangles of a pair being neighbours."""
+    edge = np.concatenate([[0], np.nonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]))[0] + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+    out = [(int(a[lo]), int(b[lo]), *s) for lo, hi in zip(edge[:-1], edge[1:], strict=True) for s in stretches_of(x[lo:hi], least)]
+    return pa.table({n: pa.array([r[k] for r in out], pa.int64()) for k, n in enumerate(("a", "b", "la", "ra", "lb", "rb"))})
+
+
 def joiner(least: int):
     def join(t: pa.Table) -> pa.Table:
         t = t.sort_by([("a", "ascending"), ("b", "ascending")])
-        a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
         x = np.stack([t.column(n).to_numpy().astype(np.int64) for n in ("la", "ca", "ra", "lb", "cb", "rb")], axis=1)
-        edge = np.concatenate([[0], np.nonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]))[0] + 1, [len(a)]])
-        out = [(int(a[lo]), int(b[lo]), *s) for lo, hi in zip(edge[:-1], edge[1:], strict=True) for s in stretches_of(x[lo:hi], least)]
-        return pa.table({n: pa.array([r[k] for r in out], pa.int64()) for k, n in enumerate(("a", "b", "la", "ra", "lb", "rb"))})
+        return stretches(t.column("a").to_numpy(), t.column("b").to_numpy(), x, least)
 
     return trim(join)
 
@@ -492,9 +666,9 @@ def sides(found: DataFrame, a: list[str], b: list[str], names: list[str]) -> Dat
     return one(a).unionByName(one(b)).distinct()
 
 
-def verified(table: DataFrame, pairs: DataFrame, groups: int, least: int, num: int, den: int) -> DataFrame:
-    """Matches (a, a_first, a_last, b, b_first, b_last, similarity), written, from rectangles that meet; a is the later row."""
-    found = stash(pairs.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups))).groupBy("g").applyInArrow(joiner(least), "a long, b long, la long, ra long, lb long, rb long"))
+def verified(table: DataFrame, found: DataFrame, least: int, num: int, den: int) -> DataFrame:
+    """Matches (a, a_first, a_last, b, b_first, b_last, similarity), written, of the stretches found; a is the later row."""
+    found = stash(found)
     want = sides(found, ["a", "la", "ra"], ["b", "lb", "rb"], ["row", "lo", "hi"])
     want = want.select(F.shiftright("row", ROW_BITS).alias("block"), "row", "lo", "hi", F.lit(None).cast("binary").alias("body"))
     bodies = table.join(want.select("block").distinct(), "block", "left_semi").select("block", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), "body")
@@ -508,30 +682,13 @@ def verified(table: DataFrame, pairs: DataFrame, groups: int, least: int, num: i
     return out
 
 
-def meeting(one: DataFrame, two: DataFrame, condition: Column) -> DataFrame:
-    """(a, b, la, ca, ra, lb, cb, rb) of the rectangles of one and two that share a signature."""
-    o = two.select("v", *[F.col(c).alias(f"o_{c}") for c in two.columns if c != "v"])
-    met = one.join(o, "v").where((F.col("row") != F.col("o_row")) & condition)
-    later = F.col("row") > F.col("o_row")
-    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
-    side = lambda n, mine: [pick(*((c, f"o_{c}") if mine else (f"o_{c}", c))).alias(f"{as_}{n}") for c, as_ in (("lo", "l"), ("p", "c"), ("hi", "r"))]
-    return met.select(F.greatest("row", "o_row").alias("a"), F.least("row", "o_row").alias("b"), *side("a", True), *side("b", False))
-
-
-def represented(rectangles: DataFrame) -> DataFrame:
-    """Those of groups of several documents, with the group's representative: the first row of the most frequent content.
-
-    Counted by content first, so that a hot signature is added up before it is shuffled; all minima are hash aggregates.
-    """
-    by = rectangles.groupBy("v", "s").agg(F.count("*").alias("c"), F.min("row").alias("r"), F.max("row").alias("z"))
-    rank = F.col("c").cast("decimal(14,0)") * F.lit(str(1 << 63)).cast("decimal(20,0)") - F.col("r").cast("decimal(20,0)")
-    best = by.groupBy("v").agg(F.max_by("r", rank).alias("first"), F.max_by("s", rank).alias("usual"), F.min("r").alias("low"), F.max("z").alias("high")).where("low <> high").select("v", "first", "usual")
-    return rectangles.join(best, "v")
-
-
-def once(rectangles: DataFrame, *by: str) -> DataFrame:
-    """Of rectangles with one signature and content in one text the first: a text that repeats itself is met once."""
-    return rectangles.groupBy("v", "row", *by).agg(F.min_by("lo", "p").alias("lo"), F.min("p").alias("p"), F.min_by("q", "p").alias("q"), F.min_by("hi", "p").alias("hi"))
+def meeting(rectangles: DataFrame) -> DataFrame:
+    """(a, b, la, ca, ra, lb, cb, rb) of the rectangles of a signature that are of two labels and of kinds that may match."""
+    o = rectangles.select("v", *[F.col(c).alias(f"o_{c}") for c in rectangles.columns if c != "v"])
+    may = ((F.col("kind") > 0) | (F.col("o_kind") == 1)) & ((F.col("o_kind") > 0) | (F.col("kind") == 1))
+    met = rectangles.join(o, "v").where((F.col("row") > F.col("o_row")) & (F.col("label") != F.col("o_label")) & may)
+    side = lambda n, of: [F.col(f"{of}{c}").alias(f"{as_}{n}") for c, as_ in (("lo", "l"), ("p", "c"), ("hi", "r"))]
+    return met.select(F.col("row").alias("a"), F.col("o_row").alias("b"), *side("a", ""), *side("b", "o_"))
 
 
 def passages_of(matches: DataFrame) -> DataFrame:
@@ -549,83 +706,92 @@ def node(row: str, passage: str) -> Column:
 
 
 def classes(matches: DataFrame) -> DataFrame:
-    """(row, first, last, class): each matched run and the least passage that it is connected with."""
+    """(row, first, last, passage, class): each matched run, where its passage begins, and the least passage that it is connected with."""
     runs = stash(passages_of(matches).withColumn("node", node("row", "passage")))
     side = lambda n: runs.select(F.col("row").alias(n), F.col("first").alias(f"{n}_first"), F.col("last").alias(f"{n}_last"), F.col("node").alias(f"{n}_node"))
     edges = matches.join(side("a"), ["a", "a_first", "a_last"]).join(side("b"), ["b", "b_first", "b_last"]).select("a_node", "b_node").distinct()
     low = components(edges, "a_node", "b_node").withColumnRenamed("node", "n")
-    out = stash(runs.join(low, F.col("node") == F.col("n"), "left").select("row", "first", "last", F.coalesce("component", "node").alias("class")))
+    out = stash(runs.join(low, F.col("node") == F.col("n"), "left").select("row", "first", "last", "passage", F.coalesce("component", "node").alias("class")))
     drop(runs)
     return out
 
 
-def apart(rectangles: DataFrame, runs: DataFrame, need: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """(meetings, the table that they read): meetings of rectangles of a group that are in different classes, one of them at least not in the largest one.
-
-    Each class, and those in none, are met as one of them; with every, as all of them."""
-    of = runs.select(F.col("row").alias("r"), "first", "last", "class")
-    inside = F.col("p").between(F.col("first"), F.col("last") - (WIDTH - 1)) & F.col("q").between(F.col("first"), F.col("last") - (WIDTH - 1))
-    placed = rectangles.drop("first", "usual").join(of, (F.col("row") == F.col("r")) & inside, "left").groupBy("v", "s", "sketch", "row", "lo", "p", "q", "hi").agg(F.min("class").alias("class"))
-    by = placed.groupBy("v", "class").agg(F.count("*").alias("c"))
-    largest = by.groupBy("v").agg(F.max_by("class", F.when(F.col("class").isNotNull(), F.col("c"))).alias("main"), F.sum("c").alias("n"), F.max(F.when(F.col("class").isNotNull(), F.col("c"))).alias("most"))
-    open_ = largest.where(F.col("most").isNull() | (F.col("most") < F.col("n"))).select("v", "main")
-    placed = stash(placed.join(open_, "v").withColumn("other", ~F.col("class").eqNullSafe(F.col("main")) | F.col("class").isNull()).drop("main"))
-    differ = F.col("class").isNull() | F.col("o_class").isNull() | (F.col("class") != F.col("o_class"))
-    x = F.col("sketch").bitwiseXOR(F.col("o_sketch"))
-    agree = sum((F.shiftright(x, 4 * k).bitwiseAND(F.lit(15)) == 0).cast("int") for k in range(K))
-    if not every:
-        one = placed.groupBy("v", "class", "other").agg(F.min(F.struct("row", "p", "lo", "q", "hi", "sketch")).alias("x")).select("v", "class", "other", "x.*")
-        mine = placed.where("class is null").select(*one.columns).unionByName(one.where("other and class is not null"))
-        return meeting(mine, one, differ & (agree >= need)), placed
-    first = ~F.col("o_other") | (F.col("row") > F.col("o_row"))
-    return meeting(placed.where("other").drop("s"), once(placed, "s", "sketch", "class", "other").drop("s"), differ & first & (agree >= need)), placed
-
-
-def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN, need: int = NEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Matches (doc_id, first_word, last_word, other_id, other_first, other_last, similarity, class_id, class_first).
-
-    Words count from 0. Passages that are connected by matches have one class, named by the document and first word of
-    its first passage. Documents whose shingles all equal those of an earlier one are matched with that one only, with
-    similarity 1; their class is the one that begins with it.
-    """
+def matched(docs: DataFrame, least: int, num: int, den: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row, doc_id, same, m), matches of rows, and their runs with classes."""
     source = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
     table = stash(source.mapInArrow(tokenise, "block long, bytes long, body binary"))
     parts = count_parts(table, "bytes")
-    bits = min(62, 36 + parts.bit_length())
+    bits = min(62, 40 + parts.bit_length())
     asked = table.select("block", "body").mapInArrow(asker(bits, parts, least), HEAD)
     told = stash(asked.groupBy("part").applyInArrow(trim(add_up), HEAD))
     rows = table.select("block", F.lit(-1).alias("part"), "body").unionByName(told)
-    out = stash(rows.groupBy("block").applyInArrow(emitter(bits, parts, least), f"{RECTANGLES}, doc_id long, same long, m long"))
-    ids = stash(out.where("v is null").select("row", "doc_id", "same", "m"))
-    rectangles = stash(represented(out.where("v is not null").select("v", "s", "sketch", "row", "lo", "p", "q", "hi")))
-    drop(told, out)
+    out = stash(rows.groupBy("block").applyInArrow(emitter(bits, parts, least, num, den), HEAD))
+    ids = stash(out.where("part = -2").groupBy("block").applyInArrow(rows_of, "row long, doc_id long, same long, m long"))
+    hubs = stash(out.where("part >= 0").groupBy("part").applyInArrow(trim(elect), HEAD))
+    known = stash(out.where("part = -1").unionByName(hubs))
+    drop(told, out, hubs)
+    early = verified(table, known.groupBy("block").applyInArrow(meeter(bits, parts, least), STRETCHES), least, num, den)
+
+    runs = classes(early)
+    of = runs.groupBy("row", "passage").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("class").alias("class"))
+    of = of.select(F.shiftright("row", ROW_BITS).alias("block"), "row", "first", "last", F.xxhash64("class").bitwiseAND(F.lit((1 << 63) - 1)).alias("label"))
+    labels = stash(known.unionByName(of, allowMissingColumns=True).groupBy("block").applyInArrow(placed(bits, parts, least), HEAD))
+    states = labels.where("part >= 0").groupBy("part").applyInArrow(trim(unsettled), HEAD)
+    rectangles = stash(labels.where("part = -1").unionByName(states).groupBy("block").applyInArrow(opener(bits, parts), OPEN))
+    drop(runs, known, labels)
     groups = max(1, rectangles.count() // 40_000)
+    met = meeting(rectangles).withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups)))
+    late = verified(table, met.groupBy("g").applyInArrow(joiner(least), STRETCHES), least, num, den)
+    matches = stash(early.unionByName(late).distinct())
+    drop(table, rectangles, early, late)
+    return ids, matches, classes(matches)
 
-    hubs = once(rectangles.where("row = first and s = usual"))
-    early = verified(table, meeting(rectangles.where("row <> first").select("v", "row", "lo", "p", "q", "hi"), hubs, F.lit(True)), groups, least, num, den)
-    done = [early]
-    for every in (False, True):
-        runs = classes(reduce(DataFrame.unionByName, done))
-        met, read = apart(rectangles, runs, need, every)
-        done.append(verified(table, met, groups, least, num, den))
-        drop(runs, read)
-    matches = stash(reduce(DataFrame.unionByName, done).distinct())
-    drop(table, rectangles, *done)
-    runs = classes(matches)
 
+def whole(ids: DataFrame, least: int) -> DataFrame:
+    """Texts of which another row is the first, as matches of both from end to end."""
+    last, zero = F.col("m") + F.lit(WIDTH - 2), F.lit(0).cast("long")
     copies = ids.where((F.col("row") != F.col("same")) & (F.col("m") >= least))
-    whole, zero = F.col("m") + F.lit(WIDTH - 2), F.lit(0).cast("long")
-    copies = copies.select(F.col("row").alias("a"), zero.alias("a_first"), whole.alias("a_last"), F.col("same").alias("b"), zero.alias("b_first"), whole.alias("b_last"), F.lit(1.0).alias("similarity"), (F.col("same").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)")).cast("decimal(38,0)").alias("class"))
+    return copies.select(F.col("row").alias("a"), zero.alias("a_first"), last.alias("a_last"), F.col("same").alias("b"), zero.alias("b_first"), last.alias("b_last"), F.lit(1.0).alias("similarity"), node("same", "b_first").alias("class"))
+
+
+def named_classes(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """found with the document and first word that name a class in place of its number."""
+    word = F.lit(1 << 32).cast("decimal(12,0)")
+    found = found.withColumn("c", F.expr("class div cast(4294967296 as decimal(12,0))")).withColumn("class_first", (F.col("class") % word).cast("long"))
+    return found.drop("class").join(ids.select(F.col("row").alias("c"), F.col("doc_id").alias("class_id")), "c").drop("c")
+
+
+def passages(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Matches (doc_id, first_word, last_word, other_id, other_first, other_last, similarity, class_id, class_first).
+
+    Words count from 0. Passages that are connected by matches have one class, named by the document and first word of
+    its first passage. Documents whose shingles all equal those of an earlier one are matched with that one only, with
+    similarity 1; their class is the one that begins with it.
+    """
+    ids, matches, runs = matched(docs, least, num, den, doc_id, text)
     in_class = runs.select(F.col("row").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), "class")
-    matches = matches.join(in_class, ["b", "b_first", "b_last"]).unionByName(copies)
-    matches = matches.withColumn("c", F.expr("class div cast(4294967296 as decimal(12,0))")).withColumn("class_first", (F.col("class") % F.lit(1 << 32).cast("decimal(12,0)")).cast("long"))
+    found = named_classes(matches.join(in_class, ["b", "b_first", "b_last"]).unionByName(whole(ids, least)), ids)
     name = lambda row, out_: ids.select(F.col("row").alias(row), F.col("doc_id").alias(out_))
-    done = matches.join(name("a", "doc_id"), "a").join(name("b", "other_id"), "b").join(name("c", "class_id"), "c")
-    return done.select("doc_id", F.col("a_first").alias("first_word"), F.col("a_last").alias("last_word"), "other_id", F.col("b_first").alias("other_first"), F.col("b_last").alias("other_last"), "similarity", "class_id", "class_first")
+    found = found.join(name("a", "doc_id"), "a").join(name("b", "other_id"), "b")
+    return found.select("doc_id", F.col("a_first").alias("first_word"), F.col("a_last").alias("last_word"), "other_id", F.col("b_first").alias("other_first"), F.col("b_last").alias("other_last"), "similarity", "class_id", "class_first")
+
+
+def members(docs: DataFrame, least: int = LEAST, num: int = NUM, den: int = DEN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each repeated passage of each document once, with its class: (doc_id, first_word, last_word, is_copy, class_id, class_first).
+
+    is_copy: the document's shingles all equal those of an earlier one, of which it then has the passages too; its row
+    spans it, and so does that of the first.
+    """
+    ids, _, runs = matched(docs, least, num, den, doc_id, text)
+    runs = runs.groupBy("row", "passage").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("class").alias("class")).select("row", "first", "last", "class", F.lit(False).alias("is_copy"))
+    copies = whole(ids, least)
+    one = lambda n, flag: copies.select(F.col(n).alias("row"), F.col(f"{n}_first").alias("first"), F.col(f"{n}_last").alias("last"), "class", F.lit(flag).alias("is_copy"))
+    found = named_classes(runs.unionByName(one("a", True)).unionByName(one("b", False).distinct()), ids)
+    return found.join(ids.select("row", "doc_id"), "row").select("doc_id", F.col("first").alias("first_word"), F.col("last").alias("last_word"), "is_copy", "class_id", "class_first")
 
 
 def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(documents(spark, sf_dir))
+    return members(documents(spark, sf_dir))
 
 
 QUERIES = {"op8_compact_windows": op8_compact_windows}

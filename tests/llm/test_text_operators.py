@@ -343,6 +343,44 @@ def test_two_equal_passages_in_three_documents(spark):
     assert {(r.class_id, r.class_first) for r in got} == {(1, 11), (1, 11 + 80 + 35)}
 
 
+def test_members_are_each_passage_once(spark):
+    """One row for each passage of a document, however many others it matches; a common short line brings none."""
+    r = random.Random(6)
+    text = lambda n: [f"m{r.randrange(10**7)}" for _ in range(n)]
+    base, line, rows = text(60), text(14), []
+    for k in range(60):
+        x = list(base)
+        x[k] = f"x{k}"
+        rows.append((k, " ".join(text(20) + x + text(20))))
+    rows += [(100 + k, " ".join(text(40) + line + text(40))) for k in range(60)]
+    rows += [(200, rows[0][1]), (201, rows[60][1]), (202, None)]
+    got = [(g.doc_id, g.first_word, g.last_word, g.is_copy, g.class_id, g.class_first) for g in windows.members(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    whole = {(0, 0, 99, False, 0, 0), (200, 0, 99, True, 0, 0), (100, 0, 93, False, 100, 0), (201, 0, 93, True, 100, 0)}
+    assert whole <= set(got)
+    passages = [g for g in got if g not in whole]
+    assert len(got) == len(set(got)) and sorted(g[0] for g in passages) == list(range(60)) and len({g[4:] for g in passages}) == 1
+    assert all(last - first >= 49 for _, first, last, *_ in passages)
+
+
+def test_what_no_other_text_shares_is_not_met():
+    """Coverage against brute force: every run of `least` with the wanted sum, repeated misses being free."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        m = r.integers(0, 40, 4)
+        hit, again = r.random(m.sum()) < 0.8, r.random(m.sum()) < 0.1
+        worth, cost, least, wanted = ((20, 80, 8, 0), (100, 80, 8, 640))[r.integers(2)]
+        weight, want, start = np.where(hit, worth, np.where(again, 0, -cost)), np.zeros(m.sum(), bool), 0
+        for n in m.tolist():
+            for i in range(start, start + n):
+                for j in range(i + least, start + n + 1):
+                    if weight[i:j].sum() >= wanted:
+                        want[i:j] = True
+            start += n
+        assert np.array_equal(windows.covered(hit, again, m, least, worth, cost, wanted), want)
+
+
 def test_window_bounds():
     import numpy as np
 
