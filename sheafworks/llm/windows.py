@@ -192,7 +192,7 @@ class Passages:
         self.loops = total(again[at].astype(np.int64), self.m2) > 0
 
     def rectangles(self) -> dict[str, np.ndarray]:
-        """v, content, text, kind, L, centres, R of what is covered, by signature; of a text that repeats itself the first with each.
+        """v, content, text, kind, L, centres, R of what is covered, by signature and text.
 
         Content is that of the passage of `least` shingles around the centres. Kind is 1 where shingles recur, else 2
         where a passage around the centres has hits enough for one without such shingles to match, else 0.
@@ -221,7 +221,6 @@ class Passages:
             found.append((v >> np.uint64(64 - self.bits), (sums[around + least] - sums[around]) >> np.uint64(32), self.doc2[run], np.where(self.loops[run], 1, 2 * (strong[q + 1] - strong[p] == q + 1 - p)), lo + shift, p + shift, q + shift, hi + shift))
         v, content, doc, kind, *places = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((places[1], doc, v))
-        order = order[np.concatenate([[True], (v[order][1:] != v[order][:-1]) | (doc[order][1:] != doc[order][:-1])])] if len(order) else order
         return dict(zip(("v", "s", "doc", "kind", *PLACES), (x[order] for x in (v, content, doc, kind, *places)), strict=True))
 
 
@@ -268,9 +267,10 @@ def emitter(bits: int, parts: int, least: int, num: int, den: int):
         s = Passages(block, bodies[part.index(-1)], bits, parts, least)
         s.learn({p: body for p, body in zip(part, bodies, strict=True) if p >= 0}, num, den)
         r = s.rectangles()
-        out = [(-2, pack(ids=s.ids, null=s.null.astype(np.uint8), same=s.same, m=s.m)), (-1, pack(**{n: gaps(x) if n == "v" else x for n, x in r.items() if n != "s"}))]
+        out = [(-2, pack(ids=s.ids, null=s.null.astype(np.uint8), same=s.same, m=s.m)), (-1, pack(**{n: gaps(x) if n == "v" else x for n, x in r.items()}))]
         # each content once, by signature
         order = np.lexsort((r["doc"], r["s"], r["v"]))
+        order = order[firsts(*(r[k][order] for k in ("v", "s", "doc")))[0]]
         first, n = firsts(r["v"][order], r["s"][order])
         r = {k: x[order[first]] for k, x in r.items()}
         for p, i, j in runs_of(part_of(r["v"], bits, parts)):
@@ -308,7 +308,7 @@ def elect(t: pa.Table) -> pa.Table:
     order = np.lexsort((row[best], -total_n, v[best]))
     best, total_n = best[order], total_n[order]
     first, _ = firsts(v[best])
-    many = (np.add.reduceat(total_n, first) if len(first) else first) > 1
+    many = (np.maximum.reduceat(total_n, first) > 1) | (np.minimum.reduceat(row[best], first) < np.maximum.reduceat(row[best], first)) if len(first) else first > 0
     hub, signature = best[first], v[best[first]]
     cols = {k: np.concatenate([x[k].astype(np.int64) for x in got])[hub] for k in PLACES} | {"row": row[hub]}
     out = []
@@ -415,7 +415,11 @@ def opener(bits: int, parts: int):
         for p, i, j in runs_of(part_of(v[first], bits, parts)):
             state[i:j] = got[p]["open"]
         state = np.repeat(state, n)
-        ok = (state == 2) | (state == 1) & (r["kind"] > 0)
+        ok = np.nonzero((state == 2) | (state == 1) & (r["kind"] > 0))[0]
+        # of equal passages of one text and class the first
+        by = [v[ok], *(r[k][ok].astype(np.int64) for k in ("doc", "label", "s"))]
+        order = np.lexsort((ok, *by[::-1]))
+        ok = ok[order[firsts(*(x[order] for x in by))[0]]]
         rows = (np.int64(t.column("block")[0].as_py()) << ROW_BITS) + r["doc"].astype(np.int64)
         return pa.table({"v": v[ok].astype(np.int64), "row": rows[ok], "label": r["label"][ok].astype(np.int64), **{k: r[k][ok].astype(np.int32) for k in ("kind", *PLACES)}})
 

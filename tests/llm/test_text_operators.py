@@ -362,6 +362,15 @@ def test_members_are_each_passage_once(spark):
     assert all(last - first >= 49 for _, first, last, *_ in passages)
 
 
+def test_both_places_of_a_repeated_passage_are_found(spark):
+    r = random.Random(12)
+    text = lambda n: [f"d{r.randrange(10**7)}" for _ in range(n)]
+    x = text(70)
+    rows = [(1, " ".join(text(30) + x + text(30))), (2, " ".join(text(30) + x + text(80) + x + text(30)))]
+    got = windows.members(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(g.doc_id, g.first_word, g.last_word) for g in got} == {(1, 30, 99), (2, 30, 99), (2, 180, 249)}
+
+
 def test_what_no_other_text_shares_is_not_met():
     """Coverage against brute force: every run of `least` with the wanted sum, repeated misses being free."""
     import numpy as np
