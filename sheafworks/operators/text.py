@@ -67,15 +67,22 @@ def character(code: Column) -> Column:
 def decode_codes(codes: DataFrame, ranges: DataFrame, simple: bool = True) -> DataFrame:
     """Adds ch and unmapped: lo..hi -> base..; the later range wins; then, for simple fonts, the WinAnsi fallback.
 
-    Ranges are expanded to codes (at most 65,536 of them), so that the join is an equi-join.
+    Ranges are expanded to codes (at most 65,536 of them), so that the join is an equi-join. This table goes to the codes:
+    they are a row for each character, many times the text if they were shuffled, and half of them a few letters. It holds
+    the characters too; numbers that are none are decoded only where they occur.
     """
-    to, shown = fresh(codes, "to", "shown")
+    known, to, shown = fresh(codes, "known", "to", "shown")
     table = ranges.select("range_no", "base", "lo", F.explode(F.sequence("lo", "hi")).alias("code")).groupBy("code").agg(F.max_by(F.col("base") + F.col("code") - F.col("lo"), "range_no").alias(to))
-    code = F.col("code")
-    fallback = F.when(code.between(32, 126), code).when(code.isin(*WINANSI), F.element_at(F.create_map(*[F.lit(x) for p in WINANSI.items() for x in p]), code.cast("int"))).when(code.between(0xA0, 0xFF), code)
-    found = F.coalesce(F.col(to), fallback) if simple else F.col(to)
-    out = codes.join(table, "code", "left").withColumn(shown, found)
-    return out.withColumn("unmapped", F.col(shown).isNull()).withColumn("ch", F.when(F.col(shown).isNull(), UNMAPPED).otherwise(character(F.col(shown)))).drop(shown, to)
+    if simple:
+        code = F.col("code")
+        plain = sorted({*range(32, 127), *WINANSI, *range(0xA0, 0x100)})
+        others = ranges.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in plain])).alias("code"), F.lit(None).cast("int").alias(to))
+        fallback = F.when(code.between(32, 126), code).when(code.isin(*WINANSI), F.element_at(F.create_map(*[F.lit(x) for p in WINANSI.items() for x in p]), code.cast("int"))).when(code.between(0xA0, 0xFF), code)
+        table = table.unionByName(others).groupBy("code").agg(F.max(to).alias(to)).select("code", F.coalesce(to, fallback).alias(to))
+    valid = F.col(to).between(0, 0xD7FF) | F.col(to).between(0xE000, 0x10FFFF)
+    table = table.select("code", F.col(to), F.when(valid, character(F.col(to))).alias(known))
+    out = codes.join(F.broadcast(table), "code", "left").withColumn(shown, F.coalesce(known, F.when(F.col(to).isNotNull(), character(F.col(to)))))
+    return out.withColumn("unmapped", F.col(to).isNull()).withColumn("ch", F.coalesce(shown, F.lit(UNMAPPED))).drop(known, to, shown)
 
 
 def join_run_items(items: DataFrame, font_size: float = 10.0, hscale: float = 1.0) -> DataFrame:

@@ -145,6 +145,21 @@ def test_codes_later_range_wins_and_fallbacks(spark):
     assert {r.code for r in text.decode_codes(codes, ranges, False).where("unmapped").collect()} == {33, 0x91, 0xE9, 5}
 
 
+def test_codes_are_decoded_where_they_lie(spark):
+    ranges = spark.createDataFrame([(1, 0, 65535, 0), (2, 65, 90, 97)], "range_no int, lo int, hi int, base int")
+    codes = spark.range(700, numPartitions=3).select(F.when(F.col("id") % 7 > 0, (F.col("id") % 97 + 32).cast("int")).alias("code"), F.spark_partition_id().alias("was"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        got = text.decode_codes(codes, ranges).select("code", "ch", "was", F.spark_partition_id().alias("now")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 700 and all(r.was == r.now for r in got)
+    assert all(r.ch == (chr(r.code + 32 if 65 <= r.code <= 90 else r.code) if r.code else "�") for r in got)
+
+
 def test_graph_ends_in_cycles_and_ignores_parents(spark):
     e = spark.createDataFrame([("a", "b", "Font"), ("b", "c", "Next"), ("c", "a", "Next"), ("c", "p", "Parent"), ("q", "r", "Font")], "src string, dst string, kind string")
     assert {r.node for r in objects.reachable(e, spark.createDataFrame([("a",), ("zz",)], "node string")).collect()} == {"a", "b", "c", "zz"}
