@@ -371,6 +371,42 @@ def test_both_places_of_a_repeated_passage_are_found(spark):
     assert {(g.doc_id, g.first_word, g.last_word) for g in got} == {(1, 30, 99), (2, 30, 99), (2, 180, 249)}
 
 
+def test_what_may_match_is_the_runs_with_hits_enough():
+    """Against brute force: a run of `least` or more with the wanted share of hits, repeated misses being free."""
+    import numpy as np
+
+    r, least = np.random.default_rng(5), 6
+    sizes = r.integers(1, 25, 60)
+    hit, again = r.random(sizes.sum()) < 0.8, r.random(sizes.sum()) < 0.1
+    start = np.cumsum(sizes) - sizes
+    want = []
+    for s, n in zip(start, sizes, strict=True):
+        runs = [slice(s + i, s + j) for i in range(n) for j in range(i + least, n + 1)]
+        counts = [(hit[x].sum(), (~hit[x] & ~again[x]).sum()) for x in runs]
+        want.append(sum(any(share * h >= cost * miss for h, miss in counts) for share, cost in ((20, 80), (20, 160))))
+    assert windows.may_match(hit, again, start, least, 80, 100).tolist() == want and len(set(want)) == 3
+
+
+def test_rectangles_that_cannot_match_make_no_rows(spark):
+    """A signature that is cut into tiles: its pairs are those of two labels and texts whose bodies may match, each once."""
+    import numpy as np
+
+    r, least, base = np.random.default_rng(6), 46, np.random.default_rng(7).permutation(1 << 16)[:80]
+    bodies, labels = {}, {}
+    for row in range(700):
+        x = np.concatenate([base, r.permutation(np.setdiff1d(np.arange(1 << 16), base))])[:80].copy()
+        some = r.permutation(80)[: 2 if row < 600 or row % 20 == 0 else 60]
+        x[some] = r.permutation(np.setdiff1d(np.arange(1 << 16), base))[: len(some)]
+        bodies[row], labels[row] = x.astype(np.uint16), 7 if row < 600 else -1 - row if row < 690 else 8
+    for name, v in (("hot", lambda row: 5), ("cold", lambda row: row // 7 % 97)):
+        rows = [(v(row), row, labels[row], 2, 10, 20, 89, bytearray(x.tobytes())) for row, x in bodies.items()]
+        met = windows.meeting(spark.createDataFrame(rows, windows.OPEN), least, 80, 100).collect()
+        two = [(a, b) for a in bodies for b in bodies if a > b and labels[a] != labels[b] and v(a) == v(b)]
+        want = {(a, b) for a, b in two if windows.possible(np.isin(bodies[a], bodies[b]), np.isin(bodies[b], bodies[a]), least, 80, 100)}
+        assert sorted((m.a, m.b) for m in met) == sorted(want), name
+        assert want and len(want) < len(two) / 4 and all(m[2:] == (10, 20, 89) * 2 for m in met)
+
+
 def test_what_no_other_text_shares_is_not_met():
     """Coverage against brute force: every run of `least` with the wanted sum, repeated misses being free."""
     import numpy as np
